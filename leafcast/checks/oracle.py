@@ -1,0 +1,191 @@
+"""SQL twins (DuckDB dialect) of the registered queries, written independently of the
+Spark code. Adapter views are CTEs over the pre-registered tables; option values are
+those of ``leafcast.options.ADAPTER_OPTIONS`` written out as SQL literals.
+"""
+
+from __future__ import annotations
+
+# Fixed values shared by the SQL text below.
+TRIM = "(' ' || chr(9) || chr(10) || chr(13) || chr(11))"
+WS_RUN = r"'[\t\n\x0B\f\r\p{Z}]+'"
+FMTS = "['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d']"
+SLUG = "lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '_', 'g'))"
+SITE = "'https://example.com'"
+CRLF = "(chr(13) || chr(10))"
+
+
+def php_trim(e: str) -> str:
+    return f"trim({e}, {TRIM})"
+
+
+def title_flat(e: str) -> str:
+    return php_trim(f"regexp_replace(coalesce({e}, ''), {WS_RUN}, ' ', 'g')")
+
+
+def gmt_ts(e: str) -> str:
+    return f"try_strptime({e}, {FMTS})"
+
+
+def gmt_epoch(e: str) -> str:
+    return f"coalesce(epoch({gmt_ts(e)}), 0)"
+
+
+def fmt_datetime(e: str, zone: str = "Asia/Tokyo") -> str:
+    ts = gmt_ts(e)
+    local = f"timezone('{zone}', timezone('UTC', {ts}))"
+    off = f"date_diff('minute', {ts}, {local})"
+    return (
+        f"CASE WHEN {ts} IS NULL THEN '' ELSE strftime({local}, '%Y-%m-%d %H:%M:%S') || ' ' || "
+        f"CASE WHEN {off} < 0 THEN '-' ELSE '+' END || lpad(CAST(abs({off}) // 60 AS VARCHAR), 2, '0') || ':' || "
+        f"lpad(CAST(abs({off}) % 60 AS VARCHAR), 2, '0') END"
+    )
+
+
+VIEWS: dict[str, str] = {}
+
+VIEWS["types_v"] = f"""
+SELECT {SITE} AS site, o_orderpriority AS type_key, {SLUG} AS slug, o_orderpriority AS name,
+       CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN {SLUG} || 's' END AS rest_base
+FROM (SELECT DISTINCT o_orderpriority FROM orders) d"""
+
+VIEWS["types_kept"] = r"""
+SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY type_key) - 1 AS BIGINT) AS type_pos
+FROM types_v
+WHERE slug IS NOT NULL AND NOT (regexp_matches(slug, '^wp_') OR slug = 'attachment')
+  AND NOT regexp_matches(coalesce(name, ''), '^2-') AND rest_base IS NOT NULL"""
+
+VIEWS["posts_v"] = f"""
+SELECT {SITE} AS site, o_orderpriority AS type_key, {SLUG} AS slug,
+       CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN {SLUG} || 's' END AS rest_base,
+       o_orderkey AS id,
+       '  Order' || chr(9) || CAST(o_orderkey AS VARCHAR) || chr(10) || o_orderstatus AS title_raw,
+       {SITE} || '/' || {SLUG} || '/' || CAST(o_orderkey AS VARCHAR) AS link,
+       CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS date,
+       CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS date_gmt,
+       CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey - o_orderkey % 100
+            WHEN o_orderkey % 3 = 0 THEN coalesce(lag(o_orderkey) OVER (
+                 PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey DESC), 0)
+            ELSE 0 END AS parent,
+       o_custkey AS author
+FROM orders"""
+
+VIEWS["fetched"] = """
+SELECT * FROM (
+  SELECT p.*, t.type_pos,
+         row_number() OVER (PARTITION BY p.site, p.type_key ORDER BY p.date DESC, p.id DESC) AS rn
+  FROM posts_v p JOIN types_kept t ON p.site = t.site AND p.type_key = t.type_key)
+WHERE rn <= 200"""
+
+VIEWS["terms_v"] = """
+SELECT l.l_orderkey AS id,
+  list({'taxonomy': CASE WHEN l.l_linenumber % 7 = 0 THEN '' ELSE 'brand' END,
+        'name': CASE WHEN l.l_linenumber % 5 <> 0 THEN p.p_brand END} ORDER BY l.l_linenumber, l.l_partkey) AS g1,
+  list({'taxonomy': CASE WHEN l.l_linenumber % 7 = 0 THEN '' ELSE 'type' END,
+        'name': CASE WHEN l.l_linenumber % 5 <> 0 THEN p.p_type END} ORDER BY l.l_linenumber, l.l_partkey) AS g2
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+GROUP BY l.l_orderkey"""
+
+# Terms of the fetched posts, one row per (id, position) with the term kept by G4's rule.
+VIEWS["fetched_terms"] = """
+SELECT f.id, u.pos, u.t.taxonomy AS taxonomy, u.t.name AS name
+FROM fetched f JOIN (
+  SELECT id, unnest(list_concat(g1, g2)) AS t, generate_subscripts(list_concat(g1, g2), 1) AS pos FROM terms_v
+) u ON f.id = u.id
+WHERE coalesce(u.t.taxonomy, '') <> '' AND u.t.name IS NOT NULL"""
+
+# G4 then G5: names grouped by taxonomy (taxonomies in first-seen order), flattened.
+VIEWS["terms_flat_v"] = """
+SELECT id, flatten(list(names ORDER BY first_pos)) AS terms_flat FROM (
+  SELECT id, taxonomy, min(pos) AS first_pos, list(name ORDER BY pos) AS names
+  FROM fetched_terms GROUP BY id, taxonomy)
+GROUP BY id"""
+
+VIEWS["flat"] = f"""
+SELECT f.*, CAST((f.rn - 1) // 100 + 1 AS BIGINT) AS page, CAST((f.rn - 1) % 100 AS BIGINT) AS pos,
+       {title_flat('f.title_raw')} AS title, coalesce(tf.terms_flat, []::VARCHAR[]) AS terms_flat
+FROM fetched f LEFT JOIN terms_flat_v tf ON f.id = tf.id"""
+
+VIEWS["parented"] = """
+SELECT f.*, CASE WHEN coalesce(f.parent, 0) > 0 THEN coalesce(pt.ptitle, '') ELSE '' END AS parent_title
+FROM flat f LEFT JOIN (
+  SELECT site, type_key, id AS pid, arg_max(title, page * 1000000 + pos) AS ptitle FROM flat GROUP BY site, type_key, id
+) pt ON f.site = pt.site AND f.type_key = pt.type_key AND f.parent = pt.pid"""
+
+VIEWS["listed"] = f"""
+SELECT k.*, row_number() OVER (PARTITION BY site, type_key ORDER BY {gmt_epoch('date_gmt')} DESC, page, pos) AS rank,
+       {fmt_datetime('date_gmt')} AS date_local,
+       split_part({fmt_datetime('date_gmt')}, ' ', 1) AS date_label,
+       coalesce(author, 0) AS author_id,
+       url_encode(rest_base) || '/' || CAST(id AS VARCHAR) AS href
+FROM parented k
+WHERE NOT (regexp_matches(title, '^Order \\d*7 P$') OR title = 'Order 42 F') AND id NOT IN (7, 44, 1234)"""
+
+VIEWS["users_v"] = f"""
+SELECT {SITE} AS site, c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN ' ' ELSE c_name END AS name,
+       c_mktsegment AS description
+FROM customer WHERE c_custkey % 40 <> 1"""
+
+VIEWS["author_latest_v"] = """
+SELECT site, author_id, max(coalesce(date_gmt, '')) AS latest_gmt, min(type_pos * 1000000 + rank) AS first_seen
+FROM listed WHERE author_id > 0 GROUP BY site, author_id"""
+
+VIEWS["authors_v"] = f"""
+SELECT a.site, row_number() OVER (PARTITION BY a.site ORDER BY {gmt_epoch('a.latest_gmt')} DESC, a.first_seen) AS rank,
+       a.author_id, {php_trim('u.name')} AS name, coalesce(u.description, '') AS description, a.latest_gmt
+FROM author_latest_v a JOIN users_v u ON a.site = u.site AND a.author_id = u.id
+WHERE {php_trim('u.name')} <> ''"""
+
+_LABELS = f"array_to_string(list_transform(l.terms_flat, lambda t: '[' || {php_trim('t')} || ']'), '')"
+_SMALL = (
+    f"(CASE WHEN len(l.terms_flat) > 0 THEN {_LABELS} ELSE '' END || "
+    "CASE WHEN len(l.terms_flat) > 0 AND l.date_label <> '' THEN ' ' ELSE '' END || "
+    "CASE WHEN l.date_label <> '' THEN '(' || l.date_label || ')' ELSE '' END)"
+)
+_LINE = (
+    "CASE WHEN l.parent_title <> '' THEN l.parent_title || ' ›› ' ELSE '' END || '[' || "
+    f"CASE WHEN len(l.terms_flat) > 0 OR l.date_label <> '' THEN l.title || ' ' || {_SMALL} ELSE l.title END"
+    " || '](' || l.href || ')'"
+)
+
+VIEWS["index_rows_v"] = f"""
+SELECT l.site, l.type_key, l.slug, l.rank, l.id, l.title, l.parent_title,
+       array_to_string(l.terms_flat, '|') AS terms, l.date_local AS date, l.date_label, l.author_id,
+       coalesce(a.name, '') AS author_name, l.link, l.href, {_LINE} AS line
+FROM listed l LEFT JOIN authors_v a ON l.site = a.site AND l.author_id = a.author_id"""
+
+VIEWS["type_summary_v"] = """
+SELECT t.site, t.type_key, t.slug, t.name AS type_name,
+       CAST(c.total_found AS BIGINT) AS total_found,
+       CAST(greatest(ceil(c.total_found / 100), 1) AS BIGINT) AS total_pages,
+       greatest(ceil(c.total_found / 100), 1) > 2 AS truncated,
+       CAST(coalesce(n.listed, 0) AS BIGINT) AS listed,
+       CASE WHEN greatest(ceil(c.total_found / 100), 1) > 2
+            THEN 'Showing the latest ' || CAST(coalesce(n.listed, 0) AS VARCHAR) || ' of '
+                 || CAST(c.total_found AS VARCHAR) || ' items.' ELSE '' END AS note
+FROM types_kept t
+LEFT JOIN (SELECT site, type_key, count(*) AS total_found FROM posts_v GROUP BY site, type_key) c
+  ON t.site = c.site AND t.type_key = c.type_key
+LEFT JOIN (SELECT site, type_key, count(*) AS listed FROM listed GROUP BY site, type_key) n
+  ON t.site = n.site AND t.type_key = n.type_key"""
+
+
+QUERIES: dict[str, str] = {
+    "newest_per_type": "SELECT site, type_key, id, date, CAST((rn - 1) // 100 + 1 AS BIGINT) AS page, "
+                       "CAST((rn - 1) % 100 AS BIGINT) AS pos FROM fetched",
+    "parent_titles": "SELECT site, type_key, id, parent, parent_title FROM parented",
+    "listing_rank": "SELECT site, type_key, rank, id, title, date_local AS date, date_label FROM listed",
+    "index_rows": "SELECT * FROM index_rows_v",
+    "author_latest": "SELECT site, author_id, latest_gmt FROM author_latest_v",
+    "authors": "SELECT * FROM authors_v",
+    "type_summary": "SELECT * FROM type_summary_v",
+    "filter_types": "SELECT site, type_pos, type_key, slug, name, rest_base FROM types_kept",
+}
+
+
+def with_views(select: str) -> str:
+    ctes = ",\n".join(f"{name} AS ({body}\n)" for name, body in VIEWS.items())
+    return f"WITH {ctes}\n{select}"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: with_views(v) for k, v in QUERIES.items()}
