@@ -189,3 +189,325 @@ def with_views(select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v) for k, v in QUERIES.items()}
+
+
+# ---- batch 2: column functions, captures, resolution, planning ---------------------------
+
+URL_PARTS = r"'(?s)^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$'"
+HOST_PORT = r"'^(\[[^\]]*\]|[^:]*)(?::([0-9]*))?$'"
+ORIGIN = r"'^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*'"
+
+
+def normalize_url(e: str, without_params: bool = False) -> str:
+    scheme = f"lower(regexp_extract({e}, {URL_PARTS}, 1))"
+    hp = f"regexp_extract(regexp_extract({e}, {URL_PARTS}, 2), '^(?:.*@)?(.*)$', 1)"
+    host = f"regexp_extract({hp}, {HOST_PORT}, 1)"
+    port = f"regexp_extract({hp}, {HOST_PORT}, 2)"
+    path = f"rtrim(regexp_extract({e}, {URL_PARTS}, 3), '/')"
+    out = f"{scheme} || '://' || lower({host}) || CASE WHEN {port} <> '' THEN ':' || {port} ELSE '' END || {path}"
+    if not without_params:
+        out += f" || regexp_extract({e}, {URL_PARTS}, 4) || regexp_extract({e}, {URL_PARTS}, 5)"
+    return f"CASE WHEN {e} IS NOT NULL AND {scheme} IN ('http', 'https') AND {host} <> '' THEN {out} END"
+
+
+def same_site(base: str, url: str) -> str:
+    b, u = normalize_url(base, True), normalize_url(url, True)
+    return f"coalesce(({b}) IS NOT NULL AND ({u}) IS NOT NULL AND (({u}) = ({b}) OR starts_with({u}, ({b}) || '/')), false)"
+
+
+def http_ok(e: str) -> str:
+    return f"coalesce({e} BETWEEN 200 AND 299, false)"
+
+
+def yaml_scalar(e: str) -> str:
+    cond = " OR ".join([
+        f"{e} = ''",
+        rf"regexp_matches({e}, '[\t\n\x0B\f\r\p{{Z}}]')",
+        f"strpos({e}, ':') > 0",
+        rf"regexp_matches({e}, '(?:^|[ \t\n\x0B\f\r])#')",
+        r"regexp_matches(" + e + r", '[\[\]{}&*!|>''\"%@`,]')",
+        f"regexp_matches({e}, '^[-?:]')",
+        f"regexp_matches({e}, '(?i)^(?:true|false|null|yes|no|on|off|~)$')",
+        rf"regexp_matches({e}, '^[+-]?(?:\d+\.?\d*|\.\d+)$')",
+    ])
+    quoted = "'\"' || replace(replace(" + e + ", '\\', '\\\\'), '\"', '\\\"') || '\"'"
+    return f"CASE WHEN {cond} THEN {quoted} ELSE {e} END"
+
+
+def raw_url_encode(e: str) -> str:
+    return f"url_encode({e})"
+
+
+VIEWS["captures_v"] = f"""
+SELECT {SITE} AS site, 'pages|' || CAST(s.page_id AS VARCHAR) AS request_key, 'page' AS kind, s.page_id, s.url,
+  s.status,
+  CASE WHEN s.status = 0 THEN '' ELSE
+    'HTTP/1.1 ' || CAST(s.status AS VARCHAR) || {CRLF} || 'X-WP-Total: ' || CAST(s.page_id * 7 AS VARCHAR) || {CRLF}
+    || 'x-wp-totalpages: ' || CAST(s.page_id % 6 AS VARCHAR)
+    || CASE WHEN s.status = 301 THEN {CRLF} || 'Location: ' || coalesce(n.url, '') ELSE '' END
+    || CASE WHEN s.page_id % 8 = 0 THEN {CRLF} || 'X-WP-TOTAL:  ' || CAST(s.page_id * 7 + 1 AS VARCHAR) ELSE '' END
+    || {CRLF} END AS headers_raw,
+  s.html AS body,
+  CASE WHEN s.status = 0 THEN 'Operation timed out' ELSE '' END AS error
+FROM (SELECT page_id, url, html,
+        CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 401 WHEN 2 THEN 301 WHEN 3 THEN 500 WHEN 4 THEN 0 ELSE 200 END AS status
+      FROM pages) s
+LEFT JOIN pages n ON n.page_id = s.page_id + 1"""
+
+VIEWS["header_lines"] = f"""
+SELECT request_key, unnest(string_split(trim(headers_raw, {TRIM}), {CRLF})) AS line,
+       generate_subscripts(string_split(trim(headers_raw, {TRIM}), {CRLF}), 1) AS i
+FROM captures_v"""
+
+VIEWS["headers_v"] = f"""
+SELECT request_key, name, arg_max(value, i) AS value FROM (
+  SELECT request_key, i, lower({php_trim("split_part(line, ':', 1)")}) AS name,
+         {php_trim("substr(line, strpos(line, ':') + 1)")} AS value
+  FROM header_lines WHERE strpos(line, ':') > 0)
+GROUP BY request_key, name"""
+
+VIEWS["access_v"] = """
+SELECT event_id,
+  CASE event_type
+    WHEN 'view' THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/120.0'
+    WHEN 'click' THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)'
+    WHEN 'error' THEN 'curl/8.0'
+    WHEN 'signup' THEN '-'
+    WHEN 'purchase' THEN ' Google '
+    ELSE '' END AS user_agent,
+  ['ja,en;q=0.8', 'en-US', 'fr', '', 'fr;q=1,en;q=0.5,ja;q=0.5', 'ja;q=0.2, en-GB;q=0.7'][user_id % 6 + 1] AS accept_language,
+  event_id % 3 = 0 AS raw, event_id % 3 = 1 AS html
+FROM events"""
+
+VIEWS["lang_v"] = f"""
+SELECT a.event_id, a.accept_language, coalesce(b.lang, 'en') AS lang
+FROM access_v a LEFT JOIN (
+  SELECT event_id, lang FROM (
+    SELECT event_id, lang, row_number() OVER (PARTITION BY event_id ORDER BY q DESC, i) AS r FROM (
+      SELECT event_id, i,
+        split_part(lower({php_trim("split_part(part, ';', 1)")}), '-', 1) AS lang,
+        CASE WHEN regexp_extract(coalesce(string_split(part, ';')[2], ''), 'q=([0-9.]+)', 1) = '' THEN 1.0
+             ELSE coalesce(TRY_CAST(regexp_extract(regexp_extract(coalesce(string_split(part, ';')[2], ''),
+                  'q=([0-9.]+)', 1), '^([0-9]*\\.?[0-9]*)', 1) AS DOUBLE), 0.0) END AS q
+      FROM (SELECT event_id, unnest(string_split(accept_language, ',')) AS part,
+                   generate_subscripts(string_split(accept_language, ','), 1) AS i FROM access_v))
+    WHERE lang IN ('en', 'ja'))
+  WHERE r = 1) b ON a.event_id = b.event_id"""
+
+_AGENT = ("(user_agent = '-' OR regexp_matches(lower(user_agent), "
+          "'anthropic|claude|google|gemini|openai|chatgpt|perplexity|bing|facebook|curl'))")
+_MODE = (f"CASE WHEN {php_trim('user_agent')} = 'Google' THEN 'html' WHEN raw THEN 'raw' "
+         "WHEN html THEN 'html' ELSE 'markdown' END")
+
+VIEWS["alt_pages_v"] = f"""
+SELECT {SITE} AS site, p.page_id, p.url,
+  replace(p.html, '</head>',
+    CASE WHEN p.page_id % 6 = 0 THEN '<link rel="alternate" title="RSS" href="https://example.com/wp-json/wp/v2/posts/1" />' ELSE '' END
+    || CASE WHEN p.page_id % 4 = 0 THEN '<link rel="alternate" title="JSON" href="https://example.com/feed/" />' ELSE '' END
+    || CASE WHEN p.page_id % 2 = 0 THEN '<link rel="alternate" type="application/json" title="JSON" href="https://example.com/wp-json/wp/v2/'
+         || coalesce(CASE WHEN o.o_orderpriority <> '4-NOT SPECIFIED' THEN {SLUG} || 's' END, 'posts')
+         || '/' || CAST(p.page_id AS VARCHAR) || '" />' ELSE '' END
+    || '</head>') AS html
+FROM pages p LEFT JOIN orders o ON o.o_orderkey = p.page_id"""
+
+
+def tag_attr(tag: str, name: str) -> str:
+    pat = "'(?i)[\\s/]" + name + "\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))'"
+    return f"(regexp_extract({tag}, {pat}, 1) || regexp_extract({tag}, {pat}, 2) || regexp_extract({tag}, {pat}, 3))"
+
+
+_API = r"'/wp-json/wp/v2/([^/]+)/(\d+)'"
+_FIRST_ALT = (
+    "list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\\b[^>]*>'), lambda l: "
+    f"{tag_attr('l', 'rel')} = 'alternate' AND {tag_attr('l', 'title')} = 'JSON' AND regexp_matches({tag_attr('l', 'href')}, {_API}))[1]"
+)
+
+VIEWS["targets_v"] = f"""
+SELECT site, page_id, coalesce(href, '') AS alt_href,
+       regexp_extract(coalesce(href, ''), {_API}, 1) AS rest_base,
+       coalesce(TRY_CAST(regexp_extract(coalesce(href, ''), {_API}, 2) AS BIGINT), 0) AS id
+FROM (SELECT site, page_id, {tag_attr(_FIRST_ALT, 'href')} AS href FROM alt_pages_v)"""
+
+VIEWS["resolved_v"] = f"""
+SELECT t.page_id, t.rest_base, t.id, (t.rest_base <> '' AND t.id > 0) AS valid, p.id IS NOT NULL AS resolved,
+       p.title AS post_title
+FROM targets_v t LEFT JOIN (SELECT site, rest_base, id, {title_flat('title_raw')} AS title FROM posts_v) p
+  ON t.rest_base <> '' AND t.id > 0 AND t.site = p.site AND t.rest_base = p.rest_base AND t.id = p.id"""
+
+VIEWS["fragments_v"] = r"""
+SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)(?:</article>|$)', 1) || chr(10) ||
+  CASE page_id % 5
+    WHEN 0 THEN '<table class="t"><caption>Cap</caption><colgroup><col></colgroup><thead><tr><th colspan="2">H</th></tr></thead>' || chr(10) || '<tbody><tr><td rowspan="1">a</td><td>b<br>c</td></tr></tbody></table>'
+    WHEN 1 THEN '<pre class="language-python"><code>def f():' || chr(10) || '    return 1' || chr(10) || '</code></pre><pre class="mermaid">graph TD; A--&gt;B;</pre>'
+    WHEN 2 THEN '<form action="/x"><p>Name</p><input name="name"></form>'
+    WHEN 3 THEN '<figure><img src="https://example.com/a.png" alt="A" width="9"><figcaption>Fig</figcaption></figure><details><summary>More</summary><p>Body</p></details>'
+    ELSE '<p><i class="fa fa-star"></i> <a href="https://xn--wgv71a119e.example/a%20b" target="_blank">IDN link</a></p>'
+  END AS fragment
+FROM pages"""
+
+VIEWS["coll_ranked"] = """
+SELECT * FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY site, type_key ORDER BY date DESC, id DESC) AS rn FROM posts_v p)
+WHERE rn <= 200"""
+
+VIEWS["type_counts"] = "SELECT site, type_key, count(*) AS total FROM posts_v GROUP BY site, type_key"
+
+VIEWS["coll_plan"] = f"""
+SELECT t.site, t.type_key, 1 AS page,
+       t.site || '/wp-json/wp/v2/' || t.rest_base || '?per_page=100&page=1&orderby=date&order=desc&_embed=wp:term'
+       || '&_fields=id,title,link,date,date_gmt,parent,author,_links.wp:term,_embedded.wp:term' AS url
+FROM types_kept t
+UNION ALL
+SELECT t.site, t.type_key, g.page,
+       t.site || '/wp-json/wp/v2/' || t.rest_base || '?per_page=100&page=' || CAST(g.page AS VARCHAR)
+       || '&orderby=date&order=desc&_embed=wp:term'
+       || '&_fields=id,title,link,date,date_gmt,parent,author,_links.wp:term,_embedded.wp:term' AS url
+FROM types_kept t JOIN type_counts c ON t.site = c.site AND t.type_key = c.type_key,
+     LATERAL (SELECT unnest(generate_series(2, least(CAST(greatest(ceil(c.total / 100), 1) AS BIGINT), 2))) AS page) g"""
+
+VIEWS["batches_v"] = f"""
+SELECT b.batch_id, f.base, 'pages|' || CAST(b.page_id AS VARCHAR) AS request_key, b.url
+FROM (SELECT page_id // 10 AS batch_id, page_id, url FROM pages) b
+JOIN (SELECT page_id // 10 AS batch_id, regexp_extract(arg_min(url, page_id), {ORIGIN}, 0) AS base
+      FROM pages GROUP BY 1) f ON b.batch_id = f.batch_id"""
+
+_ORDER_DATE = "CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 89 = 0 THEN 'not a date' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END"
+_NL2BR = "regexp_replace({e}, '(\\r\\n|\\n\\r|\\n|\\r)', '<br />\\1', 'g')"
+
+
+def html_escape(e: str) -> str:
+    out = f"replace({e}, '&', '&amp;')"
+    for raw, ent in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#039;")):
+        out = f"replace({out}, '{raw}', '{ent}')"
+    return out
+
+
+def _digest(src: str, key: str, expr: str) -> str:
+    return f"SELECT {key}, CAST(length({expr}) AS BIGINT) AS n_chars, md5({expr}) AS md5 FROM {src}"
+
+
+_ICON = r"""'(?i)<i\b[^>]*\bclass\s*=\s*["''][^"'']*\bfa[bsrld]?\b[^"'']*["''][^>]*>\s*</i>'"""
+
+QUERIES.update({
+    "normalize_url": f"SELECT page_id, url, {normalize_url('url')} AS normalized, {normalize_url('url', True)} AS normalized_np FROM pages",
+    "prettify_url": "SELECT page_id, url_decode(replace(url || '#caf%C3%A9+%2B%zz', '+', '%20')) AS pretty FROM pages",
+    "same_site": f"SELECT page_id, base, {same_site('base', 'url')} AS same_site FROM "
+                 f"(SELECT page_id, url, regexp_extract(url, {ORIGIN}, 0) || '/en' AS base FROM pages)",
+    "title_flat": _digest("documents", "doc_id", title_flat("text")),
+    "lf_normalize": _digest("documents", "doc_id", "regexp_replace(text, '\\r\\n?', chr(10), 'g')"),
+    "collapse_blank_lines": _digest("documents", "doc_id",
+        "regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g')"),
+    "yaml_value": "SELECT src, k, v, " + yaml_scalar("v") + """ AS y FROM (
+        SELECT 'nation' AS src, CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation
+        UNION ALL SELECT 'part_name', p_partkey, p_name FROM part
+        UNION ALL SELECT 'part_type', p_partkey, p_type FROM part
+        UNION ALL SELECT 'part_brand', p_partkey, p_brand FROM part
+        UNION ALL SELECT 'props', event_id, props FROM events
+        UNION ALL SELECT 'priority', o_orderkey, o_orderpriority FROM orders
+        UNION ALL SELECT 'order_id', o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders
+        UNION ALL SELECT 'customer', c_custkey, c_name FROM customer
+        UNION ALL SELECT 'conversation', conv_id * 1000 + turn, text FROM conversations)""",
+    "format_datetime": f"SELECT event_id, gmt, {fmt_datetime('gmt', 'Asia/Tokyo')} AS tokyo, "
+                       f"{fmt_datetime('gmt', 'America/St_Johns')} AS st_johns, {fmt_datetime('gmt', 'UTC')} AS utc, "
+                       f"{fmt_datetime('gmt', 'UTC')} AS fallback FROM (SELECT event_id, {_ORDER_DATE} AS gmt FROM events)",
+    "header_map": "SELECT request_key, name, value FROM headers_v",
+    "capture_outcome": f"SELECT request_key, CAST(status AS BIGINT) AS status, {http_ok('status')} AS success, "
+                       f"CASE WHEN {http_ok('status')} THEN '' WHEN status = 0 THEN coalesce(error, '') "
+                       f"ELSE 'HTTP ' || CAST(status AS VARCHAR) END AS error, "
+                       f"CASE WHEN {http_ok('status')} THEN md5(body) END AS body_md5 FROM captures_v",
+    "type_totals": """
+        SELECT c.request_key,
+          CAST(coalesce(TRY_CAST(regexp_extract(coalesce(t.value, ''), '^\\s*([+-]?\\d+)', 1) AS INTEGER), 0) AS BIGINT) AS total_found,
+          CAST(CASE WHEN p.value IS NULL THEN 1 ELSE coalesce(TRY_CAST(regexp_extract(p.value, '^\\s*([+-]?\\d+)', 1) AS INTEGER), 0) END AS BIGINT) AS total_pages,
+          CASE WHEN p.value IS NULL THEN 1 ELSE coalesce(TRY_CAST(regexp_extract(p.value, '^\\s*([+-]?\\d+)', 1) AS INTEGER), 0) END > 2 AS truncated
+        FROM captures_v c
+        LEFT JOIN headers_v t ON c.request_key = t.request_key AND t.name = 'x-wp-total'
+        LEFT JOIN headers_v p ON c.request_key = p.request_key AND p.name = 'x-wp-totalpages'""",
+    "type_readability": f"""
+        SELECT request_key AS type_key, coalesce(CASE WHEN page_id % 7 <> 0 THEN 'Page ' || CAST(page_id AS VARCHAR) END, request_key) AS name,
+          CAST(status AS BIGINT) AS status,
+          CASE WHEN {http_ok('status')} THEN 'readable' WHEN status IN (401, 404) THEN 'unreadable' ELSE 'fatal' END AS class,
+          CASE WHEN {http_ok('status')} OR status IN (401, 404) THEN ''
+               ELSE 'slug: ' || request_key || CASE WHEN status = 0 THEN CASE WHEN coalesce(error, '') <> '' THEN ', ' || error ELSE '' END
+                                                  ELSE ', HTTP ' || CAST(status AS VARCHAR) END END AS error
+        FROM captures_v""",
+    "is_agent": f"SELECT event_id, {_AGENT} AS is_agent FROM access_v",
+    "negotiate_lang": "SELECT event_id, accept_language, lang FROM lang_v",
+    "render_mode": f"SELECT event_id, {_MODE} AS mode FROM access_v",
+    "traffic_classes": f"SELECT {_AGENT} AS is_agent, l.lang, {_MODE} AS mode, count(*) AS requests "
+                       "FROM access_v a JOIN lang_v l ON a.event_id = l.event_id GROUP BY ALL",
+    "html_escape": "SELECT conv_id, turn, CAST(length(e) AS BIGINT) AS n_chars, md5(e) AS md5 FROM (SELECT conv_id, turn, "
+                   + _NL2BR.format(e=html_escape("text")) + " AS e FROM conversations)",
+    "index_href": f"SELECT p_partkey, {raw_url_encode('p_name')} || '/' || CAST(p_partkey AS VARCHAR) AS href, "
+                  f"{raw_url_encode('p_brand')} AS brand_enc FROM part",
+    "icon_replace": _digest("fragments_v", "page_id", f"regexp_replace(fragment, {_ICON}, '■', 'g')"),
+    "strip_wrappers": _digest("pages", "page_id", "regexp_replace(html, '(?i)</?(?:html|body)\\b[^>]*>', '', 'g')"),
+    "raw_pages": _digest("fragments_v", "page_id",
+        "regexp_replace(regexp_replace(fragment, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g')"),
+    "page_alternate_link": "SELECT page_id, alt_href, rest_base, id FROM targets_v",
+    "resolve_pages": "SELECT * FROM resolved_v",
+    "unresolved_targets": "SELECT page_id, rest_base, id FROM resolved_v WHERE NOT valid",
+    "redirect_once": f"""
+        SELECT c.request_key, CAST(c.status AS BIGINT) AS status, h.value AS location, x.internal,
+          CASE WHEN x.internal THEN t.request_key END AS target_key,
+          CAST(CASE WHEN x.internal THEN t.status END AS BIGINT) AS target_status,
+          CASE WHEN NOT x.internal THEN 'url_must_be_internal' WHEN t.request_key IS NULL THEN 'page_fetch_failed'
+               WHEN NOT {http_ok('t.status')} THEN 'page_fetch_failed' ELSE '' END AS error
+        FROM captures_v c
+        JOIN headers_v h ON c.request_key = h.request_key AND h.name = 'location'
+        CROSS JOIN LATERAL (SELECT {same_site(f"regexp_extract(c.url, {ORIGIN}, 0)", 'h.value')} AS internal) x
+        LEFT JOIN captures_v t ON t.url = h.value
+        WHERE NOT {http_ok('c.status')}""",
+    "batch_admission": f"SELECT batch_id, bool_and(ok) AS admitted, count(*) AS n_urls, "
+                       f"CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_rejected "
+                       f"FROM (SELECT batch_id, {same_site('base', 'url')} AS ok FROM batches_v) GROUP BY batch_id",
+    "src_types": "SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY type_key) - 1 AS BIGINT) AS type_pos, "
+                 "type_key, slug, name, rest_base FROM types_v",
+    "src_posts": """
+        SELECT r.site, r.type_key, CAST((r.rn - 1) // 100 + 1 AS BIGINT) AS page, CAST((r.rn - 1) % 100 AS BIGINT) AS pos,
+               r.id, r.title_raw, r.date_gmt, r.parent, r.author,
+               CAST(coalesce(2 * len(t.g1), 0) AS BIGINT) AS n_terms
+        FROM coll_ranked r LEFT JOIN terms_v t ON r.id = t.id
+        WHERE NOT ((r.type_key = '3-MEDIUM' AND (r.rn - 1) // 100 + 1 = 2) OR (r.type_key = '5-LOW' AND (r.rn - 1) // 100 + 1 = 2))""",
+    "src_users": """
+        SELECT site, id, CASE WHEN id % 10 = 0 AND (id // 100 + 1) % 7 <> 3 THEN name || ' (2)' ELSE name END AS name, description
+        FROM users_v WHERE (id // 100) % 7 <> 3 OR (id % 10 = 0 AND (id // 100 + 1) % 7 <> 3)""",
+    "src_post_full": """
+        SELECT 'post|' || coalesce(p.rest_base, '') || '|' || CAST(p.id AS VARCHAR) AS request_key,
+          CASE WHEN p.id % 23 = 0 THEN 'post_fetch_failed' WHEN p.id % 29 = 0 THEN 'post_parse_failed' ELSE '' END AS error,
+          CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN p.id END AS id,
+          CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN p.title_raw END AS title_raw,
+          CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN coalesce(c.c_name, '') ELSE '' END AS author_name,
+          CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN length(f.fragment) ELSE 0 END AS BIGINT) AS content_len,
+          CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN coalesce(2 * len(t.g1), 0) ELSE 0 END AS BIGINT) AS n_terms
+        FROM posts_v p JOIN fragments_v f ON f.page_id = p.id
+        LEFT JOIN terms_v t ON t.id = p.id LEFT JOIN customer c ON c.c_custkey = p.author""",
+    "site_name": f"""
+        SELECT site, CASE WHEN length(site) % 3 = 2 THEN 'Site ' || upper(regexp_extract(site, '://([^.]*)', 1))
+                          ELSE regexp_extract(regexp_extract(regexp_extract(site, {URL_PARTS}, 2), '^(?:.*@)?(.*)$', 1), {HOST_PORT}, 1) END AS site_name
+        FROM (SELECT DISTINCT regexp_extract(url, {ORIGIN}, 0) AS site FROM pages)""",
+    "plan_first_pages": "SELECT site, type_key, type_key AS request_key, url FROM coll_plan WHERE page = 1",
+    "plan_next_pages": "SELECT site, type_key, CAST(page AS BIGINT) AS page, type_key || '|' || CAST(page AS VARCHAR) AS request_key, url "
+                       "FROM coll_plan WHERE page >= 2",
+    "plan_vs_captures": """
+        SELECT type_key || '|' || CAST(page AS VARCHAR) AS request_key,
+          CAST(CASE WHEN type_key = '5-LOW' AND page = 2 THEN 0 ELSE 200 END AS BIGINT) AS status,
+          NOT (type_key = '5-LOW' AND page = 2) AS success,
+          CASE WHEN type_key = '5-LOW' AND page = 2 THEN 'not captured' ELSE '' END AS error
+        FROM coll_plan""",
+    "plan_user_chunks": f"""
+        SELECT site, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_ids,
+          site || '/wp-json/wp/v2/users?include=' || string_agg(CAST(author_id AS VARCHAR), ',' ORDER BY rn)
+          || '&per_page=100&_fields=id,name,description' AS url
+        FROM (SELECT *, (rn - 1) // 100 AS chunk FROM (
+          SELECT site, author_id, row_number() OVER (PARTITION BY site ORDER BY {gmt_epoch('latest_gmt')} DESC, first_seen) AS rn
+          FROM author_latest_v))
+        GROUP BY site, chunk""",
+    "plan_post_urls": "SELECT site, id, site || '/wp-json/wp/v2/' || rest_base || '/' || CAST(id AS VARCHAR) "
+                      "|| '?_embed=author,wp:term' AS url FROM listed",
+    "terms_by_taxonomy": """
+        SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY first_pos) - 1 AS BIGINT) AS tax_pos, taxonomy,
+               array_to_string(names, '|') AS names
+        FROM (SELECT id, taxonomy, min(pos) AS first_pos, list(name ORDER BY pos) AS names FROM fetched_terms GROUP BY id, taxonomy)""",
+    "terms_flat": "SELECT id, array_to_string(terms_flat, '|') AS terms FROM flat",
+})

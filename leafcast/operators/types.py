@@ -70,8 +70,9 @@ def type_readability(first_pages: DataFrame) -> DataFrame:
 def type_totals(first_pages: DataFrame, opts: Options) -> DataFrame:
     """Totals from the first page's headers (junk -> 0; missing pages header -> 1) and page plan."""
     h = http.header_map(F.col("headers_raw"))
-    total = F.coalesce(F.regexp_extract(F.coalesce(h["x-wp-total"], F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
-    pages_text = h["x-wp-totalpages"]
+    total_text = F.try_element_at(h, F.lit("x-wp-total"))
+    total = F.coalesce(F.regexp_extract(F.coalesce(total_text, F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+    pages_text = F.try_element_at(h, F.lit("x-wp-totalpages"))
     pages = F.when(pages_text.isNull(), F.lit(1)).otherwise(
         F.coalesce(F.regexp_extract(pages_text, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
     )

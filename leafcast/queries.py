@@ -65,3 +65,364 @@ def q_type_summary(spark: SparkSession, base: str) -> DataFrame:
 def q_filter_types(spark: SparkSession, base: str) -> DataFrame:
     """Kept post types in section order."""
     return site_index.kept_types(spark, base, OPTS).select("site", "type_pos", "type_key", "slug", "name", "rest_base")
+
+
+# ---- column functions over the tables ------------------------------------------------------
+
+from leafcast.functions import clients, dates, http, text, urls, yaml  # noqa: E402
+from leafcast.functions import terms as fterms  # noqa: E402
+from leafcast.operators import resolve, types as ty  # noqa: E402
+from leafcast.plans import requests as rq  # noqa: E402
+from leafcast.sources import captures as cap  # noqa: E402
+from leafcast.sources.tables import read_table  # noqa: E402
+
+ORIGIN = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*"
+PRETTY_SUFFIX = "#caf%C3%A9+%2B%zz"
+
+
+@query("normalize_url")
+def q_normalize_url(spark, base):
+    """C1 on every page URL, with and without query/fragment."""
+    p = read_table(spark, base, "pages", "page_id", "url")
+    return p.select("page_id", "url", urls.normalize_url(F.col("url")).alias("normalized"),
+                    urls.normalize_url(F.col("url"), without_params=True).alias("normalized_np"))
+
+
+@query("prettify_url")
+def q_prettify_url(spark, base):
+    """C2 on every page URL with an encoded fragment appended."""
+    p = read_table(spark, base, "pages", "page_id", "url")
+    return p.select("page_id", urls.prettify_url(F.concat("url", F.lit(PRETTY_SUFFIX))).alias("pretty"))
+
+
+@query("same_site")
+def q_same_site(spark, base):
+    """F8: each page URL against its own origin + '/en' as the site base."""
+    p = read_table(spark, base, "pages", "page_id", "url")
+    b = F.concat(F.regexp_extract("url", ORIGIN, 0), F.lit("/en"))
+    return p.select("page_id", b.alias("base"), urls.same_site(b, F.col("url")).alias("same_site"))
+
+
+def _doc_digest(spark, base, fn):
+    d = read_table(spark, base, "documents", "doc_id", "text")
+    out = fn(F.col("text"))
+    return d.select("doc_id", F.length(out).alias("n_chars"), F.md5(out).alias("md5"))
+
+
+@query("title_flat")
+def q_title_flat(spark, base):
+    """C3 over whole document texts (length and digest of the one-line form)."""
+    return _doc_digest(spark, base, text.title_flat)
+
+
+@query("lf_normalize")
+def q_lf_normalize(spark, base):
+    """C4 over whole document texts."""
+    return _doc_digest(spark, base, text.lf_normalize)
+
+
+@query("collapse_blank_lines")
+def q_collapse_blank_lines(spark, base):
+    """C5 (after C4) over whole document texts."""
+    return _doc_digest(spark, base, lambda c: text.collapse_blank_lines(text.lf_normalize(c)))
+
+
+@query("yaml_value")
+def q_yaml_value(spark, base):
+    """C6 on names, types, JSON props, id strings and conversation texts."""
+    parts = [
+        read_table(spark, base, "nation", "n_nationkey", "n_name").select(F.lit("nation").alias("src"), F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v")),
+        read_table(spark, base, "part", "p_partkey", "p_name").select(F.lit("part_name").alias("src"), F.col("p_partkey").alias("k"), F.col("p_name").alias("v")),
+        read_table(spark, base, "part", "p_partkey", "p_type").select(F.lit("part_type").alias("src"), F.col("p_partkey").alias("k"), F.col("p_type").alias("v")),
+        read_table(spark, base, "part", "p_partkey", "p_brand").select(F.lit("part_brand").alias("src"), F.col("p_partkey").alias("k"), F.col("p_brand").alias("v")),
+        read_table(spark, base, "events", "event_id", "props").select(F.lit("props").alias("src"), F.col("event_id").alias("k"), F.col("props").alias("v")),
+        read_table(spark, base, "orders", "o_orderkey", "o_orderpriority").select(F.lit("priority").alias("src"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v")),
+        read_table(spark, base, "orders", "o_orderkey").select(F.lit("order_id").alias("src"), F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("v")),
+        read_table(spark, base, "customer", "c_custkey", "c_name").select(F.lit("customer").alias("src"), F.col("c_custkey").alias("k"), F.col("c_name").alias("v")),
+        read_table(spark, base, "conversations", "conv_id", "turn", "text").select(F.lit("conversation").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.col("text").alias("v")),
+    ]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.select("src", "k", "v", yaml.yaml_scalar(F.col("v")).alias("y"))
+
+
+BAD_ZONE = "Not/AZone"
+
+
+@query("format_datetime")
+def q_format_datetime(spark, base):
+    """C7 on event times in four zones (one invalid -> default), with blank and junk inputs."""
+    e = read_table(spark, base, "events", "event_id", "ts")
+    k = F.col("event_id")
+    gmt = (F.when(k % 97 == 0, F.lit("")).when(k % 89 == 0, F.lit("not a date"))
+           .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")))
+    return e.select(
+        "event_id", gmt.alias("gmt"),
+        dates.format_datetime(gmt, "Asia/Tokyo").alias("tokyo"),
+        dates.format_datetime(gmt, "America/St_Johns").alias("st_johns"),
+        dates.format_datetime(gmt, "UTC").alias("utc"),
+        dates.format_datetime(gmt, BAD_ZONE).alias("fallback"),
+    )
+
+
+@query("header_map")
+def q_header_map(spark, base):
+    """Parsed headers of every captured page fetch, one row per (key, name)."""
+    c = adapters.captures_v(spark, base)
+    return c.select("request_key", F.explode(http.header_map(F.col("headers_raw"))).alias("name", "value"))
+
+
+@query("capture_outcome")
+def q_capture_outcome(spark, base):
+    """Success, body kept only on success, error text."""
+    c = cap.with_outcome(adapters.captures_v(spark, base))
+    return c.select("request_key", "status", "success", "error", F.md5("body").alias("body_md5"))
+
+
+@query("type_totals")
+def q_type_totals(spark, base):
+    """G2 on each captured page fetch read as a type's first page."""
+    c = adapters.captures_v(spark, base).withColumn("type_key", F.col("request_key"))
+    return ty.type_totals(c, OPTS).select(F.col("type_key").alias("request_key"), "total_found", "total_pages", "truncated")
+
+
+@query("type_readability")
+def q_type_readability(spark, base):
+    """F10 + W5: readable / unreadable (401, 404) / fatal per first-page capture."""
+    c = adapters.captures_v(spark, base)
+    fp = c.select(
+        "site", F.col("request_key").alias("type_key"),
+        F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("Page "), F.col("page_id").cast("string"))).alias("name"),
+        "status", "error",
+    )
+    return ty.type_readability(fp).select("type_key", "name", "status", "class", "error")
+
+
+def _access(spark, base):
+    return adapters.access_v(spark, base)
+
+
+@query("is_agent")
+def q_is_agent(spark, base):
+    """C10 per request of the access log."""
+    return _access(spark, base).select("event_id", clients.is_agent(F.col("user_agent")).alias("is_agent"))
+
+
+@query("negotiate_lang")
+def q_negotiate_lang(spark, base):
+    """C11 per request of the access log."""
+    return _access(spark, base).select("event_id", "accept_language", clients.negotiate_lang(F.col("accept_language")).alias("lang"))
+
+
+@query("render_mode")
+def q_render_mode(spark, base):
+    """F14 per request of the access log."""
+    a = _access(spark, base)
+    return a.select("event_id", clients.render_mode(F.col("raw"), F.col("html"), F.col("user_agent")).alias("mode"))
+
+
+@query("traffic_classes")
+def q_traffic_classes(spark, base):
+    """L1: requests counted by (agent, language, output mode)."""
+    a = _access(spark, base)
+    return a.groupBy(
+        clients.is_agent(F.col("user_agent")).alias("is_agent"),
+        clients.negotiate_lang(F.col("accept_language")).alias("lang"),
+        clients.render_mode(F.col("raw"), F.col("html"), F.col("user_agent")).alias("mode"),
+    ).agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("html_escape")
+def q_html_escape(spark, base):
+    """C13 on conversation texts: escaped, with <br /> before line breaks (digest)."""
+    c = read_table(spark, base, "conversations", "conv_id", "turn", "text")
+    out = text.nl2br(text.html_escape(F.col("text")))
+    return c.select("conv_id", "turn", F.length(out).alias("n_chars"), F.md5(out).alias("md5"))
+
+
+@query("index_href")
+def q_index_href(spark, base):
+    """rawurlencode(name)/id on part names and types (spaces, '#')."""
+    p = read_table(spark, base, "part", "p_partkey", "p_name", "p_brand")
+    return p.select(
+        "p_partkey",
+        F.concat(urls.raw_url_encode(F.col("p_name")), F.lit("/"), F.col("p_partkey").cast("string")).alias("href"),
+        urls.raw_url_encode(F.col("p_brand")).alias("brand_enc"),
+    )
+
+
+@query("icon_replace")
+def q_icon_replace(spark, base):
+    """C8 on post fragments."""
+    f = adapters.fragments_v(spark, base)
+    out = text.icon_replace(F.col("fragment"))
+    return f.select("page_id", F.length(out).alias("n_chars"), F.md5(out).alias("md5"))
+
+
+@query("strip_wrappers")
+def q_strip_wrappers(spark, base):
+    """H2 on whole pages: <html>/<body> tags removed as text."""
+    from leafcast.operators.html_jobs import strip_wrappers
+
+    p = read_table(spark, base, "pages", "page_id", "html")
+    out = strip_wrappers(F.col("html"))
+    return p.select("page_id", F.length(out).alias("n_chars"), F.md5(out).alias("md5"))
+
+
+@query("raw_pages")
+def q_raw_pages(spark, base):
+    """Raw documents (LF line endings, blank-line runs collapsed)."""
+    f = adapters.fragments_v(spark, base)
+    out = text.collapse_blank_lines(text.lf_normalize(F.col("fragment")))
+    return f.select("page_id", F.length(out).alias("n_chars"), F.md5(out).alias("md5"))
+
+
+# ---- resolution (Entry C) ------------------------------------------------------------------
+
+@query("page_alternate_link")
+def q_page_alternate_link(spark, base):
+    """X1 + K4 + C12: (rest_base, id) from each page's first valid alternate link."""
+    t = resolve.resolve_targets(adapters.alt_pages_v(spark, base))
+    return t.select("page_id", "alt_href", "rest_base", "id")
+
+
+def _resolved(spark, base):
+    t = resolve.resolve_targets(adapters.alt_pages_v(spark, base)).select("site", "page_id", "rest_base", "id")
+    posts = adapters.posts_v(spark, base).select("site", "rest_base", "id", text.title_flat(F.col("title_raw")).alias("title"))
+    return resolve.resolve_pages(t, posts)
+
+
+@query("resolve_pages")
+def q_resolve_pages(spark, base):
+    """Page -> post through its alternate link."""
+    return _resolved(spark, base).select("page_id", "rest_base", "id", "valid", "resolved", "post_title")
+
+
+@query("unresolved_targets")
+def q_unresolved_targets(spark, base):
+    """pages whose target is invalid (no rest_base or id <= 0)."""
+    return _resolved(spark, base).where(~F.col("valid")).select("page_id", "rest_base", "id")
+
+
+@query("redirect_once")
+def q_redirect_once(spark, base):
+    """One redirect hop for failed fetches with a Location header."""
+    return resolve.redirect_once(adapters.captures_v(spark, base))
+
+
+def _batches(spark, base):
+    p = read_table(spark, base, "pages", "page_id", "url")
+    b = p.withColumn("batch_id", (F.col("page_id") / 10).cast("long"))
+    bases = b.groupBy("batch_id").agg(F.min_by("url", "page_id").alias("_first"))
+    bases = bases.select("batch_id", F.regexp_extract("_first", ORIGIN, 0).alias("base"))
+    return b.join(bases, "batch_id").select(
+        "batch_id", "base", F.concat(F.lit("pages|"), F.col("page_id").cast("string")).alias("request_key"), "url"
+    )
+
+
+@query("batch_admission")
+def q_batch_admission(spark, base):
+    """a batch of fetches is admitted only when every URL is on the batch's site."""
+    return resolve.batch_admission(_batches(spark, base))
+
+
+# ---- sources over captured responses ---------------------------------------------------------
+
+@query("src_types")
+def q_src_types(spark, base):
+    """Type map JSON -> rows with map order."""
+    return ty.parse_type_map(adapters.types_capture_v(spark, base)).select(
+        "site", "type_pos", "type_key", "slug", "name", "rest_base")
+
+
+@query("src_posts")
+def q_src_posts(spark, base):
+    """S2 + G6: posts of captured collection pages (a broken page reads as empty)."""
+    posts = cap.collection_posts(adapters.collections_v(spark, base))
+    return posts.select(
+        "site", "type_key", "page", "pos", "id", "title_raw", "date_gmt", "parent", "author",
+        F.coalesce(F.size(F.flatten("terms")), F.lit(0)).alias("n_terms"),
+    )
+
+
+@query("src_users")
+def q_src_users(spark, base):
+    """S3: users from chunked lookups (failed chunks skipped, last record wins)."""
+    return cap.users_from_chunks(adapters.user_chunks_v(spark, base))
+
+
+@query("src_post_full")
+def q_src_post_full(spark, base):
+    """Full posts from single-post captures; failures as error rows."""
+    p = cap.full_post(adapters.full_posts_capture_v(spark, base))
+    return p.select("request_key", "error", "id", "title_raw", "author_name", F.length("content").alias("content_len"),
+                    F.coalesce(F.size(F.flatten("terms")), F.lit(0)).alias("n_terms"))
+
+
+@query("site_name")
+def q_site_name(spark, base):
+    """Site name from the root capture, else the host."""
+    return cap.site_name(adapters.root_captures_v(spark, base))
+
+
+def _collection_plan(spark, base):
+    types = site_index.kept_types(spark, base, OPTS)
+    first = rq.first_pages(types, OPTS).select("site", "type_key", F.lit(1).alias("page"), "url")
+    coll = adapters.collections_v(spark, base)
+    fp = coll.where(F.col("page") == 1)
+    totals = ty.type_totals(fp, OPTS)
+    readable = cap.with_outcome(fp).where(F.col("success")).select("site", "type_key")
+    nxt = rq.next_pages(types, totals, readable, OPTS).select("site", "type_key", "page", "url")
+    plan = first.unionByName(nxt).withColumn("request_key", F.concat(F.col("type_key"), F.lit("|"), F.col("page").cast("string")))
+    return plan, coll
+
+
+@query("plan_first_pages")
+def q_plan_first_pages(spark, base):
+    """First collection page URL of every kept type."""
+    return rq.first_pages(site_index.kept_types(spark, base, OPTS), OPTS)
+
+
+@query("plan_next_pages")
+def q_plan_next_pages(spark, base):
+    """Remaining pages up to the cap for readable types (from first-page headers)."""
+    plan, _ = _collection_plan(spark, base)
+    return plan.where(F.col("page") >= 2).select("site", "type_key", "page", "request_key", "url")
+
+
+@query("plan_vs_captures")
+def q_plan_vs_captures(spark, base):
+    """One result per planned collection request (uncaptured keys kept)."""
+    plan, coll = _collection_plan(spark, base)
+    r = cap.keyed_results(plan.select("request_key"), coll)
+    return r.select("request_key", "status", "success", "error")
+
+
+@query("plan_user_chunks")
+def q_plan_user_chunks(spark, base):
+    """User lookup URLs, 100 ids each, newest author first."""
+    si = site_index.from_tables(spark, base, OPTS)
+    return rq.user_chunks(idx.author_latest(si.listed))
+
+
+@query("plan_post_urls")
+def q_plan_post_urls(spark, base):
+    """Single-post URL of every listed post."""
+    si = site_index.from_tables(spark, base, OPTS)
+    return si.listed.select("site", "id", rq.post_url(F.col("site"), F.col("rest_base"), F.col("id")).alias("url"))
+
+
+@query("terms_by_taxonomy")
+def q_terms_by_taxonomy(spark, base):
+    """Fetched posts' terms grouped by taxonomy (first-seen order)."""
+    f = site_index.fetched_posts(spark, base, OPTS)
+    g = f.select("id", F.posexplode(fterms.terms_by_taxonomy(F.col("terms"))).alias("tax_pos", "g"))
+    return g.select("id", "tax_pos", F.col("g.taxonomy").alias("taxonomy"), F.array_join("g.names", "|").alias("names"))
+
+
+@query("terms_flat")
+def q_terms_flat(spark, base):
+    """Fetched posts' terms as one list."""
+    f = site_index.fetched_posts(spark, base, OPTS)
+    return f.select("id", F.array_join("terms_flat", "|").alias("terms"))

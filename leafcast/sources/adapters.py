@@ -226,3 +226,130 @@ def access_v(spark: SparkSession, base: str) -> DataFrame:
         (F.col("event_id") % 3 == 0).alias("raw"),
         (F.col("event_id") % 3 == 1).alias("html"),
     )
+
+
+# ---- captured API responses built from the views above -----------------------------------
+
+BROKEN_PAGE = ("3-MEDIUM", 2)  # this collection page's body is cut off (empty-list rule)
+MISSING_PAGE = ("5-LOW", 2)  # this collection page was never captured
+FAILED_USER_CHUNK_MOD = (7, 3)  # user chunks with chunk % 7 = 3 failed (HTTP 500)
+
+
+def types_capture_v(spark: SparkSession, base: str) -> DataFrame:
+    """The site's types response: one JSON object keyed by type, keys in type_key order."""
+    t = types_v(spark, base)
+    entry = F.struct(F.col("type_key").alias("k"), F.struct("slug", "name", "rest_base").alias("v"))
+    per_site = t.groupBy("site").agg(F.sort_array(F.collect_list(entry)).alias("es"))
+    return per_site.select(
+        "site", F.lit("types").alias("request_key"), F.lit("types").alias("kind"), F.lit(200).alias("status"),
+        F.to_json(F.map_from_entries(F.transform("es", lambda e: F.struct(e["k"], e["v"])))).alias("body"),
+    )
+
+
+def collections_v(spark: SparkSession, base: str, per_page: int = 100, max_pages: int = 2) -> DataFrame:
+    """Captured collection pages: newest-first pages 1..max_pages of every post type.
+
+    Headers carry X-WP-Total / X-WP-TotalPages as the server would send them. Pages are
+    built from a capped, salted top-N (never a whole type in one task) and each body
+    holds at most ``per_page`` posts.
+    """
+    from leafcast.operators.index import newest_per_type
+    from leafcast.options import Options
+
+    opts = Options(posts_per_page=per_page, max_pages_per_type=max_pages)
+    posts = posts_v(spark, base)
+    counts = posts.groupBy("site", "type_key").agg(F.count(F.lit(1)).alias("total"))
+    top = newest_per_type(posts, opts)
+    terms = terms_v(spark, base, ids=top.select("id"))
+    item = F.struct(
+        F.col("pos").alias("_pos"), "id", F.struct(F.col("title_raw").alias("rendered")).alias("title"),
+        "link", "date", "date_gmt", "parent", "author",
+        F.struct(F.col("terms").alias("wp:term")).alias("_embedded"),
+    )
+    pages = top.join(terms, "id", "left").groupBy("site", "type_key", "page").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    body = F.to_json(F.transform("items", lambda i: i.dropFields("_pos")))
+    broken = (F.col("type_key") == BROKEN_PAGE[0]) & (F.col("page") == BROKEN_PAGE[1])
+    missing = (F.col("type_key") == MISSING_PAGE[0]) & (F.col("page") == MISSING_PAGE[1])
+    j = pages.where(~missing).join(counts, ["site", "type_key"], "inner")
+    total_pages = F.ceil(F.col("total") / F.lit(per_page)).cast("int")
+    headers = F.concat(
+        F.lit("HTTP/1.1 200 OK" + CRLF + "X-WP-Total: "), F.col("total").cast("string"),
+        F.lit(CRLF + "X-WP-TotalPages: "), total_pages.cast("string"), F.lit(CRLF),
+    )
+    return j.select(
+        "site", F.concat(F.col("type_key"), F.lit("|"), F.col("page").cast("string")).alias("request_key"),
+        F.lit("collection").alias("kind"), "type_key", "page", F.lit(200).alias("status"),
+        headers.alias("headers_raw"),
+        F.when(broken, F.lit('[{"id": 1, "title": ')).otherwise(body).alias("body"),
+        F.lit("").alias("error"),
+    )
+
+
+def user_chunks_v(spark: SparkSession, base: str) -> DataFrame:
+    """Captured user lookups in chunks of 100 ids; some chunks failed; ids % 10 = 0 repeat in the next chunk."""
+    u = users_v(spark, base)
+    chunk = (F.col("id") / 100).cast("long")
+    first = u.select("site", chunk.alias("chunk"), "id", "name", "description")
+    again = u.where(F.col("id") % 10 == 0).select(
+        "site", (chunk + 1).alias("chunk"), "id", F.concat(F.col("name"), F.lit(" (2)")).alias("name"), "description"
+    )
+    allu = first.unionByName(again)
+    grouped = allu.groupBy("site", "chunk").agg(
+        F.sort_array(F.collect_list(F.struct("id", "name", "description"))).alias("us")
+    )
+    failed = F.col("chunk") % FAILED_USER_CHUNK_MOD[0] == FAILED_USER_CHUNK_MOD[1]
+    return grouped.select(
+        "site", "chunk", F.concat(F.lit("users|"), F.col("chunk").cast("string")).alias("request_key"),
+        F.when(failed, F.lit(500)).otherwise(F.lit(200)).alias("status"),
+        F.to_json("us").alias("body"), F.lit("").alias("error"),
+    )
+
+
+def full_posts_capture_v(spark: SparkSession, base: str) -> DataFrame:
+    """Captured single-post responses (``?_embed=author,wp:term``) for orders that have a page.
+
+    The post's content is the page's fragment; its author is the customer. Some fetches
+    failed (page_id % 23 = 0: 404) and some bodies are the JSON ``null`` (page_id % 29 = 0).
+    """
+    posts = posts_v(spark, base)
+    frags = fragments_v(spark, base).withColumnRenamed("page_id", "id")
+    cust = read_table(spark, base, "customer", "c_custkey", "c_name").select(
+        F.col("c_custkey").alias("author"), F.col("c_name").alias("author_name")
+    )
+    j = posts.join(frags, "id", "inner")
+    terms = terms_v(spark, base, ids=j.select("id"))
+    j = j.join(terms, "id", "left").join(cust, "author", "left")
+    post = F.struct(
+        "id", F.struct(F.col("title_raw").alias("rendered")).alias("title"), "link", "date", "date_gmt", "parent", "author",
+        F.struct(F.col("fragment").alias("rendered")).alias("content"),
+        F.struct(
+            F.col("terms").alias("wp:term"),
+            F.when(F.col("author_name").isNotNull(),
+                   F.array(F.struct(F.col("author").alias("id"), F.col("author_name").alias("name")))).alias("author"),
+        ).alias("_embedded"),
+    )
+    k = F.col("id")
+    status = F.when(k % 23 == 0, F.lit(404)).otherwise(F.lit(200))
+    return j.select(
+        "site", "rest_base", "id",
+        F.concat(F.lit("post|"), F.coalesce(F.col("rest_base"), F.lit("")), F.lit("|"), k.cast("string")).alias("request_key"),
+        F.lit("post").alias("kind"), status.alias("status"),
+        F.when(k % 29 == 0, F.lit("null")).otherwise(F.to_json(post)).alias("body"),
+        F.lit("").alias("error"),
+    )
+
+
+def root_captures_v(spark: SparkSession, base: str) -> DataFrame:
+    """Captured site roots (``/wp-json/?_fields=name``), one per page origin."""
+    pages = read_table(spark, base, "pages", "url")
+    origin = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
+    o = pages.select(origin.alias("site")).distinct()
+    n = F.length("site") % 3
+    return o.select(
+        "site", F.lit("root").alias("kind"),
+        F.when(n == 0, F.lit(503)).otherwise(F.lit(200)).alias("status"),
+        F.when(n == 1, F.lit('{"name": ""}'))
+        .otherwise(F.concat(F.lit('{"name": "Site '), F.upper(F.regexp_extract("site", r"://([^.]*)", 1)), F.lit('"}')))
+        .alias("body"),
+        F.lit("").alias("error"),
+    )
