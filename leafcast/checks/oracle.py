@@ -511,3 +511,80 @@ QUERIES.update({
         FROM (SELECT id, taxonomy, min(pos) AS first_pos, list(name ORDER BY pos) AS names FROM fetched_terms GROUP BY id, taxonomy)""",
     "terms_flat": "SELECT id, array_to_string(terms_flat, '|') AS terms FROM flat",
 })
+
+
+# ---- batch 3: HTML jobs and documents --------------------------------------------------------
+
+def count_of(e: str, pattern: str) -> str:
+    return f"CAST(len(regexp_extract_all(coalesce({e}, ''), '{pattern}')) AS BIGINT)"
+
+
+VIEWS["page_bodies"] = r"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', '', 'g'),
+       '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g') AS body
+FROM pages"""
+
+VIEWS["full_ok"] = f"""
+SELECT p.id, p.rest_base, p.title_raw, p.link, p.date_gmt, coalesce(c.c_name, '') AS author_name, f.fragment
+FROM posts_v p JOIN fragments_v f ON f.page_id = p.id LEFT JOIN customer c ON c.c_custkey = p.author
+WHERE p.id % 23 <> 0 AND p.id % 29 <> 0"""
+
+VIEWS["full_terms"] = """
+SELECT id, pos, t.taxonomy AS taxonomy, t.name AS name FROM (
+  SELECT id, unnest(list_concat(g1, g2)) AS t, generate_subscripts(list_concat(g1, g2), 1) AS pos
+  FROM terms_v WHERE id IN (SELECT id FROM full_ok))
+WHERE coalesce(t.taxonomy, '') <> '' AND t.name IS NOT NULL"""
+
+VIEWS["full_tax"] = f"""
+SELECT id, count(*) AS n_tax,
+       string_agg(taxonomy || ': ' || CASE WHEN len(names) = 0 THEN '[]' ELSE '[ ' ||
+         array_to_string(list_transform(names, lambda x: {yaml_scalar('x')}), ', ') || ' ]' END, chr(10) ORDER BY first_pos) AS lines
+FROM (SELECT id, taxonomy, min(pos) AS first_pos, list(name ORDER BY pos) AS names FROM full_terms GROUP BY id, taxonomy)
+GROUP BY id"""
+
+VIEWS["front_matter_v"] = f"""
+SELECT o.id, '---' || chr(10) || 'post_id: ' || CAST(o.id AS VARCHAR) || chr(10)
+  || 'date: ' || {yaml_scalar(fmt_datetime('o.date_gmt'))} || chr(10)
+  || 'title: ' || {yaml_scalar(title_flat('o.title_raw'))} || chr(10)
+  || coalesce(t.lines || chr(10), '')
+  || CASE WHEN o.author_name <> '' THEN 'author: ' || {yaml_scalar('o.author_name')} || chr(10) ELSE '' END
+  || 'permalink: ' || {yaml_scalar("coalesce(o.link, '')")} || chr(10) || '---' || chr(10) || chr(10) AS front_matter,
+  CAST(6 + coalesce(t.n_tax, 0) + CASE WHEN o.author_name <> '' THEN 1 ELSE 0 END AS BIGINT) AS fm_lines,
+  '# ' || {title_flat('o.title_raw')} AS heading
+FROM full_ok o LEFT JOIN full_tax t ON o.id = t.id"""
+
+VIEWS["full_errors"] = """
+SELECT p.id AS src_id, CASE WHEN p.id % 23 = 0 THEN 'post_fetch_failed' ELSE 'post_parse_failed' END AS error
+FROM posts_v p JOIN fragments_v f ON f.page_id = p.id WHERE p.id % 23 = 0 OR p.id % 29 = 0"""
+
+_ESC_TITLE = html_escape(title_flat("o.title_raw"))
+
+QUERIES.update({
+    "slim_pages": f"""
+        SELECT page_id, true AS ok,
+          {count_of('body', '(?i)<[a-z][a-z0-9]*\\b[^>]*\\shref\\s*=[^>]*>')} AS n_href,
+          {count_of('body', '(?i)<h1\\b[^>]*>')} AS n_h1,
+          {count_of('body', '(?i)<p\\b[^>]*>')} AS n_p,
+          CAST(0 AS BIGINT) AS n_dropped_left, true AS non_empty
+        FROM page_bodies""",
+    "markdown_pages": f"""
+        SELECT page_id, true AS ok, '# Page ' || CAST(page_id AS VARCHAR) AS first_line,
+          1 + {count_of('fragment', '(?i)<h[1-6]\\b[^>]*>')} AS n_headings,
+          {count_of('fragment', '(?i)<table\\b[^>]*>')} AS n_tables,
+          2 * {count_of('fragment', '(?i)<pre\\b[^>]*>')} AS n_fence_lines,
+          {count_of('fragment', '(?i)<form\\b[^>]*>')} AS n_forms,
+          CAST(0 AS BIGINT) AS n_scripts
+        FROM fragments_v""",
+    "front_matter": "SELECT id, front_matter FROM front_matter_v",
+    "markdown_documents": """
+        SELECT id, CAST(NULL AS VARCHAR) AS error, fm_lines, heading FROM front_matter_v
+        UNION ALL SELECT NULL, error, NULL, NULL FROM full_errors""",
+    "html_documents": f"""
+        SELECT o.id, CAST(NULL AS VARCHAR) AS error, {_ESC_TITLE} AS title_tag, {_ESC_TITLE} AS h1, true AS closed FROM full_ok o
+        UNION ALL SELECT NULL, error, NULL, NULL, NULL FROM full_errors""",
+    "raw_documents": """
+        SELECT id, CAST(NULL AS VARCHAR) AS error,
+          md5(regexp_replace(regexp_replace(fragment, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g')) AS md5
+        FROM full_ok
+        UNION ALL SELECT NULL, error, NULL FROM full_errors""",
+})

@@ -1,14 +1,98 @@
-"""HTML corpus jobs (H1-H9 slim, M1-M14 Markdown): native passes around one Arrow tree pass."""
+"""HTML corpus jobs (H1-H9 slim, M1-M14 Markdown) as DataFrame -> DataFrame functions.
+
+Each job is: native column passes -> one Arrow batch pass (``mapInArrow``) holding the
+per-document tree work of ``htmltree`` -> native column passes. The JVM -> Python
+boundary is crossed once per partition; rows that fail to convert keep their key and
+carry an ``error`` text instead of failing the job. Input partitions are the scan's
+byte-sized splits, so no shuffle is added; ``partitions`` re-spreads rows by a hash of
+the key when the input comes out of a skewed upstream stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-# Fixed value: document wrapper tags removed as text before parsing (H2).
+from leafcast.functions import text, urls
+from leafcast.options import Options
+
+# Document wrapper tags removed as text before parsing (H2), and the
+# Markdown link targets that get a readable form (C9): '](' + http(s) URL + first ')'.
 WRAPPER_TAGS = r"(?i)</?(?:html|body)\b[^>]*>"
+LINK_TOKENS = r"\]\(https?://[^\n]+?\)|\]|[^\]]+"
 
 
 def strip_wrappers(html: Column) -> Column:
     """H2: remove <html>/<body> start and end tags so every body's content survives."""
     return F.regexp_replace(html, WRAPPER_TAGS, "")
+
+
+def prettify_link_targets(md: Column) -> Column:
+    """Every Markdown link target ``](http...)`` shown decoded, with a Unicode host."""
+    tokens = F.regexp_extract_all(F.coalesce(md, F.lit("")), F.lit(LINK_TOKENS), 0)
+    pretty = F.transform(
+        tokens,
+        lambda t: F.when(
+            t.startswith("]("),
+            F.concat(F.lit("]("), urls.prettify_url(F.substring(t, 3, 1 << 30).substr(F.lit(1), F.length(t) - 3)), F.lit(")")),
+        ).otherwise(t),
+    )
+    return F.when(md.isNotNull(), F.array_join(pretty, ""))
+
+
+def _arrow_job(df: DataFrame, keys: Sequence[str], source: str, fn: Callable[[str], str], partitions: int | None) -> DataFrame:
+    key_fields = [df.schema[k] for k in keys]
+    out_schema = StructType(key_fields + [StructField("out", StringType()), StructField("error", StringType())])
+    if partitions:
+        df = df.repartition(partitions, F.xxhash64(*keys))
+    df = df.select(*keys, F.col(source).alias("_src"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            outs, errs = [], []
+            for doc in b.column(b.schema.get_field_index("_src")).to_pylist():
+                try:
+                    outs.append(fn(doc))
+                    errs.append(None)
+                except Exception as e:  # one bad document must not fail the partition
+                    outs.append(None)
+                    errs.append(f"{type(e).__name__}: {e}"[:500])
+            cols = [b.column(b.schema.get_field_index(k)) for k in keys]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(outs, pa.string()), pa.array(errs, pa.string())],
+                                             names=list(keys) + ["out", "error"])
+
+    return df.mapInArrow(run, out_schema)
+
+
+def slim_job(df: DataFrame, keys: Sequence[str], html_col: str, opts: Options, partitions: int | None = None) -> DataFrame:
+    """H1: slim every document (H2 natively, H3-H9 in the tree pass). Blank input is returned as is."""
+    from leafcast.operators.htmltree import slim
+
+    keep, drop, unwrap = tuple(opts.keep_attrs), tuple(opts.drop_tags), tuple(opts.unwrap_tags)
+    pre = df.withColumn("_html", F.when(F.col(html_col).isNull() | (text.php_trim(F.col(html_col)) == ""), F.col(html_col))
+                        .otherwise(strip_wrappers(F.col(html_col))))
+    return _arrow_job(pre, keys, "_html", lambda h: slim(h, keep, drop, unwrap), partitions).withColumnRenamed("out", "slim")
+
+
+def markdown_job(df: DataFrame, keys: Sequence[str], html_col: str, title_col: str, opts: Options,
+                 partitions: int | None = None) -> DataFrame:
+    """M1: C4 -> C8 -> tree render -> C9 -> '# title' + body -> C5.
+
+    ``title_col`` holds the raw title (C3 is applied here). Returns keys, ``title``,
+    ``markdown`` and ``error``.
+    """
+    from leafcast.operators.htmltree import markdown
+
+    form = opts.form_mode
+    pre = df.select(
+        *keys, text.title_flat(F.col(title_col)).alias("title"),
+        text.icon_replace(text.lf_normalize(F.coalesce(F.col(html_col), F.lit("")))).alias("_html"),
+    )
+    rendered = _arrow_job(pre, list(keys) + ["title"], "_html", lambda h: markdown(h, form), partitions)
+    body = prettify_link_targets(F.col("out"))
+    doc = text.collapse_blank_lines(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), body))
+    return rendered.select(*keys, "title", F.when(F.col("error").isNull(), doc).alias("markdown"), "error")

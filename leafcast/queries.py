@@ -426,3 +426,94 @@ def q_terms_flat(spark, base):
     """Fetched posts' terms as one list."""
     f = site_index.fetched_posts(spark, base, OPTS)
     return f.select("id", F.array_join("terms_flat", "|").alias("terms"))
+
+
+# ---- HTML corpus jobs and documents ----------------------------------------------------------
+
+from leafcast.operators import documents as docs  # noqa: E402
+from leafcast.operators import html_jobs  # noqa: E402
+
+
+def _count(c, pattern: str):
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(pattern)).cast("long")
+
+
+@query("slim_pages")
+def q_slim_pages(spark, base):
+    """H1 over whole pages; counts checked against counts taken from the raw HTML."""
+    p = read_table(spark, base, "pages", "page_id", "html")
+    s = html_jobs.slim_job(p, ["page_id"], "html", OPTS)
+    out = F.col("slim")
+    return s.select(
+        "page_id", F.col("error").isNull().alias("ok"),
+        _count(out, r'rel="noreferrer"').alias("n_href"),
+        _count(out, r"<h1>").alias("n_h1"),
+        _count(out, r"<p>").alias("n_p"),
+        _count(out, r"<script|<style| class=| style=").alias("n_dropped_left"),
+        (F.length(out) > 0).alias("non_empty"),
+    )
+
+
+def _frag_titled(spark, base):
+    f = adapters.fragments_v(spark, base)
+    return f.withColumn("title_raw", F.concat(F.lit("  Page\n"), F.col("page_id").cast("string")))
+
+
+@query("markdown_pages")
+def q_markdown_pages(spark, base):
+    """M1 over post fragments; structure counts checked against the source HTML."""
+    md = html_jobs.markdown_job(_frag_titled(spark, base), ["page_id"], "fragment", "title_raw", OPTS)
+    m = F.col("markdown")
+    return md.select(
+        "page_id", F.col("error").isNull().alias("ok"),
+        F.split(m, "\n").getItem(0).alias("first_line"),
+        _count(m, r"(?m)^#{1,6} ").alias("n_headings"),
+        _count(m, r"<table>").alias("n_tables"),
+        _count(m, r"(?m)^```").alias("n_fence_lines"),
+        _count(m, r"<form>|<form />").alias("n_forms"),
+        _count(m, r"<script|<style").alias("n_scripts"),
+    )
+
+
+def _full_posts(spark, base):
+    return cap.full_post(adapters.full_posts_capture_v(spark, base))
+
+
+@query("front_matter")
+def q_front_matter(spark, base):
+    """YAML front matter of every fetched full post."""
+    p = _full_posts(spark, base).where(F.col("error") == "")
+    fm = docs.front_matter(F.col("id"), F.col("date_gmt"), text.title_flat(F.col("title_raw")), F.col("terms"),
+                           F.col("author_name"), F.col("link"), OPTS)
+    return p.select("id", fm.alias("front_matter"))
+
+
+@query("markdown_documents")
+def q_markdown_documents(spark, base):
+    """Markdown documents (front matter + body); error rows for failed fetches."""
+    d = docs.build_documents(_full_posts(spark, base), OPTS, "markdown")
+    lines = F.split(F.col("body"), "\n")
+    fm_lines = F.array_position(F.slice(lines, 2, 1 << 20), F.lit("---")) + 1
+    return d.select(
+        "id", "error", fm_lines.alias("fm_lines"),
+        F.when(F.col("body").isNotNull(), F.element_at(lines, (fm_lines + 2).cast("int"))).alias("heading"),
+    )
+
+
+@query("html_documents")
+def q_html_documents(spark, base):
+    """HTML documents: escaped title in <title> and <h1>, slim body, closed document."""
+    d = docs.build_documents(_full_posts(spark, base), OPTS, "html")
+    b = F.col("body")
+    return d.select(
+        "id", "error", F.regexp_extract(b, r"<title>(.*?)</title>", 1).alias("title_tag"),
+        F.regexp_extract(b, r"<h1>(.*?)</h1>", 1).alias("h1"),
+        b.endswith("</body></html>").alias("closed"),
+    )
+
+
+@query("raw_documents")
+def q_raw_documents(spark, base):
+    """M13 through the document job: raw bodies (digest) and error rows."""
+    d = docs.build_documents(_full_posts(spark, base), OPTS, "raw")
+    return d.select("id", "error", F.md5("body").alias("md5"))
