@@ -154,7 +154,7 @@ SELECT l.site, l.type_key, l.slug, l.rank, l.id, l.title, l.parent_title,
 FROM listed l LEFT JOIN authors_v a ON l.site = a.site AND l.author_id = a.author_id"""
 
 VIEWS["type_summary_v"] = """
-SELECT t.site, t.type_key, t.slug, t.name AS type_name,
+SELECT t.site, t.type_pos, t.type_key, t.slug, t.name AS type_name,
        CAST(c.total_found AS BIGINT) AS total_found,
        CAST(greatest(ceil(c.total_found / 100), 1) AS BIGINT) AS total_pages,
        greatest(ceil(c.total_found / 100), 1) > 2 AS truncated,
@@ -588,3 +588,17 @@ QUERIES.update({
         FROM full_ok
         UNION ALL SELECT NULL, error, NULL FROM full_errors""",
 })
+
+
+VIEWS["index_lines_v"] = f"""
+SELECT site, CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS pos, '# example.com' AS text FROM types_kept GROUP BY site
+UNION ALL SELECT site, 0, 1, 'View original: ' || site FROM types_kept GROUP BY site
+UNION ALL SELECT site, 1, 0, '{'## Authors'}' FROM authors_v GROUP BY site
+UNION ALL SELECT site, 1, rank * 2 - 1, '### ' || name FROM authors_v
+UNION ALL SELECT site, 1, rank * 2, description FROM authors_v WHERE description <> ''
+UNION ALL SELECT site, type_pos + 2, 0, '## [' || slug || '] ' || type_name FROM type_summary_v
+UNION ALL SELECT site, type_pos + 2, 1, note FROM type_summary_v WHERE note <> ''
+UNION ALL SELECT r.site, s.type_pos + 2, r.rank + 1, '- ' || r.line
+  FROM index_rows_v r JOIN type_summary_v s ON r.site = s.site AND r.type_key = s.type_key"""
+
+QUERIES["site_index_lines"] = "SELECT * FROM index_lines_v"

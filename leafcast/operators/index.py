@@ -14,32 +14,33 @@ from pyspark.sql import functions as F
 from leafcast.functions import dates, rules, text, urls
 from leafcast.options import Options
 
-# Number of sub-groups a (site, type) listing is split into before the final top-N.
-# Bounds the final window's input at LISTING_SALT x cap rows per type, whatever the
-# size of the type, so one hot type never lands whole in one task.
-LISTING_SALT = 256
+# Fan-out of the first top-N level. Rows are grouped by the partition that holds them
+# (spark_partition_id, stable when a task is retried), so the map-side partial top-N
+# keeps at most ``cap`` rows per (site, type) per input partition, and the second level
+# sees at most LISTING_FANOUT x cap rows per type however large the type is.
+LISTING_FANOUT = 64
 
 
 def newest_per_type(posts: DataFrame, opts: Options) -> DataFrame:
     """K1 + K5: newest ``per_page x max_pages`` posts per (site, type) by (date desc, id desc).
 
-    Two-level top-N: first per (site, type, salt) sub-group, then per (site, type) over
-    the survivors. Both windows are filtered on their row number, which Catalyst turns
-    into a ``WindowGroupLimit`` (a partial top-N before each shuffle).
+    Two-level top-N: per (site, type, partition group), then per (site, type) over the
+    survivors. Both windows are filtered on their row number, which Catalyst plans as a
+    ``WindowGroupLimit`` on each side of the shuffle (partial top-N before it).
     Adds ``page`` (1-based) and ``pos`` (0-based), the fetch position of each post.
     """
     cap = opts.listing_cap
     order = [F.col("date").desc_nulls_last(), F.col("id").desc_nulls_last()]
-    salted = posts.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(LISTING_SALT)))
-    w1 = Window.partitionBy("site", "type_key", "_salt").orderBy(*order)
-    stage1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= cap)
+    grouped = posts.withColumn("_grp", F.spark_partition_id() % LISTING_FANOUT)
+    w1 = Window.partitionBy("site", "type_key", "_grp").orderBy(*order)
+    stage1 = grouped.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= cap)
     w2 = Window.partitionBy("site", "type_key").orderBy(*order)
     rn = F.col("_rn")
     return (
         stage1.withColumn("_rn", F.row_number().over(w2)).where(rn <= cap)
         .withColumn("page", ((rn - 1) / opts.per_page).cast("int") + 1)
         .withColumn("pos", ((rn - 1) % opts.per_page).cast("int"))
-        .drop("_salt", "_r1", "_rn")
+        .drop("_grp", "_r1", "_rn")
     )
 
 

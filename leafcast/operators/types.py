@@ -92,6 +92,6 @@ def type_summary(types: DataFrame, totals: DataFrame, listed: DataFrame) -> Data
     listed_n = F.coalesce(F.col("listed"), F.lit(0)).cast("long")
     note = F.when(F.col("truncated"), F.format_string(SHOWING_LATEST, listed_n, F.col("total_found"))).otherwise(F.lit(""))
     return j.select(
-        "site", "type_key", "slug", F.col("name").alias("type_name"), "total_found", "total_pages", "truncated",
+        "site", "type_pos", "type_key", "slug", F.col("name").alias("type_name"), "total_found", "total_pages", "truncated",
         listed_n.alias("listed"), note.alias("note"),
     )

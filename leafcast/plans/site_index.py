@@ -16,6 +16,7 @@ from leafcast.functions import terms as fterms
 from leafcast.operators import index as idx
 from leafcast.operators import types as ty
 from leafcast.options import Options
+from leafcast.session import materialize
 from leafcast.sources import adapters
 
 
@@ -34,10 +35,14 @@ def kept_types(spark: SparkSession, base: str, opts: Options) -> DataFrame:
 
 
 def fetched_posts(spark: SparkSession, base: str, opts: Options) -> DataFrame:
-    """K1 over the kept types, then the embedded terms of the fetched posts only."""
+    """K1 over the kept types, then the embedded terms of the fetched posts only.
+
+    The capped listing is bounded (cap x types per site), so it is materialized once
+    in the checkpoint folder; terms, parents, authors and the summary all read it.
+    """
     types = kept_types(spark, base, opts).select("site", "type_key", "type_pos")
     posts = adapters.posts_v(spark, base).join(types, ["site", "type_key"], "inner")
-    capped = idx.newest_per_type(posts, opts)
+    capped = materialize(idx.newest_per_type(posts, opts))
     terms = adapters.terms_v(spark, base, ids=capped.select("id"))
     return capped.join(terms, "id", "left").withColumn("terms_flat", fterms.terms_flat(F.col("terms")))
 

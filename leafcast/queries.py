@@ -517,3 +517,12 @@ def q_raw_documents(spark, base):
     """M13 through the document job: raw bodies (digest) and error rows."""
     d = docs.build_documents(_full_posts(spark, base), OPTS, "raw")
     return d.select("id", "error", F.md5("body").alias("md5"))
+
+
+@query("site_index_lines")
+def q_site_index_lines(spark, base):
+    """The site index as ordered text lines (site, section, pos, text)."""
+    from leafcast.operators import report
+
+    si = site_index.from_tables(spark, base, OPTS)
+    return report.index_lines(report.site_names(si.types), si.authors, si.summary, si.rows)

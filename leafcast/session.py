@@ -53,3 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Write a bounded intermediate result to the checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor does not recompute the upstream stages) and lets
+    several downstream branches share one computation.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
