@@ -3,9 +3,8 @@
 Each job is: native column passes -> one Arrow batch pass (``mapInArrow``) holding the
 per-document tree work of ``htmltree`` -> native column passes. The JVM -> Python
 boundary is crossed once per partition; rows that fail to convert keep their key and
-carry an ``error`` text instead of failing the job. Input partitions are the scan's
-byte-sized splits, so no shuffle is added; ``partitions`` re-spreads rows by a hash of
-the key when the input comes out of a skewed upstream stage.
+carry an ``error`` text instead of failing the job. Before the tree pass rows are spread by
+key hash (``spread``) so every task gets a bounded, even share of documents.
 """
 
 from __future__ import annotations
@@ -44,12 +43,25 @@ def prettify_link_targets(md: Column) -> Column:
     return F.when(md.isNotNull(), F.array_join(pretty, ""))
 
 
+def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Hash rows by key over an explicit number of partitions before CPU-heavy per-row work.
+
+    The cost of the tree pass is per document, not per byte, so its parallelism is
+    decoupled from the file layout: one large row group, or a small upstream result
+    that adaptive execution would coalesce, must not become a single Python worker.
+    The count is explicit (``spark.sql.shuffle.partitions`` by default), so it is not
+    coalesced away; ``partitions=0`` keeps the input partitioning (no shuffle).
+    """
+    if partitions == 0:
+        return df
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*keys))
+
+
 def _arrow_job(df: DataFrame, keys: Sequence[str], source: str, fn: Callable[[str], str], partitions: int | None) -> DataFrame:
     key_fields = [df.schema[k] for k in keys]
     out_schema = StructType(key_fields + [StructField("out", StringType()), StructField("error", StringType())])
-    if partitions:
-        df = df.repartition(partitions, F.xxhash64(*keys))
-    df = df.select(*keys, F.col(source).alias("_src"))
+    df = spread(df.select(*keys, F.col(source).alias("_src")), keys, partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -42,7 +42,7 @@ def fetched_posts(spark: SparkSession, base: str, opts: Options) -> DataFrame:
     """
     types = kept_types(spark, base, opts).select("site", "type_key", "type_pos")
     posts = adapters.posts_v(spark, base).join(types, ["site", "type_key"], "inner")
-    capped = materialize(idx.newest_per_type(posts, opts))
+    capped = materialize(idx.newest_per_type(posts, opts), "capped_listing")
     terms = adapters.terms_v(spark, base, ids=capped.select("id"))
     return capped.join(terms, "id", "left").withColumn("terms_flat", fterms.terms_flat(F.col("terms")))
 

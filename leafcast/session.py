@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,11 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def materialize(df):
-    """Write a bounded intermediate result to the checkpoint folder and read it back.
+def materialize(df, name: str = "stage"):
+    """Write a bounded intermediate result as a table in the checkpoint folder and read it back.
 
-    Cuts the lineage (a lost executor does not recompute the upstream stages) and lets
-    several downstream branches share one computation.
+    Cuts the lineage (a lost executor does not recompute the upstream stages), runs the
+    upstream plan once, and lets several downstream branches share the result. The
+    folder is the shared one the cluster names in ``spark.checkpoint.dir``.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/leafcast/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

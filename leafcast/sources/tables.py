@@ -1,16 +1,38 @@
-"""Reading the input tables: one parquet dataset per table name under a folder."""
+"""Reading the input tables: one parquet dataset per table name under a folder.
+
+Tables are read with their declared schemas, so opening a table runs no
+schema-inference job (no footer reads over every file of a large dataset), and every
+query states the columns it needs so only those reach the reader.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
+# Schemas of the input tables (timestamps carry no zone).
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+TABLES = tuple(SCHEMAS)
 
 
 def read_table(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame:
-    """Parquet scan with an explicit projection, so only needed columns reach the reader."""
-    df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    """Parquet scan with the declared schema and an explicit projection."""
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{base.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
