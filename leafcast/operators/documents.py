@@ -40,8 +40,9 @@ def front_matter(post_id: Column, date_gmt: Column, title: Column, terms: Column
 
 def source_hash(posts: DataFrame, mode: str) -> Column:
     """Content hash of everything a document is made from (drives incremental runs)."""
-    parts = [F.lit(mode)] + [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in
-                             ("title_raw", "content", "link", "date_gmt", "author_name")]
+    cols = [c for c in ("request_key", "title_raw", "content", "link", "date_gmt", "author_name", "error")
+            if c in posts.columns]
+    parts = [F.lit(mode)] + [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]
     parts.append(F.coalesce(F.to_json(F.col("terms")), F.lit("")))
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
@@ -94,14 +95,25 @@ def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options,
 
     src = posts.withColumn("src_hash", source_hash(posts, mode))
     try:
-        done = spark.read.parquet(out_path).select(*DOC_KEYS, "src_hash").distinct()
-        todo = src.join(done, DOC_KEYS + ["src_hash"], "left_anti")
+        done = spark.read.parquet(out_path).select(*[F.col(k).alias("_d_" + k) for k in DOC_KEYS + ["src_hash"]])
     except AnalysisException:
+        done = None
+    if done is not None:
+        # Null-safe: keys of failed fetches and types without rest_base hold NULLs.
+        cond = None
+        for k in DOC_KEYS + ["src_hash"]:
+            c = F.col(k).eqNullSafe(F.col("_d_" + k))
+            cond = c if cond is None else cond & c
+        todo = src.join(done.distinct(), cond, "left_anti")
+    else:
         todo = src
     return build_documents(todo.drop("src_hash"), opts, mode).withColumn("run_id", F.lit(run_id))
 
 
 def latest_documents(spark, out_path: str) -> DataFrame:
+    """Newest version of each document key (keys may hold NULLs, so a window, not a join)."""
+    from pyspark.sql import Window
+
     docs = spark.read.parquet(out_path)
-    newest = docs.groupBy(*DOC_KEYS).agg(F.max("run_id").alias("run_id"))
-    return docs.join(newest, DOC_KEYS + ["run_id"], "left_semi")
+    w = Window.partitionBy(*DOC_KEYS).orderBy(F.col("run_id").desc())
+    return docs.withColumn("_v", F.row_number().over(w)).where(F.col("_v") == 1).drop("_v")
