@@ -602,3 +602,15 @@ UNION ALL SELECT r.site, s.type_pos + 2, r.rank + 1, '- ' || r.line
   FROM index_rows_v r JOIN type_summary_v s ON r.site = s.site AND r.type_key = s.type_key"""
 
 QUERIES["site_index_lines"] = "SELECT * FROM index_lines_v"
+
+QUERIES.update({
+    "api_path_parts": f"""
+        SELECT page_id, CAST(i - 1 AS BIGINT) AS link_pos, {tag_attr('tag', 'href')} AS href,
+          regexp_extract({tag_attr('tag', 'href')}, {_API}, 1) AS rest_base,
+          coalesce(TRY_CAST(regexp_extract({tag_attr('tag', 'href')}, {_API}, 2) AS BIGINT), 0) AS id
+        FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<link\\b[^>]*>')) AS tag,
+                     generate_subscripts(regexp_extract_all(html, '(?i)<link\\b[^>]*>'), 1) AS i FROM alt_pages_v)""",
+    "date_label": f"""
+        SELECT id, d AS "full", split_part(d, ' ', 1) AS date_only, '' AS "none" FROM (
+          SELECT o_orderkey AS id, {fmt_datetime("strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')")} AS d FROM orders)""",
+})

@@ -19,6 +19,8 @@ from leafcast.options import Options
 # keeps at most ``cap`` rows per (site, type) per input partition, and the second level
 # sees at most LISTING_FANOUT x cap rows per type however large the type is.
 LISTING_FANOUT = 64
+# Up to this many excluded ids are an IN list (pushed into scans); more become a broadcast anti join.
+MAX_INLINE_IDS = 1000
 
 
 def newest_per_type(posts: DataFrame, opts: Options) -> DataFrame:
@@ -73,7 +75,12 @@ def exclude_posts(posts: DataFrame, opts: Options) -> DataFrame:
     title_rules = rules.compile_rules(opts.exclude_titles, trim=True)
     out = posts.where(~rules.matches_any(F.col("title"), title_rules))
     ids = sorted({int(i) for i in opts.exclude_ids})
-    if ids:
+    if len(ids) > MAX_INLINE_IDS:
+        # A long list becomes a table; its size is the list's, so broadcasting it is safe.
+        spark = posts.sparkSession
+        table = spark.createDataFrame([(i,) for i in ids], "_xid bigint")
+        out = out.join(F.broadcast(table), F.col("id") == F.col("_xid"), "left_anti")
+    elif ids:
         out = out.where(F.col("id").isNull() | ~F.col("id").isin(ids))
     return out
 

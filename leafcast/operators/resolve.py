@@ -46,17 +46,24 @@ def valid_target(rest_base: Column, post_id: Column) -> Column:
 
 
 def resolve_pages(targets: DataFrame, posts: DataFrame) -> DataFrame:
-    """Valid (rest_base, id) targets joined to the posts they name (left: misses kept)."""
+    """Valid (rest_base, id) targets joined to the posts they name (misses kept).
+
+    Invalid targets all share one key ('', 0) -- possibly a large share of the pages --
+    so they never enter the join: only valid targets are joined and the rest are added
+    back, which keeps a hot key out of any single shuffle partition.
+    """
     p = posts.select(
         F.col("site").alias("_psite"), F.col("rest_base").alias("_prb"), F.col("id").alias("_pid"),
         F.col("title").alias("post_title"),
     )
     t = targets.withColumn("valid", valid_target(F.col("rest_base"), F.col("id")))
-    j = t.join(
-        p, (F.col("valid")) & (F.col("site") == F.col("_psite")) & (F.col("rest_base") == F.col("_prb")) & (F.col("id") == F.col("_pid")),
-        "left",
-    )
-    return j.withColumn("resolved", F.col("_pid").isNotNull()).drop("_psite", "_prb", "_pid")
+    joined = t.where(F.col("valid")).join(
+        p, (F.col("site") == F.col("_psite")) & (F.col("rest_base") == F.col("_prb")) & (F.col("id") == F.col("_pid")), "left",
+    ).withColumn("resolved", F.col("_pid").isNotNull()).drop("_psite", "_prb", "_pid")
+    invalid = t.where(~F.col("valid")).withColumns({
+        "post_title": F.lit(None).cast("string"), "resolved": F.lit(False),
+    })
+    return joined.unionByName(invalid)
 
 
 def redirect_once(captures: DataFrame) -> DataFrame:

@@ -526,3 +526,22 @@ def q_site_index_lines(spark, base):
 
     si = site_index.from_tables(spark, base, OPTS)
     return report.index_lines(report.site_names(si.types), si.authors, si.summary, si.rows)
+
+
+@query("api_path_parts")
+def q_api_path_parts(spark, base):
+    """C12 on every <link> of every page: rest_base and id of API-shaped hrefs."""
+    p = adapters.alt_pages_v(spark, base)
+    links = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(resolve.LINK_TAG), 0)).alias("link_pos", "tag"))
+    href = resolve.tag_attr(F.col("tag"), "href")
+    return links.select("page_id", "link_pos", href.alias("href"), urls.api_rest_base(href).alias("rest_base"),
+                        urls.api_post_id(href).alias("id"))
+
+
+@query("date_label")
+def q_date_label(spark, base):
+    """full / date-only / none labels of every order date shown in Asia/Tokyo."""
+    o = read_table(spark, base, "orders", "o_orderkey", "o_orderdate")
+    local = dates.format_datetime(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "Asia/Tokyo")
+    return o.select(F.col("o_orderkey").alias("id"), dates.date_label(local, "full").alias("full"),
+                    dates.date_label(local, "date-only").alias("date_only"), dates.date_label(local, "none").alias("none"))
