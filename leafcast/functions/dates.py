@@ -40,16 +40,24 @@ def parse_gmt(gmt: Column) -> Column:
 
 
 def format_datetime(gmt: Column, zone: str | None) -> Column:
-    """'Y-m-d H:i:s +hh:mm' in the zone, '' for blank or unparseable input."""
+    """'Y-m-d H:i:s +hh:mm' in the zone, '' for blank or unparseable input.
+
+    Written so that the parsed time, the local time and the offset are evaluated
+    unconditionally (a NULL flows through ``concat``): Spark then computes each shared
+    sub-expression once per row instead of once per use.
+    """
     tz = resolve_zone(zone)
     utc = parse_gmt(gmt)
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
     offset = F.timestamp_diff("MINUTE", utc, local)
-    sign = F.when(offset < 0, F.lit("-")).otherwise(F.lit("+"))
-    hh = F.lpad((F.abs(offset) / 60).cast("int").cast("string"), 2, "0")
-    mm = F.lpad((F.abs(offset) % 60).cast("string"), 2, "0")
-    text = F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), sign, hh, F.lit(":"), mm)
-    return F.coalesce(F.when(utc.isNotNull(), text), F.lit(""))
+    minutes = F.abs(offset)
+    text = F.concat(
+        F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" "),
+        F.when(offset < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.lpad((minutes / 60).cast("int").cast("string"), 2, "0"), F.lit(":"),
+        F.lpad((minutes % 60).cast("string"), 2, "0"),
+    )
+    return F.coalesce(text, F.lit(""))
 
 
 def gmt_epoch(gmt: Column) -> Column:

@@ -19,6 +19,8 @@ _TEST_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Documents can be large (a page, a whole article); keep Arrow batches small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
