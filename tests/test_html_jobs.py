@@ -99,7 +99,7 @@ def test_markdown_inline_rules(spark):
     md = _md(spark, "<p><strong>b</strong> <em>i</em> <code>c</code> a*b<br>next</p><ul><li>one</li><li>two<ul><li>n</li></ul></li></ul>"
                     "<ol><li>x</li></ol><blockquote><p>q</p></blockquote><hr><img src='s.png' alt='A'>")
     assert "**b** *i* `c` a\\*b\nnext" in md
-    assert "- one\n- two\n  - n" in md and "1. x" in md and "> q" in md and "---" in md and "![A](s.png)" in md
+    assert "- one\n- two\n  - n" in md and "1. x" in md and "> q" in md and "- - - - - -" in md and "![A](s.png)" in md
 
 
 def test_bad_document_is_an_error_row_not_a_failure(spark, monkeypatch):
