@@ -34,13 +34,13 @@ def kept_types(spark: SparkSession, base: str, opts: Options) -> DataFrame:
     return ty.with_type_pos(ty.filter_types(adapters.types_v(spark, base), opts))
 
 
-def fetched_posts(spark: SparkSession, base: str, opts: Options) -> DataFrame:
+def fetched_posts(spark: SparkSession, base: str, opts: Options, types: DataFrame | None = None) -> DataFrame:
     """K1 over the kept types, then the embedded terms of the fetched posts only.
 
     The capped listing is bounded (cap x types per site), so it is materialized once
     in the checkpoint folder; terms, parents, authors and the summary all read it.
     """
-    types = kept_types(spark, base, opts).select("site", "type_key", "type_pos")
+    types = (types if types is not None else kept_types(spark, base, opts)).select("site", "type_key", "type_pos")
     posts = adapters.posts_v(spark, base).join(types, ["site", "type_key"], "inner")
     capped = materialize(idx.newest_per_type(posts, opts), "capped_listing")
     terms = adapters.terms_v(spark, base, ids=capped.select("id"))
@@ -48,13 +48,16 @@ def fetched_posts(spark: SparkSession, base: str, opts: Options) -> DataFrame:
 
 
 def from_tables(spark: SparkSession, base: str, opts: Options, agent: bool = False) -> SiteIndex:
-    types = kept_types(spark, base, opts)
-    fetched = fetched_posts(spark, base, opts)
-    listed = idx.listing(fetched, opts, capped=True)
-    authors = idx.authors(listed, adapters.users_v(spark, base))
+    """The whole site index. Every intermediate result here is bounded by the listing cap
+    (or by the number of types), so each is materialized once and shared by all branches
+    (rows, authors, summary, index lines) instead of being recomputed per branch."""
+    types = materialize(kept_types(spark, base, opts), "types")
+    fetched = fetched_posts(spark, base, opts, types)
+    listed = materialize(idx.listing(fetched, opts, capped=True), "listing")
+    authors = materialize(idx.authors(listed, adapters.users_v(spark, base)), "authors")
     rows = idx.index_rows(listed, authors, agent=agent)
     totals = adapters_totals(spark, base, opts)
-    summary = ty.type_summary(types, totals, listed)
+    summary = materialize(ty.type_summary(types, totals, listed), "type_summary")
     return SiteIndex(types, fetched, listed, authors, rows, summary)
 
 

@@ -79,7 +79,8 @@ def test_stream_equals_batch(spark):
     captures.where(F.col("id") % 2 == 0).write.parquet(os.path.join(src, "part=0"))
     captures.where(F.col("id") % 2 == 1).write.parquet(os.path.join(src, "part=1"))
     opts = Options(timezone="UTC")
-    q = start_document_stream(spark, src, out, opts, name="docs_test", max_files_per_trigger=1)
+    # A stable name resumes a stream; each test run is a new stream.
+    q = start_document_stream(spark, src, out, opts, name=f"docs_test_{os.path.basename(root)}", max_files_per_trigger=1)
     q.awaitTermination(300)
     streamed = spark.read.parquet(out).select("id", "body", "error")
     batch = docs.build_documents(cap.full_post(captures), opts).select("id", "body", "error")

@@ -36,9 +36,11 @@ def test_no_cartesian_products(spark, key):
 def test_scans_read_only_needed_columns(spark):
     p = plan_text(entry.queries()["normalize_url"](spark, SMALL))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in p  # html is never read
-    p = plan_text(entry.queries()["index_rows"](spark, SMALL))
-    assert "o_totalprice" not in p
+    p = plan_text(entry.queries()["terms_flat"](spark, SMALL))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int>" in p
     assert re.search(r"PushedFilters: \[[^\]]*IsNotNull\(l_orderkey\)", p)
+    p = plan_text(entry.queries()["newest_per_type"](spark, SMALL))
+    assert "o_totalprice" not in p and "o_orderpriority" in p
 
 
 def test_html_job_crosses_into_python_once(spark):
