@@ -50,38 +50,37 @@ def source_hash(posts: DataFrame, mode: str) -> Column:
 def build_documents(posts: DataFrame, opts: Options, mode: str = "markdown", partitions: int | None = None) -> DataFrame:
     """Entry B for a corpus of full posts (``leafcast.sources.captures.full_post`` shape).
 
-    Output: site, rest_base, id, mode, title, body, error, src_hash. Rows whose fetch or
-    parse failed keep their key and error and have no body; converter failures too.
+    Output: site, rest_base, id, mode, title, body, error, src_hash. One pass over the
+    input: rows whose fetch or parse failed go through the same plan with no content
+    (the tree pass skips them) and keep their error; converter failures are errors too.
     """
-    src = posts.withColumn("src_hash", source_hash(posts, mode))
-    ok = src.where(F.coalesce(F.col("error"), F.lit("")) == "")
-    failed = src.where(F.coalesce(F.col("error"), F.lit("")) != "").select(
-        *DOC_KEYS, F.lit(mode).alias("mode"), text.title_flat(F.col("title_raw")).alias("title"),
-        F.lit(None).cast("string").alias("body"), "error", "src_hash",
-    )
-    content = text.lf_normalize(F.coalesce(F.col("content"), F.lit("")))
+    upstream = F.nullif(F.coalesce(F.col("error"), F.lit("")), F.lit(""))
+    src = posts.withColumn("src_hash", source_hash(posts, mode)).withColumn("_up_err", upstream)
+    content = F.when(F.col("_up_err").isNull(), text.lf_normalize(F.coalesce(F.col("content"), F.lit(""))))
     title = text.title_flat(F.col("title_raw"))
     if mode == "raw":
-        done = ok.select(*DOC_KEYS, F.lit(mode).alias("mode"), title.alias("title"),
-                         text.collapse_blank_lines(content).alias("body"), F.lit(None).cast("string").alias("error"), "src_hash")
+        out = src.select(*DOC_KEYS, "src_hash", "_up_err", title.alias("title"),
+                         text.collapse_blank_lines(content).alias("body"), F.lit(None).cast("string").alias("_job_err"))
     elif mode == "html":
-        prepared = ok.select(*DOC_KEYS, "src_hash", title.alias("title"), text.collapse_blank_lines(content).alias("_c"))
-        slimmed = html_jobs.slim_job(prepared, DOC_KEYS + ["src_hash", "title"], "_c", opts, partitions)
+        prepared = src.select(*DOC_KEYS, "src_hash", "_up_err", title.alias("title"), text.collapse_blank_lines(content).alias("_c"))
+        slimmed = html_jobs.slim_job(prepared, DOC_KEYS + ["src_hash", "_up_err", "title"], "_c", opts, partitions)
         esc = text.html_escape(F.col("title"))
         body = F.concat(F.lit(HTML_HEAD), F.lit("<title>"), esc, F.lit("</title></head><body><h1>"), esc, F.lit("</h1>"),
                         F.coalesce(F.col("slim"), F.lit("")), F.lit("</body></html>"))
-        done = slimmed.select(*DOC_KEYS, F.lit(mode).alias("mode"), "title",
-                              F.when(F.col("error").isNull(), body).alias("body"), "error", "src_hash")
+        out = slimmed.select(*DOC_KEYS, "src_hash", "_up_err", "title", body.alias("body"), F.col("error").alias("_job_err"))
     else:
-        meta = ok.select(*DOC_KEYS, "src_hash", "title_raw", "content", "date_gmt", "terms", "author_name", "link")
-        md = html_jobs.markdown_job(meta, DOC_KEYS + ["src_hash", "date_gmt", "terms", "author_name", "link"],
-                                    "content", "title_raw", opts, partitions)
+        meta = src.select(*DOC_KEYS, "src_hash", "_up_err", "title_raw", content.alias("_c"), "date_gmt", "terms",
+                          "author_name", "link")
+        md = html_jobs.markdown_job(meta, DOC_KEYS + ["src_hash", "_up_err", "date_gmt", "terms", "author_name", "link"],
+                                    "_c", "title_raw", opts, partitions)
         fm = front_matter(F.col("id"), F.col("date_gmt"), F.col("title"), F.col("terms"), F.col("author_name"),
                           F.col("link"), opts, F.concat(F.lit(opts.site + "/wp-json/wp/v2/"), F.col("rest_base"), F.lit("/"),
                                                         F.col("id").cast("string"), F.lit("?_embed=author,wp:term")))
-        done = md.select(*DOC_KEYS, F.lit(mode).alias("mode"), "title",
-                         F.when(F.col("error").isNull(), F.concat(fm, F.col("markdown"))).alias("body"), "error", "src_hash")
-    return done.unionByName(failed)
+        out = md.select(*DOC_KEYS, "src_hash", "_up_err", "title", F.concat(fm, F.col("markdown")).alias("body"),
+                        F.col("error").alias("_job_err"))
+    err = F.coalesce(F.col("_up_err"), F.col("_job_err"))
+    return out.select(*DOC_KEYS, F.lit(mode).alias("mode"), "title", F.when(err.isNull(), F.col("body")).alias("body"),
+                      err.alias("error"), "src_hash")
 
 
 def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options, mode: str = "markdown",

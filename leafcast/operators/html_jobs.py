@@ -95,16 +95,17 @@ def markdown_job(df: DataFrame, keys: Sequence[str], html_col: str, title_col: s
     """M1: C4 -> C8 -> tree render -> C9 -> '# title' + body -> C5.
 
     ``title_col`` holds the raw title (C3 is applied here). Returns keys, ``title``,
-    ``markdown`` and ``error``.
+    ``markdown`` and ``error``. A NULL document is skipped (NULL markdown, no error).
     """
     from leafcast.operators.htmltree import markdown
 
     form = opts.form_mode
     pre = df.select(
         *keys, text.title_flat(F.col(title_col)).alias("title"),
-        text.icon_replace(text.lf_normalize(F.coalesce(F.col(html_col), F.lit("")))).alias("_html"),
+        text.icon_replace(text.lf_normalize(F.col(html_col))).alias("_html"),
     )
     rendered = _arrow_job(pre, list(keys) + ["title"], "_html", lambda h: markdown(h, form), partitions)
     body = prettify_link_targets(F.col("out"))
     doc = text.collapse_blank_lines(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), body))
-    return rendered.select(*keys, "title", F.when(F.col("error").isNull(), doc).alias("markdown"), "error")
+    ok = F.col("error").isNull() & F.col("out").isNotNull()
+    return rendered.select(*keys, "title", F.when(ok, doc).alias("markdown"), "error")
