@@ -255,11 +255,12 @@ def collections_v(spark: SparkSession, base: str, per_page: int = 100, max_pages
     """
     from leafcast.operators.index import newest_per_type
     from leafcast.options import Options
+    from leafcast.session import materialize
 
     opts = Options(posts_per_page=per_page, max_pages_per_type=max_pages)
     posts = posts_v(spark, base)
     counts = posts.groupBy("site", "type_key").agg(F.count(F.lit(1)).alias("total"))
-    top = newest_per_type(posts, opts)
+    top = materialize(newest_per_type(posts, opts), "collection_pages")  # bounded: cap x types
     terms = terms_v(spark, base, ids=top.select("id"))
     item = F.struct(
         F.col("pos").alias("_pos"), "id", F.struct(F.col("title_raw").alias("rendered")).alias("title"),
@@ -317,7 +318,8 @@ def full_posts_capture_v(spark: SparkSession, base: str) -> DataFrame:
         F.col("c_custkey").alias("author"), F.col("c_name").alias("author_name")
     )
     j = posts.join(frags, "id", "inner")
-    terms = terms_v(spark, base, ids=j.select("id"))
+    # Posts with content are a subset of the fragment ids: semi-join the line items on those.
+    terms = terms_v(spark, base, ids=frags.select("id"))
     j = j.join(terms, "id", "left").join(cust, "author", "left")
     post = F.struct(
         "id", F.struct(F.col("title_raw").alias("rendered")).alias("title"), "link", "date", "date_gmt", "parent", "author",
