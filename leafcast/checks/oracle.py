@@ -614,3 +614,79 @@ QUERIES.update({
         SELECT id, d AS "full", split_part(d, ' ', 1) AS date_only, '' AS "none" FROM (
           SELECT o_orderkey AS id, {fmt_datetime("strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')")} AS d FROM orders)""",
 })
+
+
+# ---- batch 4: the index over captured responses ---------------------------------------------
+# The captured pages are those the adapter writes: pages 1..min(ceil(total/100), 2) of every
+# type except the missing page (5-LOW, 2); the broken page (3-MEDIUM, 2) parses as empty.
+
+VIEWS["types_c"] = """
+SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY type_key) - 1 AS BIGINT) AS type_pos,
+       type_key, slug, name, rest_base
+FROM types_v"""
+
+VIEWS["types_kept_c"] = r"""
+SELECT * FROM types_c
+WHERE slug IS NOT NULL AND NOT (regexp_matches(slug, '^wp_') OR slug = 'attachment')
+  AND NOT regexp_matches(coalesce(name, ''), '^2-') AND rest_base IS NOT NULL"""
+
+VIEWS["captured_pages_c"] = """
+SELECT t.site, t.type_key, g.page FROM types_v t JOIN type_counts c ON t.site = c.site AND t.type_key = c.type_key,
+  LATERAL (SELECT unnest(generate_series(1, least(CAST(greatest(ceil(c.total / 100), 1) AS BIGINT), 2))) AS page) g
+WHERE NOT (t.type_key = '5-LOW' AND g.page = 2)"""
+
+VIEWS["planned_c"] = """
+SELECT t.site, t.type_key, g.page FROM types_kept_c t JOIN type_counts c ON t.site = c.site AND t.type_key = c.type_key,
+  LATERAL (SELECT unnest(generate_series(1, least(CAST(greatest(ceil(c.total / 100), 1) AS BIGINT), 2))) AS page) g"""
+
+VIEWS["report_c"] = """
+SELECT t.site, t.type_key, t.name, CAST(200 AS BIGINT) AS status,
+  CASE WHEN m.page IS NULL THEN 'readable' ELSE 'fatal' END AS class,
+  CASE WHEN m.page IS NULL THEN '' ELSE 'slug: ' || t.type_key || ', page ' || CAST(m.page AS VARCHAR) || ', not captured' END AS error
+FROM types_kept_c t LEFT JOIN (
+  SELECT p.site, p.type_key, min(p.page) AS page FROM planned_c p
+  WHERE NOT EXISTS (SELECT 1 FROM captured_pages_c c WHERE c.site = p.site AND c.type_key = p.type_key AND c.page = p.page)
+  GROUP BY p.site, p.type_key) m ON t.site = m.site AND t.type_key = m.type_key"""
+
+VIEWS["fetched_c"] = """
+SELECT r.*, t.type_pos FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY p.site, p.type_key ORDER BY p.date DESC, p.id DESC) AS rn FROM posts_v p) r
+JOIN types_kept_c t ON r.site = t.site AND r.type_key = t.type_key
+JOIN report_c x ON x.site = r.site AND x.type_key = r.type_key AND x.class = 'readable'
+WHERE r.rn <= 200 AND NOT (r.type_key = '3-MEDIUM' AND r.rn > 100)"""
+
+VIEWS["users_c"] = """
+SELECT site, id, CASE WHEN id % 10 = 0 AND (id // 100 + 1) % 7 <> 3 THEN name || ' (2)' ELSE name END AS name, description
+FROM users_v WHERE (id // 100) % 7 <> 3 OR (id % 10 = 0 AND (id // 100 + 1) % 7 <> 3)"""
+
+
+def _captured_copy(names: list[str], renames: dict[str, str]) -> None:
+    """Copies of listing views that read the captured inputs (view references renamed)."""
+    import re as _re
+
+    for n in names:
+        body = VIEWS[n]
+        for old, new in renames.items():
+            body = _re.sub(rf"\b{old}\b", new, body)
+        VIEWS[n + "_c"] = body
+
+
+_CHAIN = ["fetched_terms", "terms_flat_v", "flat", "parented", "listed", "author_latest_v", "authors_v", "index_rows_v"]
+_captured_copy(_CHAIN, {**{n: n + "_c" for n in _CHAIN}, "fetched": "fetched_c", "users_v": "users_c"})
+
+VIEWS["type_summary_c"] = """
+SELECT t.site, t.type_pos, t.type_key, t.slug, t.name AS type_name,
+       CAST(c.total AS BIGINT) AS total_found, CAST(greatest(ceil(c.total / 100), 1) AS BIGINT) AS total_pages,
+       greatest(ceil(c.total / 100), 1) > 2 AS truncated, CAST(coalesce(n.listed, 0) AS BIGINT) AS listed,
+       CASE WHEN greatest(ceil(c.total / 100), 1) > 2 THEN 'Showing the latest ' || CAST(coalesce(n.listed, 0) AS VARCHAR)
+            || ' of ' || CAST(c.total AS VARCHAR) || ' items.' ELSE '' END AS note
+FROM types_kept_c t JOIN report_c x ON x.site = t.site AND x.type_key = t.type_key AND x.class = 'readable'
+LEFT JOIN type_counts c ON t.site = c.site AND t.type_key = c.type_key
+LEFT JOIN (SELECT site, type_key, count(*) AS listed FROM listed_c GROUP BY site, type_key) n
+  ON t.site = n.site AND t.type_key = n.type_key"""
+
+QUERIES.update({
+    "captured_index_rows": "SELECT * FROM index_rows_v_c",
+    "captured_type_report": "SELECT * FROM report_c",
+    "captured_type_summary": "SELECT * FROM type_summary_c",
+})

@@ -69,3 +69,56 @@ def adapters_totals(spark: SparkSession, base: str, opts: Options) -> DataFrame:
         "site", "type_key", F.col("total_found").cast("int").alias("total_found"), pages.alias("total_pages"),
         (pages > F.lit(int(opts.max_pages_per_type))).alias("truncated"),
     )
+
+
+@dataclass
+class CapturedIndex:
+    index: SiteIndex
+    types: DataFrame       # per kept type: class (readable / unreadable / fatal), error
+    errors: DataFrame      # fatal fetch failures (the reference aborts; here they are rows)
+
+
+def from_captures(spark: SparkSession, types_capture: DataFrame, collections: DataFrame, user_chunks: DataFrame,
+                  opts: Options) -> CapturedIndex:
+    """Entry A over captured responses: S1 -> F1-F4 -> F10/G2 on first pages -> P2 pages
+    -> S2 -> listing -> S3/J2 authors -> summary.
+
+    ``collections`` holds collection captures keyed ``type_key|page`` with ``type_key``
+    and ``page`` columns. A type whose first page answered 401/404 is unreadable (listed
+    by name); any other failed first page, or a failed / missing planned page, makes the
+    type fatal: it is left out of the index and reported in ``errors``.
+    """
+    from leafcast.operators import types as ty
+    from leafcast.plans import requests as rq
+    from leafcast.sources import captures as cap
+
+    types = materialize(ty.filter_types(ty.parse_type_map(types_capture), opts), "captured_types")
+    first = types.join(collections.where(F.col("page") == 1).drop("site_name"), ["site", "type_key"], "left")
+    readability = ty.type_readability(first.select("site", "type_key", "name", "status", "error"))
+    totals = ty.type_totals(first, opts)
+    readable = readability.where(F.col("class") == "readable").select("site", "type_key")
+    planned = rq.next_pages(types, totals, readable, opts).select("site", "type_key", "page", "request_key")
+    later = cap.keyed_results(planned, collections.select("request_key", "status", "headers_raw", "body", "error"))
+    failed_later = later.where(~F.col("success")).groupBy("site", "type_key").agg(
+        F.min_by(F.concat(F.lit("slug: "), F.col("type_key"), F.lit(", page "), F.col("page").cast("string"), F.lit(", "),
+                          F.col("error")), F.col("page")).alias("later_error"))
+    report = materialize(
+        readability.join(failed_later, ["site", "type_key"], "left").select(
+            "site", "type_key", "name", "status",
+            F.when(F.col("later_error").isNotNull(), F.lit("fatal")).otherwise(F.col("class")).alias("class"),
+            F.coalesce(F.nullif(F.col("error"), F.lit("")), F.col("later_error"), F.lit("")).alias("error"),
+        ), "captured_type_report")
+    listable = report.where(F.col("class") == "readable").select("site", "type_key")
+    pages = collections.join(planned.select("site", "type_key", "page").unionByName(
+        types.select("site", "type_key", F.lit(1).alias("page"))), ["site", "type_key", "page"], "left_semi")
+    posts = cap.collection_posts(cap.with_outcome(pages)).join(listable, ["site", "type_key"], "left_semi")
+    posts = posts.join(types.select("site", "type_key", "type_pos", "slug", "rest_base"), ["site", "type_key"], "inner")
+    fetched = materialize(posts.withColumn("terms_flat", fterms.terms_flat(F.col("terms"))), "captured_listing")
+    listed = materialize(idx.listing(fetched, opts, capped=True), "captured_listed")
+    users = cap.users_from_chunks(user_chunks)
+    authors = materialize(idx.authors(listed, users), "captured_authors")
+    rows = idx.index_rows(listed, authors)
+    kept = types.join(listable, ["site", "type_key"], "left_semi")
+    summary = materialize(ty.type_summary(kept, totals, listed), "captured_summary")
+    errors = report.where(F.col("class") == "fatal").select("site", "type_key", "error")
+    return CapturedIndex(SiteIndex(kept, fetched, listed, authors, rows, summary), report, errors)

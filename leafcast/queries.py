@@ -545,3 +545,26 @@ def q_date_label(spark, base):
     local = dates.format_datetime(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "Asia/Tokyo")
     return o.select(F.col("o_orderkey").alias("id"), dates.date_label(local, "full").alias("full"),
                     dates.date_label(local, "date-only").alias("date_only"), dates.date_label(local, "none").alias("none"))
+
+
+def _captured(spark, base):
+    return site_index.from_captures(spark, adapters.types_capture_v(spark, base), adapters.collections_v(spark, base),
+                                    adapters.user_chunks_v(spark, base), OPTS)
+
+
+@query("captured_index_rows")
+def q_captured_index_rows(spark, base):
+    """Entry A end to end over captured responses: index rows of the readable types."""
+    return _captured(spark, base).index.rows
+
+
+@query("captured_type_report")
+def q_captured_type_report(spark, base):
+    """F10 + W5 + fatal page failures of the captured index, one row per kept type."""
+    return _captured(spark, base).types.select("site", "type_key", "name", "status", "class", "error")
+
+
+@query("captured_type_summary")
+def q_captured_type_summary(spark, base):
+    """G2 + G3 from captured headers: totals, listed counts and notes of the listed types."""
+    return _captured(spark, base).index.summary
