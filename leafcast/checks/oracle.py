@@ -690,3 +690,5 @@ QUERIES.update({
     "captured_type_report": "SELECT * FROM report_c",
     "captured_type_summary": "SELECT * FROM type_summary_c",
 })
+
+QUERIES["rejected_urls"] = f"SELECT batch_id, request_key, url FROM batches_v WHERE NOT {same_site('base', 'url')}"

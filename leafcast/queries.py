@@ -568,3 +568,9 @@ def q_captured_type_report(spark, base):
 def q_captured_type_summary(spark, base):
     """G2 + G3 from captured headers: totals, listed counts and notes of the listed types."""
     return _captured(spark, base).index.summary
+
+
+@query("rejected_urls")
+def q_rejected_urls(spark, base):
+    """F9 quarantine: the URLs that make their batch inadmissible (not on the batch's site)."""
+    return resolve.rejected_urls(_batches(spark, base)).select("batch_id", "request_key", "url")
