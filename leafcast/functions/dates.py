@@ -8,8 +8,9 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date_gmt layouts, and the zone used when none or an invalid one is set.
-GMT_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+# Accepted date_gmt layouts (yyyy-MM-ddTHH:mm:ss, yyyy-MM-dd HH:mm:ss, yyyy-MM-dd),
+# and the zone used when none or an invalid one is set.
+GMT_PATTERN = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2}):(\d{2}))?$"
 DEFAULT_ZONE = "UTC"
 # Short ids the JVM accepts as zone names (java.time.ZoneId.SHORT_IDS keys).
 JVM_SHORT_IDS = frozenset(
@@ -34,25 +35,45 @@ def resolve_zone(zone: str | None) -> str:
 
 
 def parse_gmt(gmt: Column) -> Column:
-    """date_gmt text -> TIMESTAMP_NTZ (NULL when blank or unparseable)."""
-    parsed = [F.try_to_timestamp(gmt, F.lit(fmt)) for fmt in GMT_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    """date_gmt text -> TIMESTAMP_NTZ (NULL when blank or unparseable).
+
+    Zone-free: the fields are taken apart with a pattern and rebuilt as a wall time, so
+    neither the session time zone (a DST gap would shift the value) nor the session's
+    ANSI setting (invalid dates such as Feb 30 give NULL) changes the result.
+    """
+    parts = [F.regexp_extract(gmt, GMT_PATTERN, i) for i in range(1, 7)]
+    nums = [F.coalesce(F.nullif(p, F.lit("")), F.lit("0")).try_cast("int") if i >= 3 else F.nullif(p, F.lit("")).try_cast("int")
+            for i, p in enumerate(parts)]
+    return F.try_make_timestamp_ntz(*nums)
+
+
+def ntz_iso(ts: Column) -> Column:
+    """TIMESTAMP_NTZ -> 'yyyy-MM-ddTHH:mm:ss' (whole seconds), without the session time zone."""
+    text = ts.cast("timestamp_ntz").cast("string")
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8))
+
+
+def _minutes_between(a: Column, b: Column) -> Column:
+    """b - a in whole minutes for TIMESTAMP_NTZ values, from calendar parts (no session zone)."""
+    days = F.datediff(b.cast("date"), a.cast("date"))
+    return days * 1440 + (F.hour(b) - F.hour(a)) * 60 + (F.minute(b) - F.minute(a))
 
 
 def format_datetime(gmt: Column, zone: str | None) -> Column:
     """'Y-m-d H:i:s +hh:mm' in the zone, '' for blank or unparseable input.
 
-    Written so that the parsed time, the local time and the offset are evaluated
-    unconditionally (a NULL flows through ``concat``): Spark then computes each shared
-    sub-expression once per row instead of once per use.
+    Every step is independent of the session time zone (``date_format`` and
+    ``timestamp_diff`` are not: they pass through it). Written so that the parsed time,
+    the local time and the offset are evaluated unconditionally (a NULL flows through
+    ``concat``), so Spark computes each shared sub-expression once per row.
     """
     tz = resolve_zone(zone)
     utc = parse_gmt(gmt)
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
-    offset = F.timestamp_diff("MINUTE", utc, local)
+    offset = _minutes_between(utc, local)
     minutes = F.abs(offset)
     text = F.concat(
-        F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" "),
+        F.substring(local.cast("string"), 1, 19), F.lit(" "),
         F.when(offset < 0, F.lit("-")).otherwise(F.lit("+")),
         F.lpad((minutes / 60).cast("int").cast("string"), 2, "0"), F.lit(":"),
         F.lpad((minutes % 60).cast("string"), 2, "0"),
@@ -60,9 +81,12 @@ def format_datetime(gmt: Column, zone: str | None) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def gmt_epoch(gmt: Column) -> Column:
-    """Sort key of a date_gmt: epoch seconds, 0 when blank or unparseable (strtotime false)."""
-    return F.coalesce(F.unix_timestamp(parse_gmt(gmt).cast("timestamp")), F.lit(0).cast("long"))
+EPOCH = "1970-01-01 00:00:00"
+
+
+def gmt_sort_key(gmt: Column) -> Column:
+    """Sort key of a date_gmt: its UTC wall time; blank or unparseable sorts as the epoch."""
+    return F.coalesce(parse_gmt(gmt), F.lit(EPOCH).cast("timestamp_ntz"))
 
 
 def date_label(date_text: Column, show_date: str | None) -> Column:

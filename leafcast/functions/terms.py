@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TERMS_T = "array<array<struct<taxonomy:string,name:string>>>"
+
 
 def _flat_terms(embedded: Column) -> Column:
     flat = F.flatten(F.coalesce(embedded, F.array().cast("array<array<struct<taxonomy:string,name:string>>>")))
@@ -27,3 +29,9 @@ def terms_by_taxonomy(embedded: Column) -> Column:
 def terms_flat(embedded: Column) -> Column:
     """Every term name, grouped by taxonomy as in G4, in one list."""
     return F.flatten(F.transform(terms_by_taxonomy(embedded), lambda g: g["names"]))
+
+
+def term_count(embedded: Column) -> Column:
+    """Number of embedded term records (0 for a post without terms), whatever the ANSI mode."""
+    return F.aggregate(F.coalesce(embedded, F.array().cast(TERMS_T)), F.lit(0),
+                       lambda acc, g: acc + F.coalesce(F.size(F.coalesce(g, F.array().cast(TERMS_T.split("<", 1)[1][:-1]))), F.lit(0)))

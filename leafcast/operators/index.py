@@ -88,7 +88,7 @@ def exclude_posts(posts: DataFrame, opts: Options) -> DataFrame:
 def with_listing_rank(posts: DataFrame) -> DataFrame:
     """K2: rank within (site, type) by date_gmt desc ('' counts as epoch 0), fetch order on ties."""
     w = Window.partitionBy("site", "type_key").orderBy(
-        dates.gmt_epoch(F.col("date_gmt")).desc(), F.col("page").asc(), F.col("pos").asc()
+        dates.gmt_sort_key(F.col("date_gmt")).desc(), F.col("page").asc(), F.col("pos").asc()
     )
     return posts.withColumn("rank", F.row_number().over(w))
 
@@ -142,7 +142,7 @@ def authors(listed: DataFrame, users: DataFrame) -> DataFrame:
         F.col("name") != ""
     )
     w = Window.partitionBy("site").orderBy(
-        dates.gmt_epoch(F.col("latest_gmt")).desc(), F.col("first_seen").asc()
+        dates.gmt_sort_key(F.col("latest_gmt")).desc(), F.col("first_seen").asc()
     )
     return joined.select(
         "site", F.row_number().over(w).alias("rank"), "author_id", "name", "description", "latest_gmt"

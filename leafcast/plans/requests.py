@@ -50,7 +50,7 @@ def user_chunks(author_latest: DataFrame) -> DataFrame:
     ``author_latest`` has ``site, author_id, latest_gmt, first_seen``; the order is
     latest post desc, first seen on ties. Each chunk holds at most 100 ids.
     """
-    w = Window.partitionBy("site").orderBy(dates.gmt_epoch(F.col("latest_gmt")).desc(), F.col("first_seen").asc())
+    w = Window.partitionBy("site").orderBy(dates.gmt_sort_key(F.col("latest_gmt")).desc(), F.col("first_seen").asc())
     ranked = author_latest.withColumn("_rn", F.row_number().over(w))
     chunked = ranked.withColumn("chunk", ((F.col("_rn") - 1) / USERS_PER_REQUEST).cast("int"))
     g = chunked.groupBy("site", "chunk").agg(F.sort_array(F.collect_list(F.struct("_rn", "author_id"))).alias("ids"))

@@ -156,7 +156,7 @@ def q_format_datetime(spark, base):
     e = read_table(spark, base, "events", "event_id", "ts")
     k = F.col("event_id")
     gmt = (F.when(k % 97 == 0, F.lit("")).when(k % 89 == 0, F.lit("not a date"))
-           .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")))
+           .otherwise(dates.ntz_iso(F.col("ts"))))
     return e.select(
         "event_id", gmt.alias("gmt"),
         dates.format_datetime(gmt, "Asia/Tokyo").alias("tokyo"),
@@ -342,7 +342,7 @@ def q_src_posts(spark, base):
     posts = cap.collection_posts(adapters.collections_v(spark, base))
     return posts.select(
         "site", "type_key", "page", "pos", "id", "title_raw", "date_gmt", "parent", "author",
-        F.coalesce(F.size(F.flatten("terms")), F.lit(0)).alias("n_terms"),
+        fterms.term_count(F.col("terms")).alias("n_terms"),
     )
 
 
@@ -357,7 +357,7 @@ def q_src_post_full(spark, base):
     """Full posts from single-post captures; failures as error rows."""
     p = cap.full_post(adapters.full_posts_capture_v(spark, base))
     return p.select("request_key", "error", "id", "title_raw", "author_name", F.length("content").alias("content_len"),
-                    F.coalesce(F.size(F.flatten("terms")), F.lit(0)).alias("n_terms"))
+                    fterms.term_count(F.col("terms")).alias("n_terms"))
 
 
 @query("site_name")
@@ -496,7 +496,7 @@ def q_markdown_documents(spark, base):
     fm_lines = F.array_position(F.slice(lines, 2, 1 << 20), F.lit("---")) + 1
     return d.select(
         "id", "error", fm_lines.alias("fm_lines"),
-        F.when(F.col("body").isNotNull(), F.element_at(lines, (fm_lines + 2).cast("int"))).alias("heading"),
+        F.when(F.col("body").isNotNull(), F.try_element_at(lines, (fm_lines + 2).cast("int"))).alias("heading"),
     )
 
 
@@ -542,7 +542,7 @@ def q_api_path_parts(spark, base):
 def q_date_label(spark, base):
     """full / date-only / none labels of every order date shown in Asia/Tokyo."""
     o = read_table(spark, base, "orders", "o_orderkey", "o_orderdate")
-    local = dates.format_datetime(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "Asia/Tokyo")
+    local = dates.format_datetime(dates.ntz_iso(F.col("o_orderdate")), "Asia/Tokyo")
     return o.select(F.col("o_orderkey").alias("id"), dates.date_label(local, "full").alias("full"),
                     dates.date_label(local, "date-only").alias("date_only"), dates.date_label(local, "none").alias("none"))
 

