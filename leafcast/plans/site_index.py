@@ -16,7 +16,7 @@ from leafcast.functions import terms as fterms
 from leafcast.operators import index as idx
 from leafcast.operators import types as ty
 from leafcast.options import Options
-from leafcast.session import materialize
+from leafcast.session import materialize, reuse
 from leafcast.sources import adapters
 
 
@@ -51,13 +51,13 @@ def from_tables(spark: SparkSession, base: str, opts: Options, agent: bool = Fal
     """The whole site index. Every intermediate result here is bounded by the listing cap
     (or by the number of types), so each is materialized once and shared by all branches
     (rows, authors, summary, index lines) instead of being recomputed per branch."""
-    types = materialize(kept_types(spark, base, opts), "types")
+    types = reuse(kept_types(spark, base, opts))
     fetched = fetched_posts(spark, base, opts, types)
-    listed = materialize(idx.listing(fetched, opts, capped=True), "listing")
-    authors = materialize(idx.authors(listed, adapters.users_v(spark, base)), "authors")
+    listed = reuse(idx.listing(fetched, opts, capped=True))
+    authors = reuse(idx.authors(listed, adapters.users_v(spark, base)))
     rows = idx.index_rows(listed, authors, agent=agent)
     totals = adapters_totals(spark, base, opts)
-    summary = materialize(ty.type_summary(types, totals, listed), "type_summary")
+    summary = reuse(ty.type_summary(types, totals, listed))
     return SiteIndex(types, fetched, listed, authors, rows, summary)
 
 
@@ -92,7 +92,7 @@ def from_captures(spark: SparkSession, types_capture: DataFrame, collections: Da
     from leafcast.plans import requests as rq
     from leafcast.sources import captures as cap
 
-    types = materialize(ty.filter_types(ty.parse_type_map(types_capture), opts), "captured_types")
+    types = reuse(ty.filter_types(ty.parse_type_map(types_capture), opts))
     first = types.join(collections.where(F.col("page") == 1).drop("site_name"), ["site", "type_key"], "left")
     readability = ty.type_readability(first.select("site", "type_key", "name", "status", "error"))
     totals = ty.type_totals(first, opts)
@@ -102,23 +102,23 @@ def from_captures(spark: SparkSession, types_capture: DataFrame, collections: Da
     failed_later = later.where(~F.col("success")).groupBy("site", "type_key").agg(
         F.min_by(F.concat(F.lit("slug: "), F.col("type_key"), F.lit(", page "), F.col("page").cast("string"), F.lit(", "),
                           F.col("error")), F.col("page")).alias("later_error"))
-    report = materialize(
+    report = reuse(
         readability.join(failed_later, ["site", "type_key"], "left").select(
             "site", "type_key", "name", "status",
             F.when(F.col("later_error").isNotNull(), F.lit("fatal")).otherwise(F.col("class")).alias("class"),
             F.coalesce(F.nullif(F.col("error"), F.lit("")), F.col("later_error"), F.lit("")).alias("error"),
-        ), "captured_type_report")
+        ))
     listable = report.where(F.col("class") == "readable").select("site", "type_key")
     pages = collections.join(planned.select("site", "type_key", "page").unionByName(
         types.select("site", "type_key", F.lit(1).alias("page"))), ["site", "type_key", "page"], "left_semi")
     posts = cap.collection_posts(cap.with_outcome(pages)).join(listable, ["site", "type_key"], "left_semi")
     posts = posts.join(types.select("site", "type_key", "type_pos", "slug", "rest_base"), ["site", "type_key"], "inner")
     fetched = materialize(posts.withColumn("terms_flat", fterms.terms_flat(F.col("terms"))), "captured_listing")
-    listed = materialize(idx.listing(fetched, opts, capped=True), "captured_listed")
+    listed = reuse(idx.listing(fetched, opts, capped=True))
     users = cap.users_from_chunks(user_chunks)
-    authors = materialize(idx.authors(listed, users), "captured_authors")
+    authors = reuse(idx.authors(listed, users))
     rows = idx.index_rows(listed, authors)
     kept = types.join(listable, ["site", "type_key"], "left_semi")
-    summary = materialize(ty.type_summary(kept, totals, listed), "captured_summary")
+    summary = reuse(ty.type_summary(kept, totals, listed))
     errors = report.where(F.col("class") == "fatal").select("site", "type_key", "error")
     return CapturedIndex(SiteIndex(kept, fetched, listed, authors, rows, summary), report, errors)

@@ -69,3 +69,12 @@ def materialize(df, name: str = "stage"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/leafcast/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def reuse(df):
+    """Keep a small derived result for reuse across branches of one plan.
+
+    For results derived cheaply from a materialized table: a lost block is recomputed
+    from that table, so no lineage needs cutting and no extra write job is spent.
+    """
+    return df.cache()
