@@ -37,14 +37,19 @@ def resolve_zone(zone: str | None) -> str:
 def parse_gmt(gmt: Column) -> Column:
     """date_gmt text -> TIMESTAMP_NTZ (NULL when blank or unparseable).
 
-    Zone-free: the fields are taken apart with a pattern and rebuilt as a wall time, so
-    neither the session time zone (a DST gap would shift the value) nor the session's
-    ANSI setting (invalid dates such as Feb 30 give NULL) changes the result.
+    Zone-free: the text is checked against the accepted layouts once and the fields are
+    read at fixed positions and rebuilt as a wall time, so neither the session time zone
+    (a DST gap would shift the value) nor the session's ANSI setting (invalid dates such
+    as Feb 30 give NULL) changes the result.
     """
-    parts = [F.regexp_extract(gmt, GMT_PATTERN, i) for i in range(1, 7)]
-    nums = [F.coalesce(F.nullif(p, F.lit("")), F.lit("0")).try_cast("int") if i >= 3 else F.nullif(p, F.lit("")).try_cast("int")
-            for i, p in enumerate(parts)]
-    return F.try_make_timestamp_ntz(*nums)
+    field = lambda start, n: F.substring(gmt, start, n).try_cast("int")
+    timed = F.length(gmt) == 19
+    zero = F.lit(0)
+    return F.when(gmt.rlike(GMT_PATTERN), F.try_make_timestamp_ntz(
+        field(1, 4), field(6, 2), field(9, 2),
+        F.when(timed, field(12, 2)).otherwise(zero), F.when(timed, field(15, 2)).otherwise(zero),
+        F.when(timed, field(18, 2)).otherwise(zero),
+    ))
 
 
 def ntz_iso(ts: Column) -> Column:
@@ -53,24 +58,19 @@ def ntz_iso(ts: Column) -> Column:
     return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8))
 
 
-def _minutes_between(a: Column, b: Column) -> Column:
-    """b - a in whole minutes for TIMESTAMP_NTZ values, from calendar parts (no session zone)."""
-    days = F.datediff(b.cast("date"), a.cast("date"))
-    return days * 1440 + (F.hour(b) - F.hour(a)) * 60 + (F.minute(b) - F.minute(a))
-
-
 def format_datetime(gmt: Column, zone: str | None) -> Column:
     """'Y-m-d H:i:s +hh:mm' in the zone, '' for blank or unparseable input.
 
     Every step is independent of the session time zone (``date_format`` and
-    ``timestamp_diff`` are not: they pass through it). Written so that the parsed time,
-    the local time and the offset are evaluated unconditionally (a NULL flows through
-    ``concat``), so Spark computes each shared sub-expression once per row.
+    ``timestamp_diff`` are not: they pass through it): the offset is the difference of
+    two wall times as an ``INTERVAL MINUTE``, the text is the NTZ string form. The parsed
+    and local times are evaluated unconditionally (a NULL flows through ``concat``), so
+    Spark computes each shared sub-expression once per row.
     """
     tz = resolve_zone(zone)
     utc = parse_gmt(gmt)
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
-    offset = _minutes_between(utc, local)
+    offset = (local - utc).cast("interval minute").cast("bigint")
     minutes = F.abs(offset)
     text = F.concat(
         F.substring(local.cast("string"), 1, 19), F.lit(" "),
