@@ -157,12 +157,15 @@ def q_format_datetime(spark, base):
     k = F.col("event_id")
     gmt = (F.when(k % 97 == 0, F.lit("")).when(k % 89 == 0, F.lit("not a date"))
            .otherwise(dates.ntz_iso(F.col("ts"))))
-    return e.select(
-        "event_id", gmt.alias("gmt"),
-        dates.format_datetime(gmt, "Asia/Tokyo").alias("tokyo"),
-        dates.format_datetime(gmt, "America/St_Johns").alias("st_johns"),
-        dates.format_datetime(gmt, "UTC").alias("utc"),
-        dates.format_datetime(gmt, BAD_ZONE).alias("fallback"),
+    # gmt is projected first: referenced by four formats, it is then computed once per row.
+    g = e.select("event_id", gmt.alias("gmt"))
+    c = F.col("gmt")
+    return g.select(
+        "event_id", "gmt",
+        dates.format_datetime(c, "Asia/Tokyo").alias("tokyo"),
+        dates.format_datetime(c, "America/St_Johns").alias("st_johns"),
+        dates.format_datetime(c, "UTC").alias("utc"),
+        dates.format_datetime(c, BAD_ZONE).alias("fallback"),
     )
 
 
@@ -542,9 +545,10 @@ def q_api_path_parts(spark, base):
 def q_date_label(spark, base):
     """full / date-only / none labels of every order date shown in Asia/Tokyo."""
     o = read_table(spark, base, "orders", "o_orderkey", "o_orderdate")
-    local = dates.format_datetime(dates.ntz_iso(F.col("o_orderdate")), "Asia/Tokyo")
-    return o.select(F.col("o_orderkey").alias("id"), dates.date_label(local, "full").alias("full"),
-                    dates.date_label(local, "date-only").alias("date_only"), dates.date_label(local, "none").alias("none"))
+    local = o.select("o_orderkey", dates.format_datetime(dates.ntz_iso(F.col("o_orderdate")), "Asia/Tokyo").alias("local"))
+    c = F.col("local")
+    return local.select(F.col("o_orderkey").alias("id"), dates.date_label(c, "full").alias("full"),
+                        dates.date_label(c, "date-only").alias("date_only"), dates.date_label(c, "none").alias("none"))
 
 
 def _captured(spark, base):
