@@ -35,17 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     builder = builder.config("spark.driver.memory", os.environ.get("LEAFCAST_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_job_conf(spark)
     return spark
 
 
-def ensure_job_conf(spark: SparkSession) -> None:
-    """Settings every job relies on for correct results (not tuning)."""
-    # date_gmt values are UTC wall times; every conversion states its zone explicitly,
-    # but a fixed session zone keeps string <-> timestamp casts deterministic.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster; a scratch folder only when unset (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
