@@ -39,3 +39,16 @@ def test_scans_read_only_needed_columns(spark):
 def test_html_job_crosses_into_python_once(spark):
     p = plan_text(entry.queries()["markdown_pages"](spark, SMALL))
     assert len(re.findall(r"MapInArrow", p.split("\n\n(1)")[0])) == 1
+
+
+def test_incremental_anti_join_is_an_equi_join(spark, tmp_path):
+    from leafcast.operators import documents as docs
+    from leafcast.options import Options
+    from leafcast.sources import captures as cap
+
+    out = str(tmp_path / "docs")
+    posts = cap.full_post(adapters.full_posts_capture_v(spark, SMALL))
+    docs.incremental_documents(spark, posts, out, Options(), run_id=1).write.parquet(out)
+    p = plan_text(docs.incremental_documents(spark, posts, out, Options(), run_id=2))
+    assert re.search(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) LeftAnti", p)
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
