@@ -121,9 +121,9 @@ FROM parented k
 WHERE NOT (regexp_matches(title, '^Order \\d*7 P$') OR title = 'Order 42 F') AND id NOT IN (7, 44, 1234)"""
 
 VIEWS["users_v"] = f"""
-SELECT {SITE} AS site, c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN ' ' ELSE c_name END AS name,
-       c_mktsegment AS description
-FROM customer WHERE c_custkey % 40 <> 1"""
+SELECT {SITE} AS site, CASE WHEN c_custkey % 40 = 1 THEN c_custkey + 1000000000 ELSE c_custkey END AS id,
+       CASE WHEN c_custkey % 50 = 0 THEN ' ' ELSE c_name END AS name, c_mktsegment AS description
+FROM customer"""
 
 VIEWS["author_latest_v"] = """
 SELECT site, author_id, max(coalesce(date_gmt, '')) AS latest_gmt, min(type_pos * 1000000 + rank) AS first_seen

@@ -103,12 +103,17 @@ def terms_v(spark: SparkSession, base: str, ids: DataFrame | None = None) -> Dat
     )
 
 
+# Users whose id no post uses (so their posts' authors are "not returned by the lookup").
+UNREFERENCED_ID_OFFSET = 1_000_000_000
+
+
 def users_v(spark: SparkSession, base: str) -> DataFrame:
-    """Site users from customers: every 40th (id % 40 = 1) missing, every 50th with a blank name."""
+    """Site users, one per customer: customers with key % 40 = 1 get an id no post refers to
+    (their posts' authors are missing), key % 50 = 0 a blank name."""
     c = read_table(spark, base, "customer", "c_custkey", "c_name", "c_mktsegment")
     k = F.col("c_custkey")
-    return c.where(k % 40 != 1).select(
-        F.lit(SITE).alias("site"), k.alias("id"),
+    return c.select(
+        F.lit(SITE).alias("site"), F.when(k % 40 == 1, k + UNREFERENCED_ID_OFFSET).otherwise(k).alias("id"),
         F.when(k % 50 == 0, F.lit(" ")).otherwise(F.col("c_name")).alias("name"),
         F.col("c_mktsegment").alias("description"),
     )
