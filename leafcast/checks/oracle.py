@@ -573,7 +573,9 @@ QUERIES.update({
           {count_of('fragment', '(?i)<table\\b[^>]*>')} AS n_tables,
           2 * {count_of('fragment', '(?i)<pre\\b[^>]*>')} AS n_fence_lines,
           {count_of('fragment', '(?i)<form\\b[^>]*>')} AS n_forms,
-          CAST(0 AS BIGINT) AS n_scripts
+          CAST(0 AS BIGINT) AS n_scripts,
+          CAST(len(regexp_extract_all(fragment, {_ICON})) AS BIGINT) AS n_icons,
+          {count_of('fragment', '<a [^>]*href="https://xn--wgv71a119e[.]example/a%20b"')} AS n_pretty_links
         FROM fragments_v""",
     "front_matter": "SELECT id, front_matter FROM front_matter_v",
     "markdown_documents": """

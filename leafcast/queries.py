@@ -475,6 +475,8 @@ def q_markdown_pages(spark, base):
         _count(m, r"(?m)^```").alias("n_fence_lines"),
         _count(m, r"<form>|<form />").alias("n_forms"),
         _count(m, r"<script|<style").alias("n_scripts"),
+        _count(m, "■").alias("n_icons"),
+        _count(m, r"\]\(https://日本語\.example/a b\)").alias("n_pretty_links"),
     )
 
 
