@@ -105,3 +105,16 @@ def test_null_document_passes_through(spark):
     df = spark.createDataFrame([(1, "<p>ok</p>"), (2, None)], "k int, html string")
     rows = {r.k: r for r in html_jobs.slim_job(df, ["k"], "html", Options()).collect()}
     assert rows[1].slim == "<p>ok</p>" and rows[2].slim is None and rows[2].error is None
+
+
+def test_converter_failure_is_an_error_row_not_a_job_failure(spark):
+    df = spark.createDataFrame([(1, "ok"), (2, "bad")], "k int, html string")
+
+    def convert(doc):
+        if doc == "bad":
+            raise ValueError("cannot convert")
+        return doc.upper()
+
+    rows = {r.k: r for r in html_jobs._arrow_job(df, ["k"], "html", convert, None).collect()}
+    assert rows[1].out == "OK" and rows[1].error is None
+    assert rows[2].out is None and rows[2].error == "ValueError: cannot convert"
