@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafcast import schemas
 from leafcast.functions import http, rules
 from leafcast.options import Options
 
-TYPE_MAP_SCHEMA = "map<string,struct<slug:string,name:string,rest_base:string>>"
+TYPE_MAP_SCHEMA = schemas.TYPE_MAP_JSON
 
 # Fixed value: the truncation note (the English message of the reference).
 SHOWING_LATEST = "Showing the latest %d of %d items."

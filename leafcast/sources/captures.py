@@ -10,15 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafcast import schemas
 from leafcast.functions import http, urls
 
-TERM_T = "array<array<struct<taxonomy:string,name:string>>>"
-POST_SCHEMA = (
-    "struct<id:bigint,title:struct<rendered:string>,link:string,date:string,date_gmt:string,parent:bigint,"
-    "author:bigint,content:struct<rendered:string>,"
-    "_embedded:struct<`wp:term`:" + TERM_T + ",author:array<struct<id:bigint,name:string>>>>"
-)
-USER_SCHEMA = "struct<id:bigint,name:string,description:string>"
+TERM_T = schemas.TERMS
+POST_SCHEMA = schemas.POST_JSON
+USER_SCHEMA = schemas.USER_JSON
 
 
 def with_outcome(captures: DataFrame) -> DataFrame:

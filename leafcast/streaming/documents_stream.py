@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from leafcast import schemas
 from leafcast.operators.documents import build_documents
 from leafcast.options import Options
 from leafcast.session import checkpoint_dir
 from leafcast.sources.captures import full_post
 
-# Fixed value: columns of a captured single-post response file.
-CAPTURE_SCHEMA = ("site string, rest_base string, id bigint, request_key string, kind string, status int, "
-                  "body string, error string")
+# Columns of a captured single-post response file.
+CAPTURE_SCHEMA = schemas.POST_CAPTURE
 
 
 def start_document_stream(spark: SparkSession, source_dir: str, out_dir: str, opts: Options,

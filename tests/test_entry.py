@@ -13,3 +13,20 @@ def test_entry_runs_with_stable_schema(spark):
     assert df.count() > 0
     assert df.columns == entry.entry(spark).columns
     assert "line" in df.columns and "rank" in df.columns
+
+
+def test_output_schemas(spark):
+    from leafcast import schemas
+    from leafcast.operators import documents as docs
+    from leafcast.options import Options
+    from leafcast.sources import adapters
+    from leafcast.sources import captures as cap
+    from conftest import SMALL
+
+    q = entry.queries()
+    assert tuple(q["index_rows"](spark, SMALL).columns) == schemas.INDEX_ROWS
+    assert tuple(q["type_summary"](spark, SMALL).columns) == schemas.TYPE_SUMMARY
+    assert tuple(q["authors"](spark, SMALL).columns) == schemas.AUTHORS
+    assert tuple(q["site_index_lines"](spark, SMALL).columns) == schemas.INDEX_LINES
+    posts = cap.full_post(adapters.full_posts_capture_v(spark, SMALL))
+    assert tuple(docs.build_documents(posts, Options(), "raw").columns) == schemas.DOCUMENTS
