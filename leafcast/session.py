@@ -39,14 +39,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a scratch folder only when unset (tests)."""
+    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+
+    Only when the session names none (a local test session) is a scratch folder created
+    and recorded in the session conf, so later calls in the session reuse it.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="leafcast-ckpt-", dir=os.environ.get("LEAFCAST_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
     return current
 
 
