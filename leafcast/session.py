@@ -38,17 +38,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_scratch_dir: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (a local test session) is a scratch folder created
-    and recorded in the session conf, so later calls in the session reuse it.
+    Only when the session names none (a local test session) is a scratch folder used,
+    one per process (the setting itself cannot be changed on a running session).
     """
+    global _scratch_dir
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="leafcast-ckpt-", dir=os.environ.get("LEAFCAST_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    return current
+    if current:
+        return current
+    if _scratch_dir is None:
+        _scratch_dir = tempfile.mkdtemp(prefix="leafcast-ckpt-", dir=os.environ.get("LEAFCAST_SCRATCH", "/tmp"))
+    return _scratch_dir
 
 
 def materialize(df, name: str = "stage"):
