@@ -38,11 +38,11 @@ def newest_per_type(posts: DataFrame, opts: Options) -> DataFrame:
     stage1 = grouped.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= cap)
     w2 = Window.partitionBy("site", "type_key").orderBy(*order)
     rn = F.col("_rn")
-    return (
-        stage1.withColumn("_rn", F.row_number().over(w2)).where(rn <= cap)
-        .withColumn("page", ((rn - 1) / opts.per_page).cast("int") + 1)
-        .withColumn("pos", ((rn - 1) % opts.per_page).cast("int"))
-        .drop("_grp", "_r1", "_rn")
+    kept = [c for c in posts.columns if c not in ("page", "pos")]
+    return stage1.withColumn("_rn", F.row_number().over(w2)).where(rn <= cap).select(
+        *kept,
+        (((rn - 1) / opts.per_page).cast("int") + 1).alias("page"),
+        ((rn - 1) % opts.per_page).cast("int").alias("pos"),
     )
 
 
@@ -95,14 +95,14 @@ def with_listing_rank(posts: DataFrame) -> DataFrame:
 
 def with_display_fields(posts: DataFrame, opts: Options) -> DataFrame:
     """Local date, date label, flat term list, link target."""
-    out = (
-        posts.withColumn("date_local", dates.format_datetime(F.col("date_gmt"), opts.zone))
-        .withColumn("date_label", dates.date_label(F.col("date_local"), opts.show_date))
-        .withColumn("link", F.coalesce(F.col("link"), F.lit("")))
-        .withColumn("author_id", F.coalesce(F.col("author").cast("long"), F.lit(0).cast("long")))
-        .withColumn("href", F.concat(urls.raw_url_encode(F.col("rest_base")), F.lit("/"), F.col("id").cast("string")))
-    )
-    return out
+    # date_local is projected first: the label reads it, so it is computed once per row.
+    with_date = posts.withColumn("date_local", dates.format_datetime(F.col("date_gmt"), opts.zone))
+    return with_date.withColumns({
+        "date_label": dates.date_label(F.col("date_local"), opts.show_date),
+        "link": F.coalesce(F.col("link"), F.lit("")),
+        "author_id": F.coalesce(F.col("author").cast("long"), F.lit(0).cast("long")),
+        "href": F.concat(urls.raw_url_encode(F.col("rest_base")), F.lit("/"), F.col("id").cast("string")),
+    })
 
 
 def listing(posts: DataFrame, opts: Options, capped: bool = False) -> DataFrame:
