@@ -28,3 +28,30 @@ def test_newest_per_type_matches_brute_force(spark, posts, parts, per_page, page
         want += [(t, r[2], r[3], n // per_page + 1, n % per_page) for n, r in enumerate(ranked)]
     assert got == sorted(want)
     assert df.select(F.spark_partition_id()).distinct().count() <= parts
+
+
+FETCHED = st.tuples(
+    st.sampled_from(["post", "page"]),
+    st.integers(min_value=1, max_value=12),          # id: duplicates on purpose
+    st.integers(min_value=-1, max_value=13),         # parent: <= 0, present or absent
+    st.sampled_from(["A", "B", " C\t", "", "D  E"]),  # raw titles
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(posts=st.lists(FETCHED, min_size=1, max_size=40))
+def test_parent_titles_match_the_reference_loop(spark, posts):
+    rows = [("s", t, i, p, title, n // 5 + 1, n % 5) for n, (t, i, p, title) in enumerate(posts)]
+    df = spark.createDataFrame(rows, "site string, type_key string, id bigint, parent bigint, title_raw string, "
+                                     "page int, pos int")
+    got = sorted((r.type_key, r.page, r.pos, r.parent_title)
+                 for r in idx.with_parent_titles(idx.with_flat_titles(df)).collect())
+    want = []
+    for t in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == t]                     # fetch order = (page, pos)
+        titles = {}
+        for r in mine:                                            # later entries overwrite earlier ones
+            titles[r[2]] = " ".join(r[4].split())
+        for r in mine:
+            want.append((t, r[5], r[6], titles.get(r[3], "") if r[3] > 0 else ""))
+    assert got == sorted(want)
