@@ -1,3 +1,57 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op1_schema_fingerprint_chats"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), agg AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learnt,
+    sum(length('<turn role="' || role || '">' || chr(10) || regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g') || '</turn>' || chr(10))) AS chars
+  FROM rows GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256,
+  CAST(chars AS BIGINT) AS formatted_chars
+FROM agg
+"""
+
+ORACLE_SQL["op5_positional_index_contamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase, w[i] AS head
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), heads AS (SELECT DISTINCT n, head FROM windows),
+tokens AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM tokens JOIN heads ON word = head AND i + n - 1 <= len(w)
+), hits AS (SELECT doc_id, i, p.n, item_id, p.phrase FROM places p JOIN windows x ON x.phrase = p.phrase AND x.n = p.n),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+), terms AS (SELECT DISTINCT item_id, phrase, n, unnest(string_split(phrase, ' ')) AS term FROM windows),
+df AS (SELECT word AS term, count(*) AS df FROM tokens GROUP BY word),
+ranked AS (SELECT phrase, n, off, t.term, df FROM
+  (SELECT DISTINCT phrase, n, unnest(range(0, n)) AS off, unnest(string_split(phrase, ' ')) AS term FROM windows) t LEFT JOIN df USING (term)),
+anchors AS (
+  SELECT phrase, n, arg_min(term, (df, off, term)) AS term, count(DISTINCT term) AS n_terms FROM ranked
+  GROUP BY phrase, n HAVING min(coalesce(df, 0)) > 0
+), at_anchor AS (SELECT doc_id, i AS at, phrase, n, n_terms FROM tokens JOIN anchors ON word = term),
+near AS (
+  SELECT a.doc_id, a.phrase FROM at_anchor a JOIN (SELECT DISTINCT phrase, term FROM terms) t USING (phrase)
+  JOIN tokens k ON k.doc_id = a.doc_id AND k.word = t.term AND abs(k.i - a.at) <= a.n - 1 + 2
+  GROUP BY a.doc_id, a.phrase, a.at, a.n_terms HAVING count(DISTINCT t.term) = a.n_terms
+), near_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM near JOIN windows USING (phrase) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)
+"""

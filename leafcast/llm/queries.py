@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafcast.llm import chat_format, pii
 from leafcast.llm.bpe_count import token_counts
+from leafcast.llm.decontaminate import find_contamination
 from leafcast.llm.packing import pack_documents
 from leafcast.sources.tables import read_table
 
@@ -23,6 +25,30 @@ def _query(fn):
     return fn
 
 
+#: Text of both turns of the control conversation, number -7.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+@_query
+def op1_schema_fingerprint_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"),
+    )
+    records = rows.union(control).select(F.to_variant_object(F.struct("conv_id", "turn", "role", "text")).alias("record"))
+    turns = chat_format.canonical_turns(records, "record").where(F.col("layout").isNotNull())
+    chats = chat_format.format_chats(turns)
+    back = chats.withColumn("back", chat_format.read_back(F.col("formatted"), F.col("turns")))
+    all_text = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss_text = F.array_join(F.transform(F.filter("back", lambda t: t["loss"]), lambda t: t["text"]), "")
+    return back.select(
+        "conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(all_text, 256).alias("turns_sha256"),
+        F.length(loss_text).cast("bigint").alias("loss_chars"), F.sha2(loss_text, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 @_query
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -37,3 +63,30 @@ def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     counts = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@_query
+def op5_positional_index_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    items = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = find_contamination(docs, items, size=10, slop=2)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "n_near_items",
+    )
+
+
+def _listed(spans):
+    """Spans as kind:start:end, comma-joined."""
+    kinds = F.array(*(F.lit(k) for k in pii.KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind_no"]), s["start"], s["end"])), ",")
+
+
+@_query
+def op10_candidate_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text"))
+    count = lambda no: F.size(F.filter("base_spans", lambda s: s["kind_no"] == no)).cast("bigint")
+    return found.select(
+        "doc_id", *(count(no).alias(f"n_{k}") for no, k in enumerate(pii.KINDS)),
+        F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("spans").alias("spans"),
+    )
