@@ -151,7 +151,7 @@ def _candidates(number: Column, local: Column, spelt: Column) -> Column:
             "before": _char_class(F.right(F.regexp_replace(left, r"\+[0-9]*\x20?$", " "), F.lit(1))).cast("double"),
         }
         row |= {f"near_{k}": flag(F.lower(left).rlike(p)) for k, p in KEYWORDS.items()}
-        return F.struct(h["start"].alias("start"), h["end"].alias("end"), *(row[f].alias(f) for f in FEATURES))
+        return F.struct(h["start"].alias("start"), h["end"].alias("end"), F.xxhash64(value, left, h["start"]).alias("h"), *(row[f].alias(f) for f in FEATURES))
 
     def of(hits: Column, kind: str, keep, is_spelt: int = 0) -> Column:
         no = KINDS.index(kind)
@@ -209,7 +209,6 @@ def fit(found: DataFrame, sample_rows: int = 20_000, precision: float = 0.9, rou
     from pyspark.ml.feature import VectorAssembler
 
     rows = found.select(F.explode("pii_candidates").alias("c")).select("c.*")
-    rows = rows.withColumn("h", F.xxhash64(*FEATURES, "start", "end"))
     sample = materialize(rows.orderBy("h", "start", "end", *FEATURES).limit(sample_rows), "pii-sample")
     train = sample.where(F.pmod("h", F.lit(3)) != 1)
     if train.select("label").distinct().count() < 2:
