@@ -55,3 +55,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
+
+ORACLE_SQL["op3_vertical_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS s FROM d
+), named AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS v, s FROM sets),
+reps AS (SELECT v, any_value(n) AS n, min(doc_id) AS rep, any_value(s) AS s FROM named WHERE n > 0 GROUP BY v),
+grams AS (SELECT v, n, unnest(s) AS g FROM reps),
+common AS (
+  SELECT a.v AS a, b.v AS b, a.n AS na, b.n AS nb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.v < b.v
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (SELECT a, b FROM common WHERE 100 * k >= 90 * (na + nb - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT v AS a, v AS b FROM reps UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+comp AS (SELECT a AS v, min(rep) AS component_id FROM reach JOIN reps ON reps.v = reach.b GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id
+FROM named LEFT JOIN comp USING (v)
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafcast.llm import chat_format, pii
 from leafcast.llm.bpe_count import token_counts
 from leafcast.llm.decontaminate import find_contamination
+from leafcast.llm.jaccard_join import jaccard_components
 from leafcast.llm.packing import pack_documents
 from leafcast.sources.tables import read_table
 
@@ -65,6 +66,12 @@ def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@_query
+def op3_vertical_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard_components(docs, n=3, threshold=(90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 @_query
 def op5_positional_index_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
