@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafcast.llm import chat_format, pii
+from leafcast.llm import chat_format, pii, quality_fm
 from leafcast.llm.bpe_count import token_counts
 from leafcast.llm.decontaminate import find_contamination
 from leafcast.llm.jaccard_join import jaccard_components
@@ -72,6 +72,17 @@ def op3_vertical_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, n=3, threshold=(90, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+@_query
+def op4_factorisation_machine_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality_fm.train(docs, labels.where(~quality_fm.held_out(F.col("doc_id"))), metadata=("n_chars",))
+    scored = quality_fm.score(docs, model, metadata=("n_chars",))
+    return scored.select(
+        "doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @_query
 def op5_positional_index_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
