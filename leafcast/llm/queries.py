@@ -13,6 +13,7 @@ from leafcast.llm.bpe_count import token_counts
 from leafcast.llm.decontaminate import find_contamination
 from leafcast.llm.jaccard_join import jaccard_components
 from leafcast.llm.packing import pack_documents
+from leafcast.llm.winnow import edit_neighbours
 from leafcast.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +60,11 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op6_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_neighbours(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @_query
 def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
