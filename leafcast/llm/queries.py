@@ -12,7 +12,9 @@ from leafcast.llm import chat_format, pii, quality_fm
 from leafcast.llm.bpe_count import token_counts
 from leafcast.llm.decontaminate import find_contamination
 from leafcast.llm.jaccard_join import jaccard_components
+from leafcast.llm.line_dedup import deduplicate
 from leafcast.llm.packing import pack_documents
+from leafcast.llm.sharding import assign_shards
 from leafcast.llm.winnow import edit_neighbours
 from leafcast.sources.tables import read_table
 
@@ -65,6 +67,22 @@ def op6_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_neighbours(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@_query
+def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = deduplicate(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    listed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.withColumn("removed", listed)
+
+
+#: Bytes that a shard of the query may hold.
+SHARD_BYTES = 1 << 20
+
+
+@_query
+def op8_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(read_table(spark, sf_dir, "documents", "doc_id", "text"), SHARD_BYTES)
+
+
 @_query
 def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
