@@ -1,11 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is a written table of postings (term, document, position) of the training texts,
-for every term that the benchmark has, with one closing posting per document that carries
-its word count. Each benchmark window looks up its rarest term first: that list, shifted by
-the term's offset, gives the places where the window could begin; the shifted lists of the
-other terms are then intersected there. Windows with a term that no document has are
-dropped at once. Common terms are read only in documents that the rare ones left over.
+The index is a written table of postings of the training texts: a term with its position and
+the term after it, kept where the benchmark has these two side by side, and one closing posting per
+document that carries its word count. Each benchmark window looks up its rarest pair of neighbours
+first: that list, shifted by the pair's offset, gives the places where the window could begin;
+the shifted lists of the other pairs are then intersected there, in the documents left over only.
+Windows with a pair that no document has are dropped at once.
 
 A window is ``size`` consecutive words of an item, or all of them if it has fewer. Words are
 runs of letters, digits and characters beyond ASCII, with A-Z lowered.
@@ -56,59 +56,88 @@ def benchmark_windows(items: DataFrame, size: int = 10, id_col: str = "item_id",
     return rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("window")).distinct()
 
 
-def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (doc_id, d, h, term, pos) of the given terms, and a closing posting per document at its word count.
-
-    (d, h) names a document: its id and a hash of id and text.
-    """
-    text = docs[text_col].cast("string")
-    doc_id = docs[id_col].cast("bigint")
-    rows = docs.select(
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, d, h, w): (d, h) names a document by its id and a hash of id and text; w are its words and the closing mark."""
+    text, doc_id = docs[text_col].cast("string"), docs[id_col].cast("bigint")
+    return docs.select(
         doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("d"), F.xxhash64(doc_id, text).alias("h"),
         F.concat(words(text), F.array(F.lit(CLOSE))).alias("w"),
     )
-    tokens = rows.select("doc_id", "d", "h", F.posexplode("w").alias("pos", "w")).select("doc_id", "d", "h", lower_az(F.col("w")).alias("term"), "pos")
-    return tokens.join(terms, "term").select("doc_id", "d", "h", "term", "pos")
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _pair_key(term: Column, after: Column) -> Column:
+    return F.xxhash64(term, after)
+
+
+def window_pairs(windows: DataFrame) -> DataFrame:
+    """Rows (window_id, length, off, term, after, pair) of the neighbours in each window of two words or more."""
+    parts = windows.where(F.size("window") > 1).select(
+        "window_id", F.size("window").alias("length"),
+        F.posexplode(F.arrays_zip(F.slice("window", 1, F.size("window") - 1).alias("term"), F.slice("window", 2, F.size("window")).alias("after"))).alias("off", "p"),
+    )
+    return parts.select("window_id", "length", "off", "p.term", "p.after", _pair_key(F.col("p.term"), F.col("p.after")).alias("pair"))
+
+
+def build_index(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings (doc_id, d, h, pos, pair) of the given pairs (term, after, pair), and a null pair at each document's word count."""
+    rows = _documents(docs, id_col, text_col)
+    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))
+    tokens = rows.select("doc_id", "d", "h", F.posexplode(zipped).alias("pos", "t"))
+    tokens = tokens.select("doc_id", "d", "h", "pos", lower_az(F.col("t.a")).alias("a"), lower_az(F.col("t.b")).alias("b"))
+    close = docs.sparkSession.range(1).select(F.lit(CLOSE).alias("term"), F.lit(None).cast("string").alias("after"), F.lit(None).cast("bigint").alias("pair"))
+    wanted = pairs.select("term", "after", "pair").union(close).withColumn("key", _pair_key(F.col("term"), F.col("after")))
+    return tokens.withColumn("key", _pair_key(F.col("a"), F.col("b"))).join(_small(materialize(wanted, "pairs")), "key").where(
+        (F.col("a") == F.col("term")) & F.col("b").eqNullSafe(F.col("after"))
+    ).select("doc_id", "d", "h", "pos", "pair")
+
+
+def single_matches(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Matches of the windows of one word, which have no pair."""
+    one = _small(materialize(windows.where(F.size("window") == 1).select("window_id", F.get("window", F.lit(0)).alias("term")), "single-windows"))
+    rows = _documents(docs, id_col, text_col).select("d", "h", F.posexplode("w").alias("start", "a"))
+    found = rows.select("d", "h", "start", lower_az(F.col("a")).alias("term")).join(one, "term")
+    return found.select("d", "h", "window_id", "start", F.lit(1).alias("length")).distinct()
+
+
+def phrase_matches(index: DataFrame, pairs: DataFrame, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(exact matches: d, h, window_id, start, length; near matches: d, h, window_id, or None without ``slop``).
 
-    ``windows``: (window_id, window). A near match has every term of the window within
-    ``length - 1 + slop`` words of an occurrence of its rarest term, in any order.
+    ``pairs``: the pairs of the windows. A near match has the window's rarest pair of neighbours, and every term
+    of the window, posted with a neighbour of its own, within ``length - 1 + slop`` words of it, in any order.
     """
-    frequency = index.where(F.col("term") != CLOSE).groupBy("term").agg(F.count("*").alias("df"))
-    parts = windows.select("window_id", F.size("window").alias("length"), F.posexplode("window").alias("off", "term"))
-    ranked = materialize(parts.join(frequency, "term", "left"), "window-terms")
+    frequency = index.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.count("*").alias("df"))
+    ranked = materialize(pairs.join(frequency, "pair", "left"), "window-pairs")
     alive = (
         ranked.groupBy("window_id", "length")
-        .agg(F.min(F.struct("df", "off", "term")).alias("rarest"), F.min(F.coalesce("df", F.lit(0))).alias("least"))
-        .where("least > 0").select("window_id", "length", "rarest.off", "rarest.term")
+        .agg(F.min(F.struct("df", "off", "pair")).alias("rarest"), F.min(F.coalesce("df", F.lit(0))).alias("least"))
+        .where("least > 0").select("window_id", "length", "rarest.off", "rarest.pair")
+    )
+    alive = materialize(alive, "alive")
+    places = index.join(_small(alive), "pair").select(
+        "d", "h", "window_id", "length", F.col("pos").alias("at"), (F.col("pos") - F.col("off")).alias("start")
     )
-    anchors = _small(materialize(alive, "anchors"))
-    places = index.join(anchors, "term").select("d", "h", "window_id", "length", F.col("pos").alias("at"), (F.col("pos") - F.col("off")).alias("start"))
     places = materialize(places.distinct(), "places")
     held = _small(materialize(places.select("d", "h").distinct(), "held"))
-    wanted = _small(materialize(ranked.join(alive.select("window_id"), "window_id", "left_semi").select("term").distinct(), "wanted"))
-    local = materialize(
-        index.where(F.col("term") != CLOSE).join(held, ["d", "h"], "left_semi").join(wanted, "term", "left_semi")
-        .select("d", "h", "term", "pos").distinct(),
-        "local-postings",
-    )
-    expected = places.where("start >= 0").join(ranked.select("window_id", "off", "term"), "window_id")
+    local = index.where(F.col("pair").isNotNull()).join(held, ["d", "h"], "left_semi").select("d", "h", "pos", "pair")
+    local = materialize(local.distinct(), "local-postings")
+    expected = places.where("start >= 0").join(ranked.select("window_id", "off", "pair"), "window_id")
     exact = (
-        expected.withColumn("pos", F.col("start") + F.col("off")).join(local, ["d", "h", "pos", "term"])
-        .groupBy("d", "h", "window_id", "start", "length").agg(F.count("*").alias("n")).where("n = length").drop("n")
+        expected.withColumn("pos", F.col("start") + F.col("off")).join(local, ["d", "h", "pos", "pair"])
+        .groupBy("d", "h", "window_id", "start", "length").agg(F.count("*").alias("n")).where("n = length - 1").drop("n")
     )
     if slop is None:
         return exact, None
-    distinct_terms = ranked.groupBy("window_id").agg(F.count_distinct("term").alias("n_terms"))
-    asked = places.join(ranked.select("window_id", "term").distinct(), "window_id")
+    terms = ranked.select("window_id", F.explode(F.array("term", "after")).alias("term")).distinct()
+    n_terms = terms.groupBy("window_id").agg(F.count("*").alias("n_terms"))
+    names = pairs.select("pair", "term", "after").distinct()
+    posted = local.join(names, "pair").select(
+        "d", "h", F.explode(F.array(F.struct("pos", "term"), F.struct((F.col("pos") + 1).alias("pos"), F.col("after").alias("term")))).alias("x")
+    ).select("d", "h", F.col("x.pos").alias("p"), F.col("x.term").alias("term")).distinct()
     near = (
-        asked.join(local.withColumnRenamed("pos", "p"), ["d", "h", "term"])
+        places.join(terms, "window_id").join(posted, ["d", "h", "term"])
         .where(F.abs(F.col("p") - F.col("at")) <= F.col("length") - 1 + slop)
         .groupBy("d", "h", "window_id", "at").agg(F.count_distinct("term").alias("n"))
-        .join(distinct_terms, "window_id").where("n = n_terms").select("d", "h", "window_id").distinct()
+        .join(n_terms, "window_id").where("n = n_terms").select("d", "h", "window_id").distinct()
     )
     return exact, near
 
@@ -120,9 +149,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop:
         benchmark_windows(items, size).select("item_id", "window", F.sha2(F.to_json(F.array("window")), 256).alias("window_id")), "windows"
     )
     windows = of_items.select("window_id", "window").dropDuplicates(["window_id"])
-    terms = materialize(windows.select(F.explode("window").alias("term")).union(docs.sparkSession.range(1).select(F.lit(CLOSE))).distinct(), "terms")
-    index = materialize(build_index(docs, _small(terms), id_col, text_col), "postings")
-    exact, near = phrase_matches(index, windows, slop)
+    pairs = materialize(window_pairs(windows), "benchmark-pairs")
+    index = materialize(build_index(docs, pairs.select("term", "after", "pair").distinct(), id_col, text_col), "postings")
+    exact, near = phrase_matches(index, pairs, slop)
+    if windows.where(F.size("window") == 1).limit(1).count():
+        exact = exact.union(single_matches(docs, windows, id_col, text_col))
     exact = materialize(exact, "matches")
     words_hit = (
         exact.select("d", "h", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos"))
@@ -133,7 +164,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop:
         exact.select("d", "h", "window_id").distinct().join(names, "window_id").groupBy("d", "h")
         .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     )  # at most the benchmark's items
-    rows = index.where(F.col("term") == CLOSE).groupBy("d", "h").agg(F.any_value("doc_id").alias("doc_id"), F.max("pos").alias("n_words"), F.count("*").alias("m"))
+    rows = index.where(F.col("pair").isNull()).groupBy("d", "h").agg(F.any_value("doc_id").alias("doc_id"), F.max("pos").alias("n_words"), F.count("*").alias("m"))
     out = rows.join(words_hit, ["d", "h"], "left").join(items_hit, ["d", "h"], "left")
     columns = [
         "doc_id", "d", "h", F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),

@@ -38,18 +38,25 @@ hit_words AS (
   SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
-), terms AS (SELECT DISTINCT item_id, phrase, n, unnest(string_split(phrase, ' ')) AS term FROM windows),
-df AS (SELECT word AS term, count(*) AS df FROM tokens GROUP BY word),
-ranked AS (SELECT phrase, n, off, t.term, df FROM
-  (SELECT DISTINCT phrase, n, unnest(range(0, n)) AS off, unnest(string_split(phrase, ' ')) AS term FROM windows) t LEFT JOIN df USING (term)),
+), parts AS (
+  SELECT phrase, n, off, ws[off + 1] AS term, ws[off + 2] AS after FROM (
+    SELECT phrase, n, string_split(phrase, ' ') AS ws, unnest(range(0, n - 1)) AS off FROM (SELECT DISTINCT phrase, n FROM windows)) t
+), pairs AS (SELECT DISTINCT term, after FROM parts),
+posted AS (
+  SELECT a.doc_id, a.i, a.word AS term, b.word AS after FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+  JOIN pairs p ON p.term = a.word AND p.after = b.word
+), df AS (SELECT term, after, count(*) AS df FROM posted GROUP BY ALL),
 anchors AS (
-  SELECT phrase, n, arg_min(term, (df, off, term)) AS term, count(DISTINCT term) AS n_terms FROM ranked
+  SELECT phrase, n, arg_min({'term': term, 'after': after}, (df, off)) AS pair FROM parts LEFT JOIN df USING (term, after)
   GROUP BY phrase, n HAVING min(coalesce(df, 0)) > 0
-), at_anchor AS (SELECT doc_id, i AS at, phrase, n, n_terms FROM tokens JOIN anchors ON word = term),
+), at_anchor AS (SELECT doc_id, i AS at, phrase, n FROM posted JOIN anchors ON term = pair.term AND after = pair.after),
+spots AS (SELECT doc_id, i AS p, term FROM posted UNION SELECT doc_id, i + 1, after FROM posted),
+terms AS (SELECT DISTINCT phrase, unnest(string_split(phrase, ' ')) AS term FROM windows),
+n_terms AS (SELECT phrase, count(*) AS n_terms FROM terms GROUP BY phrase),
 near AS (
-  SELECT a.doc_id, a.phrase FROM at_anchor a JOIN (SELECT DISTINCT phrase, term FROM terms) t USING (phrase)
-  JOIN tokens k ON k.doc_id = a.doc_id AND k.word = t.term AND abs(k.i - a.at) <= a.n - 1 + 2
-  GROUP BY a.doc_id, a.phrase, a.at, a.n_terms HAVING count(DISTINCT t.term) = a.n_terms
+  SELECT a.doc_id, a.phrase FROM at_anchor a JOIN terms t USING (phrase) JOIN n_terms x USING (phrase)
+  JOIN spots k ON k.doc_id = a.doc_id AND k.term = t.term AND abs(k.p - a.at) <= a.n - 1 + 2
+  GROUP BY a.doc_id, a.phrase, a.at, x.n_terms HAVING count(DISTINCT t.term) = x.n_terms
 ), near_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM near JOIN windows USING (phrase) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
@@ -76,3 +83,18 @@ comp AS (SELECT a AS v, min(rep) AS component_id FROM reach JOIN reps ON reps.v
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id
 FROM named LEFT JOIN comp USING (v)
 """
+
+ORACLE_SQL["op8_extendible_hash_shards"] = r"""
+WITH r AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS bits FROM documents
+), at_depth AS (SELECT doc_id, n_bytes, bits, depth, bits >> (60 - depth) AS prefix FROM r, range(0, 31) t(depth) WHERE n_bytes <= 1048576),
+sums AS (SELECT depth, prefix, sum(n_bytes) AS shard_bytes FROM at_depth GROUP BY ALL),
+best AS (
+  SELECT doc_id, n_bytes, min_by({'depth': a.depth, 'prefix': a.prefix, 'shard_bytes': shard_bytes}, a.depth) AS b
+  FROM at_depth a JOIN sums s ON a.depth = s.depth AND a.prefix = s.prefix WHERE shard_bytes <= 1048576 GROUP BY doc_id, n_bytes
+)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(b.depth AS INTEGER) AS depth, b.prefix AS prefix, CAST(0 AS BIGINT) AS part,
+  CAST(b.shard_bytes AS BIGINT) AS shard_bytes FROM best
+UNION ALL SELECT doc_id, CAST(n_bytes AS BIGINT), 60, bits, 0, CAST(n_bytes AS BIGINT) FROM r WHERE n_bytes > 1048576
+"""
