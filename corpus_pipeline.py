@@ -1,21 +1,57 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Quality filter, near duplicates, benchmark decontamination, redaction of personal data, packing. The first four
+return the columns of documents; a stage drops or changes only what its operator finds, and leaves other rows,
+null ids, null texts and further columns as they are. An empty table passes through as such.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafcast.llm import pii, quality_fm
+from leafcast.llm.decontaminate import drop_contaminated
+from leafcast.llm.jaccard_join import keep_one
 from leafcast.llm.packing import pack_documents
 from leafcast.session import materialize
 from leafcast.sources.tables import read_table
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores a half or more."""
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality_fm.train(docs, labels.where(~quality_fm.held_out(F.col("doc_id"))), metadata=("n_chars",))
+    return quality_fm.keep_good(docs, model, metadata=("n_chars",), least=0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 on shingles of five words."""
+    return keep_one(docs, n=5, threshold=(8, 10))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without ten consecutive words of a benchmark item."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"), size=10)
 
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced; n_chars follows where a text changed."""
+    return pii.redact(docs, size_col="n_chars")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in sequences of at most 1024."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("personal_data", personal_data), ("packing", packing),
+]
+
+#: The scores of the first and fourth stage are no SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 

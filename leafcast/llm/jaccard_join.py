@@ -310,12 +310,16 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10),
     keys = keys.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"))
     copies = rows.where("root IS NOT NULL").groupBy("doc_id", "h").count().where("count > 1")
     copies = copies.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"))
-    same = docs[id_col].cast("bigint").eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("kept_h"))
+
+    def among(table: DataFrame) -> DataFrame:
+        same = docs[id_col].cast("bigint").eqNullSafe(table["kept_id"]) & (F.xxhash64(docs[text_col].cast("string")) == table["kept_h"])
+        return docs.join(table, same, "left_semi")
+
     both = F.col("kept_id").eqNullSafe(F.col("copy_id")) & (F.col("kept_h") == F.col("copy_h"))
     renamed = copies.select(F.col("kept_id").alias("copy_id"), F.col("kept_h").alias("copy_h"))
     single = _small(materialize(keys.join(renamed, both, "left_anti"), "kept"))
-    kept = docs.join(single, same, "left_semi")
+    kept = among(single)
     repeated = materialize(keys.join(renamed, both, "left_semi"), "kept-copies")
     if repeated.limit(1).count():
-        kept = kept.unionByName(docs.join(_small(repeated), same, "left_semi").dropDuplicates([id_col, text_col]))
+        kept = kept.unionByName(among(_small(repeated)).dropDuplicates([id_col, text_col]))
     return kept

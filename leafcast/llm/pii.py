@@ -13,7 +13,7 @@ become CASE expressions, and each document is read once.
 Cases: a null or empty text has no spans; long texts are searched whole; possessive
 quantifiers keep the patterns linear on long runs; equal rows get equal results each; an
 empty table gives no rows; without candidates of both labels no span is added; a null id
-is carried as null; further columns are kept by ``redact`` and ignored otherwise.
+is carried as null; further columns, whatever their names, are kept by ``redact`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -167,11 +167,11 @@ def _candidates(number: Column, local: Column, spelt: Column) -> Column:
     )
 
 
-def find_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``pii_base`` and ``pii_candidates`` (the latter labelled by overlap with the former)."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+def find_candidates(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a column pii_text) with ``pii_base`` and ``pii_candidates`` (the latter labelled by overlap with the former)."""
+    text = F.coalesce("pii_text", F.lit(""))
     digits = F.rlike(text, F.lit(NUMBER_HINT))
-    out = docs.withColumns({
+    out = rows.withColumns({
         "pii_base": _base(text),
         "pii_number": _hits(_parts(text, NUMBER, digits)),
         "pii_local": _hits(_parts(text, LOCAL_PHONE, digits)),
@@ -267,13 +267,9 @@ def _rank(c: Column) -> Column:
     return F.struct(c["score"], -c["start"], c["end"], -c["kind_no"])
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", sample_rows: int = 20_000, precision: float = 0.9) -> DataFrame:
-    """``docs`` with ``base_spans`` and ``spans``: arrays of (start, kind_no, end) by start and kind, in code points.
-
-    ``spans`` holds the base spans and those the trees add. The input columns come back from a
-    written table, so keep to those needed later.
-    """
-    found = materialize(find_candidates(docs, text_col), "pii-found")
+def _spans(rows: DataFrame, carried: str, sample_rows: int, precision: float) -> DataFrame:
+    """``carried``, ``base_spans`` and ``spans`` of rows with a column pii_text."""
+    found = materialize(find_candidates(rows).select(carried, "pii_base", "pii_candidates"), "pii-found")
     model = fit(found.select("pii_candidates"), sample_rows, precision)
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
     out = found.withColumn("pii_over", none if model is None else _chosen(model))
@@ -284,7 +280,16 @@ def find_pii(docs: DataFrame, text_col: str = "text", sample_rows: int = 20_000,
         )
         out = out.withColumn("pii_over", F.transform(best, lambda c: F.struct(c["start"], c["kind_no"], c["end"])))
     spans = F.array_sort(F.array_distinct(F.concat("pii_base", "pii_over")))
-    return out.withColumn("spans", spans).withColumnRenamed("pii_base", "base_spans").drop("pii_candidates", "pii_over")
+    return out.select(carried, F.col("pii_base").alias("base_spans"), spans.alias("spans"))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, precision: float = 0.9) -> DataFrame:
+    """One row per document: doc_id, ``base_spans`` and ``spans``: arrays of (start, kind_no, end) by start and kind, in code points.
+
+    ``spans`` holds the base spans and those the trees add.
+    """
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("pii_text"))
+    return _spans(rows, "doc_id", sample_rows, precision)
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -306,8 +311,20 @@ def redacted(text: Column, spans: Column) -> Column:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", sample_rows: int = 20_000, precision: float = 0.9) -> DataFrame:
-    """``docs`` with the personal data of its texts replaced; same rows and columns, other texts as they were."""
-    out = find_pii(docs, text_col, sample_rows, precision)
-    text = F.when(F.size("spans") > 0, redacted(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).select(*docs.columns)
+def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None, sample_rows: int = 20_000, precision: float = 0.9) -> DataFrame:
+    """``docs`` with the personal data of its texts replaced; same rows and columns, other texts as they were.
+
+    ``size_col``: a column that gets the code points of the texts that were changed.
+    """
+    whole = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns))
+    rows = docs.select(whole.alias("pii_row"), docs[text_col].cast("string").alias("pii_text"))
+    out = _spans(rows, "pii_row", sample_rows, precision)
+    touched = F.size("spans") > 0
+    out = out.withColumn("pii_text", F.when(touched, redacted(F.col("pii_row")[text_col], F.col("spans"))))
+
+    def column(name: str) -> Column:
+        kept = F.col("pii_row")[name]
+        new = {text_col: F.col("pii_text"), size_col: F.length("pii_text").cast(docs.schema[size_col].dataType) if size_col else None}
+        return (F.when(touched, new[name]).otherwise(kept) if name in new else kept).alias(name)
+
+    return out.select(*(column(c) for c in docs.columns))

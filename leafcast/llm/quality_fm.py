@@ -190,11 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), ma
     """Model of the labelled rows (``labels``: id and 0/1 label); ``max_rows`` bounds the sample collected."""
     kept = labels.select(labels[id_col].cast("bigint").alias("label_id"), (labels[label_col] == 1).cast("double").alias("label"))
     sample = kept.dropna().orderBy(F.xxhash64("label_id"), "label_id", "label").limit(max_rows)
-    joined = docs.join(F.broadcast(sample), docs[id_col].cast("bigint") == F.col("label_id"))
-    rows = joined.select(
-        "label", docs[text_col].cast("string").alias("text"), *(docs[m].cast("double").alias(f"m{i}") for i, m in enumerate(metadata)),
-        F.xxhash64("label_id").alias("h"), docs[text_col].cast("string").alias("t2"),
-    ).orderBy("h", "t2", "label").limit(max_rows).drop("h", "t2")
+    texts = docs.select(
+        docs[id_col].cast("bigint").alias("label_id"), docs[text_col].cast("string").alias("text"),
+        *(docs[m].cast("double").alias(f"m{i}") for i, m in enumerate(metadata)),
+    )
+    joined = texts.join(F.broadcast(sample), "label_id").withColumn("h", F.xxhash64("label_id"))
+    rows = joined.orderBy("h", "text", "label").limit(max_rows).select("label", "text", *(f"m{i}" for i in range(len(metadata))))
     table = rows.mapInArrow(_featurise, "label double, feats array<int>, values array<float>").toArrow()
     feats, values = table["feats"].combine_chunks(), table["values"].combine_chunks()
     rows = [(feats[i].values.to_numpy(), values[i].values.to_numpy()) for i in range(len(table))]

@@ -126,7 +126,7 @@ def _listed(spans):
 
 @_query
 def op10_candidate_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(read_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text"))
+    found = pii.find_pii(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     count = lambda no: F.size(F.filter("base_spans", lambda s: s["kind_no"] == no)).cast("bigint")
     return found.select(
         "doc_id", *(count(no).alias(f"n_{k}") for no, k in enumerate(pii.KINDS)),

@@ -103,7 +103,7 @@ def test_keep_one_of_each_group(spark):
         (3, text, "x", 1), (1, text.upper(), None, 2), (1, text.upper(), None, 2), (5, other, "y", 3), (5, text + " z", "y", 3),
         (None, other, "q", None), (7, None, "e", 1), (7, None, "e", 1), (8, "", "e", 1),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, h string, root int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_h string, kept_id int")
     out = jj.keep_one(df)
     assert out.columns == df.columns
     want = [(1, text.upper(), None, 2), (5, other, "y", 3), (7, None, "e", 1), (7, None, "e", 1), (8, "", "e", 1)]

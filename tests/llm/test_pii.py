@@ -80,7 +80,7 @@ def test_trees_add_formats_that_the_rules_miss(spark):
 
 def test_redact_keeps_rows_columns_and_clean_texts(spark):
     rows = [(1, "mail a@b.cc or 1.2.3.4", "x", 5), (2, None, None, None), (None, "clean", "y", 6), (1, "mail a@b.cc or 1.2.3.4", "x", 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, start string, spans_2 int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, pii_base int")
     out = pii.redact(df)
     assert out.columns == df.columns
     got = sorted(map(tuple, out.collect()), key=str)
