@@ -1,21 +1,26 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments, and every
+A global order of the n-grams, that of their 64-bit hashes, is cut into fragments, and every
 document's set into the segments that fall into them. A pair's overlap is counted in each
 fragment by itself, and the partial overlaps are summed per pair.
 
-Candidates come from the fragments too. Sets of sizes a and b with Jaccard similarity t or more
-differ in at most D = (1-t)/(1+t)*(a+b) n-grams. With k > D fragments, some segments must be
-equal; k leaves room for empty segments, which are not used (a set with more empty segments
+The fragments also tell which documents can have a partner at all. Sets of sizes a and b with Jaccard
+similarity t or more differ in at most D = (1-t)/(1+t)*(a+b) n-grams. With k > D fragments, some segments
+must be equal; k leaves room for empty segments, which are not used (a set with more empty segments
 than that room is also listed under a key for such sets). k depends on the size class of the
 larger set, so a set is listed for its own class and those of its possible larger partners. Small
 sets, whose segments would be too short, are listed by the triples or pairs among their first n-grams, of
-which two similar sets must share one (prefix filter). Both rules are exact: no pair is lost.
+which two similar sets must share one. Documents that are alone in all their lists drop out.
+
+Pairs of the others come from their rarest n-grams: similar sets share one among the first
+of the order by frequency, and where the first one they share stands bounds the overlap. So a copy
+with many n-grams of its own meets nobody. These rules are exact: no pair is lost.
 
 Documents with equal sets are one node from the start. The nodes of a list are first compared
-with one centre, then with another; only nodes that are still in different components are
-compared pair by pair. So a large group of near copies costs about as many comparisons as it has
-members, and components come out as if all pairs had been compared.
+with its centre, the node with the fewest n-grams of its own, then those left over with a centre among
+them; only nodes that are still in different components are compared pair by pair. So a large group of
+near copies costs about as many comparisons as it has members, and components come out as if all pairs
+had been compared.
 
 Cases: a null or empty text, or one without words, has the empty set and is linked with nothing; with
 fewer words than n, the whole sequence is the one n-gram; long texts are taken whole; equal rows
@@ -34,7 +39,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafcast.llm.common import components, lowered, mix, text_chunks, word_hashes
@@ -50,6 +55,7 @@ BROADCAST_ROWS = 2_000_000
 HOT_SAMPLE_ROWS, SAMPLE = 200, 0.02
 
 _U = np.uint64
+_CLASS = _U(127)
 
 
 @dataclass(frozen=True)
@@ -113,48 +119,75 @@ def set_digest(h: np.ndarray) -> int:
         return int(mix(mix(h ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64).reshape(1) + _U(len(h)))[0].astype(np.int64))
 
 
-def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys under which a set of sorted hashes is listed."""
+def signatures(h: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
+    """(class, need, keys) under which a set of sorted hashes is listed: a similar set shares ``need`` of the keys of one class.
+
+    The class is held in the low bits of its keys.
+    """
     n = len(h)
     largest = n * den // num
-    keys: list[np.ndarray] = []
-    if n > 2:
-        for c in size_classes(num, den, 1 << max(4, largest.bit_length())):
-            if c.hi < n or c.lo > largest:
-                continue
-            tag = _U(c.no + 1) << _U(40)
-            with np.errstate(over="ignore"):
-                if c.fragments:
-                    frag = ((h >> _U(32)) * _U(c.fragments)) >> _U(32)
-                    starts = np.flatnonzero(np.append(True, frag[1:] != frag[:-1]))
-                    sums = np.add.reduceat(mix(h ^ _U(0xE7037ED1A0B428DB)), starts)
-                    keys.append(mix(sums + mix(frag[starts] + tag)))
-                    if c.fragments - len(starts) > c.empties:
-                        keys.append(mix(np.full(1, tag, np.uint64)))
-                else:
-                    m = min(c.together, n)
-                    first = h[:n - (-(-num * n // den)) + m]
-                    picks = np.array(list(combinations(range(len(first)), m)))
-                    keys.append(mix(mix(first[picks]).sum(axis=1, dtype=np.uint64) + mix(np.full(1, tag, np.uint64))))
-    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+    out: list[tuple[int, int, np.ndarray]] = []
+    if n <= 2:
+        return out
+    for c in size_classes(num, den, 1 << max(4, largest.bit_length())):
+        if c.hi < n or c.lo > largest:
+            continue
+        tag, need = _U(c.no + 1) << _U(40), 1
+        with np.errstate(over="ignore"):
+            if c.fragments:
+                frag = ((h >> _U(32)) * _U(c.fragments)) >> _U(32)
+                starts = np.flatnonzero(np.append(True, frag[1:] != frag[:-1]))
+                sums = np.add.reduceat(mix(h ^ _U(0xE7037ED1A0B428DB)), starts)
+                keys = mix(sums + mix(frag[starts] + tag))
+                empty = c.fragments - len(starts)
+                differ = (den - num) * (n + min(c.hi, largest)) // (den + num)
+                need = max(1, c.fragments - differ - empty)
+                if empty > c.empties:
+                    keys = np.append(keys, mix(np.full(1, tag, np.uint64)))
+            else:
+                m = min(c.together, n)
+                first = h[:n - (-(-num * n // den)) + m]
+                picks = np.array(list(combinations(range(len(first)), m)))
+                keys = mix(mix(first[picks]).sum(axis=1, dtype=np.uint64) + mix(np.full(1, tag, np.uint64)))
+        out.append((c.no, need, ((keys & ~_CLASS) | _U(c.no)).view(np.int64)))
+    return out
 
 
 def _profiler(n: int, num: int, den: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, size, keys = [], [], []
+            v, size, needs = [], [], []
             for _, h in shingle_sets(batch.column(1), n):
                 v.append(set_digest(h) if len(h) else None)
                 size.append(len(h))
-                keys.append(signatures(h, num, den))
+                needs.append([{"c": c, "need": need} for c, need, _ in signatures(h, num, den)])
+            kind = pa.list_(pa.struct([("c", pa.int32()), ("need", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(v, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "h", "v", "n", "keys"],
+                [batch.column(0), batch.column(2), pa.array(v, pa.int64()), pa.array(size, pa.int64()), pa.array(needs, kind)],
+                ["doc_id", "h", "v", "n", "needs"],
             )
 
     return profile
 
 
+def _lister(n: int, num: int, den: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, parts, held = [], [], 0
+            for _, h in shingle_sets(batch.column(0), n):
+                for _, _, k in signatures(h, num, den):
+                    v.append(np.full(len(k), set_digest(h), np.int64))
+                    parts.append(k)
+                    held += len(k)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(v))], ["key", "v"])
+                    v, parts, held = [], [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(v))], ["key", "v"])
+
+    return keys
+
+
 def _segmenter(n: int, fragments: int):
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,29 +221,46 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def shared_lists(nodes: DataFrame) -> DataFrame:
-    """Rows (key, v) of the lists with two nodes or more, from nodes (v, keys).
+def listed_together(texts: DataFrame, needs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The sets v that share as many keys with others as a similar set must share with them.
 
-    One shuffle by key finds them with a window. A key that a sample shows to be very frequent is
-    left out of the window, so that no such list is one task's sort: it has more nodes than one.
+    ``texts``: one text per set; ``needs``: (v, c, need). One shuffle by key finds the keys that are shared, with a
+    window. A key that a sample shows to be very frequent is left out of the window, so that no such list is one
+    task's sort: it has more sets than one.
     """
-    rows = nodes.select(F.explode("keys").alias("key"), "v")
-    hot = materialize(rows.sample(SAMPLE, seed=11).groupBy("key").count().where(F.col("count") >= HOT_SAMPLE_ROWS).select("key"), "hot-keys")
+    listed = lambda t: t.mapInArrow(_lister(n, num, den), "key bigint, v bigint")
+    rows = listed(texts)
+    hot = listed(texts.sample(SAMPLE, seed=11)).groupBy("key").count().where(F.col("count") >= HOT_SAMPLE_ROWS).select("key")
+    hot = materialize(hot, "hot-keys")
     n_hot = hot.limit(BROADCAST_ROWS + 1).count()
     cold = rows
     if n_hot:
         keys = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
         cold = rows.join(keys, "key", "left_anti")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("key").orderBy("v")
-    found = (
-        cold.select("key", "v", F.row_number().over(w).alias("no"), F.lead("v").over(w).alias("next"))
-        .where((F.col("no") > 1) | F.col("next").isNotNull()).select("key", "v")
-    )
+    found = cold.select("key", "v", F.lag("v").over(w).alias("last"), F.lead("v").over(w).alias("next")).where("last IS NOT NULL OR next IS NOT NULL")
+    found = found.select("key", "v")
     if n_hot:
         found = found.union(rows.join(keys, "key", "left_semi").select("key", "v"))
-    return materialize(found, "lists")
+    shared = found.groupBy("v", F.col("key").bitwiseAND(F.lit(int(_CLASS))).cast("int").alias("c")).agg(F.count("*").alias("shared"))
+    return materialize(shared.join(needs, ["v", "c"]).where("shared >= need").select("v").distinct(), "listed")
+
+
+def rare_lists(segments: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (key, v, pos, n, own): the n-grams under which the sets are compared.
+
+    They are the first of each set in the order by frequency among the sets given; ``pos`` is the place in that
+    order, ``n`` the set's size and ``own`` its n-grams that no other set has.
+    """
+    grams = segments.select("v", F.explode("segment").alias("key"))
+    counts = grams.groupBy("key").agg(F.count("*").alias("sets"))
+    whole = Window.partitionBy("v")
+    ranked = grams.join(counts, "key").select(
+        "key", "v", "sets", (F.row_number().over(whole.orderBy("sets", "key")) - 1).alias("pos"),
+        F.count("*").over(whole).alias("n"), F.sum((F.col("sets") == 1).cast("int")).over(whole).alias("own"),
+    )
+    first = (F.col("pos") <= F.floor(F.col("n") * (den - num) / den)) & (F.col("sets") > 1)
+    return materialize(ranked.where(first).select("key", "v", "pos", "n", "own"), "lists")
 
 
 def verified(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
@@ -239,34 +289,52 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     profiles = materialize(
-        rows.mapInArrow(_profiler(n, num, den), "doc_id bigint, h bigint, v bigint, n bigint, keys array<bigint>"), "profiles"
+        rows.mapInArrow(_profiler(n, num, den), "doc_id bigint, h bigint, v bigint, n bigint, needs array<struct<c:int,need:int>>"), "profiles"
     )
-    linked = profiles.where("v IS NOT NULL")
-    reps = materialize(linked.groupBy("v").agg(F.min("doc_id").alias("rep")), "sets")
-    lists = shared_lists(linked.where(F.size("keys") > 0).groupBy("v").agg(F.first("keys").alias("keys")))
-    wanted = materialize(lists.select("v").distinct(), "listed")
-    ids = _small(materialize(reps.join(wanted, "v").select(F.col("rep").alias("listed_id")).distinct(), "listed-ids"))
+    # Of equal sets, one row stands for all; the smallest id names them.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "needs")).alias("one")
+    reps = profiles.where("v IS NOT NULL").groupBy("v").agg(one)
+    reps = materialize(reps.select("v", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"), "one.needs"), "sets")
+    able = reps.where(F.size("needs") > 0)
+    needs = able.select("v", F.explode("needs").alias("x")).select("v", "x.c", "x.need")
+    repeated = profiles.groupBy("doc_id", "h").count().where("count > 1").limit(1).count() > 0
+
+    def texts_of(sets: DataFrame) -> DataFrame:
+        chosen = _small(materialize(sets.select("rep", "rep_h"), "chosen"))
+        found = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")), "left_semi")
+        return (found.dropDuplicates(["doc_id", "h"]) if repeated else found).select("text")
+
+    wanted = listed_together(texts_of(able), needs, n, num, den)
     segments = materialize(
-        rows.join(ids, F.col("doc_id").eqNullSafe(F.col("listed_id")), "left_semi").select("text")
+        texts_of(reps.join(wanted, "v"))
         .mapInArrow(_segmenter(n, COUNT_FRAGMENTS), "v bigint, fragment int, segment array<bigint>").dropDuplicates(["v", "fragment"]),
         "segments",
     )
+    lists = rare_lists(segments, num, den)
     roots = None
     seen: DataFrame | None = None
-    for rank in (F.min, F.max, None):
-        members = lists if roots is None else lists.join(roots.withColumnRenamed("node", "v"), "v", "left").select(
-            "key", "v", F.coalesce("root", F.col("v")).alias("root")
-        )
+    # The first common n-gram's places bound the overlap from above.
+    possible = f"least(n - pos, c_n - c_pos) * {den + num} >= {num} * (n + c_n)"
+    for last in (False, False, True):
         if roots is None:
-            members = members.withColumn("root", F.col("v"))
+            members = lists.withColumn("root", F.col("v"))
+        else:
+            members = lists.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
         live = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        members = materialize(members.join(live, "key"), "live")
-        if rank is not None:
-            centres = members.groupBy("key").agg(rank(F.struct("v", "root")).alias("c")).select("key", F.col("c.v").alias("c"), F.col("c.root").alias("c_root"))
+        members = members.join(live, "key")
+        centre = F.struct("own", "v", "root", "n", "pos")
+        if roots is not None and not last:
+            head = members.groupBy("key").agg(F.min(centre).alias("c")).select("key", F.col("c.root").alias("head"))
+            members = members.join(head, "key").where("root <> head").drop("head")
+        members = materialize(members.select("key", "v", "root", "n", "pos", "own"), "live")
+        if last:
+            centres = members.select("key", F.struct(*(F.col(c).alias(c) for c in ("own", "v", "root", "n", "pos"))).alias("c"))
         else:
-            centres = members.select("key", F.col("v").alias("c"), F.col("root").alias("c_root"))
-        pairs = members.join(centres, "key").where("root <> c_root" if rank is not None else "root <> c_root AND v < c")
-        pairs = pairs.select(F.least("v", "c").alias("a"), F.greatest("v", "c").alias("b")).distinct()
+            centres = members.groupBy("key").agg(F.min(centre).alias("c"))
+        centres = centres.select("key", F.col("c.v").alias("c_v"), F.col("c.root").alias("c_root"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"))
+        other = "root <> c_root AND v < c_v" if last else "root <> c_root"
+        pairs = members.join(centres, (members["key"] == centres["key"]) & F.expr(f"{other} AND {possible}"))
+        pairs = pairs.select(F.least("v", "c_v").alias("a"), F.greatest("v", "c_v").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
