@@ -8,7 +8,8 @@ from __future__ import annotations
 # Fixed values shared by the SQL text below.
 TRIM = "(' ' || chr(9) || chr(10) || chr(13) || chr(11))"
 WS_RUN = r"'[\t\n\x0B\f\r\p{Z}]+'"
-FMTS = "['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d']"
+FMTS = "['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%Y-%m-%dT%H:%M', '%Y-%m-%d %H:%M']"
+OFFSET = "'([+-])([0-9]{2}):?([0-9]{2})$'"
 SLUG = "lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '_', 'g'))"
 SITE = "'https://example.com'"
 CRLF = "(chr(13) || chr(10))"
@@ -23,7 +24,10 @@ def title_flat(e: str) -> str:
 
 
 def gmt_ts(e: str) -> str:
-    return f"try_strptime({e}, {FMTS})"
+    wall = f"try_strptime(regexp_replace({e}, '([.,][0-9]+)?(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?$', ''), {FMTS})"
+    minutes = (f"coalesce(TRY_CAST(regexp_extract({e}, {OFFSET}, 1) || '1' AS INTEGER), 0) * "
+               f"(coalesce(TRY_CAST(regexp_extract({e}, {OFFSET}, 2) AS INTEGER), 0) * 60 + coalesce(TRY_CAST(regexp_extract({e}, {OFFSET}, 3) AS INTEGER), 0))")
+    return f"({wall} - to_minutes({minutes}))"
 
 
 def gmt_epoch(e: str) -> str:
@@ -63,8 +67,7 @@ SELECT {SITE} AS site, o_orderpriority AS type_key, {SLUG} AS slug,
        CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS date,
        CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS date_gmt,
        CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey - o_orderkey % 100
-            WHEN o_orderkey % 3 = 0 THEN coalesce(lag(o_orderkey) OVER (
-                 PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey DESC), 0)
+            WHEN o_orderkey % 3 = 0 THEN o_orderkey - o_orderkey % 10 + 1
             ELSE 0 END AS parent,
        o_custkey AS author
 FROM orders"""
@@ -88,7 +91,7 @@ GROUP BY l.l_orderkey"""
 # Terms of the fetched posts, one row per (id, position) with the term kept by G4's rule.
 VIEWS["fetched_terms"] = """
 SELECT f.id, u.pos, u.t.taxonomy AS taxonomy, u.t.name AS name
-FROM fetched f JOIN (
+FROM (SELECT DISTINCT id FROM fetched) f JOIN (
   SELECT id, unnest(list_concat(g1, g2)) AS t, generate_subscripts(list_concat(g1, g2), 1) AS pos FROM terms_v
 ) u ON f.id = u.id
 WHERE coalesce(u.t.taxonomy, '') <> '' AND u.t.name IS NOT NULL"""
@@ -150,7 +153,7 @@ _LINE = (
 VIEWS["index_rows_v"] = f"""
 SELECT l.site, l.type_key, l.slug, l.rank, l.id, l.title, l.parent_title,
        array_to_string(l.terms_flat, '|') AS terms, l.date_local AS date, l.date_label, l.author_id,
-       coalesce(a.name, '') AS author_name, l.link, l.href, {_LINE} AS line
+       coalesce(a.name, '') AS author_name, l.link, url_decode(replace(l.link, '+', '%20')) AS permalink, l.href, {_LINE} AS line
 FROM listed l LEFT JOIN authors_v a ON l.site = a.site AND l.author_id = a.author_id"""
 
 VIEWS["type_summary_v"] = """
@@ -242,7 +245,7 @@ VIEWS["captures_v"] = f"""
 SELECT {SITE} AS site, 'pages|' || CAST(s.page_id AS VARCHAR) AS request_key, 'page' AS kind, s.page_id, s.url,
   s.status,
   CASE WHEN s.status = 0 THEN '' ELSE
-    'HTTP/1.1 ' || CAST(s.status AS VARCHAR) || {CRLF} || 'X-WP-Total: ' || CAST(s.page_id * 7 AS VARCHAR) || {CRLF}
+    'HTTP/1.1 ' || CAST(s.status AS VARCHAR) || {CRLF} || 'X-WP-Total: ' || CAST(CASE WHEN s.page_id % 50 = 7 THEN s.page_id + 3000000000 ELSE s.page_id * 7 END AS VARCHAR) || {CRLF}
     || 'x-wp-totalpages: ' || CAST(s.page_id % 6 AS VARCHAR)
     || CASE WHEN s.status = 301 THEN {CRLF} || 'Location: ' || coalesce(n.url, '') ELSE '' END
     || CASE WHEN s.page_id % 8 = 0 THEN {CRLF} || 'X-WP-TOTAL:  ' || CAST(s.page_id * 7 + 1 AS VARCHAR) ELSE '' END
@@ -266,6 +269,13 @@ SELECT request_key, name, arg_max(value, i) AS value FROM (
   FROM header_lines WHERE strpos(line, ':') > 0)
 GROUP BY request_key, name"""
 
+VIEWS["repeated_v"] = """
+SELECT request_key AS okey, request_key, page_id, url, status FROM captures_v
+UNION ALL SELECT request_key, request_key || '|again', page_id, url, status FROM captures_v WHERE page_id % 3 = 0"""
+
+VIEWS["redirect_targets_v"] = """
+SELECT url, arg_min(status, request_key) AS status, min(request_key) AS request_key FROM repeated_v GROUP BY url"""
+
 VIEWS["access_v"] = """
 SELECT event_id,
   CASE event_type
@@ -304,21 +314,34 @@ SELECT {SITE} AS site, p.page_id, p.url,
   replace(p.html, '</head>',
     CASE WHEN p.page_id % 6 = 0 THEN '<link rel="alternate" title="RSS" href="https://example.com/wp-json/wp/v2/posts/1" />' ELSE '' END
     || CASE WHEN p.page_id % 4 = 0 THEN '<link rel="alternate" title="JSON" href="https://example.com/feed/" />' ELSE '' END
-    || CASE WHEN p.page_id % 2 = 0 THEN '<link rel="alternate" type="application/json" title="JSON" href="https://example.com/wp-json/wp/v2/'
-         || coalesce(CASE WHEN o.o_orderpriority <> '4-NOT SPECIFIED' THEN {SLUG} || 's' END, 'posts')
-         || '/' || CAST(p.page_id AS VARCHAR) || '" />' ELSE '' END
+    || CASE WHEN p.page_id % 5 = 0 THEN '<!-- old: ' || replace(m.link, CAST(p.page_id AS VARCHAR), '1')
+         || ' --><script>var s = ''<link rel="alternate" title="JSON" href="/wp-json/wp/v2/posts/2">'';</script>' ELSE '' END
+    || CASE WHEN p.page_id % 7 = 0 THEN '<link data-note=''rel="alternate" title="JSON"'' href="/wp-json/wp/v2/posts/3" />' ELSE '' END
+    || CASE WHEN p.page_id % 2 = 0 AND p.page_id % 3 = 0 THEN '<LINK title=''JSON'' rel=alternate href="https://example.com/wp-json/wp/v2/'
+         || m.rb || '/' || CAST(p.page_id AS VARCHAR) || '?a=1&amp;b=2">' WHEN p.page_id % 2 = 0 THEN m.link ELSE '' END
     || '</head>') AS html
-FROM pages p LEFT JOIN orders o ON o.o_orderkey = p.page_id"""
+FROM pages p LEFT JOIN orders o ON o.o_orderkey = p.page_id
+CROSS JOIN LATERAL (SELECT rb, '<link rel="alternate" type="application/json" title="JSON" href="https://example.com/wp-json/wp/v2/'
+         || rb || '/' || CAST(p.page_id AS VARCHAR) || '" />' AS link
+       FROM (SELECT coalesce(CASE WHEN o.o_orderpriority <> '4-NOT SPECIFIED' THEN {SLUG} || 's' END, 'posts') AS rb)) m"""
+
+_LINKS = r"""'(?i)<link\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>'"""
+_ATTRIBUTE = r"""'([^\s=/>"'']+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
+_ELEMENTS = r"""regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"""
 
 
 def tag_attr(tag: str, name: str) -> str:
-    pat = "'(?i)[\\s/]" + name + "\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))'"
-    return f"(regexp_extract({tag}, {pat}, 1) || regexp_extract({tag}, {pat}, 2) || regexp_extract({tag}, {pat}, 3))"
+    names = f"list_transform(regexp_extract_all({tag}, {_ATTRIBUTE}, 1), lambda a: lower(a))"
+    value = f"coalesce(regexp_extract_all({tag}, {_ATTRIBUTE}, 2)[nullif(list_position({names}, '{name}'), 0)], '')"
+    value = "regexp_replace(" + value + r""", '^["'']|["'']$', '', 'g')"""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        value = f"replace({value}, '{entity}', '{char}')"
+    return value
 
 
 _API = r"'/wp-json/wp/v2/([^/]+)/(\d+)'"
 _FIRST_ALT = (
-    "list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\\b[^>]*>'), lambda l: "
+    f"list_filter(regexp_extract_all({_ELEMENTS}, {_LINKS}), lambda l: "
     f"{tag_attr('l', 'rel')} = 'alternate' AND {tag_attr('l', 'title')} = 'JSON' AND regexp_matches({tag_attr('l', 'href')}, {_API}))[1]"
 )
 
@@ -335,7 +358,7 @@ FROM targets_v t LEFT JOIN (SELECT site, rest_base, id, {title_flat('title_raw')
   ON t.rest_base <> '' AND t.id > 0 AND t.site = p.site AND t.rest_base = p.rest_base AND t.id = p.id"""
 
 VIEWS["fragments_v"] = r"""
-SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)(?:</article>|$)', 1) || chr(10) ||
+SELECT page_id, html || chr(10) ||
   CASE page_id % 5
     WHEN 0 THEN '<table class="t"><caption>Cap</caption><colgroup><col></colgroup><thead><tr><th colspan="2">H</th></tr></thead>' || chr(10) || '<tbody><tr><td rowspan="1">a</td><td>b<br>c</td></tr></tbody></table>'
     WHEN 1 THEN '<pre class="language-python"><code>def f():' || chr(10) || '    return 1' || chr(10) || '</code></pre><pre class="mermaid">graph TD; A--&gt;B;</pre>'
@@ -371,7 +394,9 @@ FROM (SELECT page_id // 10 AS batch_id, page_id, url FROM pages) b
 JOIN (SELECT page_id // 10 AS batch_id, regexp_extract(arg_min(url, page_id), {ORIGIN}, 0) AS base
       FROM pages GROUP BY 1) f ON b.batch_id = f.batch_id"""
 
-_ORDER_DATE = "CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 89 = 0 THEN 'not a date' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END"
+_ORDER_DATE = ("CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 89 = 0 THEN 'not a date' "
+               "WHEN event_id % 13 = 4 THEN strftime(ts, '%Y-%m-%dT%H:%M') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || "
+               "['', 'Z', '.250', '+09:00', '-0330', '.5Z', ''][event_id % 7 + 1] END")
 _NL2BR = "regexp_replace({e}, '(\\r\\n|\\n\\r|\\n|\\r)', '<br />\\1', 'g')"
 
 
@@ -397,16 +422,16 @@ QUERIES.update({
     "lf_normalize": _digest("documents", "doc_id", "regexp_replace(text, '\\r\\n?', chr(10), 'g')"),
     "collapse_blank_lines": _digest("documents", "doc_id",
         "regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g')"),
-    "yaml_value": "SELECT src, k, v, " + yaml_scalar("v") + """ AS y FROM (
-        SELECT 'nation' AS src, CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation
-        UNION ALL SELECT 'part_name', p_partkey, p_name FROM part
-        UNION ALL SELECT 'part_type', p_partkey, p_type FROM part
-        UNION ALL SELECT 'part_brand', p_partkey, p_brand FROM part
-        UNION ALL SELECT 'props', event_id, props FROM events
-        UNION ALL SELECT 'priority', o_orderkey, o_orderpriority FROM orders
-        UNION ALL SELECT 'order_id', o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders
-        UNION ALL SELECT 'customer', c_custkey, c_name FROM customer
-        UNION ALL SELECT 'conversation', conv_id * 1000 + turn, text FROM conversations)""",
+    "yaml_value": "SELECT src, k, turn, v, " + yaml_scalar("v") + """ AS y FROM (
+        SELECT 'nation' AS src, CAST(n_nationkey AS BIGINT) AS k, n_name AS v, CAST(0 AS BIGINT) AS turn FROM nation
+        UNION ALL SELECT 'part_name', p_partkey, p_name, 0 FROM part
+        UNION ALL SELECT 'part_type', p_partkey, p_type, 0 FROM part
+        UNION ALL SELECT 'part_brand', p_partkey, p_brand, 0 FROM part
+        UNION ALL SELECT 'props', event_id, props, 0 FROM events
+        UNION ALL SELECT 'priority', o_orderkey, o_orderpriority, 0 FROM orders
+        UNION ALL SELECT 'order_id', o_orderkey, CAST(o_orderkey AS VARCHAR), 0 FROM orders
+        UNION ALL SELECT 'customer', c_custkey, c_name, 0 FROM customer
+        UNION ALL SELECT 'conversation', conv_id, text, turn FROM conversations)""",
     "format_datetime": f"SELECT event_id, gmt, {fmt_datetime('gmt', 'Asia/Tokyo')} AS tokyo, "
                        f"{fmt_datetime('gmt', 'America/St_Johns')} AS st_johns, {fmt_datetime('gmt', 'UTC')} AS utc, "
                        f"{fmt_datetime('gmt', 'UTC')} AS fallback FROM (SELECT event_id, {_ORDER_DATE} AS gmt FROM events)",
@@ -417,7 +442,7 @@ QUERIES.update({
                        f"CASE WHEN {http_ok('status')} THEN md5(body) END AS body_md5 FROM captures_v",
     "type_totals": """
         SELECT c.request_key,
-          CAST(coalesce(TRY_CAST(regexp_extract(coalesce(t.value, ''), '^\\s*([+-]?\\d+)', 1) AS INTEGER), 0) AS BIGINT) AS total_found,
+          CAST(coalesce(TRY_CAST(regexp_extract(coalesce(t.value, ''), '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) AS BIGINT) AS total_found,
           CAST(CASE WHEN p.value IS NULL THEN 1 ELSE coalesce(TRY_CAST(regexp_extract(p.value, '^\\s*([+-]?\\d+)', 1) AS INTEGER), 0) END AS BIGINT) AS total_pages,
           CASE WHEN p.value IS NULL THEN 1 ELSE coalesce(TRY_CAST(regexp_extract(p.value, '^\\s*([+-]?\\d+)', 1) AS INTEGER), 0) END > 2 AS truncated
         FROM captures_v c
@@ -453,29 +478,30 @@ QUERIES.update({
           CAST(CASE WHEN x.internal THEN t.status END AS BIGINT) AS target_status,
           CASE WHEN NOT x.internal THEN 'url_must_be_internal' WHEN t.request_key IS NULL THEN 'page_fetch_failed'
                WHEN NOT {http_ok('t.status')} THEN 'page_fetch_failed' ELSE '' END AS error
-        FROM captures_v c
-        JOIN headers_v h ON c.request_key = h.request_key AND h.name = 'location'
-        CROSS JOIN LATERAL (SELECT {same_site(f"regexp_extract(c.url, {ORIGIN}, 0)", 'h.value')} AS internal) x
-        LEFT JOIN captures_v t ON t.url = h.value
+        FROM repeated_v c
+        JOIN headers_v h ON c.okey = h.request_key AND h.name = 'location'
+        CROSS JOIN LATERAL (SELECT {same_site(f"(regexp_extract(c.url, {ORIGIN}, 0) || CASE WHEN c.page_id % 20 = 2 THEN '/en' ELSE '' END)", 'h.value')} AS internal) x
+        LEFT JOIN redirect_targets_v t ON t.url = h.value
         WHERE NOT {http_ok('c.status')}""",
     "batch_admission": f"SELECT batch_id, bool_and(ok) AS admitted, count(*) AS n_urls, "
                        f"CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_rejected "
                        f"FROM (SELECT batch_id, {same_site('base', 'url')} AS ok FROM batches_v) GROUP BY batch_id",
-    "src_types": "SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY type_key) - 1 AS BIGINT) AS type_pos, "
-                 "type_key, slug, name, rest_base FROM types_v",
+    "src_types": "SELECT site, type_pos, type_key, slug, name, rest_base FROM types_c",
     "src_posts": """
-        SELECT r.site, r.type_key, CAST((r.rn - 1) // 100 + 1 AS BIGINT) AS page, CAST((r.rn - 1) % 100 AS BIGINT) AS pos,
+        SELECT p.site, r.type_key, CAST((r.rn - 1) // 100 + 1 AS BIGINT) AS page, CAST((r.rn - 1) % 100 AS BIGINT) AS pos,
                r.id, r.title_raw, r.date_gmt, r.parent, r.author,
                CAST(coalesce(2 * len(t.g1), 0) AS BIGINT) AS n_terms
-        FROM coll_ranked r LEFT JOIN terms_v t ON r.id = t.id
-        WHERE NOT ((r.type_key = '3-MEDIUM' AND (r.rn - 1) // 100 + 1 = 2) OR (r.type_key = '5-LOW' AND (r.rn - 1) // 100 + 1 = 2))""",
+        FROM coll_ranked r JOIN sites_c p ON true LEFT JOIN terms_v t ON r.id = t.id
+        WHERE NOT (r.type_key = '3-MEDIUM' AND (r.rn - 1) // 100 + 1 = 2)
+          AND NOT (p.site = 'https://example.com' AND r.type_key = '5-LOW' AND (r.rn - 1) // 100 + 1 = 2)
+          AND NOT (p.site = 'https://two.example.com/blog' AND r.type_key = '1-URGENT' AND (r.rn - 1) // 100 + 1 = 1)""",
     "src_users": """
-        SELECT site, id, CASE WHEN id % 10 = 0 AND (id // 100 + 1) % 7 <> 3 THEN name || ' (2)' ELSE name END AS name, description
-        FROM users_v WHERE (id // 100) % 7 <> 3 OR (id % 10 = 0 AND (id // 100 + 1) % 7 <> 3)""",
+        SELECT p.site, id, CASE WHEN id % 10 = 0 AND (id // 100 + 1) % 7 <> 3 THEN name || ' (2)' ELSE name END AS name, description
+        FROM users_v JOIN sites_c p ON true WHERE (id // 100) % 7 <> 3 OR (id % 10 = 0 AND (id // 100 + 1) % 7 <> 3)""",
     "src_post_full": """
         SELECT 'post|' || coalesce(p.rest_base, '') || '|' || CAST(p.id AS VARCHAR) AS request_key,
           CASE WHEN p.id % 23 = 0 THEN 'post_fetch_failed' WHEN p.id % 29 = 0 THEN 'post_parse_failed' ELSE '' END AS error,
-          CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN p.id END AS id,
+          p.id AS id,
           CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN p.title_raw END AS title_raw,
           CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN coalesce(c.c_name, '') ELSE '' END AS author_name,
           CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN length(f.fragment) ELSE 0 END AS BIGINT) AS content_len,
@@ -487,14 +513,16 @@ QUERIES.update({
                           ELSE regexp_extract(regexp_extract(regexp_extract(site, {URL_PARTS}, 2), '^(?:.*@)?(.*)$', 1), {HOST_PORT}, 1) END AS site_name
         FROM (SELECT DISTINCT regexp_extract(url, {ORIGIN}, 0) AS site FROM pages)""",
     "plan_first_pages": "SELECT site, type_key, type_key AS request_key, url FROM coll_plan WHERE page = 1",
-    "plan_next_pages": "SELECT site, type_key, CAST(page AS BIGINT) AS page, type_key || '|' || CAST(page AS VARCHAR) AS request_key, url "
-                       "FROM coll_plan WHERE page >= 2",
+    "plan_next_pages": """
+        SELECT p.site, p.type_key, CAST(p.page AS BIGINT) AS page, p.type_key || '|' || CAST(p.page AS VARCHAR) AS request_key,
+          p.site || '/wp-json/wp/v2/' || t.rest_base || '?per_page=100&page=' || CAST(p.page AS VARCHAR) || '&orderby=date&order=desc&_embed=wp:term'
+          || '&_fields=id,title,link,date,date_gmt,parent,author,_links.wp:term,_embedded.wp:term' AS url
+        FROM asked_c p JOIN types_kept_c t ON p.site = t.site AND p.type_key = t.type_key WHERE p.page >= 2""",
     "plan_vs_captures": """
-        SELECT type_key || '|' || CAST(page AS VARCHAR) AS request_key,
-          CAST(CASE WHEN type_key = '5-LOW' AND page = 2 THEN 0 ELSE 200 END AS BIGINT) AS status,
-          NOT (type_key = '5-LOW' AND page = 2) AS success,
-          CASE WHEN type_key = '5-LOW' AND page = 2 THEN 'not captured' ELSE '' END AS error
-        FROM coll_plan""",
+        SELECT site, type_key || '|' || CAST(page AS VARCHAR) AS request_key, CAST(coalesce(status, 0) AS BIGINT) AS status,
+          coalesce(status, 0) = 200 AS success,
+          CASE WHEN status IS NULL THEN 'not captured' WHEN status = 200 THEN '' ELSE 'HTTP ' || CAST(status AS VARCHAR) END AS error
+        FROM asked_c""",
     "plan_user_chunks": f"""
         SELECT site, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_ids,
           site || '/wp-json/wp/v2/users?include=' || string_agg(CAST(author_id AS VARCHAR), ',' ORDER BY rn)
@@ -515,6 +543,44 @@ QUERIES.update({
 
 # ---- batch 3: HTML jobs and documents --------------------------------------------------------
 
+# Fixed values of the slim job in this dialect (no possessive quantifiers).
+_BLOCK = r"'(?is)<pre\b[^>]*>.*?</pre\s*>|<code\b[^>]*>.*?</code\s*>'"
+_PIECE = r"""'(?s)<!--.*?-->|<(?:[^>"'']|"[^"]*"|''[^'']*'')*>|[^<]+|<'"""
+_ATTR = r"""'([^\s=/>"''<]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?'"""
+_NAME = r"lower(regexp_extract({p}, '^</?([A-Za-z][^\s/>]*)', 1))"
+
+
+def slim(html: str, keep: tuple, drop: tuple, unwrap: tuple) -> str:
+    """The slim job in SQL; nested drop tags are cut where they are balanced and do not nest in the data."""
+    listed = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]::VARCHAR[]"
+    src = f"regexp_replace({html}, '(?i)</?(?:html|body)\\b[^>]*>', '', 'g')"
+    src = f"regexp_replace({src}, '(?is)<!doctype[^>]*>|<\\?[^>]*>|<head\\b.*?</head\\s*>', '', 'g')"
+    for tag in drop:
+        src = f"regexp_replace({src}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    rest = r"regexp_replace(p, '^<[A-Za-z][^\s/>]*|/?>$', '', 'g')"
+    pairs = (f"list_filter(list_zip(list_transform(regexp_extract_all({rest}, {_ATTR}, 1), lambda a: lower(a)), regexp_extract_all({rest}, {_ATTR}, 2)), "
+             f"lambda z: list_contains({listed(keep)}, z[1]))")
+    value = r"""replace(regexp_replace(z[2], '^["'']|["'']$', '', 'g'), '"', '&quot;')"""
+    words = f"list_filter(regexp_split_to_array({value}, '\\s+'), lambda w: w <> '')"
+    rel = f"array_to_string(CASE WHEN list_contains({words}, 'noreferrer') THEN {words} ELSE list_append({words}, 'noreferrer') END, ' ')"
+    has = lambda n: f"list_contains(list_transform({pairs}, lambda y: y[1]), '{n}')"
+    attrs = f"array_to_string(list_transform({pairs}, lambda z: ' ' || z[1] || '=\"' || CASE WHEN z[1] = 'rel' AND {has('href')} THEN {rel} ELSE {value} END || '\"'), '')"
+    name = _NAME.format(p="p")
+    tag = f"'<' || {name} || {attrs} || CASE WHEN {has('href')} AND NOT {has('rel')} THEN ' rel=\"noreferrer\"' ELSE '' END || '>'"
+
+    def rewritten(stretch: str, collapse: bool) -> str:
+        words_ = f"regexp_replace(p, {WS_RUN}, ' ', 'g')" if collapse else "p"
+        kept = f"list_filter(regexp_extract_all({stretch}, {_PIECE}), lambda p: NOT (regexp_matches(p, '^</?[A-Za-z]') AND list_contains({listed(unwrap)}, {name})))"
+        return (f"array_to_string(list_transform({kept}, lambda p: CASE WHEN p[1] <> '<' OR p = '<' THEN {words_} WHEN NOT regexp_matches(p, '^</?[A-Za-z]') THEN p "
+                f"WHEN p[1:2] = '</' THEN '</' || {name} || '>' ELSE {tag} END), '')")
+
+    between = "regexp_replace(" + rewritten("s", True) + r", '[ \t\r\x00\x0B]*\n[ \t\n\r\x00\x0B]*', chr(10), 'g')"
+    return php_trim(
+        f"array_to_string(list_transform(list_zip(list_transform(regexp_split_to_array({src}, {_BLOCK}), lambda s: {between}), "
+        f"list_transform(regexp_extract_all({src}, {_BLOCK}), lambda b: {rewritten('b', False)})), lambda z: z[1] || coalesce(z[2], '')), '')"
+    )
+
+
 def count_of(e: str, pattern: str) -> str:
     return f"CAST(len(regexp_extract_all(coalesce({e}, ''), '{pattern}')) AS BIGINT)"
 
@@ -561,12 +627,9 @@ _ESC_TITLE = html_escape(title_flat("o.title_raw"))
 
 QUERIES.update({
     "slim_pages": f"""
-        SELECT page_id, true AS ok,
-          {count_of('body', '(?i)<[a-z][a-z0-9]*\\b[^>]*\\shref\\s*=[^>]*>')} AS n_href,
-          {count_of('body', '(?i)<h1\\b[^>]*>')} AS n_h1,
-          {count_of('body', '(?i)<p\\b[^>]*>')} AS n_p,
-          CAST(0 AS BIGINT) AS n_dropped_left, true AS non_empty
-        FROM page_bodies""",
+        SELECT page_id, variant, CAST(length(slim) AS BIGINT) AS n_chars, md5(slim) AS md5 FROM (
+          SELECT page_id, 'default' AS variant, {slim("html", ("colspan", "rowspan", "href", "src", "alt"), ("script", "style"), ())} AS slim FROM pages
+          UNION ALL SELECT page_id, 'other', {slim("html", ("href", "class", "rel"), ("script", "nav"), ("b", "span", "div"))} FROM pages)""",
     "markdown_pages": f"""
         SELECT page_id, true AS ok, '# Page ' || CAST(page_id AS VARCHAR) AS first_line,
           1 + {count_of('fragment', '(?i)<h[1-6]\\b[^>]*>')} AS n_headings,
@@ -575,33 +638,47 @@ QUERIES.update({
           {count_of('fragment', '(?i)<form\\b[^>]*>')} AS n_forms,
           CAST(0 AS BIGINT) AS n_scripts,
           CAST(len(regexp_extract_all(fragment, {_ICON})) AS BIGINT) AS n_icons,
-          {count_of('fragment', '<a [^>]*href="https://xn--wgv71a119e[.]example/a%20b"')} AS n_pretty_links
-        FROM fragments_v""",
+          {count_of('fragment', '<a [^>]*href="https://xn--wgv71a119e[.]example/a%20b"')} AS n_pretty_links,
+          md5(array_to_string(regexp_extract_all(regexp_replace(fragment, '(?s)<!--.*?-->|<[^>]*>|&#?\\w+;', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+'), ' ')) AS words_md5
+        FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(fragment, '(?is)<head\\b.*?</head>', '', 'g'),
+          '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g') AS fragment FROM fragments_v)""",
     "front_matter": "SELECT id, front_matter FROM front_matter_v",
     "markdown_documents": """
         SELECT id, CAST(NULL AS VARCHAR) AS error, fm_lines, heading FROM front_matter_v
-        UNION ALL SELECT NULL, error, NULL, NULL FROM full_errors""",
+        UNION ALL SELECT src_id, error, NULL, NULL FROM full_errors""",
     "html_documents": f"""
-        SELECT o.id, CAST(NULL AS VARCHAR) AS error, {_ESC_TITLE} AS title_tag, {_ESC_TITLE} AS h1, true AS closed FROM full_ok o
-        UNION ALL SELECT NULL, error, NULL, NULL, NULL FROM full_errors""",
+        SELECT id, error, title_tag, title_tag AS h1, true AS closed, md5('<html><head><meta charset="UTF-8"><meta name="robots" content="noindex, nofollow"><title>'
+            || title_tag || '</title></head><body><h1>' || title_tag || '</h1>' || slim || '</body></html>') AS md5 FROM (
+          SELECT o.id, CAST(NULL AS VARCHAR) AS error, {_ESC_TITLE} AS title_tag,
+            {slim("regexp_replace(regexp_replace(o.fragment, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g')", ("colspan", "rowspan", "href", "src", "alt"), ("script", "style"), ())} AS slim
+          FROM full_ok o)
+        UNION ALL SELECT src_id, error, NULL, NULL, NULL, NULL FROM full_errors""",
     "raw_documents": """
         SELECT id, CAST(NULL AS VARCHAR) AS error,
           md5(regexp_replace(regexp_replace(fragment, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g')) AS md5
         FROM full_ok
-        UNION ALL SELECT NULL, error, NULL FROM full_errors""",
+        UNION ALL SELECT src_id, error, NULL FROM full_errors""",
 })
 
 
-VIEWS["index_lines_v"] = f"""
-SELECT site, CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS pos, '# example.com' AS text FROM types_kept GROUP BY site
-UNION ALL SELECT site, 0, 1, 'View original: ' || site FROM types_kept GROUP BY site
-UNION ALL SELECT site, 1, 0, '{'## Authors'}' FROM authors_v GROUP BY site
-UNION ALL SELECT site, 1, rank * 2 - 1, '### ' || name FROM authors_v
-UNION ALL SELECT site, 1, rank * 2, description FROM authors_v WHERE description <> ''
-UNION ALL SELECT site, type_pos + 2, 0, '## [' || slug || '] ' || type_name FROM type_summary_v
-UNION ALL SELECT site, type_pos + 2, 1, note FROM type_summary_v WHERE note <> ''
-UNION ALL SELECT r.site, s.type_pos + 2, r.rank + 1, '- ' || r.line
-  FROM index_rows_v r JOIN type_summary_v s ON r.site = s.site AND r.type_key = s.type_key"""
+def _index_lines(rows: str, summary: str, authors: str, heads: str, unreadable: str = "") -> str:
+    return f"""
+SELECT site, CAST(0 AS BIGINT) AS kind, CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS detail,
+  '# ' || name AS text FROM ({heads})
+UNION ALL SELECT site, 0, 0, 1, 0, 'View original: ' || site FROM ({heads})
+UNION ALL SELECT site, 1, 0, 0, 0, '{'## Authors'}' FROM {authors} GROUP BY site
+UNION ALL SELECT site, 1, 0, rank, 0, '### ' || name FROM {authors}
+UNION ALL SELECT site, 1, 0, rank, 1, description FROM {authors} WHERE description <> ''
+UNION ALL SELECT site, 2, type_pos, 0, 0, '## [' || slug || '] ' || type_name FROM {summary}
+UNION ALL SELECT site, 2, type_pos, 0, 1, note FROM {summary} WHERE note <> ''
+UNION ALL SELECT r.site, 2, s.type_pos, r.rank, d.detail, d.text
+  FROM {rows} r JOIN {summary} s ON r.site = s.site AND r.type_key = s.type_key
+  CROSS JOIN LATERAL (SELECT unnest([0, 1, 2, 3, 5]) AS detail, unnest(['- ' || r.line, '  - Post ID: ' || CAST(r.id AS VARCHAR), '  - Date: ' || r.date,
+    CASE WHEN r.author_name <> '' THEN '  - Author: ' || r.author_name END, '  - Permalink: ' || r.permalink]) AS text) d
+  WHERE d.text IS NOT NULL""" + unreadable
+
+
+VIEWS["index_lines_v"] = _index_lines("index_rows_v", "type_summary_v", "authors_v", "SELECT site, 'example.com' AS name FROM types_kept GROUP BY site")
 
 QUERIES["site_index_lines"] = "SELECT * FROM index_lines_v"
 
@@ -610,56 +687,61 @@ QUERIES.update({
         SELECT page_id, CAST(i - 1 AS BIGINT) AS link_pos, {tag_attr('tag', 'href')} AS href,
           regexp_extract({tag_attr('tag', 'href')}, {_API}, 1) AS rest_base,
           coalesce(TRY_CAST(regexp_extract({tag_attr('tag', 'href')}, {_API}, 2) AS BIGINT), 0) AS id
-        FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<link\\b[^>]*>')) AS tag,
-                     generate_subscripts(regexp_extract_all(html, '(?i)<link\\b[^>]*>'), 1) AS i FROM alt_pages_v)""",
+        FROM (SELECT page_id, unnest(regexp_extract_all(html, {_LINKS})) AS tag,
+                     generate_subscripts(regexp_extract_all(html, {_LINKS}), 1) AS i FROM alt_pages_v)""",
     "date_label": f"""
         SELECT id, d AS "full", split_part(d, ' ', 1) AS date_only, '' AS "none" FROM (
           SELECT o_orderkey AS id, {fmt_datetime("strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')")} AS d FROM orders)""",
 })
 
 
-# ---- batch 4: the index over captured responses ---------------------------------------------
-# The captured pages are those the adapter writes: pages 1..min(ceil(total/100), 2) of every
-# type except the missing page (5-LOW, 2); the broken page (3-MEDIUM, 2) parses as empty.
+# ---- batch 4: the index over captured responses of several sites ----------------------------
+# Three sites have a type map; two types responses failed. Of the planned pages, one was never captured
+# (first site), two answered 401 and 500 (second site); page 2 of 3-MEDIUM has a broken body everywhere.
+
+VIEWS["sites_c"] = """
+SELECT unnest(['https://example.com', 'https://two.example.com/blog', 'https://four.example.com']) AS site"""
 
 VIEWS["types_c"] = """
-SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY type_key) - 1 AS BIGINT) AS type_pos,
+SELECT s.site, CAST(row_number() OVER (PARTITION BY s.site ORDER BY type_key) - 1 AS BIGINT) AS type_pos,
        type_key, slug, name, rest_base
-FROM types_v"""
+FROM types_v JOIN sites_c s ON true"""
 
 VIEWS["types_kept_c"] = r"""
 SELECT * FROM types_c
 WHERE slug IS NOT NULL AND NOT (regexp_matches(slug, '^wp_') OR slug = 'attachment')
   AND NOT regexp_matches(coalesce(name, ''), '^2-') AND rest_base IS NOT NULL"""
 
-VIEWS["captured_pages_c"] = """
-SELECT t.site, t.type_key, g.page FROM types_v t JOIN type_counts c ON t.site = c.site AND t.type_key = c.type_key,
-  LATERAL (SELECT unnest(generate_series(1, least(CAST(greatest(ceil(c.total / 100), 1) AS BIGINT), 2))) AS page) g
-WHERE NOT (t.type_key = '5-LOW' AND g.page = 2)"""
-
 VIEWS["planned_c"] = """
-SELECT t.site, t.type_key, g.page FROM types_kept_c t JOIN type_counts c ON t.site = c.site AND t.type_key = c.type_key,
+SELECT t.site, t.type_key, g.page,
+  CASE WHEN t.site = 'https://example.com' AND t.type_key = '5-LOW' AND g.page = 2 THEN NULL
+       WHEN t.site = 'https://two.example.com/blog' AND t.type_key = '1-URGENT' AND g.page = 1 THEN 401
+       WHEN t.site = 'https://two.example.com/blog' AND t.type_key = '3-MEDIUM' AND g.page = 2 THEN 500 ELSE 200 END AS status
+FROM types_kept_c t JOIN type_counts c ON t.type_key = c.type_key,
   LATERAL (SELECT unnest(generate_series(1, least(CAST(greatest(ceil(c.total / 100), 1) AS BIGINT), 2))) AS page) g"""
 
+VIEWS["asked_c"] = """
+SELECT * FROM planned_c p WHERE page = 1 OR EXISTS (
+  SELECT 1 FROM planned_c f WHERE f.site = p.site AND f.type_key = p.type_key AND f.page = 1 AND f.status = 200)"""
+
 VIEWS["report_c"] = """
-SELECT t.site, t.type_key, t.name, CAST(200 AS BIGINT) AS status,
-  CASE WHEN m.page IS NULL THEN 'readable' ELSE 'fatal' END AS class,
-  CASE WHEN m.page IS NULL THEN '' ELSE 'slug: ' || t.type_key || ', page ' || CAST(m.page AS VARCHAR) || ', not captured' END AS error
-FROM types_kept_c t LEFT JOIN (
-  SELECT p.site, p.type_key, min(p.page) AS page FROM planned_c p
-  WHERE NOT EXISTS (SELECT 1 FROM captured_pages_c c WHERE c.site = p.site AND c.type_key = p.type_key AND c.page = p.page)
-  GROUP BY p.site, p.type_key) m ON t.site = m.site AND t.type_key = m.type_key"""
+SELECT t.site, t.type_pos, t.type_key, t.name, CAST(f.status AS BIGINT) AS status,
+  CASE WHEN f.status = 401 THEN 'unreadable' WHEN m.page IS NULL THEN 'readable' ELSE 'fatal' END AS class,
+  CASE WHEN f.status = 401 OR m.page IS NULL THEN '' ELSE 'slug: ' || t.type_key || ', page ' || CAST(m.page AS VARCHAR)
+       || CASE WHEN m.status IS NULL THEN ', not captured' ELSE ', HTTP ' || CAST(m.status AS VARCHAR) END END AS error
+FROM types_kept_c t JOIN asked_c f ON t.site = f.site AND t.type_key = f.type_key AND f.page = 1
+LEFT JOIN (SELECT * FROM asked_c WHERE page > 1 AND coalesce(status, 0) <> 200) m ON t.site = m.site AND t.type_key = m.type_key"""
 
 VIEWS["fetched_c"] = """
-SELECT r.*, t.type_pos FROM (
-  SELECT p.*, row_number() OVER (PARTITION BY p.site, p.type_key ORDER BY p.date DESC, p.id DESC) AS rn FROM posts_v p) r
-JOIN types_kept_c t ON r.site = t.site AND r.type_key = t.type_key
-JOIN report_c x ON x.site = r.site AND x.type_key = r.type_key AND x.class = 'readable'
+SELECT t.site, r.* EXCLUDE (site), t.type_pos FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY p.type_key ORDER BY p.date DESC, p.id DESC) AS rn FROM posts_v p) r
+JOIN types_kept_c t ON r.type_key = t.type_key
+JOIN report_c x ON x.site = t.site AND x.type_key = r.type_key AND x.class = 'readable'
 WHERE r.rn <= 200 AND NOT (r.type_key = '3-MEDIUM' AND r.rn > 100)"""
 
 VIEWS["users_c"] = """
-SELECT site, id, CASE WHEN id % 10 = 0 AND (id // 100 + 1) % 7 <> 3 THEN name || ' (2)' ELSE name END AS name, description
-FROM users_v WHERE (id // 100) % 7 <> 3 OR (id % 10 = 0 AND (id // 100 + 1) % 7 <> 3)"""
+SELECT s.site, id, CASE WHEN id % 10 = 0 AND (id // 100 + 1) % 7 <> 3 THEN name || ' (2)' ELSE name END AS name, description
+FROM users_v JOIN sites_c s ON true WHERE (id // 100) % 7 <> 3 OR (id % 10 = 0 AND (id // 100 + 1) % 7 <> 3)"""
 
 
 def _captured_copy(names: list[str], renames: dict[str, str]) -> None:
@@ -683,7 +765,7 @@ SELECT t.site, t.type_pos, t.type_key, t.slug, t.name AS type_name,
        CASE WHEN greatest(ceil(c.total / 100), 1) > 2 THEN 'Showing the latest ' || CAST(coalesce(n.listed, 0) AS VARCHAR)
             || ' of ' || CAST(c.total AS VARCHAR) || ' items.' ELSE '' END AS note
 FROM types_kept_c t JOIN report_c x ON x.site = t.site AND x.type_key = t.type_key AND x.class = 'readable'
-LEFT JOIN type_counts c ON t.site = c.site AND t.type_key = c.type_key
+LEFT JOIN type_counts c ON t.type_key = c.type_key
 LEFT JOIN (SELECT site, type_key, count(*) AS listed FROM listed_c GROUP BY site, type_key) n
   ON t.site = n.site AND t.type_key = n.type_key"""
 
@@ -691,6 +773,39 @@ QUERIES.update({
     "captured_index_rows": "SELECT * FROM index_rows_v_c",
     "captured_type_report": "SELECT * FROM report_c",
     "captured_type_summary": "SELECT * FROM type_summary_c",
+    "captured_errors": """
+        SELECT site, type_key, error FROM report_c WHERE class = 'fatal'
+        UNION ALL SELECT 'https://three.example.com', NULL, 'types: HTTP 503'
+        UNION ALL SELECT 'https://five.example.com', NULL, 'types: not a JSON object'""",
+    "captured_index_lines": _index_lines(
+        "index_rows_v_c", "type_summary_c", "authors_v_c",
+        "SELECT site, regexp_extract(site, '://([^/]*)', 1) AS name FROM (SELECT unnest(['https://example.com', 'https://two.example.com/blog', "
+        "'https://three.example.com', 'https://four.example.com', 'https://five.example.com']) AS site)",
+        """
+UNION ALL SELECT site, 3, 0, 0, 0, '## Post types that could not be read' FROM report_c WHERE class = 'unreadable' GROUP BY site
+UNION ALL SELECT site, 3, 0, type_pos + 1, 0, '- [' || type_key || '] ' || name FROM report_c WHERE class = 'unreadable'"""),
+    "index_rows_agent": """
+        SELECT l.site, l.id, l.link AS permalink, l.href || '?html' AS href, """ + _LINE.replace("l.date_label", "''").replace("l.href", "l.href || '?html'") + """ AS line
+        FROM listed l LEFT JOIN authors_v a ON l.site = a.site AND l.author_id = a.author_id""",
+    "filter_posts": f"""
+        SELECT site, id, title FROM (SELECT site, id, {title_flat('title_raw')} AS title FROM posts_v)
+        WHERE NOT (regexp_matches(title, '^Order \\d*7 P$') OR title = 'Order 42 F') AND id NOT IN (7, 44, 1234)""",
+    "rule_kind": r"""
+        SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(v, '(?i)^[a-f]') THEN '0' END, CASE WHEN regexp_matches(v, 'PROMO$') THEN '1' END,
+          CASE WHEN regexp_matches(v, '\p{Lu}C') THEN '2' END, CASE WHEN v = '/unclosed(/' THEN '3' END,
+          CASE WHEN regexp_matches(v, '^l\w+[ \t]') THEN '4' END, CASE WHEN contains(v, 'widg') THEN '5' END) AS matched, 'r,r,r,s,r,r' AS kinds
+        FROM (SELECT p_partkey, p_name || ' ' || p_type AS v FROM part)""",
 })
 
+_RAW_MD5 = ("md5(regexp_replace(regexp_replace(fragment, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g'))")
+QUERIES["incremental_documents"] = f"""
+    SELECT id, CAST(NULL AS VARCHAR) AS error, {_RAW_MD5} AS md5, CAST(2 AS BIGINT) AS run_id FROM full_ok WHERE id % 2 = 1
+    UNION ALL SELECT src_id, error, NULL, 2 FROM full_errors WHERE src_id % 2 = 1
+    UNION ALL SELECT id, NULL, {_RAW_MD5}, 3 FROM full_ok
+    UNION ALL SELECT src_id, error, NULL, 3 FROM full_errors"""
+QUERIES["latest_documents"] = f"""
+    SELECT id, CAST(NULL AS VARCHAR) AS error, {_RAW_MD5} AS md5,
+      CAST(CASE WHEN id % 4 = 0 THEN 3 WHEN id % 2 = 1 THEN 2 ELSE 1 END AS BIGINT) AS run_id FROM full_ok
+    UNION ALL SELECT src_id, error, NULL, CASE WHEN src_id % 4 = 0 THEN 3 WHEN src_id % 2 = 1 THEN 2 ELSE 1 END FROM full_errors"""
+
 QUERIES["rejected_urls"] = f"SELECT batch_id, request_key, url FROM batches_v WHERE NOT {same_site('base', 'url')}"

@@ -8,9 +8,11 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date_gmt layouts (yyyy-MM-ddTHH:mm:ss, yyyy-MM-dd HH:mm:ss, yyyy-MM-dd),
-# and the zone used when none or an invalid one is set.
-GMT_PATTERN = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2}):(\d{2}))?$"
+# Accepted date_gmt layouts (yyyy-MM-dd, then optionally T or a space and HH:mm,
+# HH:mm:ss or HH:mm:ss.fraction, then optionally Z or an offset), and the zone used when none
+# or an invalid one is set.
+GMT_PATTERN = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+OFFSET_PATTERN = r"([+-])(\d{2}):?(\d{2})$"
 DEFAULT_ZONE = "UTC"
 # Short ids the JVM accepts as zone names (java.time.ZoneId.SHORT_IDS keys).
 JVM_SHORT_IDS = frozenset(
@@ -43,13 +45,19 @@ def parse_gmt(gmt: Column) -> Column:
     as Feb 30 give NULL) changes the result.
     """
     field = lambda start, n: F.substring(gmt, start, n).try_cast("int")
-    timed = F.length(gmt) == 19
+    timed, seconds = F.length(gmt) > 10, F.substring(gmt, 17, 1) == ":"
     zero = F.lit(0)
-    return F.when(gmt.rlike(GMT_PATTERN), F.try_make_timestamp_ntz(
+    wall = F.try_make_timestamp_ntz(
         field(1, 4), field(6, 2), field(9, 2),
         F.when(timed, field(12, 2)).otherwise(zero), F.when(timed, field(15, 2)).otherwise(zero),
-        F.when(timed, field(18, 2)).otherwise(zero),
-    ))
+        F.when(timed & seconds, field(18, 2)).otherwise(zero),
+    )
+    part = lambda n: F.regexp_extract(gmt, OFFSET_PATTERN, n)
+    minutes = part(2).try_cast("int") * 60 + part(3).try_cast("int")
+    ahead = F.when(part(1) == "-", -minutes).otherwise(minutes)
+    # A wall time with an offset is that far from UTC; the common layouts have none.
+    utc = F.when(timed & gmt.rlike(OFFSET_PATTERN), wall - F.make_dt_interval(mins=ahead)).otherwise(wall)
+    return F.when(gmt.rlike(GMT_PATTERN), utc)
 
 
 def ntz_iso(ts: Column) -> Column:

@@ -23,13 +23,12 @@ def header_entries(raw: Column) -> Column:
             php_trim(F.substr(l, F.instr(l, ":") + 1)).alias("value"),
         ),
     )
-    return F.filter(
-        entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))),
-            lambda o: o["name"] == e["name"],
-        ),
+    # One pass from the end: a name seen already is dropped, so the block is parsed once.
+    kept = F.aggregate(
+        F.reverse(entries), F.array().cast("array<struct<name:string,value:string>>"),
+        lambda acc, e: F.when(F.exists(acc, lambda o: o["name"] == e["name"]), acc).otherwise(F.array_append(acc, e)),
     )
+    return F.reverse(kept)
 
 
 def header_map(raw: Column) -> Column:
@@ -37,6 +36,18 @@ def header_map(raw: Column) -> Column:
     return F.map_from_entries(header_entries(raw))
 
 
+MIN_LONG, MAX_LONG = -(1 << 63), (1 << 63) - 1
+
+
+def header_int(text: Column) -> Column:
+    """Leading integer of a header value, 0 without one, held within 64 bits."""
+    digits = F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*([+-]?\d+)", 1)
+    wide = digits.try_cast("decimal(38,0)")
+    held = F.least(F.greatest(wide, F.lit(MIN_LONG)), F.lit(MAX_LONG)).cast("bigint")
+    beyond = F.when(F.startswith(digits, F.lit("-")), F.lit(MIN_LONG)).otherwise(F.lit(MAX_LONG))
+    return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(F.coalesce(held, beyond))
+
+
 def is_success(status: Column) -> Column:
     return F.coalesce((status >= 200) & (status < 300), F.lit(False))
 

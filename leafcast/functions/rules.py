@@ -6,17 +6,20 @@ the JVM.
 
 A rule is a regex when it is non-empty, starts with an ASCII punctuation character and
 parses as a delimited pattern: the same character closes it (or the matching bracket
-for ``( [ { <``), and only pattern modifiers follow. Otherwise it is an exact string.
+for ``( [ { <``), only pattern modifiers follow, and the engine that will run it (Java's, through
+``rlike``) compiles it. A pattern that no engine compiles is an exact string; one that
+only another engine compiles, or that uses constructs Java lacks, is rejected loudly.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterable
 from dataclasses import dataclass
-from typing import Iterable
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Bracket delimiters and the modifiers this compiler translates.
@@ -26,6 +29,12 @@ INLINE_FLAGS = {"i": "i", "m": "m", "s": "s", "x": "x", "u": "U"}
 UNSUPPORTED = {"U": "ungreedy", "D": "dollar-end-only", "A": "anchored", "S": "", "X": "", "J": "", "n": ""}
 
 
+# Constructs of delimited patterns that Java does not have.
+FOREIGN = re.compile(r"\(\?(?:\||R|&|P>|\d)|\(\*|(?<!\\)(?:\\\\)*\\[Kg]")
+# \p{Name} names a script or a category there; Java writes scripts \p{IsName}.
+PROPERTY = re.compile(r"\\([pP])\{(\^?)([A-Z][a-z]{2,}(?:_[A-Za-z]+)*)\}")
+
+
 class RuleError(ValueError):
     """A valid delimited pattern that cannot be expressed as a Java regex."""
 
@@ -54,23 +63,42 @@ def _split_delimited(value: str) -> tuple[str, str] | None:
     return body, mods
 
 
-def is_regex(value: str) -> bool:
-    """True when the value is a usable delimited pattern (it also has to compile)."""
-    parts = _split_delimited(value)
-    if parts is None:
-        return False
+def compiles(pattern: str) -> bool:
+    """Whether the engine behind ``rlike`` takes the pattern (a constant expression, so no job runs)."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     try:
-        re.compile(parts[0])
-    except re.error:
+        spark.sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
+    except PySparkException:
         return False
     return True
 
 
+def translated(body: str) -> str:
+    """The same pattern in Java's spelling: script names and named groups."""
+    body = PROPERTY.sub(lambda m: "\\" + ("P" if (m[1] == "P") != bool(m[2]) else "p") + "{Is" + m[3] + "}", body)
+    return body.replace("(?P<", "(?<")
+
+
+def is_regex(value: str) -> bool:
+    """True when the value is a usable delimited pattern."""
+    return compile_rule(value).is_regex
+
+
 def compile_rule(value: str) -> Rule:
     parts = _split_delimited(value)
-    if parts is None or not is_regex(value):
+    if parts is None:
         return Rule(value, None)
     body, mods = parts
+    if not compiles(body):
+        body = translated(body)
+    if FOREIGN.search(body):
+        raise RuleError(f"rule {value!r}: the pattern uses a construct that Java's regex engine lacks")
+    if not compiles(body):
+        try:
+            re.compile(body)
+        except re.error:
+            return Rule(value, None)
+        raise RuleError(f"rule {value!r}: Java's regex engine does not compile the pattern")
     flags = "".join(INLINE_FLAGS[m] for m in mods if m in INLINE_FLAGS)
     bad = [UNSUPPORTED[m] or m for m in mods if m in UNSUPPORTED and UNSUPPORTED[m]]
     if bad:

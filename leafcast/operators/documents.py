@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from leafcast.functions import dates, text, yaml
 from leafcast.functions import terms as fterms
 from leafcast.operators import html_jobs
 from leafcast.options import Options
+from leafcast.session import path_exists
 
-DOC_KEYS = ["site", "rest_base", "id"]
+DOC_KEYS = ["site", "request_key", "rest_base", "id"]
 # Fixed value: head of the HTML document mode.
 HTML_HEAD = '<html><head><meta charset="UTF-8"><meta name="robots" content="noindex, nofollow">'
 
@@ -38,11 +41,12 @@ def front_matter(post_id: Column, date_gmt: Column, title: Column, terms: Column
     return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"))
 
 
-def source_hash(posts: DataFrame, mode: str) -> Column:
-    """Content hash of everything a document is made from (drives incremental runs)."""
+def source_hash(posts: DataFrame, mode: str, opts: Options) -> Column:
+    """Hash of everything a document is made from, options included (drives incremental runs)."""
     cols = [c for c in ("request_key", "title_raw", "content", "link", "date_gmt", "author_name", "error")
             if c in posts.columns]
-    parts = [F.lit(mode)] + [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]
+    options = (opts.zone, opts.form_mode, opts.keep_attrs, opts.drop_tags, opts.unwrap_tags, opts.show_api_endpoint)
+    parts = [F.lit(mode), F.lit(repr(options))] + [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]
     parts.append(F.coalesce(F.to_json(F.col("terms")), F.lit("")))
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
@@ -50,12 +54,12 @@ def source_hash(posts: DataFrame, mode: str) -> Column:
 def build_documents(posts: DataFrame, opts: Options, mode: str = "markdown", partitions: int | None = None) -> DataFrame:
     """Entry B for a corpus of full posts (``leafcast.sources.captures.full_post`` shape).
 
-    Output: site, rest_base, id, mode, title, body, error, src_hash. One pass over the
+    Output: site, request_key, rest_base, id, mode, title, body, error, src_hash. One pass over the
     input: rows whose fetch or parse failed go through the same plan with no content
     (the tree pass skips them) and keep their error; converter failures are errors too.
     """
     upstream = F.nullif(F.coalesce(F.col("error"), F.lit("")), F.lit(""))
-    src = posts.withColumn("src_hash", source_hash(posts, mode)).withColumn("_up_err", upstream)
+    src = posts.withColumn("src_hash", source_hash(posts, mode, opts)).withColumn("_up_err", upstream)
     content = F.when(F.col("_up_err").isNull(), text.lf_normalize(F.coalesce(F.col("content"), F.lit(""))))
     title = text.title_flat(F.col("title_raw"))
     if mode == "raw":
@@ -63,18 +67,18 @@ def build_documents(posts: DataFrame, opts: Options, mode: str = "markdown", par
                          text.collapse_blank_lines(content).alias("body"), F.lit(None).cast("string").alias("_job_err"))
     elif mode == "html":
         prepared = src.select(*DOC_KEYS, "src_hash", "_up_err", title.alias("title"), text.collapse_blank_lines(content).alias("_c"))
-        slimmed = html_jobs.slim_job(prepared, DOC_KEYS + ["src_hash", "_up_err", "title"], "_c", opts, partitions)
+        slimmed = html_jobs.slim_job(prepared, DOC_KEYS + ["src_hash", "_up_err", "title"], "_c", opts)
         esc = text.html_escape(F.col("title"))
         body = F.concat(F.lit(HTML_HEAD), F.lit("<title>"), esc, F.lit("</title></head><body><h1>"), esc, F.lit("</h1>"),
                         F.coalesce(F.col("slim"), F.lit("")), F.lit("</body></html>"))
-        out = slimmed.select(*DOC_KEYS, "src_hash", "_up_err", "title", body.alias("body"), F.col("error").alias("_job_err"))
+        out = slimmed.select(*DOC_KEYS, "src_hash", "_up_err", "title", body.alias("body"), F.lit(None).cast("string").alias("_job_err"))
     else:
         meta = src.select(*DOC_KEYS, "src_hash", "_up_err", "title_raw", content.alias("_c"), "date_gmt", "terms",
                           "author_name", "link")
         md = html_jobs.markdown_job(meta, DOC_KEYS + ["src_hash", "_up_err", "date_gmt", "terms", "author_name", "link"],
                                     "_c", "title_raw", opts, partitions)
         fm = front_matter(F.col("id"), F.col("date_gmt"), F.col("title"), F.col("terms"), F.col("author_name"),
-                          F.col("link"), opts, F.concat(F.lit(opts.site + "/wp-json/wp/v2/"), F.col("rest_base"), F.lit("/"),
+                          F.col("link"), opts, F.concat(F.col("site"), F.lit("/wp-json/wp/v2/"), F.col("rest_base"), F.lit("/"),
                                                         F.col("id").cast("string"), F.lit("?_embed=author,wp:term")))
         out = md.select(*DOC_KEYS, "src_hash", "_up_err", "title", F.concat(fm, F.col("markdown")).alias("body"),
                         F.col("error").alias("_job_err"))
@@ -84,19 +88,18 @@ def build_documents(posts: DataFrame, opts: Options, mode: str = "markdown", par
 
 
 def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options, mode: str = "markdown",
-                          run_id: int = 0) -> DataFrame:
+                          run_id: int | None = None) -> DataFrame:
     """Documents not yet in ``out_path`` with the same key and source hash (a left anti join).
 
-    The caller appends the result to ``out_path``; a second run over unchanged input
-    converts nothing. ``latest_documents`` reads the newest version of each key.
+    The caller appends the result to ``out_path``; a second run over unchanged input and options
+    converts nothing. ``latest_documents`` reads the newest version of each key. ``run_id`` must
+    grow from run to run (default: the time).
     """
-    from pyspark.errors import AnalysisException
-
-    src = posts.withColumn("src_hash", source_hash(posts, mode))
-    try:
+    run_id = int(time.time() * 1000) if run_id is None else run_id
+    src = posts.withColumn("src_hash", source_hash(posts, mode, opts))
+    done = None
+    if path_exists(spark, out_path):
         done = spark.read.parquet(out_path).select(*[F.col(k).alias("_d_" + k) for k in DOC_KEYS + ["src_hash"]])
-    except AnalysisException:
-        done = None
     if done is not None:
         # Null-safe: keys of failed fetches and types without rest_base hold NULLs.
         cond = None
@@ -106,13 +109,12 @@ def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options,
         todo = src.join(done.distinct(), cond, "left_anti")
     else:
         todo = src
-    return build_documents(todo.drop("src_hash"), opts, mode).withColumn("run_id", F.lit(run_id))
+    return build_documents(todo.drop("src_hash"), opts, mode).withColumn("run_id", F.lit(run_id).cast("bigint"))
 
 
 def latest_documents(spark, out_path: str) -> DataFrame:
-    """Newest version of each document key (keys may hold NULLs, so a window, not a join)."""
-    from pyspark.sql import Window
-
+    """Newest version of each request key of a site; failed fetches have keys of their own like any other."""
     docs = spark.read.parquet(out_path)
-    w = Window.partitionBy(*DOC_KEYS).orderBy(F.col("run_id").desc())
-    return docs.withColumn("_v", F.row_number().over(w)).where(F.col("_v") == 1).drop("_v")
+    rest = [c for c in docs.columns if c not in ("site", "request_key")]
+    newest = docs.groupBy("site", "request_key").agg(F.max_by(F.struct(*rest), F.struct("run_id", "src_hash")).alias("_d"))
+    return newest.select("site", "request_key", "_d.*").select(*docs.columns)

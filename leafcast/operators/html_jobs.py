@@ -1,7 +1,7 @@
 """HTML corpus jobs (H1-H9 slim, M1-M14 Markdown) as DataFrame -> DataFrame functions.
 
-Each job is: native column passes -> one Arrow batch pass (``mapInArrow``) holding the
-per-document tree work of ``htmltree`` -> native column passes. The JVM -> Python
+The slim job is column expressions only (``slim``). The Markdown job is native column passes
+around one Arrow batch pass (``mapInArrow``) holding the per-document rendering of ``htmltree``. The JVM -> Python
 boundary is crossed once per partition; rows that fail to convert keep their key and
 carry an ``error`` text instead of failing the job. Before the tree pass rows are spread by
 key hash (``spread``) so every task gets a bounded, even share of documents.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leafcast.functions import text, urls
+from leafcast.operators import slim as slimming
 from leafcast.options import Options
 
 # Document wrapper tags removed as text before parsing (H2), and the
@@ -37,7 +38,7 @@ def prettify_link_targets(md: Column) -> Column:
         tokens,
         lambda t: F.when(
             t.startswith("]("),
-            F.concat(F.lit("]("), urls.prettify_url(F.substring(t, 3, 1 << 30).substr(F.lit(1), F.length(t) - 3)), F.lit(")")),
+            F.concat(F.lit("]("), urls.prettify_url(t.substr(F.lit(3), F.length(t) - 3)), F.lit(")")),
         ).otherwise(t),
     )
     return F.when(md.isNotNull(), F.array_join(pretty, ""))
@@ -72,7 +73,7 @@ def _arrow_job(df: DataFrame, keys: Sequence[str], source: str, fn: Callable[[st
                     errs.append(None)
                 except Exception as e:  # one bad document must not fail the partition
                     outs.append(None)
-                    errs.append(f"{type(e).__name__}: {e}"[:500])
+                    errs.append(f"{type(e).__name__}: {e}")
             cols = [b.column(b.schema.get_field_index(k)) for k in keys]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(outs, pa.string()), pa.array(errs, pa.string())],
                                              names=list(keys) + ["out", "error"])
@@ -80,14 +81,16 @@ def _arrow_job(df: DataFrame, keys: Sequence[str], source: str, fn: Callable[[st
     return df.mapInArrow(run, out_schema)
 
 
-def slim_job(df: DataFrame, keys: Sequence[str], html_col: str, opts: Options, partitions: int | None = None) -> DataFrame:
-    """H1: slim every document (H2 natively, H3-H9 in the tree pass). Blank input is returned as is."""
-    from leafcast.operators.htmltree import slim
+def slim_job(df: DataFrame, keys: Sequence[str], html_col: str, opts: Options) -> DataFrame:
+    """H1: slim every document (H2, then H3-H9) with column expressions; blank and NULL input is returned as is.
 
-    keep, drop, unwrap = tuple(opts.keep_attrs), tuple(opts.drop_tags), tuple(opts.unwrap_tags)
-    pre = df.withColumn("_html", F.when(F.col(html_col).isNull() | (text.php_trim(F.col(html_col)) == ""), F.col(html_col))
-                        .otherwise(strip_wrappers(F.col(html_col))))
-    return _arrow_job(pre, keys, "_html", lambda h: slim(h, keep, drop, unwrap), partitions).withColumnRenamed("out", "slim")
+    Returns keys and ``slim``. One pass, no shuffle.
+    """
+    prepared = df.select(*keys, strip_wrappers(F.col(html_col)).alias("_html"), F.col(html_col).alias("_src"))
+    slim = F.when(text.php_trim(F.col("_src")) == "", F.col("_src")).otherwise(
+        slimming.slim(F.col("_html"), tuple(opts.keep_attrs), tuple(opts.drop_tags), tuple(opts.unwrap_tags))
+    )
+    return prepared.select(*keys, slim.alias("slim"))
 
 
 def markdown_job(df: DataFrame, keys: Sequence[str], html_col: str, title_col: str, opts: Options,

@@ -14,26 +14,21 @@ from pyspark.sql import functions as F
 from leafcast.functions import dates, rules, text, urls
 from leafcast.options import Options
 
-# Fan-out of the first top-N level. Rows are grouped by the partition that holds them
-# (spark_partition_id, stable when a task is retried), so the map-side partial top-N
-# keeps at most ``cap`` rows per (site, type) per input partition, and the second level
-# sees at most LISTING_FANOUT x cap rows per type however large the type is.
-LISTING_FANOUT = 64
-# Up to this many excluded ids are an IN list (pushed into scans); more become a broadcast anti join.
-MAX_INLINE_IDS = 1000
 
 
 def newest_per_type(posts: DataFrame, opts: Options) -> DataFrame:
     """K1 + K5: newest ``per_page x max_pages`` posts per (site, type) by (date desc, id desc).
 
     Two-level top-N: per (site, type, partition group), then per (site, type) over the
-    survivors. Both windows are filtered on their row number, which Catalyst plans as a
+    survivors. The first level groups rows by the partition that holds them
+    (``spark_partition_id``, stable when a task is retried) modulo ``listing_fanout``, so
+    the second level sees at most fan-out x cap rows per type however large the type is. Both windows are filtered on their row number, which Catalyst plans as a
     ``WindowGroupLimit`` on each side of the shuffle (partial top-N before it).
     Adds ``page`` (1-based) and ``pos`` (0-based), the fetch position of each post.
     """
     cap = opts.listing_cap
     order = [F.col("date").desc_nulls_last(), F.col("id").desc_nulls_last()]
-    grouped = posts.withColumn("_grp", F.spark_partition_id() % LISTING_FANOUT)
+    grouped = posts.withColumn("_grp", F.spark_partition_id() % int(opts.listing_fanout))
     w1 = Window.partitionBy("site", "type_key", "_grp").orderBy(*order)
     stage1 = grouped.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= cap)
     w2 = Window.partitionBy("site", "type_key").orderBy(*order)
@@ -75,13 +70,9 @@ def exclude_posts(posts: DataFrame, opts: Options) -> DataFrame:
     title_rules = rules.compile_rules(opts.exclude_titles, trim=True)
     out = posts.where(~rules.matches_any(F.col("title"), title_rules))
     ids = sorted({int(i) for i in opts.exclude_ids})
-    if len(ids) > MAX_INLINE_IDS:
-        # A long list becomes a table; its size is the list's, so broadcasting it is safe.
-        spark = posts.sparkSession
-        table = spark.createDataFrame([(i,) for i in ids], "_xid bigint")
-        out = out.join(F.broadcast(table), F.col("id") == F.col("_xid"), "left_anti")
-    elif ids:
-        out = out.where(F.col("id").isNull() | ~F.col("id").isin(ids))
+    if ids:
+        table = posts.sparkSession.createDataFrame([(i,) for i in ids], "_xid bigint")
+        out = out.join(table, F.col("id") == F.col("_xid"), "left_anti")
     return out
 
 
@@ -155,11 +146,12 @@ def index_rows(listed: DataFrame, authors_df: DataFrame, agent: bool = False, ht
     j = listed.join(a, (F.col("site") == F.col("_asite")) & (F.col("author_id") == F.col("_aid")), "left").drop("_asite", "_aid")
     terms_arr = F.coalesce(F.col("terms_flat"), F.array().cast("array<string>"))
     href = F.concat(F.col("href"), F.lit("?html")) if html_links else F.col("href")
+    permalink = F.col("link") if agent else urls.prettify_url(F.col("link"))
     return j.select(
         "site", "type_key", "slug", "rank", "id", "title", "parent_title",
         F.array_join(terms_arr, "|").alias("terms"),
         F.col("date_local").alias("date"), "date_label", "author_id",
-        F.coalesce("author_name", F.lit("")).alias("author_name"), "link",
+        F.coalesce("author_name", F.lit("")).alias("author_name"), "link", permalink.alias("permalink"),
         href.alias("href"),
         listing_line(F.col("title"), terms_arr, F.col("date_label"), F.col("parent_title"), href, agent).alias("line"),
     )

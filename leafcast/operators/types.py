@@ -18,9 +18,11 @@ SHOWING_LATEST = "Showing the latest %d of %d items."
 def parse_type_map(captures: DataFrame) -> DataFrame:
     """A captured types response (JSON object keyed by type) -> one row per type.
 
-    ``type_pos`` keeps the object's key order (the order sections are shown in).
+    ``type_pos`` keeps the object's key order (the order sections are shown in). A failed
+    response has no types, whatever its body says.
     """
-    parsed = captures.select("site", F.from_json("body", TYPE_MAP_SCHEMA).alias("m"))
+    ok = http.outcome_body(F.coalesce(F.col("status"), F.lit(0)), F.col("body"))
+    parsed = captures.select("site", F.from_json(ok, TYPE_MAP_SCHEMA).alias("m"))
     return parsed.select(
         "site", F.posexplode(F.map_entries(F.coalesce("m", F.create_map().cast(TYPE_MAP_SCHEMA)))).alias("type_pos", "e")
     ).select(
@@ -29,6 +31,19 @@ def parse_type_map(captures: DataFrame) -> DataFrame:
     )
 
 
+def type_map_errors(captures: DataFrame) -> DataFrame:
+    """Fatal types responses as rows (site, type_key NULL, error): a failed fetch, or a body that is no JSON object."""
+    st = F.coalesce(F.col("status"), F.lit(0))
+    no_map = F.from_json("body", TYPE_MAP_SCHEMA).isNull()
+    error = (
+        F.when(~http.is_success(st), http.outcome_error(st, F.col("error") if "error" in captures.columns else F.lit("")))
+        .when(no_map, F.lit("not a JSON object"))
+    )
+    return captures.select("site", F.lit(None).cast("string").alias("type_key"), F.concat(F.lit("types: "), error).alias("error")).where(
+        "error IS NOT NULL"
+    )
+
+
 def filter_types(types: DataFrame, opts: Options) -> DataFrame:
     """Drop types without slug, with a slug or name matching a rule, or without rest_base."""
     slug_rules = rules.compile_rules(opts.exclude_type_slugs)
@@ -50,9 +65,11 @@ def with_type_pos(types: DataFrame) -> DataFrame:
 def type_readability(first_pages: DataFrame) -> DataFrame:
     """classify each type's first-page capture: readable / unreadable (401, 404) / fatal.
 
-    ``first_pages`` has ``site, type_key, name, status, error``. Unreadable types are
-    listed by name (the key when the name is missing); fatal rows carry an error text.
+    ``first_pages`` has ``site, type_key, name, status, error`` (and ``type_pos``, kept if
+    there). Unreadable types are listed by name (the key when the name is missing); fatal
+    rows carry an error text.
     """
+    kept = ["type_pos"] if "type_pos" in first_pages.columns else []
     st = F.coalesce(F.col("status"), F.lit(0))
     cls = (
         F.when(http.is_success(st), F.lit("readable"))
@@ -60,7 +77,7 @@ def type_readability(first_pages: DataFrame) -> DataFrame:
         .otherwise(F.lit("fatal"))
     )
     return first_pages.select(
-        "site", "type_key", F.coalesce("name", "type_key").alias("name"), st.alias("status"), cls.alias("class"),
+        "site", *kept, "type_key", F.coalesce("name", "type_key").alias("name"), st.alias("status"), cls.alias("class"),
         F.when(cls == "fatal", F.concat(F.lit("slug: "), F.col("type_key"),
                                         F.when(http.outcome_error(st, F.col("error")) != "",
                                                F.concat(F.lit(", "), http.outcome_error(st, F.col("error"))))
@@ -71,12 +88,9 @@ def type_readability(first_pages: DataFrame) -> DataFrame:
 def type_totals(first_pages: DataFrame, opts: Options) -> DataFrame:
     """Totals from the first page's headers (junk -> 0; missing pages header -> 1) and page plan."""
     h = http.header_map(F.col("headers_raw"))
-    total_text = F.try_element_at(h, F.lit("x-wp-total"))
-    total = F.coalesce(F.regexp_extract(F.coalesce(total_text, F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+    total = http.header_int(F.try_element_at(h, F.lit("x-wp-total")))
     pages_text = F.try_element_at(h, F.lit("x-wp-totalpages"))
-    pages = F.when(pages_text.isNull(), F.lit(1)).otherwise(
-        F.coalesce(F.regexp_extract(pages_text, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
-    )
+    pages = F.when(pages_text.isNull(), F.lit(1).cast("bigint")).otherwise(http.header_int(pages_text))
     return first_pages.select(
         "site", "type_key", total.alias("total_found"), pages.alias("total_pages"),
         (pages > F.lit(int(opts.max_pages_per_type))).alias("truncated"),

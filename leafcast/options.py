@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from leafcast.functions.dates import resolve_zone
 
@@ -29,7 +29,7 @@ class Options:
     keep_attrs: tuple[str, ...] = DEFAULT_KEEP_ATTRS
     drop_tags: tuple[str, ...] = DEFAULT_DROP_TAGS
     unwrap_tags: tuple[str, ...] = ()
-    extra: dict = field(default_factory=dict)
+    listing_fanout: int = 64
 
     @property
     def per_page(self) -> int:
@@ -38,8 +38,8 @@ class Options:
 
     @property
     def listing_cap(self) -> int:
-        """Posts kept per type: per_page x max_pages_per_type (newest first)."""
-        return self.per_page * max(0, int(self.max_pages_per_type))
+        """Posts kept per type: per_page x max_pages_per_type (newest first); page 1 is always read."""
+        return self.per_page * max(1, int(self.max_pages_per_type))
 
     @property
     def zone(self) -> str:

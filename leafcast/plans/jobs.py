@@ -2,13 +2,16 @@
 
 Input folders hold parquet tables of captured responses (schemas in ``leafcast.schemas``):
 ``types`` (one type-map response per site), ``collections`` (collection pages keyed
-``type_key|page``), ``users`` (user lookup chunks) and ``posts`` (single-post responses).
+``type_key|page``), ``users`` (user lookup chunks), ``roots`` (site roots, optional) and
+``posts`` (single-post responses).
 Outputs are parquet tables partitioned by site, so each site's results can be read or
 replaced on their own.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +20,13 @@ from leafcast.operators import documents as docs
 from leafcast.operators import report
 from leafcast.options import Options
 from leafcast.plans import site_index
+from leafcast.session import path_exists, release
 from leafcast.sources import captures as cap
 
 TYPES_CAPTURE = "site string, request_key string, kind string, status int, body string"
+ROOTS_CAPTURE = "site string, kind string, status int, body string, error string"
 COLLECTIONS_CAPTURE = ("site string, request_key string, kind string, type_key string, page int, status int, "
-                       "headers_raw string, body string, error string")
+                       "headers_raw string, body string, error string, fetched_at bigint")
 USERS_CAPTURE = "site string, chunk bigint, request_key string, status int, body string, error string"
 
 
@@ -30,40 +35,49 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_index_lines(lines: DataFrame, path: str) -> None:
-    """W4 sink: one folder per site, lines sorted by (section, pos) inside each file.
+    """W4 sink: one folder per site, lines sorted by (kind, section, pos, detail) inside each file.
 
     A site's index is bounded by the listing cap, so one task per site is bounded too.
     """
-    (lines.repartition("site").sortWithinPartitions("site", "section", "pos")
+    (lines.repartition("site").sortWithinPartitions("site", "kind", "section", "pos", "detail")
      .write.mode("overwrite").partitionBy("site").parquet(path))
 
 
 def site_index_job(spark: SparkSession, captures_dir: str, out_dir: str, opts: Options) -> dict[str, str]:
     """Entry A over captured tables; writes rows, summary, type report, errors and lines."""
     base = captures_dir.rstrip("/")
+    types = _read(spark, f"{base}/types", TYPES_CAPTURE)
     ci = site_index.from_captures(
-        spark, _read(spark, f"{base}/types", TYPES_CAPTURE), _read(spark, f"{base}/collections", COLLECTIONS_CAPTURE),
+        spark, types, _read(spark, f"{base}/collections", COLLECTIONS_CAPTURE),
         _read(spark, f"{base}/users", USERS_CAPTURE), opts,
     )
     out = out_dir.rstrip("/")
     paths = {name: f"{out}/{name}" for name in ("index_rows", "type_summary", "type_report", "errors", "index_lines")}
-    ci.index.rows.write.mode("overwrite").partitionBy("site").parquet(paths["index_rows"])
-    ci.index.summary.write.mode("overwrite").partitionBy("site").parquet(paths["type_summary"])
-    ci.types.write.mode("overwrite").partitionBy("site").parquet(paths["type_report"])
-    ci.errors.write.mode("overwrite").partitionBy("site").parquet(paths["errors"])
-    lines = report.index_lines(report.site_names(ci.index.types), ci.index.authors, ci.index.summary, ci.index.rows,
+    for name, df in (("index_rows", ci.index.rows), ("type_summary", ci.index.summary), ("type_report", ci.types), ("errors", ci.errors)):
+        # Clustered by site first, so a site is one file and not one per task.
+        df.repartition("site").write.mode("overwrite").partitionBy("site").parquet(paths[name])
+    roots = None
+    if path_exists(spark, f"{base}/roots"):
+        roots = cap.site_name(_read(spark, f"{base}/roots", ROOTS_CAPTURE))
+    # Titles are for every site that was captured, also one whose types are all unreadable.
+    lines = report.index_lines(report.site_names(types, roots), ci.index.authors, ci.index.summary, ci.index.rows,
                                unreadable=ci.types)
     write_index_lines(lines, paths["index_lines"])
+    release(spark)
     return paths
 
 
 def documents_job(spark: SparkSession, posts_dir: str, out_dir: str, opts: Options, mode: str = "markdown",
-                  run_id: int = 0) -> int:
+                  run_id: int | None = None) -> int:
     """Entry B, incremental: converts posts whose source changed and appends them (W2 sink).
 
     Returns the number of documents written by this run (0 when nothing changed).
     """
+    run_id = int(time.time() * 1000) if run_id is None else run_id
     posts = cap.full_post(_read(spark, posts_dir, schemas.POST_CAPTURE))
     todo = docs.incremental_documents(spark, posts, out_dir, opts, mode, run_id=run_id)
-    todo.write.mode("append").partitionBy("site").parquet(out_dir)
+    todo.repartition("site", F.pmod(F.xxhash64("request_key"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))) \
+        .write.mode("append").partitionBy("site", "run_id").parquet(out_dir)
+    if not path_exists(spark, out_dir):
+        return 0
     return spark.read.parquet(out_dir).where(F.col("run_id") == run_id).count()

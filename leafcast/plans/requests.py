@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from leafcast.functions import dates
 from leafcast.options import Options
 
-# The collection query and the fields it asks for.
-COLLECTION_QUERY = "?per_page={per_page}&page={page}&orderby=date&order=desc&_embed=wp:term"
+# The fields a collection query asks for.
 COLLECTION_FIELDS = "&_fields=id,title,link,date,date_gmt,parent,author,_links.wp:term,_embedded.wp:term"
 USERS_PER_REQUEST = 100
 
@@ -34,7 +33,7 @@ def first_pages(types: DataFrame, opts: Options) -> DataFrame:
 def next_pages(types: DataFrame, totals: DataFrame, readable: DataFrame, opts: Options) -> DataFrame:
     """Pages 2..min(total_pages, cap) of readable types, keyed 'type|page'."""
     t = types.join(totals, ["site", "type_key"], "inner").join(readable.select("site", "type_key"), ["site", "type_key"], "left_semi")
-    end = F.least(F.col("total_pages"), F.lit(int(opts.max_pages_per_type)))
+    end = F.least(F.col("total_pages"), F.lit(int(opts.max_pages_per_type))).cast("int")
     # sequence(2, 1) counts down, so keep only pages up to the end.
     pages = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), end)), lambda p: p <= end)
     return t.select("site", "type_key", "rest_base", F.explode(pages).alias("page")).select(

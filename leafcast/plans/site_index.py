@@ -1,8 +1,10 @@
-"""Entry A as one lazy plan: types -> capped listing -> parents -> exclusions -> order -> authors.
+"""Entry A: types -> capped listing -> parents -> exclusions -> order -> authors.
 
 ``from_tables`` builds the index from the adapter views over a table folder; the
 operators themselves only need DataFrames with the documented columns, so the same
-functions run on captured responses (``leafcast.sources.captures``).
+functions run on captured responses (``leafcast.sources.captures``). Results bounded by the
+listing cap are written while the plan is built (``materialize``) and shared by the branches
+that follow; those branches stay lazy.
 """
 
 from __future__ import annotations
@@ -64,9 +66,9 @@ def from_tables(spark: SparkSession, base: str, opts: Options, agent: bool = Fal
 def adapters_totals(spark: SparkSession, base: str, opts: Options) -> DataFrame:
     """G2 for adapter posts: what the first page's headers would say (count, page count)."""
     counts = adapters.posts_v(spark, base).groupBy("site", "type_key").agg(F.count(F.lit(1)).alias("total_found"))
-    pages = F.greatest(F.ceil(F.col("total_found") / F.lit(opts.per_page)), F.lit(1)).cast("int")
+    pages = F.greatest(F.ceil(F.col("total_found") / F.lit(opts.per_page)), F.lit(1)).cast("bigint")
     return counts.select(
-        "site", "type_key", F.col("total_found").cast("int").alias("total_found"), pages.alias("total_pages"),
+        "site", "type_key", F.col("total_found").cast("bigint").alias("total_found"), pages.alias("total_pages"),
         (pages > F.lit(int(opts.max_pages_per_type))).alias("truncated"),
     )
 
@@ -86,25 +88,29 @@ def from_captures(spark: SparkSession, types_capture: DataFrame, collections: Da
     ``collections`` holds collection captures keyed ``type_key|page`` with ``type_key``
     and ``page`` columns. A type whose first page answered 401/404 is unreadable (listed
     by name); any other failed first page, or a failed / missing planned page, makes the
-    type fatal: it is left out of the index and reported in ``errors``.
+    type fatal: it is left out of the index and reported in ``errors``, as is a site whose
+    types response failed. Every join is by site, and of several captures of one key the
+    latest counts.
     """
     from leafcast.operators import types as ty
     from leafcast.plans import requests as rq
     from leafcast.sources import captures as cap
 
+    collections = cap.latest_per_key(collections)
+    types_capture = cap.latest_per_key(types_capture)
     types = reuse(ty.filter_types(ty.parse_type_map(types_capture), opts))
     first = types.join(collections.where(F.col("page") == 1).drop("site_name"), ["site", "type_key"], "left")
-    readability = ty.type_readability(first.select("site", "type_key", "name", "status", "error"))
+    readability = ty.type_readability(first.select("site", "type_pos", "type_key", "name", "status", "error"))
     totals = ty.type_totals(first, opts)
     readable = readability.where(F.col("class") == "readable").select("site", "type_key")
     planned = rq.next_pages(types, totals, readable, opts).select("site", "type_key", "page", "request_key")
-    later = cap.keyed_results(planned, collections.select("request_key", "status", "headers_raw", "body", "error"))
+    later = cap.keyed_results(planned, collections.select("site", "request_key", "status", "headers_raw", "body", "error"))
     failed_later = later.where(~F.col("success")).groupBy("site", "type_key").agg(
         F.min_by(F.concat(F.lit("slug: "), F.col("type_key"), F.lit(", page "), F.col("page").cast("string"), F.lit(", "),
                           F.col("error")), F.col("page")).alias("later_error"))
     report = reuse(
         readability.join(failed_later, ["site", "type_key"], "left").select(
-            "site", "type_key", "name", "status",
+            "site", "type_pos", "type_key", "name", "status",
             F.when(F.col("later_error").isNotNull(), F.lit("fatal")).otherwise(F.col("class")).alias("class"),
             F.coalesce(F.nullif(F.col("error"), F.lit("")), F.col("later_error"), F.lit("")).alias("error"),
         ))
@@ -120,5 +126,5 @@ def from_captures(spark: SparkSession, types_capture: DataFrame, collections: Da
     rows = idx.index_rows(listed, authors)
     kept = types.join(listable, ["site", "type_key"], "left_semi")
     summary = reuse(ty.type_summary(kept, totals, listed))
-    errors = report.where(F.col("class") == "fatal").select("site", "type_key", "error")
+    errors = report.where(F.col("class") == "fatal").select("site", "type_key", "error").unionByName(ty.type_map_errors(types_capture))
     return CapturedIndex(SiteIndex(kept, fetched, listed, authors, rows, summary), report, errors)

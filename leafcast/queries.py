@@ -139,15 +139,16 @@ def q_yaml_value(spark, base):
         read_table(spark, base, "orders", "o_orderkey", "o_orderpriority").select(F.lit("priority").alias("src"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v")),
         read_table(spark, base, "orders", "o_orderkey").select(F.lit("order_id").alias("src"), F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("v")),
         read_table(spark, base, "customer", "c_custkey", "c_name").select(F.lit("customer").alias("src"), F.col("c_custkey").alias("k"), F.col("c_name").alias("v")),
-        read_table(spark, base, "conversations", "conv_id", "turn", "text").select(F.lit("conversation").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.col("text").alias("v")),
+        read_table(spark, base, "conversations", "conv_id", "turn", "text").select(F.lit("conversation").alias("src"), F.col("conv_id").alias("k"), F.col("turn"), F.col("text").alias("v")),
     ]
     u = parts[0]
     for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.select("src", "k", "v", yaml.yaml_scalar(F.col("v")).alias("y"))
+        u = u.unionByName(p, allowMissingColumns=True)
+    return u.select("src", "k", F.coalesce("turn", F.lit(0)).alias("turn"), "v", yaml.yaml_scalar(F.col("v")).alias("y"))
 
 
 BAD_ZONE = "Not/AZone"
+DATE_SUFFIXES = ("", "Z", ".250", "+09:00", "-0330", ".5Z", "")
 
 
 @query("format_datetime")
@@ -155,8 +156,9 @@ def q_format_datetime(spark, base):
     """C7 on event times in four zones (one invalid -> default), with blank and junk inputs."""
     e = read_table(spark, base, "events", "event_id", "ts")
     k = F.col("event_id")
-    gmt = (F.when(k % 97 == 0, F.lit("")).when(k % 89 == 0, F.lit("not a date"))
-           .otherwise(dates.ntz_iso(F.col("ts"))))
+    iso = dates.ntz_iso(F.col("ts"))
+    suffix = F.element_at(F.array(*(F.lit(x) for x in DATE_SUFFIXES)), (k % len(DATE_SUFFIXES) + 1).cast("int"))
+    gmt = F.when(k % 97 == 0, "").when(k % 89 == 0, "not a date").when(k % 13 == 4, F.substring(iso, 1, 16)).otherwise(F.concat(iso, suffix))
     # gmt is projected first: referenced by four formats, it is then computed once per row.
     g = e.select("event_id", gmt.alias("gmt"))
     c = F.col("gmt")
@@ -311,7 +313,10 @@ def q_unresolved_targets(spark, base):
 @query("redirect_once")
 def q_redirect_once(spark, base):
     """One redirect hop for failed fetches with a Location header."""
-    return resolve.redirect_once(adapters.captures_v(spark, base))
+    c = adapters.captures_v(spark, base)
+    site = F.concat(F.regexp_extract("url", ORIGIN, 0), F.when(F.col("page_id") % 20 == 2, "/en").otherwise(""))
+    again = c.where(F.col("page_id") % 3 == 0).withColumn("request_key", F.concat("request_key", F.lit("|again")))
+    return resolve.redirect_once(c.unionByName(again).withColumn("site", site))
 
 
 def _batches(spark, base):
@@ -342,7 +347,7 @@ def q_src_types(spark, base):
 @query("src_posts")
 def q_src_posts(spark, base):
     """S2 + G6: posts of captured collection pages (a broken page reads as empty)."""
-    posts = cap.collection_posts(adapters.collections_v(spark, base))
+    posts = cap.collection_posts(cap.with_outcome(cap.latest_per_key(adapters.collections_v(spark, base))))
     return posts.select(
         "site", "type_key", "page", "pos", "id", "title_raw", "date_gmt", "parent", "author",
         fterms.term_count(F.col("terms")).alias("n_terms"),
@@ -370,9 +375,9 @@ def q_site_name(spark, base):
 
 
 def _collection_plan(spark, base):
-    types = site_index.kept_types(spark, base, OPTS)
+    types = ty.filter_types(ty.parse_type_map(adapters.types_capture_v(spark, base)), OPTS)
     first = rq.first_pages(types, OPTS).select("site", "type_key", F.lit(1).alias("page"), "url")
-    coll = adapters.collections_v(spark, base)
+    coll = cap.latest_per_key(adapters.collections_v(spark, base))
     fp = coll.where(F.col("page") == 1)
     totals = ty.type_totals(fp, OPTS)
     readable = cap.with_outcome(fp).where(F.col("success")).select("site", "type_key")
@@ -398,8 +403,8 @@ def q_plan_next_pages(spark, base):
 def q_plan_vs_captures(spark, base):
     """One result per planned collection request (uncaptured keys kept)."""
     plan, coll = _collection_plan(spark, base)
-    r = cap.keyed_results(plan.select("request_key"), coll)
-    return r.select("request_key", "status", "success", "error")
+    r = cap.keyed_results(plan.select("site", "request_key"), coll)
+    return r.select("site", "request_key", "status", "success", "error")
 
 
 @query("plan_user_chunks")
@@ -443,18 +448,14 @@ def _count(c, pattern: str):
 
 @query("slim_pages")
 def q_slim_pages(spark, base):
-    """H1 over whole pages; counts checked against counts taken from the raw HTML."""
+    """H1 over whole pages, all of the output by its digest; once more with other lists of tags and attributes."""
+    from leafcast.options import Options
+
     p = read_table(spark, base, "pages", "page_id", "html")
-    s = html_jobs.slim_job(p, ["page_id"], "html", OPTS)
-    out = F.col("slim")
-    return s.select(
-        "page_id", F.col("error").isNull().alias("ok"),
-        _count(out, r'rel="noreferrer"').alias("n_href"),
-        _count(out, r"<h1>").alias("n_h1"),
-        _count(out, r"<p>").alias("n_p"),
-        _count(out, r"<script|<style| class=| style=").alias("n_dropped_left"),
-        (F.length(out) > 0).alias("non_empty"),
-    )
+    other = Options(keep_attrs=("href", "class", "rel"), drop_tags=("script", "nav"), unwrap_tags=("b", "span", "div"))
+    both = [html_jobs.slim_job(p, ["page_id"], "html", o).select("page_id", F.lit(n).alias("variant"), "slim") for n, o in (("default", OPTS), ("other", other))]
+    s = both[0].unionByName(both[1])
+    return s.select("page_id", "variant", F.length("slim").cast("long").alias("n_chars"), F.md5("slim").alias("md5"))
 
 
 def _frag_titled(spark, base):
@@ -462,11 +463,17 @@ def _frag_titled(spark, base):
     return f.withColumn("title_raw", F.concat(F.lit("  Page\n"), F.col("page_id").cast("string")))
 
 
+MARKDOWN_MARKS = r"(?m)^[ >]*```\w*$|!\[[^\]]*\]\([^)]*\)|\]\([^)]*\)|<[^>]*>|&#?\w+;"
+
+
 @query("markdown_pages")
 def q_markdown_pages(spark, base):
     """M1 over post fragments; structure counts checked against the source HTML."""
     md = html_jobs.markdown_job(_frag_titled(spark, base), ["page_id"], "fragment", "title_raw", OPTS)
     m = F.col("markdown")
+    # Every visible word in order: below the title line, without marks, targets, fences and kept tags.
+    plain = F.regexp_replace(F.substring(m, F.instr(m, "\n"), F.length(m)), MARKDOWN_MARKS, " ")
+    visible = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return md.select(
         "page_id", F.col("error").isNull().alias("ok"),
         F.split(m, "\n").getItem(0).alias("first_line"),
@@ -477,6 +484,7 @@ def q_markdown_pages(spark, base):
         _count(m, r"<script|<style").alias("n_scripts"),
         _count(m, "■").alias("n_icons"),
         _count(m, r"\]\(https://日本語\.example/a b\)").alias("n_pretty_links"),
+        F.md5(F.array_join(visible, " ")).alias("words_md5"),
     )
 
 
@@ -498,7 +506,7 @@ def q_markdown_documents(spark, base):
     """Markdown documents (front matter + body); error rows for failed fetches."""
     d = docs.build_documents(_full_posts(spark, base), OPTS, "markdown")
     lines = F.split(F.col("body"), "\n")
-    fm_lines = F.array_position(F.slice(lines, 2, 1 << 20), F.lit("---")) + 1
+    fm_lines = F.array_position(F.slice(lines, 2, F.size(lines)), F.lit("---")) + 1
     return d.select(
         "id", "error", fm_lines.alias("fm_lines"),
         F.when(F.col("body").isNotNull(), F.try_element_at(lines, (fm_lines + 2).cast("int"))).alias("heading"),
@@ -513,7 +521,7 @@ def q_html_documents(spark, base):
     return d.select(
         "id", "error", F.regexp_extract(b, r"<title>(.*?)</title>", 1).alias("title_tag"),
         F.regexp_extract(b, r"<h1>(.*?)</h1>", 1).alias("h1"),
-        b.endswith("</body></html>").alias("closed"),
+        b.endswith("</body></html>").alias("closed"), F.md5(b).alias("md5"),
     )
 
 
@@ -524,6 +532,37 @@ def q_raw_documents(spark, base):
     return d.select("id", "error", F.md5("body").alias("md5"))
 
 
+def _document_folder(spark) -> str:
+    from uuid import uuid4
+
+    from leafcast.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/leafcast/documents-{uuid4().hex}"
+
+
+@query("incremental_documents")
+def q_incremental_documents(spark, base):
+    """What later runs convert: after a run over half the posts, all posts (the other half), then all with another time zone (all)."""
+    from dataclasses import replace
+
+    out, posts = _document_folder(spark), _full_posts(spark, base)
+    docs.incremental_documents(spark, posts.where("id % 2 = 0"), out, OPTS, "raw", run_id=1).write.parquet(out)
+    second = docs.incremental_documents(spark, posts, out, OPTS, "raw", run_id=2)
+    third = docs.incremental_documents(spark, posts, out, replace(OPTS, timezone="UTC"), "raw", run_id=3)
+    return second.unionByName(third).select("id", "error", F.md5("body").alias("md5"), "run_id")
+
+
+@query("latest_documents")
+def q_latest_documents(spark, base):
+    """The newest version of each post after three runs, failed fetches among them."""
+    from dataclasses import replace
+
+    out, posts = _document_folder(spark), _full_posts(spark, base)
+    for run, part, opts in ((1, "id % 2 = 0", OPTS), (2, "true", OPTS), (3, "id % 4 = 0", replace(OPTS, timezone="UTC"))):
+        docs.incremental_documents(spark, posts.where(part), out, opts, "raw", run_id=run).write.mode("append").parquet(out)
+    return docs.latest_documents(spark, out).select("id", "error", F.md5("body").alias("md5"), "run_id")
+
+
 @query("site_index_lines")
 def q_site_index_lines(spark, base):
     """The site index as ordered text lines (site, section, pos, text)."""
@@ -567,7 +606,53 @@ def q_captured_index_rows(spark, base):
 @query("captured_type_report")
 def q_captured_type_report(spark, base):
     """F10 + W5 + fatal page failures of the captured index, one row per kept type."""
-    return _captured(spark, base).types.select("site", "type_key", "name", "status", "class", "error")
+    return _captured(spark, base).types.select("site", "type_pos", "type_key", "name", "status", "class", "error")
+
+
+@query("captured_errors")
+def q_captured_errors(spark, base):
+    """Fatal failures as rows: types responses that failed, first or later pages that failed."""
+    return _captured(spark, base).errors
+
+
+@query("captured_index_lines")
+def q_captured_index_lines(spark, base):
+    """W4 + W5 over captures: every captured site has its title, unreadable types in the order of the types response."""
+    from leafcast.operators import report
+
+    ci = _captured(spark, base)
+    names = report.site_names(adapters.types_capture_v(spark, base))
+    i = ci.index
+    return report.index_lines(names, i.authors, i.summary, i.rows, unreadable=ci.types)
+
+
+@query("index_rows_agent")
+def q_index_rows_agent(spark, base):
+    """W3 for agents, with HTML links: no date label, plain permalink, ``?html`` targets."""
+    si = site_index.from_tables(spark, base, OPTS)
+    return idx.index_rows(si.listed, si.authors, agent=True, html_links=True).select("site", "id", "permalink", "href", "line")
+
+
+@query("filter_posts")
+def q_filter_posts(spark, base):
+    """F5 + F6 by themselves: every post with its flat title, kept or excluded."""
+    posts = idx.with_flat_titles(adapters.posts_v(spark, base)).select("site", "id", "title")
+    return idx.exclude_posts(posts, OPTS)
+
+
+# Rules of every kind; the SQL twin has the same meanings written out.
+RULES = ("/^[a-f]/i", "(PROMO$)", r"/\p{Lu}\x{43}/u", "/unclosed(/", r"~^l\w+\h~", "{(?<n>w)idg}")
+
+
+@query("rule_kind")
+def q_rule_kind(spark, base):
+    """which rules match each part's type and name; the fourth is no pattern and so an exact string."""
+    from leafcast.functions import rules
+
+    compiled = rules.compile_rules(RULES)
+    p = read_table(spark, base, "part", "p_partkey", "p_name", "p_type").withColumn("v", F.concat_ws(" ", "p_name", "p_type"))
+    marks = [F.when(rules.matches_any(F.col("v"), [r]), F.lit(str(i))) for i, r in enumerate(compiled)]
+    return p.select("p_partkey", F.concat_ws(",", *marks).alias("matched"), F.lit(",".join("r" if r.is_regex else "s" for r in compiled)).alias("kinds"))
 
 
 @query("captured_type_summary")

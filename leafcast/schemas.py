@@ -10,7 +10,7 @@ from __future__ import annotations
 # Schemas of captured data and JSON bodies.
 TERMS = "array<array<struct<taxonomy:string,name:string>>>"
 CAPTURE = ("site string, request_key string, kind string, type_key string, page int, url string, status int, "
-           "headers_raw string, body string, error string")
+           "headers_raw string, body string, error string, fetched_at bigint")
 POST_CAPTURE = ("site string, rest_base string, id bigint, request_key string, kind string, status int, "
                 "body string, error string")
 POST_JSON = (
@@ -23,9 +23,9 @@ TYPE_MAP_JSON = "map<string,struct<slug:string,name:string,rest_base:string>>"
 
 # Outputs (column names in order).
 INDEX_ROWS = ("site", "type_key", "slug", "rank", "id", "title", "parent_title", "terms", "date", "date_label",
-              "author_id", "author_name", "link", "href", "line")
+              "author_id", "author_name", "link", "permalink", "href", "line")
 TYPE_SUMMARY = ("site", "type_pos", "type_key", "slug", "type_name", "total_found", "total_pages", "truncated",
                 "listed", "note")
 AUTHORS = ("site", "rank", "author_id", "name", "description", "latest_gmt")
-DOCUMENTS = ("site", "rest_base", "id", "mode", "title", "body", "error", "src_hash")
-INDEX_LINES = ("site", "section", "pos", "text")
+DOCUMENTS = ("site", "request_key", "rest_base", "id", "mode", "title", "body", "error", "src_hash")
+INDEX_LINES = ("site", "kind", "section", "pos", "detail", "text")

@@ -51,11 +51,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _scratch_dir is None:
         _scratch_dir = tempfile.mkdtemp(prefix="leafcast-ckpt-", dir=os.environ.get("LEAFCAST_SCRATCH", "/tmp"))
     return _scratch_dir
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that Spark reads it from."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def materialize(df, name: str = "stage"):
     """Write a bounded intermediate result as a table in the checkpoint folder and read it back.
 
@@ -75,4 +83,14 @@ def reuse(df):
     For results derived cheaply from a materialized table: a lost block is recomputed
     from that table, so no lineage needs cutting and no extra write job is spent.
     """
-    return df.cache()
+    _reused.append(df.cache())
+    return df
+
+
+_reused: list = []
+
+
+def release(spark: SparkSession) -> None:
+    """Frees what ``reuse`` has kept; call it when a job's outputs are written."""
+    while _reused:
+        _reused.pop().unpersist()

@@ -10,7 +10,6 @@ The SQL twins in ``leafcast.checks.oracle`` define the same views independently.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafcast.functions.dates import ntz_iso
@@ -44,14 +43,8 @@ def posts_v(spark: SparkSession, base: str) -> DataFrame:
     """One post per order (uncapped; the newest-N cap is the job's first step)."""
     o = read_table(spark, base, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     k = F.col("o_orderkey")
-    # Parent: the next-higher id of the same type posted on the same day. The window is
-    # partitioned by (type, day), never by type alone, so no partition holds a whole type.
-    same_day = Window.partitionBy("o_orderpriority", "o_orderdate").orderBy(k.desc())
-    parent = (
-        F.when(k % 9 == 0, k - k % 100)
-        .when(k % 3 == 0, F.coalesce(F.lag(k).over(same_day), F.lit(0).cast("long")))
-        .otherwise(F.lit(0).cast("long"))
-    )
+    # Parents follow from the key alone, so a scan of posts needs no shuffle.
+    parent = F.when(k % 9 == 0, k - k % 100).when(k % 3 == 0, k - k % 10 + 1).otherwise(F.lit(0).cast("long"))
     gmt = F.when(k % 97 == 0, F.lit("")).otherwise(ntz_iso(F.col("o_orderdate")))
     return o.select(
         F.lit(SITE).alias("site"),
@@ -126,6 +119,10 @@ def _status_for(page_id):
     )
 
 
+#: Some totals are beyond 32 bits.
+LARGE_TOTAL = 3_000_000_000
+
+
 def captures_v(spark: SparkSession, base: str) -> DataFrame:
     """Captured page fetches: status by page_id % 10, headers with totals, a redirect target."""
     pages = read_table(spark, base, "pages", "page_id", "url", "html")
@@ -136,7 +133,7 @@ def captures_v(spark: SparkSession, base: str) -> DataFrame:
     status = _status_for(pid)
     headers = F.concat(
         F.lit("HTTP/1.1 "), status.cast("string"), F.lit(CRLF),
-        F.lit("X-WP-Total: "), (pid * 7).cast("string"), F.lit(CRLF),
+        F.lit("X-WP-Total: "), F.when(pid % 50 == 7, pid + LARGE_TOTAL).otherwise(pid * 7).cast("string"), F.lit(CRLF),
         F.lit("x-wp-totalpages: "), (pid % 6).cast("string"),
         F.when(status == 301, F.concat(F.lit(CRLF + "Location: "), F.coalesce("next_url", F.lit(""))))
         .otherwise(F.lit("")),
@@ -163,11 +160,17 @@ def _alt_links(pid, rest_base):
         F.coalesce(rest_base, F.lit("posts")), F.lit("/"), pid.cast("string"), F.lit('" />'),
     )
     decoy_feed = F.lit('<link rel="alternate" title="JSON" href="' + SITE + '/feed/" />')
+    # No elements: a comment and a script that only look like links; and a value that holds an attribute.
+    hidden = F.concat(F.lit("<!-- old: "), F.replace(matching, pid.cast("string"), F.lit("1")), F.lit(' --><script>var s = \'<link rel="alternate" title="JSON" href="/wp-json/wp/v2/posts/2">\';</script>'))
+    quoted = F.lit('<link data-note=\'rel="alternate" title="JSON"\' href="/wp-json/wp/v2/posts/3" />')
+    encoded = F.concat(F.lit("<LINK title='JSON' rel=alternate href=\""), F.lit(SITE + "/wp-json/wp/v2/"), F.coalesce(rest_base, F.lit("posts")), F.lit("/"), pid.cast("string"), F.lit('?a=1&amp;b=2">'))
     decoy_rss = F.lit('<link rel="alternate" title="RSS" href="' + SITE + '/wp-json/wp/v2/posts/1" />')
     return F.concat(
         F.when(pid % 6 == 0, decoy_rss).otherwise(F.lit("")),
         F.when(pid % 4 == 0, decoy_feed).otherwise(F.lit("")),
-        F.when(pid % 2 == 0, matching).otherwise(F.lit("")),
+        F.when(pid % 5 == 0, hidden).otherwise(F.lit("")),
+        F.when(pid % 7 == 0, quoted).otherwise(F.lit("")),
+        F.when(pid % 2 == 0, F.when(pid % 3 == 0, encoded).otherwise(matching)).otherwise(F.lit("")),
     )
 
 
@@ -196,17 +199,14 @@ RICH_BLOCKS = (
     '<details><summary>More</summary><p>Body</p></details>',
     '<p><i class="fa fa-star"></i> <a href="https://xn--wgv71a119e.example/a%20b" target="_blank">IDN link</a></p>',
 )
-ARTICLE = r"(?s)<article[^>]*>(.*?)(?:</article>|$)"
 
 
 def fragments_v(spark: SparkSession, base: str) -> DataFrame:
-    """Post HTML fragments: the inner HTML of each page's <article> plus one rich block."""
+    """Post HTML fragments: each whole page plus one rich block."""
     pages = read_table(spark, base, "pages", "page_id", "html")
     pid = F.col("page_id")
     block = F.element_at(F.array(*[F.lit(b) for b in RICH_BLOCKS]), (pid % 5 + 1).cast("int"))
-    return pages.select(
-        pid, F.concat(F.regexp_extract("html", ARTICLE, 1), F.lit("\n"), block).alias("fragment")
-    )
+    return pages.select(pid, F.concat(F.col("html"), F.lit("\n"), block).alias("fragment"))
 
 
 # User agents by event type and Accept-Language headers by user.
@@ -236,22 +236,37 @@ def access_v(spark: SparkSession, base: str) -> DataFrame:
 
 # ---- captured API responses built from the views above -----------------------------------
 
+#: Captured sites: the first as its pages say; the second answers 401 and 500 to some requests; the types of
+#: the third and fifth failed; the fourth was asked again for a page that had failed.
+SECOND_SITE, THIRD_SITE = "https://two.example.com/blog", "https://three.example.com"
+FOURTH_SITE, FIFTH_SITE = "https://four.example.com", "https://five.example.com"
+CAPTURED_SITES = (SITE, SECOND_SITE, THIRD_SITE, FOURTH_SITE, FIFTH_SITE)
+UNREADABLE_PAGE = ("1-URGENT", 1)  # 401 on the second site
+FAILED_PAGE = ("3-MEDIUM", 2)  # 500 on the second site
+REPEATED_PAGE = ("5-LOW", 2)  # failed once on the fourth site, then fetched
 BROKEN_PAGE = ("3-MEDIUM", 2)  # this collection page's body is cut off (empty-list rule)
 MISSING_PAGE = ("5-LOW", 2)  # this collection page was never captured
 FAILED_USER_CHUNK_MOD = (7, 3)  # user chunks with chunk % 7 = 3 failed (HTTP 500)
 
 
 def types_capture_v(spark: SparkSession, base: str) -> DataFrame:
-    """The site's types response: one JSON object keyed by type, keys in type_key order."""
+    """Each site's types response: one JSON object keyed by type, keys in type_key order; two sites have none."""
     t = types_v(spark, base)
     entry = F.struct(F.col("type_key").alias("k"), F.struct("slug", "name", "rest_base").alias("v"))
     per_site = t.groupBy("site").agg(F.sort_array(F.collect_list(entry)).alias("es"))
-    return per_site.select(
-        "site", F.lit("types").alias("request_key"), F.lit("types").alias("kind"), F.lit(200).alias("status"),
-        F.to_json(F.map_from_entries(F.transform("es", lambda e: F.struct(e["k"], e["v"])))).alias("body"),
+    body = F.to_json(F.map_from_entries(F.transform("es", lambda e: F.struct(e["k"], e["v"]))))
+    site = F.col("site")
+    return per_site.select(_each_site(CAPTURED_SITES), body.alias("body")).select(
+        "site", F.lit("types").alias("request_key"), F.lit("types").alias("kind"),
+        F.when(site == THIRD_SITE, 503).otherwise(200).alias("status"),
+        F.when(site == FIFTH_SITE, F.lit("<html>")).otherwise(F.col("body")).alias("body"),
     )
 
 
+def _each_site(sites):
+    return F.explode(F.array(*(F.lit(s) for s in sites))).alias("site")
+
+
 def collections_v(spark: SparkSession, base: str, per_page: int = 100, max_pages: int = 2) -> DataFrame:
     """Captured collection pages: newest-first pages 1..max_pages of every post type.
 
@@ -277,18 +292,28 @@ def collections_v(spark: SparkSession, base: str, per_page: int = 100, max_pages
     body = F.to_json(F.transform("items", lambda i: i.dropFields("_pos")))
     broken = (F.col("type_key") == BROKEN_PAGE[0]) & (F.col("page") == BROKEN_PAGE[1])
     missing = (F.col("type_key") == MISSING_PAGE[0]) & (F.col("page") == MISSING_PAGE[1])
-    j = pages.where(~missing).join(counts, ["site", "type_key"], "inner")
+    j = pages.join(counts, ["site", "type_key"], "inner")
     total_pages = F.ceil(F.col("total") / F.lit(per_page)).cast("int")
     headers = F.concat(
         F.lit("HTTP/1.1 200 OK" + CRLF + "X-WP-Total: "), F.col("total").cast("string"),
         F.lit(CRLF + "X-WP-TotalPages: "), total_pages.cast("string"), F.lit(CRLF),
     )
-    return j.select(
-        "site", F.concat(F.col("type_key"), F.lit("|"), F.col("page").cast("string")).alias("request_key"),
-        F.lit("collection").alias("kind"), "type_key", "page", F.lit(200).alias("status"),
-        headers.alias("headers_raw"),
+    first = j.select(
+        _each_site((SITE, SECOND_SITE, FOURTH_SITE)),
+        F.concat(F.col("type_key"), F.lit("|"), F.col("page").cast("string")).alias("request_key"),
+        F.lit("collection").alias("kind"), "type_key", "page", missing.alias("_missing"), headers.alias("headers_raw"),
         F.when(broken, F.lit('[{"id": 1, "title": ')).otherwise(body).alias("body"),
-        F.lit("").alias("error"),
+        F.lit("").alias("error"), F.lit(2).cast("long").alias("fetched_at"),
+    ).where(~((F.col("site") == SITE) & F.col("_missing")))
+    is_page = lambda p: (F.col("type_key") == p[0]) & (F.col("page") == p[1])
+    second = F.col("site") == SECOND_SITE
+    status = F.when(second & is_page(UNREADABLE_PAGE), 401).when(second & is_page(FAILED_PAGE), 500).otherwise(200)
+    rows = first.withColumn("status", status)
+    again = rows.where((F.col("site") == FOURTH_SITE) & is_page(REPEATED_PAGE)).withColumns({
+        "status": F.lit(500), "body": F.lit("failed"), "fetched_at": F.lit(1).cast("long"),
+    })
+    return rows.unionByName(again).select(
+        "site", "request_key", "kind", "type_key", "page", "status", "headers_raw", "body", "error", "fetched_at"
     )
 
 
@@ -306,7 +331,7 @@ def user_chunks_v(spark: SparkSession, base: str) -> DataFrame:
     )
     failed = F.col("chunk") % FAILED_USER_CHUNK_MOD[0] == FAILED_USER_CHUNK_MOD[1]
     return grouped.select(
-        "site", "chunk", F.concat(F.lit("users|"), F.col("chunk").cast("string")).alias("request_key"),
+        _each_site((SITE, SECOND_SITE, FOURTH_SITE)), "chunk", F.concat(F.lit("users|"), F.col("chunk").cast("string")).alias("request_key"),
         F.when(failed, F.lit(500)).otherwise(F.lit(200)).alias("status"),
         F.to_json("us").alias("body"), F.lit("").alias("error"),
     )

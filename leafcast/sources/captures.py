@@ -68,7 +68,7 @@ def users_from_chunks(user_captures: DataFrame) -> DataFrame:
 
 
 def full_post(post_captures: DataFrame) -> DataFrame:
-    """One full post per capture; a failed fetch or a falsy body is an error row."""
+    """One full post per capture; a failed fetch or a falsy body is an error row under the capture's own id."""
     c = with_outcome(post_captures)
     p = F.from_json("body", POST_SCHEMA)
     parsed = c.withColumn("p", p)
@@ -79,7 +79,7 @@ def full_post(post_captures: DataFrame) -> DataFrame:
     )
     return parsed.select(
         "site", "request_key", "rest_base",
-        F.col("p.id").alias("id"),
+        F.coalesce(F.col("p.id"), F.col("id")).alias("id"),
         F.col("p.title.rendered").alias("title_raw"),
         F.coalesce(F.col("p.content.rendered"), F.lit("")).alias("content"),
         F.col("p.link").alias("link"),
@@ -98,12 +98,23 @@ def site_name(root_captures: DataFrame) -> DataFrame:
     return c.select("site", F.coalesce(F.nullif(name, F.lit("")), host).alias("site_name"))
 
 
+def latest_per_key(captures: DataFrame, keys: tuple[str, ...] = ("site", "request_key")) -> DataFrame:
+    """One capture per key: the latest by ``fetched_at`` where the table has it, the greatest status and body on ties.
+
+    A key that was fetched again has several captures; only the last one counts.
+    """
+    others = [c for c in captures.columns if c not in keys]
+    order = [c for c in ("fetched_at", "status", "body") if c in captures.columns]
+    newest = captures.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_c"))
+    return newest.select(*keys, *(F.col("_c")[c].alias(c) for c in others)).select(*captures.columns)
+
+
 def keyed_results(plan: DataFrame, captures: DataFrame) -> DataFrame:
-    """One result per planned request key (keys kept even when nothing was captured)."""
-    c = with_outcome(captures).select(
-        F.col("request_key").alias("_k"), "status", "success", "error", "headers_raw", "body"
+    """One result per planned (site, request key), kept even when nothing was captured."""
+    c = with_outcome(latest_per_key(captures)).select(
+        F.col("site").alias("_s"), F.col("request_key").alias("_k"), "status", "success", "error", "headers_raw", "body"
     )
-    j = plan.join(c, plan.request_key == c._k, "left").drop("_k")
+    j = plan.join(c, (plan.site == c._s) & (plan.request_key == c._k), "left").drop("_s", "_k")
     return j.withColumns({
         "status": F.coalesce(F.col("status"), F.lit(0)),
         "success": F.coalesce(F.col("success"), F.lit(False)),
