@@ -7,7 +7,7 @@ from __future__ import annotations
 
 # Fixed values shared by the SQL text below.
 TRIM = "(' ' || chr(9) || chr(10) || chr(13) || chr(11))"
-WS_RUN = r"'[\t\n\x0B\f\r\p{Z}]+'"
+WS_RUN = r"'[\t\n\x0B\f\r\x{85}\x{180E}\p{Z}]+'"
 FMTS = "['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d', '%Y-%m-%dT%H:%M', '%Y-%m-%d %H:%M']"
 OFFSET = "'([+-])([0-9]{2}):?([0-9]{2})$'"
 SLUG = "lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '_', 'g'))"

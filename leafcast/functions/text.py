@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Fixed values (must equal the reference's behaviour):
 # - "whitespace" in Unicode-aware patterns: tab, LF, VT, FF, CR and every Z-category char
 #   (space, no-break space, ideographic space U+3000, ...).
-UNICODE_WS = r"[\t\n\x0B\f\r\p{Z}]"
+UNICODE_WS = r"[\t\n\x0B\f\r\x{85}\x{180E}\p{Z}]"
 # - characters removed by a plain trim(): space, tab, LF, CR, NUL, VT.
 TRIM_CHARS = " \t\n\r\x00\x0b"
 # - blank-line runs: two or more whitespace-only lines collapse to one blank line.

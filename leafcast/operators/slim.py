@@ -18,7 +18,7 @@ BLOCK = r"(?is)<pre\b[^>]*>.*?</pre\s*>|<code\b[^>]*>.*?</code\s*>"
 PIECE = r"""(?s)<!--.*?-->|<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]+|<"""
 ATTRIBUTE = r"""([^\s=/>"'<]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 PROLOGUE = r"(?is)<!doctype[^>]*>|<\?[^>]*>|<head\b.*?</head\s*>"
-SPACE = r"[\t\n\x0B\f\r\p{Z}]+"
+SPACE = r"[\t\n\x0B\f\r\x{85}\x{180E}\p{Z}]+"
 RAW_TEXT = ("script", "style")
 
 

@@ -53,19 +53,19 @@ def from_tables(spark: SparkSession, base: str, opts: Options, agent: bool = Fal
     """The whole site index. Every intermediate result here is bounded by the listing cap
     (or by the number of types), so each is materialized once and shared by all branches
     (rows, authors, summary, index lines) instead of being recomputed per branch."""
-    types = reuse(kept_types(spark, base, opts))
+    counted = reuse(adapters.type_counts_v(spark, base))
+    types = reuse(ty.with_type_pos(ty.filter_types(counted.drop("total_found"), opts)))
     fetched = fetched_posts(spark, base, opts, types)
     listed = reuse(idx.listing(fetched, opts, capped=True))
     authors = reuse(idx.authors(listed, adapters.users_v(spark, base)))
     rows = idx.index_rows(listed, authors, agent=agent)
-    totals = adapters_totals(spark, base, opts)
+    totals = adapters_totals(counted, opts)
     summary = reuse(ty.type_summary(types, totals, listed))
     return SiteIndex(types, fetched, listed, authors, rows, summary)
 
 
-def adapters_totals(spark: SparkSession, base: str, opts: Options) -> DataFrame:
-    """G2 for adapter posts: what the first page's headers would say (count, page count)."""
-    counts = adapters.posts_v(spark, base).groupBy("site", "type_key").agg(F.count(F.lit(1)).alias("total_found"))
+def adapters_totals(counts: DataFrame, opts: Options) -> DataFrame:
+    """G2 for adapter posts: what the first page's headers would say (count, page count), from counted types."""
     pages = F.greatest(F.ceil(F.col("total_found") / F.lit(opts.per_page)), F.lit(1)).cast("bigint")
     return counts.select(
         "site", "type_key", F.col("total_found").cast("bigint").alias("total_found"), pages.alias("total_pages"),

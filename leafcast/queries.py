@@ -307,7 +307,8 @@ def q_resolve_pages(spark, base):
 @query("unresolved_targets")
 def q_unresolved_targets(spark, base):
     """pages whose target is invalid (no rest_base or id <= 0)."""
-    return _resolved(spark, base).where(~F.col("valid")).select("page_id", "rest_base", "id")
+    t = resolve.resolve_targets(adapters.alt_pages_v(spark, base))
+    return t.where(~resolve.valid_target(F.col("rest_base"), F.col("id"))).select("page_id", "rest_base", "id")
 
 
 @query("redirect_once")

@@ -27,18 +27,21 @@ def _rest_base(priority):
     return F.when(priority != "4-NOT SPECIFIED", F.concat(_slug(priority), F.lit("s")))
 
 
-def types_v(spark: SparkSession, base: str) -> DataFrame:
-    """One post type per order priority; '4-NOT SPECIFIED' has no rest_base."""
+def type_counts_v(spark: SparkSession, base: str) -> DataFrame:
+    """One post type per order priority, with its posts counted; '4-NOT SPECIFIED' has no rest_base."""
     p = F.col("o_orderpriority")
-    return (
-        read_table(spark, base, "orders", "o_orderpriority").distinct()
-        .select(
-            F.lit(SITE).alias("site"), p.alias("type_key"), _slug(p).alias("slug"),
-            p.alias("name"), _rest_base(p).alias("rest_base"),
-        )
+    counted = read_table(spark, base, "orders", "o_orderpriority").groupBy(p).agg(F.count("*").alias("total_found"))
+    return counted.select(
+        F.lit(SITE).alias("site"), p.alias("type_key"), _slug(p).alias("slug"),
+        p.alias("name"), _rest_base(p).alias("rest_base"), "total_found",
     )
 
 
+def types_v(spark: SparkSession, base: str) -> DataFrame:
+    """The post types alone."""
+    return type_counts_v(spark, base).drop("total_found")
+
+
 def posts_v(spark: SparkSession, base: str) -> DataFrame:
     """One post per order (uncapped; the newest-N cap is the job's first step)."""
     o = read_table(spark, base, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
