@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from leafcast.functions import text, urls
 from leafcast.operators import slim as slimming
 from leafcast.options import Options
+from leafcast.session import bound_batches
 
 # Document wrapper tags removed as text before parsing (H2), and the
 # Markdown link targets that get a readable form (C9): '](' + http(s) URL + first ')'.
@@ -78,7 +79,7 @@ def _arrow_job(df: DataFrame, keys: Sequence[str], source: str, fn: Callable[[st
             yield pa.RecordBatch.from_arrays(cols + [pa.array(outs, pa.string()), pa.array(errs, pa.string())],
                                              names=list(keys) + ["out", "error"])
 
-    return df.mapInArrow(run, out_schema)
+    return bound_batches(df).mapInArrow(run, out_schema)
 
 
 def slim_job(df: DataFrame, keys: Sequence[str], html_col: str, opts: Options) -> DataFrame:

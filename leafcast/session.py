@@ -19,8 +19,6 @@ _TEST_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Documents can be large (a page, a whole article); keep Arrow batches small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -58,6 +56,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _scratch_dir
 
 
+#: Rows of a batch that goes to Python, at most: a row here is a document, and Spark's own bound is 10,000.
+BATCH_ROWS = 512
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(df, rows: int = BATCH_ROWS):
+    """``df`` as it is, its session's Arrow batches held to ``rows`` (a smaller setting stays).
+
+    Jobs call it on what they hand to Python, so that a task's memory does not depend on who
+    made the session.
+    """
+    conf = df.sparkSession.conf
+    now = int(conf.get(_BATCHES))
+    if now <= 0 or now > rows:
+        conf.set(_BATCHES, str(rows))
+    return df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in the file system that Spark reads it from."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
