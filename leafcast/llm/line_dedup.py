@@ -1,6 +1,7 @@
 """Substring deduplication by hashing lines and sentences.
 
-A text is cut into units at line ends and after sentence ends. Units are normalised (lower case,
+A text is cut into units at line ends and after sentence ends; short sentences of a line that follow
+each other are taken together. Units are normalised (lower case,
 white space made one space, the edges stripped of marks) and digested to 128 bits; over all documents
 the earliest occurrence of a digest stays (by document id, null last, then hash of the text, then
 offset), and the others are removed. A unit of fewer than ``min_words`` words repeats by chance, so it counts
@@ -38,19 +39,38 @@ UNIT_SCHEMA = "doc_id bigint, h bigint, start int, end int, digest binary"
 
 
 def units(text: str, min_words: int) -> list[tuple[int, int, bytes | None]]:
-    """(start, end, digest) of each unit; no digest for a short unit without a longer one before it."""
+    """(start, end, digest) of each unit; no digest for a short unit without a longer one before it.
+
+    A unit is a sentence, or several short ones of a line that come together to ``min_words``.
+    """
     out: list[tuple[int, int, bytes | None]] = []
-    at, run = 0, None
-    ends = [(m.start(), m.end()) for m in CUT.finditer(text)]
-    for stop, after in [*ends, (len(text), len(text))]:
+    run = None
+    first, words = 0, []  # short sentences gathered so far
+
+    def put(start: int, end: int, said: list[str]) -> None:
+        nonlocal run
+        plain = " ".join(said).strip(EDGE).encode()
+        if len(said) >= min_words and plain:
+            run = blake2b(plain, digest_size=16)
+        elif run is not None:
+            run.update(b"\n" + plain)
+        out.append((start, end, run and run.digest()))
+
+    at = last = 0
+    for m in [*CUT.finditer(text), None]:
+        stop, after = (m.start(), m.end()) if m else (len(text), len(text))
         if stop > at:
-            words = text[at:stop].lower().split()
-            plain = " ".join(words).strip(EDGE).encode()
-            if len(words) >= min_words and plain:
-                run = blake2b(plain, digest_size=16)
-            elif run is not None:
-                run.update(b"\n" + plain)
-            out.append((at, stop, run and run.digest()))
+            said = text[at:stop].lower().split()
+            if words and len(said) >= min_words:
+                put(first, last, words)
+                words = []
+            first = first if words else at
+            words, last = words + said, stop
+        line_ends = m is None or "\n" in m.group()
+        if last > first and (len(words) >= min_words or line_ends):
+            put(first, last, words)
+            words = []
+            first = last
         at = after
     return out
 
