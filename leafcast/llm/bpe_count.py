@@ -21,6 +21,8 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from leafcast.session import bound_batches
+
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 MARK = "▁"  # stands for a space, and begins every text
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -134,4 +136,4 @@ def token_counts(docs: DataFrame, model_path: str, memo_words: int = 1_000_000,
             )
 
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(count, COUNT_SCHEMA)
+    return bound_batches(rows).mapInArrow(count, COUNT_SCHEMA)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafcast.llm.common import components, lowered, mix, text_chunks, word_hashes
-from leafcast.session import materialize
+from leafcast.session import bound_batches, materialize
 
 #: A size class spans lo..lo * CLASS_RATIO.
 CLASS_RATIO = 1.45
@@ -289,7 +289,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     profiles = materialize(
-        rows.mapInArrow(_profiler(n, num, den), "doc_id bigint, h bigint, v bigint, n bigint, needs array<struct<c:int,need:int>>"), "profiles"
+        bound_batches(rows).mapInArrow(_profiler(n, num, den), "doc_id bigint, h bigint, v bigint, n bigint, needs array<struct<c:int,need:int>>"), "profiles"
     )
     # Of equal sets, one row stands for all; the smallest id names them.
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "needs")).alias("one")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from leafcast.session import bound_batches
+
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 #: Letters below this code point have had the same classes in every release of Unicode that
@@ -44,10 +46,10 @@ class _Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
+        self.path, self.whole = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         code = {c: b for b, c in _byte_letters().items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(code[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
@@ -56,6 +58,10 @@ class _Encoder:
     def ids(self, text: str) -> np.ndarray:
         if text.isascii() or max(text) < chr(STABLE_BELOW):
             return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
+        if self.whole is None:  # loaded where a text asks for it
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -198,4 +204,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: the document's ids ``start .. start+length`` (``ids``: little-endian unsigned 32-bit) at ``offset`` of a sequence."""
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_packer(tokenizer_path, window, end_id, max_open), PIECE_SCHEMA)
+    return bound_batches(rows).mapInArrow(_packer(tokenizer_path, window, end_id, max_open), PIECE_SCHEMA)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafcast.llm.common import lowered, text_chunks, word_hashes
+from leafcast.session import bound_batches
 
 WORD_BITS = 16
 BINS = 64
@@ -196,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), ma
     )
     joined = texts.join(F.broadcast(sample), "label_id").withColumn("h", F.xxhash64("label_id"))
     rows = joined.orderBy("h", "text", "label").limit(max_rows).select("label", "text", *(f"m{i}" for i in range(len(metadata))))
-    table = rows.mapInArrow(_featurise, "label double, feats array<int>, values array<float>").toArrow()
+    table = bound_batches(rows).mapInArrow(_featurise, "label double, feats array<int>, values array<float>").toArrow()
     feats, values = table["feats"].combine_chunks(), table["values"].combine_chunks()
     rows = [(feats[i].values.to_numpy(), values[i].values.to_numpy()) for i in range(len(table))]
     return fit(rows, table["label"].to_numpy(), len(metadata))
@@ -220,7 +221,7 @@ def score(docs: DataFrame, model: FactorisationMachine, metadata: tuple[str, ...
         docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"),
         *(docs[m].cast("double").alias(f"m{i}") for i, m in enumerate(metadata)),
     )
-    return rows.mapInArrow(run, "doc_id bigint, score double")
+    return bound_batches(rows).mapInArrow(run, "doc_id bigint, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -246,4 +247,4 @@ def keep_good(docs: DataFrame, model: FactorisationMachine, metadata: tuple[str,
                 out[start:end] = 1 / (1 + np.exp(-np.clip(fm.margins(begins, feat, value)[0], -60, 60)))
             yield batch.filter(pa.array(out >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bound_batches(docs).mapInArrow(run, docs.schema)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafcast.llm.common import CHUNK_BYTES, mix
+from leafcast.session import bound_batches
 
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
@@ -116,7 +117,7 @@ def fingerprints(docs: DataFrame, k: int = 16, w: int = 32, id_col: str = "doc_i
             )
 
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, hashes array<bigint>, positions array<bigint>")
+    return bound_batches(rows).mapInArrow(run, "doc_id bigint, hashes array<bigint>, positions array<bigint>")
 
 
 def matches(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
@@ -179,7 +180,7 @@ def edit_neighbours(docs: DataFrame, k: int = 16, w: int = 32, id_col: str = "do
             held = rows[-1:]
 
     kind = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_order(docs, id_col, text_col).mapInArrow(run, kind)
+    return bound_batches(_in_order(docs, id_col, text_col)).mapInArrow(run, kind)
 
 
 def _compared(rows: list[tuple], k: int, w: int, step: int = 256) -> Iterator[pa.RecordBatch]:
