@@ -82,12 +82,14 @@ def _arrow_job(df: DataFrame, keys: Sequence[str], source: str, fn: Callable[[st
     return bound_batches(df).mapInArrow(run, out_schema)
 
 
-def slim_job(df: DataFrame, keys: Sequence[str], html_col: str, opts: Options) -> DataFrame:
+def slim_job(df: DataFrame, keys: Sequence[str], html_col: str, opts: Options, partitions: int | None = None) -> DataFrame:
     """H1: slim every document (H2, then H3-H9) with column expressions; blank and NULL input is returned as is.
 
-    Returns keys and ``slim``. One pass, no shuffle.
+    Returns keys and ``slim``. Documents are spread first as for the Markdown job; with
+    ``partitions=0``, right for inputs of many splits, there is no shuffle.
     """
-    prepared = df.select(*keys, strip_wrappers(F.col(html_col)).alias("_html"), F.col(html_col).alias("_src"))
+    spread_rows = spread(df.select(*keys, html_col), keys, partitions)
+    prepared = spread_rows.select(*keys, strip_wrappers(F.col(html_col)).alias("_html"), F.col(html_col).alias("_src"))
     slim = F.when(text.php_trim(F.col("_src")) == "", F.col("_src")).otherwise(
         slimming.slim(F.col("_html"), tuple(opts.keep_attrs), tuple(opts.drop_tags), tuple(opts.unwrap_tags))
     )

@@ -69,17 +69,22 @@ def slim_tag(tag: Column, keep: tuple[str, ...]) -> Column:
         F.zip_with(names, values, lambda n, v: F.struct(n.alias("n"), v.alias("v"))),
         lambda p: p["n"].isin([k.lower() for k in keep]) if keep else F.lit(False),
     )
-    has_href = F.exists(pairs, lambda p: p["n"] == "href")
-    has_rel = F.exists(pairs, lambda p: p["n"] == "rel")
 
-    def with_rel(p: Column) -> Column:
-        words = F.filter(F.split(p["v"], r"\s+"), lambda w: w != "")
-        full = F.when(F.array_contains(words, "noreferrer"), words).otherwise(F.array_append(words, F.lit("noreferrer")))
-        return F.when(has_href & (p["n"] == "rel"), F.array_join(full, " ")).otherwise(p["v"])
+    def written(ps: Column) -> Column:
+        has = lambda n: F.exists(ps, lambda p: p["n"] == n)
 
-    written = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit(" "), p["n"], F.lit('="'), with_rel(p), F.lit('"'))), "")
-    added = F.when(has_href & ~has_rel, F.lit(' rel="noreferrer"')).otherwise("")
-    return F.concat(F.lit("<"), name, written, added, F.lit(">"))
+        def one(p: Column) -> Column:
+            words = F.filter(F.split(p["v"], r"\s+"), lambda w: w != "")
+            full = F.when(F.array_contains(words, "noreferrer"), words).otherwise(F.array_append(words, F.lit("noreferrer")))
+            value = F.when((p["n"] == "rel") & has("href"), F.array_join(full, " ")).otherwise(p["v"])
+            return F.concat(F.lit(" "), p["n"], F.lit('="'), value, F.lit('"'))
+
+        added = F.when(has("href") & ~has("rel"), F.lit(' rel="noreferrer"')).otherwise("")
+        return F.concat(F.array_join(F.transform(ps, one), ""), added)
+
+    # The pairs are bound as an element, so they are read from the tag once; a tag without attributes skips them.
+    attributes = F.get(F.transform(F.array(pairs), written), F.lit(0))
+    return F.concat(F.lit("<"), name, F.when(F.contains(tag, F.lit("=")) | F.rlike(tag, F.lit(r"\s")), attributes).otherwise(""), F.lit(">"))
 
 
 def _rewritten(html: Column, keep: tuple[str, ...], unwrap: tuple[str, ...], collapse: bool) -> Column:
