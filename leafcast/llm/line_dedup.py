@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafcast.session import materialize
+from leafcast.session import bound_batches, materialize
 
 CUT = re.compile(r"[^\S\n]*\n\s*|(?<=[.!?])[^\S\n]+")
 EDGE = " \t.,;:!?\"'()[]-*#$%&|"
@@ -107,7 +107,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     """Rows (doc_id, h, start, end): the units that are not the earliest of their digest; h is the hash of the text."""
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    cut = lambda d: d.mapInArrow(_cutter(min_words), UNIT_SCHEMA)
+    cut = lambda d: bound_batches(d).mapInArrow(_cutter(min_words), UNIT_SCHEMA)
     frequent = cut(rows.sample(SAMPLE, seed=5)).groupBy("digest").count().where(F.col("count") >= HOT_ROWS).select("digest")
     frequent = materialize(frequent, "frequent-digests")
     n_frequent = frequent.limit(BROADCAST_ROWS + 1).count()
