@@ -53,7 +53,8 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         ).withColumn("prefix", F.call_function("shiftright", "cell", (F.lit(depth) - F.col("depth")).cast("int")))
         sums = ancestors.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"))
         fit = sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
-        best = ancestors.join(fit, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("b"))
+        # Files of small integers are far smaller than the rows in memory, so their size is no bound for a broadcast.
+        best = ancestors.join(fit.hint("merge"), ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("b"))
         best = materialize(best.select("cell", F.lit(depth).alias("cell_depth"), "b.depth", "b.prefix", "b.shard_bytes"), "directory")
         found = best if found is None else found.union(best)
         large = materialize(cells.join(best, "cell", "left_anti").select("cell"), "large-cells")
@@ -77,7 +78,7 @@ def assign_shards(docs: DataFrame, limit: int = 1 << 28, id_col: str = "doc_id",
     for depth in sorted(depths):
         of_depth = known.where(F.col("cell_depth") == depth).drop("cell_depth")
         here = rows.where(F.col("n_bytes") <= limit).withColumn("cell", _prefix(F.col("bits"), F.lit(depth)))
-        parts.append(here.join(of_depth, "cell").drop("cell"))
+        parts.append(here.join(of_depth.hint("merge"), "cell").drop("cell"))
     huge = rows.where(F.col("n_bytes") > limit).select(
         "doc_id", "bits", "n_bytes", F.lit(BITS).alias("depth"), F.col("bits").alias("prefix"), F.col("n_bytes").alias("shard_bytes")
     )
