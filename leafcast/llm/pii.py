@@ -125,37 +125,16 @@ def _char_class(c: Column) -> Column:
 
 
 def _candidates(number: Column, local: Column, spelt: Column) -> Column:
-    """Array of candidate structs: kind, span and features."""
-
-    def features(h: Column, no: int, is_spelt: int) -> Column:
-        value, left = h["value"], h["left"]
-        digits = digits_of(value)
-        groups = F.filter(F.split(value, "[^0-9]+"), lambda g: g != "")
-        count = lambda c: (F.length(value) - F.length(F.replace(value, F.lit(c), F.lit("")))).cast("double")
-        flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-        size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("double")
-        row = {
-            "kind_no": F.lit(float(no)),
-            "n_chars": F.length(value).cast("double"),
-            "n_digits": F.length(digits).cast("double"),
-            "n_groups": F.size(groups).cast("double"),
-            "first_group": size(F.get(groups, F.lit(0))),
-            "last_group": size(F.try_element_at(groups, F.lit(-1))),
-            "longest_group": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)).cast("double"),
-            "n_spaces": count(" "), "n_hyphens": count("-"), "n_dots": count("."), "n_slashes": count("/"),
-            "n_parens": count("(") + count(")"),
-            "luhn": flag(luhn(digits)) if no == KINDS.index("card") else F.lit(0.0),
-            "octets": flag(octets(value)) if no == KINDS.index("ip") else F.lit(0.0),
-            "spelt": F.lit(float(is_spelt)),
-            # A plus sign before the number decides the base rule for phones, so it is not shown to the trees.
-            "before": _char_class(F.right(F.regexp_replace(left, r"\+[0-9]*\x20?$", " "), F.lit(1))).cast("double"),
-        }
-        row |= {f"near_{k}": flag(F.lower(left).rlike(p)) for k, p in KEYWORDS.items()}
-        return F.struct(h["start"].alias("start"), h["end"].alias("end"), F.xxhash64(value, left, h["start"]).alias("h"), *(row[f].alias(f) for f in FEATURES))
+    """Array of (start, end, value, left, kind_no, spelt): the hits of the generators under the kinds they may be."""
 
     def of(hits: Column, kind: str, keep, is_spelt: int = 0) -> Column:
-        no = KINDS.index(kind)
-        return F.transform(F.filter(hits, keep), lambda h: features(h, no, is_spelt))
+        return F.transform(
+            F.filter(hits, keep),
+            lambda h: F.struct(
+                h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"), h["left"].alias("left"),
+                F.lit(float(KINDS.index(kind))).alias("kind_no"), F.lit(float(is_spelt)).alias("spelt"),
+            ),
+        )
 
     n_digits = lambda h: F.length(digits_of(h["value"]))
     return F.concat(
@@ -167,6 +146,38 @@ def _candidates(number: Column, local: Column, spelt: Column) -> Column:
     )
 
 
+def _features(h: Column) -> Column:
+    """Span, a hash that spreads candidates, and the features of one candidate."""
+    value, left, kind = h["value"], h["left"], h["kind_no"]
+    digits = digits_of(value)
+    groups = F.filter(F.split(value, "[^0-9]+"), lambda g: g != "")
+    count = lambda c: (F.length(value) - F.length(F.replace(value, F.lit(c), F.lit("")))).cast("double")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("double")
+    row = {
+        "kind_no": kind,
+        "n_chars": F.length(value).cast("double"),
+        "n_digits": F.length(digits).cast("double"),
+        "n_groups": F.size(groups).cast("double"),
+        "first_group": size(F.get(groups, F.lit(0))),
+        "last_group": size(F.try_element_at(groups, F.lit(-1))),
+        "longest_group": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)).cast("double"),
+        "n_spaces": count(" "), "n_hyphens": count("-"), "n_dots": count("."), "n_slashes": count("/"),
+        "n_parens": count("(") + count(")"),
+        "luhn": F.when(kind == KINDS.index("card"), flag(luhn(digits))).otherwise(0.0),
+        "octets": F.when(kind == KINDS.index("ip"), flag(octets(value))).otherwise(0.0),
+        "spelt": h["spelt"],
+        # A plus sign before the number decides the base rule for phones, so it is not shown to the trees.
+        "before": _char_class(F.right(F.regexp_replace(left, r"\+[0-9]*\x20?$", " "), F.lit(1))).cast("double"),
+    }
+    row |= {f"near_{k}": flag(F.lower(left).rlike(p)) for k, p in KEYWORDS.items()}
+    label = F.exists("pii_base", lambda b: (b["kind_no"] == kind) & (b["start"] < h["end"]) & (h["start"] < b["end"])).cast("double")
+    return F.struct(
+        h["start"].alias("start"), h["end"].alias("end"), F.xxhash64(value, left, h["start"]).alias("h"),
+        *(row[f].alias(f) for f in FEATURES), label.alias("label"),
+    )
+
+
 def find_candidates(rows: DataFrame) -> DataFrame:
     """``rows`` (with a column pii_text) with ``pii_base`` and ``pii_candidates`` (the latter labelled by overlap with the former)."""
     text = F.coalesce("pii_text", F.lit(""))
@@ -178,14 +189,7 @@ def find_candidates(rows: DataFrame) -> DataFrame:
         "pii_spelt": _hits(_parts(text, SPELT, F.rlike(text, F.lit(SPELT_HINT)))),
     })
     found = out.withColumn("pii_candidates", _candidates(F.col("pii_number"), F.col("pii_local"), F.col("pii_spelt")))
-    labelled = F.transform(
-        "pii_candidates",
-        lambda c: c.withField(
-            "label",
-            F.exists("pii_base", lambda b: (b["kind_no"] == c["kind_no"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])).cast("double"),
-        ),
-    )
-    return found.withColumn("pii_candidates", labelled).drop("pii_number", "pii_local", "pii_spelt")
+    return found.withColumn("pii_candidates", F.transform("pii_candidates", _features)).drop("pii_number", "pii_local", "pii_spelt")
 
 
 def _tree(node, features) -> Column:
