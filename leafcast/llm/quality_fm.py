@@ -8,8 +8,8 @@ logistic of
     w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),
 
 so all pairwise interactions cost time linear in the features. The model is fitted on a sample of
-at most ``max_rows`` labelled rows (those with the smallest id hashes) by AdaGrad on the driver; it has
-a fixed size and goes to every task. Scores are made in one pass without a shuffle.
+at most ``max_rows`` labelled rows (those with the smallest id hashes) by AdaGrad in one task; it has
+a fixed size, comes back to the driver and goes to every scoring task. Scores are made in one pass without a shuffle.
 
 Cases: a null or empty text has the bins of an empty text and a score; long texts are read whole;
 a null or not finite metadata value has a bin of its own; rows are scored each for itself; unlabelled or null labels are not
@@ -177,15 +177,30 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         feats, values = [], []
         for start, end, data, offsets in text_chunks(batch.column(1)):
-            row, feat, value = features(data, offsets, _metadata(batch, 2, start, end))
+            row, feat, value = features(data, offsets, _metadata(batch, 3, start, end))
             cuts = np.searchsorted(row, np.arange(1, end - start))
             feats += np.split(feat, cuts)
             values += np.split(value, cuts)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["label", "feats", "values"]
+            [batch.column(0), batch.column(2), pa.array(feats, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+            ["label", "h", "feats", "values"],
         )
 
 
+def _fitter(n_metadata: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            rows += [(f.values.to_numpy(), v.values.to_numpy()) for f, v in zip(batch.column(1), batch.column(2), strict=True)]
+        model = fit(rows, np.array(labels), n_metadata)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.w0]), pa.array([model.w.tobytes()], pa.binary()), pa.array([model.v.tobytes()], pa.binary())], ["w0", "w", "v"]
+        )
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), max_rows: int = 10_000,
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FactorisationMachine:
     """Model of the labelled rows (``labels``: id and 0/1 label); ``max_rows`` bounds the sample collected."""
@@ -195,12 +210,15 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), ma
         docs[id_col].cast("bigint").alias("label_id"), docs[text_col].cast("string").alias("text"),
         *(docs[m].cast("double").alias(f"m{i}") for i, m in enumerate(metadata)),
     )
-    joined = texts.join(F.broadcast(sample), "label_id").withColumn("h", F.xxhash64("label_id"))
-    rows = joined.orderBy("h", "text", "label").limit(max_rows).select("label", "text", *(f"m{i}" for i in range(len(metadata))))
-    table = bound_batches(rows).mapInArrow(_featurise, "label double, feats array<int>, values array<float>").toArrow()
-    feats, values = table["feats"].combine_chunks(), table["values"].combine_chunks()
-    rows = [(feats[i].values.to_numpy(), values[i].values.to_numpy()) for i in range(len(table))]
-    return fit(rows, table["label"].to_numpy(), len(metadata))
+    joined = texts.join(F.broadcast(sample), "label_id").withColumn("h", F.xxhash64("label_id", "text"))
+    rows = joined.orderBy("h", "text", "label").limit(max_rows).select("label", "text", "h", *(f"m{i}" for i in range(len(metadata))))
+    made = bound_batches(rows).mapInArrow(_featurise, "label double, h bigint, feats array<int>, values array<float>")
+    ordered = made.repartition(1).sortWithinPartitions("h", "label").select("label", "feats", "values")
+    found = ordered.mapInArrow(_fitter(len(metadata)), "w0 double, w binary, v binary").collect()
+    if not found:
+        return fit([], np.zeros(0), len(metadata))
+    w, v = np.frombuffer(found[0]["w"], np.float32), np.frombuffer(found[0]["v"], np.float32)
+    return FactorisationMachine(found[0]["w0"], w, v.reshape(len(w), -1))
 
 
 def score(docs: DataFrame, model: FactorisationMachine, metadata: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
