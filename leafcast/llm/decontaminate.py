@@ -5,7 +5,10 @@ the term after it, kept where the benchmark has these two side by side, and one
 document that carries its word count. Each benchmark window looks up its rarest pair of neighbours
 first: that list, shifted by the pair's offset, gives the places where the window could begin;
 the shifted lists of the other pairs are then intersected there, in the documents left over only.
-Windows with a pair that no document has are dropped at once.
+Windows with a pair that no document has cannot occur and are dropped at once.
+
+Near matches need no intact pair: they are anchored on each window's rarest word. Every place of such a word is
+looked up with the words around it, which must hold all words of the window, in any order.
 
 A window is ``size`` consecutive words of an item, or all of them if it has fewer. Words are
 runs of letters, digits and characters beyond ASCII, with A-Z lowered.
@@ -38,9 +41,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def lower_az(word: Column) -> Column:
-    """A-Z lowered and nothing else; plain ASCII words take the short way."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+def lower_az(text: Column) -> Column:
+    """A-Z lowered and nothing else; plain ASCII takes the short way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -50,18 +53,18 @@ def _small(df: DataFrame) -> DataFrame:
 
 def benchmark_windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Rows (item_id, window): the distinct windows of each item, as arrays of words."""
-    w = F.transform(words(items[text_col]), lower_az)
+    w = words(lower_az(F.coalesce(items[text_col].cast("string"), F.lit(""))))
     rows = items.select(items[id_col].cast("string").alias("item_id"), w.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     return rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("window")).distinct()
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, d, h, w): (d, h) names a document by its id and a hash of id and text; w are its words and the closing mark."""
+    """Rows (doc_id, d, h, w): (d, h) names a document by its id and a hash of id and text; w are its words, lowered, and the closing mark."""
     text, doc_id = docs[text_col].cast("string"), docs[id_col].cast("bigint")
     return docs.select(
         doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("d"), F.xxhash64(doc_id, text).alias("h"),
-        F.concat(words(text), F.array(F.lit(CLOSE))).alias("w"),
+        F.concat(words(lower_az(F.coalesce(text, F.lit("")))), F.array(F.lit(CLOSE))).alias("w"),
     )
 
 
@@ -78,13 +81,15 @@ def window_pairs(windows: DataFrame) -> DataFrame:
     return parts.select("window_id", "length", "off", "p.term", "p.after", _pair_key(F.col("p.term"), F.col("p.after")).alias("pair"))
 
 
-def build_index(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (doc_id, d, h, pos, pair) of the given pairs (term, after, pair), and a null pair at each document's word count."""
-    rows = _documents(docs, id_col, text_col)
+def build_index(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Postings (doc_id, d, h, pos, pair) of the given pairs (term, after, pair), and a null pair at each document's word count.
+
+    ``rows``: as from ``_documents``.
+    """
     zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))
     tokens = rows.select("doc_id", "d", "h", F.posexplode(zipped).alias("pos", "t"))
-    tokens = tokens.select("doc_id", "d", "h", "pos", lower_az(F.col("t.a")).alias("a"), lower_az(F.col("t.b")).alias("b"))
-    close = docs.sparkSession.range(1).select(F.lit(CLOSE).alias("term"), F.lit(None).cast("string").alias("after"), F.lit(None).cast("bigint").alias("pair"))
+    tokens = tokens.select("doc_id", "d", "h", "pos", F.col("t.a").alias("a"), F.col("t.b").alias("b"))
+    close = rows.sparkSession.range(1).select(F.lit(CLOSE).alias("term"), F.lit(None).cast("string").alias("after"), F.lit(None).cast("bigint").alias("pair"))
     wanted = pairs.select("term", "after", "pair").union(close).withColumn("key", _pair_key(F.col("term"), F.col("after")))
     return tokens.withColumn("key", _pair_key(F.col("a"), F.col("b"))).join(_small(materialize(wanted, "pairs")), "key").where(
         (F.col("a") == F.col("term")) & F.col("b").eqNullSafe(F.col("after"))
@@ -94,17 +99,13 @@ def build_index(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_
 def single_matches(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Matches of the windows of one word, which have no pair."""
     one = _small(materialize(windows.where(F.size("window") == 1).select("window_id", F.get("window", F.lit(0)).alias("term")), "single-windows"))
-    rows = _documents(docs, id_col, text_col).select("d", "h", F.posexplode("w").alias("start", "a"))
-    found = rows.select("d", "h", "start", lower_az(F.col("a")).alias("term")).join(one, "term")
+    rows = _documents(docs, id_col, text_col).select("d", "h", F.posexplode("w").alias("start", "term"))
+    found = rows.join(one, "term")
     return found.select("d", "h", "window_id", "start", F.lit(1).alias("length")).distinct()
 
 
-def phrase_matches(index: DataFrame, pairs: DataFrame, slop: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(exact matches: d, h, window_id, start, length; near matches: d, h, window_id, or None without ``slop``).
-
-    ``pairs``: the pairs of the windows. A near match has the window's rarest pair of neighbours, and every term
-    of the window, posted with a neighbour of its own, within ``length - 1 + slop`` words of it, in any order.
-    """
+def phrase_matches(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact matches (d, h, window_id, start, length); ``pairs``: the pairs of the windows."""
     frequency = index.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.count("*").alias("df"))
     ranked = materialize(pairs.join(frequency, "pair", "left"), "window-pairs")
     alive = (
@@ -114,32 +115,41 @@ def phrase_matches(index: DataFrame, pairs: DataFrame, slop: int | None = None)
     )
     alive = materialize(alive, "alive")
     places = index.join(_small(alive), "pair").select(
-        "d", "h", "window_id", "length", F.col("pos").alias("at"), (F.col("pos") - F.col("off")).alias("start")
+        "d", "h", "window_id", "length", (F.col("pos") - F.col("off")).alias("start")
     )
     places = materialize(places.distinct(), "places")
     held = _small(materialize(places.select("d", "h").distinct(), "held"))
     local = index.where(F.col("pair").isNotNull()).join(held, ["d", "h"], "left_semi").select("d", "h", "pos", "pair")
     local = materialize(local.distinct(), "local-postings")
     expected = places.where("start >= 0").join(ranked.select("window_id", "off", "pair"), "window_id")
-    exact = (
+    return (
         expected.withColumn("pos", F.col("start") + F.col("off")).join(local, ["d", "h", "pos", "pair"])
         .groupBy("d", "h", "window_id", "start", "length").agg(F.count("*").alias("n")).where("n = length - 1").drop("n")
     )
-    if slop is None:
-        return exact, None
-    terms = ranked.select("window_id", F.explode(F.array("term", "after")).alias("term")).distinct()
-    n_terms = terms.groupBy("window_id").agg(F.count("*").alias("n_terms"))
-    names = pairs.select("pair", "term", "after").distinct()
-    posted = local.join(names, "pair").select(
-        "d", "h", F.explode(F.array(F.struct("pos", "term"), F.struct((F.col("pos") + 1).alias("pos"), F.col("after").alias("term")))).alias("x")
-    ).select("d", "h", F.col("x.pos").alias("p"), F.col("x.term").alias("term")).distinct()
-    near = (
-        places.join(terms, "window_id").join(posted, ["d", "h", "term"])
-        .where(F.abs(F.col("p") - F.col("at")) <= F.col("length") - 1 + slop)
-        .groupBy("d", "h", "window_id", "at").agg(F.count_distinct("term").alias("n"))
-        .join(n_terms, "window_id").where("n = n_terms").select("d", "h", "window_id").distinct()
-    )
-    return exact, near
+
+
+def near_matches(rows: DataFrame, windows: DataFrame, size: int, slop: int) -> DataFrame:
+    """Near matches (d, h, window_id): every word of the window is within ``length - 1 + slop`` words of a place of its rarest word.
+
+    ``rows``: written documents with their words lowered. The order of the words does not count, nor do words between them.
+    """
+    terms = materialize(windows.select("window_id", F.size("window").alias("length"), F.posexplode("window").alias("off", "term")), "window-terms")
+    tokens = rows.select("d", "h", "w", F.posexplode("w").alias("pos", "term"))
+    wanted = _small(materialize(terms.select("term").distinct(), "terms"))
+    frequency = tokens.select("term").join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    anchors = (
+        terms.join(frequency, "term", "left").groupBy("window_id", "length")
+        .agg(F.min(F.struct("df", "off", "term")).alias("rarest"), F.collect_set("term").alias("asked"))
+        .where("rarest.df > 0").select("window_id", "length", "asked", F.col("rarest.term").alias("term"))
+    )  # the rarest word of a window comes without a frequency if no document has it
+    reach = size - 1 + slop
+    at = F.least(F.col("pos"), F.lit(reach))
+    around = tokens.select("d", "h", "term", at.alias("at"), F.slice("w", F.col("pos") - at + 1, at + reach + 1).alias("near"))
+    span = F.col("length") - 1 + slop
+    first = F.greatest(F.col("at") - span, F.lit(0))
+    held = F.slice("near", first + 1, F.col("at") - first + span + 1)
+    found = around.join(_small(materialize(anchors, "anchors")), "term").where(F.size(F.array_except("asked", held)) == 0)
+    return found.select("d", "h", "window_id").distinct()
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int | None = None,
@@ -150,8 +160,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop:
     )
     windows = of_items.select("window_id", "window").dropDuplicates(["window_id"])
     pairs = materialize(window_pairs(windows), "benchmark-pairs")
-    index = materialize(build_index(docs, pairs.select("term", "after", "pair").distinct(), id_col, text_col), "postings")
-    exact, near = phrase_matches(index, pairs, slop)
+    rows = _documents(docs, id_col, text_col)
+    if slop is not None:
+        rows = materialize(rows, "words")  # read three times
+    index = materialize(build_index(rows, pairs.select("term", "after", "pair").distinct()), "postings")
+    exact = phrase_matches(index, pairs)
     if windows.where(F.size("window") == 1).limit(1).count():
         exact = exact.union(single_matches(docs, windows, id_col, text_col))
     exact = materialize(exact, "matches")
@@ -164,13 +177,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop:
         exact.select("d", "h", "window_id").distinct().join(names, "window_id").groupBy("d", "h")
         .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     )  # at most the benchmark's items
-    rows = index.where(F.col("pair").isNull()).groupBy("d", "h").agg(F.any_value("doc_id").alias("doc_id"), F.max("pos").alias("n_words"), F.count("*").alias("m"))
-    out = rows.join(words_hit, ["d", "h"], "left").join(items_hit, ["d", "h"], "left")
+    whole = index.where(F.col("pair").isNull()).groupBy("d", "h").agg(F.any_value("doc_id").alias("doc_id"), F.max("pos").alias("n_words"), F.count("*").alias("m"))
+    out = whole.join(words_hit, ["d", "h"], "left").join(items_hit, ["d", "h"], "left")
     columns = [
         "doc_id", "d", "h", F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     ]
-    if near is not None:
+    if slop is not None:
+        near = near_matches(rows, windows, size, slop)
         near_items = near.join(names, "window_id").groupBy("d", "h").agg(F.count_distinct("item_id").alias("n_near_items"))
         out = out.join(near_items, ["d", "h"], "left")
         columns.append(F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"))

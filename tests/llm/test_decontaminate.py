@@ -53,6 +53,46 @@ def test_proximity_matches(spark):
     assert all(exact == (i == 1) for i, (exact, _) in got.items())
 
 
+def near_brute(docs, items, size, slop):
+    """Items per document with a window whose words are all around a place of its rarest word (by count, then place in the window)."""
+    texts = {i: [w.lower() for w in words(t)] for i, t in docs}
+    count = {}
+    for w in (w for t in texts.values() for w in t):
+        count[w] = count.get(w, 0) + 1
+    out = {i: set() for i in texts}
+    for item, t in items:
+        w = [x.lower() for x in words(t)]
+        for s in range(max(len(w) - size + 1, 1) if w else 0):
+            window = w[s : s + size]
+            _, off = min((count.get(x, 0), n) for n, x in enumerate(window))
+            reach = len(window) - 1 + slop
+            for i, said in texts.items():
+                if any(set(window) <= set(said[max(0, p - reach) : p + reach + 1]) for p, x in enumerate(said) if x == window[off]):
+                    out[i].add(item)
+    return {i: len(x) for i, x in out.items()}
+
+
+def test_an_altered_passage_needs_no_intact_copy(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    it = spark.createDataFrame([(9, item)], "item_id long, text string")
+    for text, near in ((item.replace("delta", "delta very"), 1), (" ".join(reversed(item.split())), 1), (item.replace("delta", "") + " x" * 12 + " delta", 0)):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert [(r.n_items, r.n_near_items) for r in dc.find_contamination(df, it, slop=2).collect()] == [(0, near)], text
+
+
+def test_proximity_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice("abcdefghijklmn") * 2 for _ in range(n))
+    items = [(n, some(rng.randrange(1, 14))) for n in range(30)] + [(40, "single"), (41, "nowhere aa bb")]
+    docs = [(i, some(rng.randrange(0, 50))) for i in range(40)] + [(50, "a single word"), (51, "")]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = near_brute(docs, items, 6, 2)
+    assert sum(want.values()) > 50
+    for bound in (dc.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(dc, "BROADCAST_ROWS", bound)
+        assert {r.doc_id: r.n_near_items for r in dc.find_contamination(df, it, size=6, slop=2).collect()} == want
+
+
 def test_drop_keeps_clean_rows_and_columns(spark):
     docs, items = corpus()
     rows = [(i, t, "d", n, None) for n, (i, t) in enumerate(docs)]
