@@ -3,16 +3,17 @@
 Base spans of four kinds come from fixed patterns and checks and are always kept. High-recall
 generators propose further, overlapping candidates (numbers with any separators, local phone
 formats, spelt-out addresses). Boosted trees are fitted on a bounded sample of the
-candidates, labelled by whether they overlap a base span of their kind, on features of the
+candidates, labelled by whether they overlap a base span of their kind (an address by whether
+it is one once its spelt marks are written as marks), on features of the
 format (digits, groups, separators, checks) and of the context (characters and keywords
-around); the leading ``+`` that decides the base rule for phones is not among them, so the
-trees carry over to formats the rules miss. Thresholds per kind are calibrated on a held-out
+around); the leading ``+`` that decides the base rule for phones and the separators that
+decide the one for IP addresses are not among them, so the trees carry over to formats the rules miss. Thresholds per kind are calibrated on a held-out
 part of the sample to a given precision. Everything runs as column expressions: the trees
 become CASE expressions, and each document is read once.
 
 Cases: a null or empty text has no spans; long texts are searched whole; possessive
 quantifiers keep the patterns linear on long runs; equal rows get equal results each; an
-empty table gives no rows; without candidates of both labels no span is added; a null id
+empty table gives no rows; candidates of one label only all score that label; a null id
 is carried as null; further columns, whatever their names, are kept by ``redact`` and ignored otherwise.
 """
 
@@ -44,6 +45,8 @@ SPELT = (
     r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++"
     r"(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]++)++"
 )
+SPELT_AT = r"(?i)\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?"
+SPELT_DOT = r"(?i)\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?"
 NUMBER_HINT = r"[0-9](?:[\x20().\-/]{0,2}[0-9]){6}"
 SPELT_HINT = r"(?i)[(\[\x20]dot[)\]\x20]"
 KEYWORDS = {"mail": r"mail|contact|write", "tel": r"tel|phone|call|fax|mobile", "card": r"card|visa|credit|pay", "ip": r"ip\b|host|server|address"}
@@ -150,6 +153,7 @@ def _features(h: Column) -> Column:
     """Span, a hash that spreads candidates, and the features of one candidate."""
     value, left, kind = h["value"], h["left"], h["kind_no"]
     digits = digits_of(value)
+    is_ip = kind == KINDS.index("ip")
     groups = F.filter(F.split(value, "[^0-9]+"), lambda g: g != "")
     count = lambda c: (F.length(value) - F.length(F.replace(value, F.lit(c), F.lit("")))).cast("double")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
@@ -165,13 +169,18 @@ def _features(h: Column) -> Column:
         "n_spaces": count(" "), "n_hyphens": count("-"), "n_dots": count("."), "n_slashes": count("/"),
         "n_parens": count("(") + count(")"),
         "luhn": F.when(kind == KINDS.index("card"), flag(luhn(digits))).otherwise(0.0),
-        "octets": F.when(kind == KINDS.index("ip"), flag(octets(value))).otherwise(0.0),
+        "octets": F.when(is_ip, flag(octets(F.regexp_replace(value, "[^0-9]+", ".")))).otherwise(0.0),
         "spelt": h["spelt"],
         # A plus sign before the number decides the base rule for phones, so it is not shown to the trees.
         "before": _char_class(F.right(F.regexp_replace(left, r"\+[0-9]*\x20?$", " "), F.lit(1))).cast("double"),
     }
+    # Nor are the separators of what may be an IP address.
+    row |= {k: F.when(is_ip, 0.0).otherwise(row[k]) for k in ("n_chars", "n_spaces", "n_hyphens", "n_dots", "n_slashes")}
     row |= {f"near_{k}": flag(F.lower(left).rlike(p)) for k, p in KEYWORDS.items()}
-    label = F.exists("pii_base", lambda b: (b["kind_no"] == kind) & (b["start"] < h["end"]) & (h["start"] < b["end"])).cast("double")
+    overlap = F.exists("pii_base", lambda b: (b["kind_no"] == kind) & (b["start"] < h["end"]) & (h["start"] < b["end"]))
+    plain = F.regexp_replace(F.regexp_replace(value, SPELT_AT, "@"), SPELT_DOT, ".")
+    # No base span holds spelt marks, so an address is labelled on its plain form.
+    label = (overlap | ((kind == KINDS.index("email")) & plain.rlike(f"^(?:{BASE_PATTERNS['email']})$"))).cast("double")
     return F.struct(
         h["start"].alias("start"), h["end"].alias("end"), F.xxhash64(value, left, h["start"]).alias("h"),
         *(row[f].alias(f) for f in FEATURES), label.alias("label"),
@@ -203,7 +212,7 @@ def _tree(node, features) -> Column:
 
 
 def fit(found: DataFrame, sample_rows: int = 20_000, precision: float = 0.9, rounds: int = 10, depth: int = 3):
-    """(score of a candidate struct as a Column function, threshold per kind), or None without both labels.
+    """(score of a candidate struct as a Column function, threshold per kind).
 
     ``sample_rows`` bounds the candidates used: those with the smallest hashes. A third of them is
     held out; a kind's threshold is the lowest score whose isotonic share of positives among the
@@ -215,8 +224,10 @@ def fit(found: DataFrame, sample_rows: int = 20_000, precision: float = 0.9, rou
     rows = found.select(F.explode("pii_candidates").alias("c")).select("c.*")
     sample = materialize(rows.orderBy("h", "start", "end", *FEATURES).limit(sample_rows), "pii-sample")
     train = sample.where(F.pmod("h", F.lit(3)) != 1)
-    if train.select("label").distinct().count() < 2:
-        return None
+    labels = [r["label"] for r in train.select("label").distinct().collect()]
+    if len(labels) < 2:
+        score = lambda c: F.lit(labels[0] if labels else 0.0)
+        return score, _limits(sample, score, precision)
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train).select("features", "label")
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False).fit(table.coalesce(4))
     roots = [(w, t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)]
@@ -225,18 +236,24 @@ def fit(found: DataFrame, sample_rows: int = 20_000, precision: float = 0.9, rou
         margin = reduce(lambda a, b: a + b, (_tree(root, c) * F.lit(float(w)) for w, root in roots))
         return 1 / (1 + F.exp(-2 * margin))
 
-    held = sample.where(F.pmod("h", F.lit(3)) == 1).withColumn("c", F.struct(*FEATURES))
+    return score, _limits(sample, score, precision)
+
+
+def _limits(rows: DataFrame, score, precision: float) -> dict[int, float]:
+    """Threshold per kind, calibrated on its held-out candidates; on all of them if it has no held-out one."""
     bins = (
-        held.select("kind_no", "label", F.floor(score(F.col("c")) * 1000).cast("int").alias("bin"))
-        .groupBy("kind_no", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
-    )  # at most 1,001 bins for each of the four kinds
+        rows.withColumn("c", F.struct(*FEATURES))
+        .select("kind_no", "label", (F.pmod("h", F.lit(3)) == 1).alias("held"), F.floor(score(F.col("c")) * 1000).cast("int").alias("bin"))
+        .groupBy("kind_no", "held", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    )  # at most 1,001 bins for each of the four kinds, held out or not
     limits = {}
     for no in range(len(KINDS)):
-        level = calibrated([(r["bin"], r["good"], r["n"]) for r in bins if r["kind_no"] == no])
+        own = [r for r in bins if r["kind_no"] == no]
+        level = calibrated([(r["bin"], r["good"], r["n"]) for r in [r for r in own if r["held"]] or own])
         over = [b for b, p in level.items() if p >= precision]
         if over:
             limits[no] = min(over) / 1000
-    return score, limits
+    return limits
 
 
 def calibrated(bins: list[tuple[int, float, int]]) -> dict[int, float]:
@@ -252,8 +269,6 @@ def calibrated(bins: list[tuple[int, float, int]]) -> dict[int, float]:
 
 def _chosen(model) -> Column:
     """Candidates over their kind's threshold, clear of base spans, the best of those that overlap; as (start, kind_no, end)."""
-    if model is None:
-        return F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
     score, limits = model
     limit = F.lit(2.0)
     scored = F.transform("pii_candidates", lambda c: F.struct(c["start"], c["end"], c["kind_no"].cast("int").alias("kind_no"), score(c).alias("score")))
@@ -275,14 +290,12 @@ def _spans(rows: DataFrame, carried: str, sample_rows: int, precision: float) ->
     """``carried``, ``base_spans`` and ``spans`` of rows with a column pii_text."""
     found = materialize(find_candidates(rows).select(carried, "pii_base", "pii_candidates"), "pii-found")
     model = fit(found.select("pii_candidates"), sample_rows, precision)
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
-    out = found.withColumn("pii_over", none if model is None else _chosen(model))
-    if model is not None:
-        best = F.filter(
-            "pii_over",
-            lambda c: ~F.exists("pii_over", lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & (_rank(d) > _rank(c))),
-        )
-        out = out.withColumn("pii_over", F.transform(best, lambda c: F.struct(c["start"], c["kind_no"], c["end"])))
+    out = found.withColumn("pii_over", _chosen(model))
+    best = F.filter(
+        "pii_over",
+        lambda c: ~F.exists("pii_over", lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & (_rank(d) > _rank(c))),
+    )
+    out = out.withColumn("pii_over", F.transform(best, lambda c: F.struct(c["start"], c["kind_no"], c["end"])))
     spans = F.array_sort(F.array_distinct(F.concat("pii_base", "pii_over")))
     return out.select(carried, F.col("pii_base").alias("base_spans"), spans.alias("spans"))
 

@@ -78,6 +78,16 @@ def test_trees_add_formats_that_the_rules_miss(spark):
     assert got[5000] == [(10, 24)]
 
 
+def test_spelt_addresses_are_added_and_redacted(spark):
+    said = ["john (at) mail (dot) com", "john at mail dot com", "a.b+c [AT] x-y [Dot] example [dot] org"]
+    rows = [(i, f"word {t} word") for i, t in enumerate(said)]
+    noise = [(1000 + i, f"order {10000000 + i * 37} of lot {i % 97}/{i % 13}") for i in range(60)]
+    for more in (noise, []):
+        out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+        assert [out[i] for i in range(len(said))] == ["word <EMAIL> word"] * len(said)
+        assert all(out[i] == t for i, t in more)
+
+
 def test_redact_keeps_rows_columns_and_clean_texts(spark):
     rows = [(1, "mail a@b.cc or 1.2.3.4", "x", 5), (2, None, None, None), (None, "clean", "y", 6), (1, "mail a@b.cc or 1.2.3.4", "x", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, pii_base int")
