@@ -2,13 +2,13 @@
 
 Base spans of four kinds come from fixed patterns and checks and are always kept. High-recall
 generators propose further, overlapping candidates (numbers with any separators, local phone
-formats, spelt-out addresses). Boosted trees are fitted on a bounded sample of the
-candidates, labelled by whether they overlap a base span of their kind (an address by whether
+formats, spelt-out addresses). Boosted trees are fitted on a bounded sample of each kind's
+candidates (equal ones are one row with their count as weight), labelled by whether they overlap a base span of their kind (an address by whether
 it is one once its spelt marks are written as marks), on features of the
 format (digits, groups, separators, checks) and of the context (characters and keywords
 around); the leading ``+`` that decides the base rule for phones and the separators that
-decide the one for IP addresses are not among them, so the trees carry over to formats the rules miss. Thresholds per kind are calibrated on a held-out
-part of the sample to a given precision. Everything runs as column expressions: the trees
+decide the one for IP addresses are not among them, so the trees carry over to formats the rules miss. Thresholds per kind are calibrated on all held-out
+candidates (a third, by hash) to a given precision. Everything runs as column expressions: the trees
 become CASE expressions, and each document is read once.
 
 Cases: a null or empty text has no spans; long texts are searched whole; possessive
@@ -214,29 +214,32 @@ def _tree(node, features) -> Column:
 def fit(found: DataFrame, sample_rows: int = 20_000, precision: float = 0.9, rounds: int = 10, depth: int = 3):
     """(score of a candidate struct as a Column function, threshold per kind).
 
-    ``sample_rows`` bounds the candidates used: those with the smallest hashes. A third of them is
-    held out; a kind's threshold is the lowest score whose isotonic share of positives among the
-    held-out candidates reaches ``precision``.
+    ``sample_rows`` bounds the distinct candidates fitted on: an equal part for each kind, those with the smallest
+    hashes. A third of all candidates is held out from it; a kind's threshold is the lowest score whose isotonic share of
+    positives among all its held-out candidates reaches ``precision``.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows = found.select(F.explode("pii_candidates").alias("c")).select("c.*")
-    sample = materialize(rows.orderBy("h", "start", "end", *FEATURES).limit(sample_rows), "pii-sample")
-    train = sample.where(F.pmod("h", F.lit(3)) != 1)
+    seen = rows.where(F.pmod("h", F.lit(3)) != 1).groupBy("h", *FEATURES, "label").agg(F.count("*").cast("double").alias("n"))
+    seen = materialize(seen, "pii-distinct")
+    each = max(sample_rows // len(KINDS), 1)
+    parts = (seen.where(F.col("kind_no") == no).orderBy("h", *FEATURES, "label").limit(each) for no in range(len(KINDS)))
+    train = materialize(reduce(DataFrame.union, parts), "pii-sample")
     labels = [r["label"] for r in train.select("label").distinct().collect()]
     if len(labels) < 2:
         score = lambda c: F.lit(labels[0] if labels else 0.0)
-        return score, _limits(sample, score, precision)
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train).select("features", "label")
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False).fit(table.coalesce(4))
+        return score, _limits(rows, score, precision)
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train).select("features", "label", "n")
+    model = GBTClassifier(weightCol="n", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False).fit(table.coalesce(4))
     roots = [(w, t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)]
 
     def score(c: Column) -> Column:
         margin = reduce(lambda a, b: a + b, (_tree(root, c) * F.lit(float(w)) for w, root in roots))
         return 1 / (1 + F.exp(-2 * margin))
 
-    return score, _limits(sample, score, precision)
+    return score, _limits(rows, score, precision)
 
 
 def _limits(rows: DataFrame, score, precision: float) -> dict[int, float]:

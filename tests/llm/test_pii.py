@@ -88,6 +88,17 @@ def test_spelt_addresses_are_added_and_redacted(spark):
         assert all(out[i] == t for i, t in more)
 
 
+def test_a_flood_of_another_kind_does_not_crowd_out_a_rare_one(spark):
+    phones = [(i, f"word call +1 ({200 + i % 700}) 555-{1000 + i} word") for i in range(90)]
+    flood = [(1000 + i, f"item {10**15 + i * 7919} of many") for i in range(2500)]
+    copies = [(9000, "item 1234567890123456 of many")] * 2500
+    bare = [(5000, "word call (305) 555-7777 word")]
+    df = spark.createDataFrame(phones + flood + copies + bare, "doc_id long, text string")
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in pii.find_pii(df, sample_rows=80).collect()}
+    assert got[5000] == [(10, 24)]
+    assert got[9000] == []
+
+
 def test_redact_keeps_rows_columns_and_clean_texts(spark):
     rows = [(1, "mail a@b.cc or 1.2.3.4", "x", 5), (2, None, None, None), (None, "clean", "y", 6), (1, "mail a@b.cc or 1.2.3.4", "x", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, pii_base int")
