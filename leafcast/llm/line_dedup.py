@@ -1,7 +1,9 @@
 """Substring deduplication by hashing lines and sentences.
 
 A text is cut into units at line ends and after sentence ends; short sentences of a line that follow
-each other are taken together. Units are normalised (lower case,
+each other are taken together. A sentence of over ``LONG_WORDS`` words is cut at commas as well, and
+before words chosen by their hash where there are none, so that a passage within it has units of its own.
+In scripts without spaces and in long runs, characters count as words. Units are normalised (lower case,
 white space made one space, the edges stripped of marks) and digested to 128 bits; over all documents
 the earliest occurrence of a digest stays (by document id, null last, then hash of the text, then
 offset), and the others are removed. A unit of fewer than ``min_words`` words repeats by chance, so it counts
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +32,17 @@ from pyspark.sql import functions as F
 from leafcast.session import bound_batches, materialize
 
 CUT = re.compile(r"[^\S\n]*\n\s*|(?<=[.!?])[^\S\n]+")
+#: Sentence ends that need no space after them, and the cut of texts that have any.
+ENDS = "。！？｡؟۔।॥"
+WIDE = re.compile(f"[{ENDS}]")
+CUT_WIDE = re.compile(rf"{CUT.pattern}|(?<=[{ENDS}])(?![{ENDS}])[^\S\n]*")
+#: A sentence of more words is cut at commas, and where a part is still longer before the words whose hash is 0 modulo HASH_CUT.
+LONG_WORDS, HASH_CUT = 50, 12
+COMMA = re.compile(r"(?<=[,;:])[^\S\n]+|(?<=[、，；：،])[^\S\n]*")
+WORD = re.compile(r"\S+")
+#: Characters of scripts written without spaces; so many count as a word, as do so many of any other run.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+UNSPACED_WORD, LONG_RUN = 2, 20
 EDGE = " \t.,;:!?\"'()[]-*#$%&|"
 #: Share of the documents sampled for frequent digests, and the rows there that make one frequent.
 SAMPLE, HOT_ROWS = 0.02, 100
@@ -38,6 +52,50 @@ BROADCAST_ROWS = 500_000
 UNIT_SCHEMA = "doc_id bigint, h bigint, start int, end int, digest binary"
 
 
+def n_words(said: list[str], enough: int) -> int:
+    """Words of a unit: exact below ``enough``, else at least that."""
+    if len(said) >= enough:
+        return len(said)
+    n = 0
+    for w in said:
+        wide = 0 if w.isascii() else len(UNSPACED.findall(w))
+        n += max(1, wide // UNSPACED_WORD + (len(w) - wide) // LONG_RUN)
+    return n
+
+
+def _pieces(text: str, at: int, stop: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the sentence, or of its parts if it is a very long one; white space between parts is left out."""
+    if stop - at <= 2 * LONG_WORDS or n_words(text[at:stop].split(), LONG_WORDS + 1) <= LONG_WORDS:
+        yield at, stop
+        return
+    for m in [*COMMA.finditer(text, at, stop), None]:
+        end, after = (m.start(), m.end()) if m else (stop, stop)
+        if end > at:
+            if n_words(text[at:end].split(), LONG_WORDS + 1) > LONG_WORDS:
+                yield from _hashed(text, at, end)
+            else:
+                yield at, end
+        at = after
+
+
+def _hashed(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts of a long run of words, cut before the words whose hash says so: the same words give the same cuts anywhere."""
+    last = at
+    for m in WORD.finditer(text, at, end):
+        word = m.group()
+        if crc32(word.lower().strip(EDGE).encode("utf-8", "surrogatepass")) % HASH_CUT == 0 and m.start() > at:
+            yield at, last
+            at = m.start()
+        if not word.isascii() and len(UNSPACED.findall(word)) > LONG_WORDS:  # unspaced: cut before such characters
+            for i in range(m.start() + 1, m.end()):
+                if crc32(text[i - 1 : i + 1].encode("utf-8", "surrogatepass")) % HASH_CUT == 0 and i > at:
+                    yield at, i
+                    at = i
+        last = m.end()
+    if end > at:
+        yield at, end
+
+
 def units(text: str, min_words: int) -> list[tuple[int, int, bytes | None]]:
     """(start, end, digest) of each unit; no digest for a short unit without a longer one before it.
 
@@ -50,24 +108,25 @@ def units(text: str, min_words: int) -> list[tuple[int, int, bytes | None]]:
     def put(start: int, end: int, said: list[str]) -> None:
         nonlocal run
         plain = " ".join(said).strip(EDGE).encode()
-        if len(said) >= min_words and plain:
+        if plain and n_words(said, min_words) >= min_words:
             run = blake2b(plain, digest_size=16)
         elif run is not None:
             run.update(b"\n" + plain)
         out.append((start, end, run and run.digest()))
 
     at = last = 0
-    for m in [*CUT.finditer(text), None]:
+    cut = CUT if text.isascii() or not WIDE.search(text) else CUT_WIDE
+    for m in [*cut.finditer(text), None]:
         stop, after = (m.start(), m.end()) if m else (len(text), len(text))
-        if stop > at:
-            said = text[at:stop].lower().split()
-            if words and len(said) >= min_words:
+        for start, end in _pieces(text, at, stop) if stop > at else ():
+            said = text[start:end].lower().split()
+            if words and (n_words(words, min_words) >= min_words or n_words(said, min_words) >= min_words):
                 put(first, last, words)
                 words = []
-            first = first if words else at
-            words, last = words + said, stop
+            first = first if words else start
+            words, last = words + said, end
         line_ends = m is None or "\n" in m.group()
-        if last > first and (len(words) >= min_words or line_ends):
+        if last > first and (line_ends or n_words(words, min_words) >= min_words):
             put(first, last, words)
             words = []
             first = last

@@ -72,6 +72,34 @@ def test_frequent_digests_take_the_other_way(spark, monkeypatch):
     assert results(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_text_without_spaces_is_compared(spark):
+    lines = ["本网站的内容仅供参考，版权所有，未经许可不得转载", "このサイトの内容は無断で転載することを禁じます", "สงวนลิขสิทธิ์ห้ามทำซ้ำเนื้อหาของเว็บไซต์นี้", "QUJDREVG" * 20]
+    for n, line in enumerate(lines):
+        rows = [(1, f"First words of mine are here.\n{line}"), (2, f"{line}\nOther words of mine are here."), (3, "短"), (4, "短")]
+        got = {i: (s, t) for i, s, t in results(spark.createDataFrame(rows, "doc_id long, text string"))}
+        assert got[1][0] == [] and got[2][0] == [(0, len(line))], n
+        assert got[3][0] == got[4][0] == []
+
+
+def removed_from_second(first, second):
+    seen = {d for *_, d in ld.units(first, 5) if d}
+    return sum(e - s for s, e, d in ld.units(second, 5) if d in seen)
+
+
+def test_sentences_of_other_scripts_are_units():
+    said = "本网站的内容仅供参考版权所有。未经许可不得转载或者复制本页！"
+    assert removed_from_second("天地玄黄宇宙洪荒日月盈昃。" + said, "云腾致雨露结为霜金生丽水。" + said) == len(said)
+
+
+@pytest.mark.parametrize("mark", [", ", " "])
+def test_a_passage_of_one_long_sentence_in_mid_line(mark):
+    rng = random.Random(4)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage = mark.join(some(8) for _ in range(30))
+    one, two = f"{some(7)} {passage} {some(6)}.", f"{some(4)} {passage} {some(9)}."
+    assert removed_from_second(one, two) >= 0.75 * len(passage)
+
+
 def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, LINE, "h", 3)], "doc_id long, text string, h string, removed int")
     assert results(df) == [(1, [], LINE)]
