@@ -98,3 +98,71 @@ SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(b.depth AS INTEGER) AS d
   CAST(b.shard_bytes AS BIGINT) AS shard_bytes FROM best
 UNION ALL SELECT doc_id, CAST(n_bytes AS BIGINT), 60, bits, 0, CAST(n_bytes AS BIGINT) FROM r WHERE n_bytes > 1048576
 """
+
+ORACLE_SQL["op11_bond_hard_negatives"] = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+ORACLE_SQL["op13_incremental_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars, row_number() OVER () AS no,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents
+), crc AS (
+  SELECT no, CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295 AS c FROM d WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT no, s, k + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT no, s, k, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(substr(s, k // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x FROM crc WHERE k < 8 * length(s))
+), tampered AS (SELECT no FROM crc WHERE k = 8 * length(s) AND xor(c, 4294967295) % 7 = 0),
+leaves AS (
+  SELECT doc_id, lang, leaf, coalesce(claimed, leaf) AS claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS i FROM (
+    SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || tail) AS leaf,
+      CASE WHEN t.no IS NOT NULL THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') || tail) END AS claimed
+    FROM d LEFT JOIN tampered t USING (no))
+), tree AS (
+  SELECT lang, 0 AS l, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM tree WHERE n > 1 GROUP BY lang, l, i // 2
+), subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS l, j AS i, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM top WHERE n > 1 GROUP BY l, i // 2
+), low_steps AS (
+  SELECT a.lang, a.i, t.l, (a.i >> t.l) & 1 AS is_right, s.h FROM leaves a JOIN (SELECT DISTINCT lang, l FROM tree WHERE n > 1) t ON a.lang IS NOT DISTINCT FROM t.lang
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM a.lang AND s.l = t.l AND s.i = xor(a.i >> t.l, 1)
+), top_steps AS (
+  SELECT lang, t.l, (j >> t.l) & 1 AS is_right, s.h FROM subroots JOIN (SELECT DISTINCT l FROM top WHERE n > 1) t ON true
+  LEFT JOIN top s ON s.l = t.l AND s.i = xor(j >> t.l, 1)
+), steps AS (
+  SELECT lang, i, list({'r': is_right, 'h': h} ORDER BY l) AS p FROM (
+    SELECT lang, i, l, is_right, h FROM low_steps
+    UNION ALL SELECT a.lang, a.i, 1000 + t.l, t.is_right, t.h FROM leaves a JOIN top_steps t ON a.lang IS NOT DISTINCT FROM t.lang) GROUP BY lang, i
+), paths AS (
+  SELECT a.*, coalesce(p, []) AS p FROM leaves a LEFT JOIN steps s ON a.lang IS NOT DISTINCT FROM s.lang AND a.i = s.i
+), folded AS (
+  SELECT lang, i, p, 1 AS k, claimed AS h FROM paths
+  UNION ALL
+  SELECT lang, i, p, k + 1, sha256(CASE WHEN p[k].h IS NULL THEN h WHEN p[k].r = 1 THEN p[k].h || h ELSE h || p[k].h END) FROM folded WHERE k <= len(p)
+)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root,
+  sha256(coalesce(array_to_string(list_filter(list_transform(a.p, lambda x: x.h), lambda x: x IS NOT NULL), ''), '')) AS proof_sha256,
+  f.h AS folded_root, f.h = (SELECT h FROM top WHERE n = 1) AS verified
+FROM paths a JOIN folded f ON a.lang IS NOT DISTINCT FROM f.lang AND a.i = f.i AND f.k = len(f.p) + 1 JOIN subroots s ON a.lang IS NOT DISTINCT FROM s.lang
+"""

@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafcast.llm import chat_format, pii, quality_fm
+from leafcast.llm import chat_format, merkle, pii, quality_fm
+from leafcast.llm.bond import hard_negatives
 from leafcast.llm.bpe_count import token_counts
 from leafcast.llm.decontaminate import find_contamination
+from leafcast.llm.forced_bpe import decode_ids, encode_texts
 from leafcast.llm.jaccard_join import jaccard_components
 from leafcast.llm.line_dedup import deduplicate
 from leafcast.llm.packing import pack_documents
 from leafcast.llm.sharding import assign_shards
 from leafcast.llm.winnow import edit_neighbours
+from leafcast.session import materialize
 from leafcast.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +135,36 @@ def op10_candidate_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(no).alias(f"n_{k}") for no, k in enumerate(pii.KINDS)),
         F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("spans").alias("spans"),
     )
+
+
+@_query
+def op11_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0, n_positives=5, n_negatives=3, low=(50, 100), high=(95, 100))
+
+
+@_query
+def op12_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = decode_ids(encode_texts(read_table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op13_incremental_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = read_table(spark, sf_dir, "documents", *fields)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = [F.try_add("n_chars", F.lit(1)) if f == "n_chars" else F.col(f) for f in fields]
+    leaves = docs.select(
+        F.col("lang").alias("grp"), "doc_id", F.unhex(merkle.leaf_digest(*(F.col(f) for f in fields))).alias("digest"),
+        F.when(tampered, F.unhex(merkle.leaf_digest(*more))).alias("claimed"),
+    )
+    found = merkle.manifest(materialize(leaves, "leaves"))
+    claimed = merkle.hexed(F.coalesce("claimed", "digest"))
+    proven = found.select(
+        "doc_id", merkle.hexed(F.col("digest")).alias("leaf"), merkle.hexed(F.col("subroot")).alias("subroot"), merkle.hexed(F.col("root")).alias("root"),
+        F.sha2(F.array_join(merkle.sibling_digests(F.col("steps")), ""), 256).alias("proof_sha256"), merkle.fold(claimed, F.col("steps")).alias("folded_root"),
+    )
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
