@@ -500,12 +500,12 @@ QUERIES.update({
         FROM users_v JOIN sites_c p ON true WHERE (id // 100) % 7 <> 3 OR (id % 10 = 0 AND (id // 100 + 1) % 7 <> 3)""",
     "src_post_full": """
         SELECT 'post|' || coalesce(p.rest_base, '') || '|' || CAST(p.id AS VARCHAR) AS request_key,
-          CASE WHEN p.id % 23 = 0 THEN 'post_fetch_failed' WHEN p.id % 29 = 0 THEN 'post_parse_failed' ELSE '' END AS error,
-          p.id AS id,
-          CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN p.title_raw END AS title_raw,
-          CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN coalesce(c.c_name, '') ELSE '' END AS author_name,
-          CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN length(f.fragment) ELSE 0 END AS BIGINT) AS content_len,
-          CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 THEN coalesce(2 * len(t.g1), 0) ELSE 0 END AS BIGINT) AS n_terms
+          CASE WHEN p.id % 23 = 0 THEN 'post_fetch_failed' WHEN p.id % 29 = 0 OR p.id % 37 = 0 THEN 'post_parse_failed' ELSE '' END AS error,
+          CASE WHEN p.id % 31 = 0 AND p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN 0 ELSE p.id END AS id,
+          CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN p.title_raw END AS title_raw,
+          CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN coalesce(c.c_name, '') ELSE '' END AS author_name,
+          CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN length(f.fragment) ELSE 0 END AS BIGINT) AS content_len,
+          CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN coalesce(2 * len(t.g1), 0) ELSE 0 END AS BIGINT) AS n_terms
         FROM posts_v p JOIN fragments_v f ON f.page_id = p.id
         LEFT JOIN terms_v t ON t.id = p.id LEFT JOIN customer c ON c.c_custkey = p.author""",
     "site_name": f"""
@@ -591,9 +591,10 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b
 FROM pages"""
 
 VIEWS["full_ok"] = f"""
-SELECT p.id, p.rest_base, p.title_raw, p.link, p.date_gmt, coalesce(c.c_name, '') AS author_name, f.fragment
+SELECT p.id, CASE WHEN p.id % 31 = 0 THEN 0 ELSE p.id END AS shown, p.rest_base, p.title_raw, p.link, p.date_gmt,
+  coalesce(c.c_name, '') AS author_name, f.fragment
 FROM posts_v p JOIN fragments_v f ON f.page_id = p.id LEFT JOIN customer c ON c.c_custkey = p.author
-WHERE p.id % 23 <> 0 AND p.id % 29 <> 0"""
+WHERE p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0"""
 
 VIEWS["full_terms"] = """
 SELECT id, pos, t.taxonomy AS taxonomy, t.name AS name FROM (
@@ -609,19 +610,21 @@ FROM (SELECT id, taxonomy, min(pos) AS first_pos, list(name ORDER BY pos) AS nam
 GROUP BY id"""
 
 VIEWS["front_matter_v"] = f"""
-SELECT o.id, '---' || chr(10) || 'post_id: ' || CAST(o.id AS VARCHAR) || chr(10)
+SELECT o.shown AS id, '---' || chr(10) || 'post_id: ' || CAST(o.shown AS VARCHAR) || chr(10)
   || 'date: ' || {yaml_scalar(fmt_datetime('o.date_gmt'))} || chr(10)
   || 'title: ' || {yaml_scalar(title_flat('o.title_raw'))} || chr(10)
   || coalesce(t.lines || chr(10), '')
   || CASE WHEN o.author_name <> '' THEN 'author: ' || {yaml_scalar('o.author_name')} || chr(10) ELSE '' END
   || 'permalink: ' || {yaml_scalar("coalesce(o.link, '')")} || chr(10) || '---' || chr(10) || chr(10) AS front_matter,
   CAST(6 + coalesce(t.n_tax, 0) + CASE WHEN o.author_name <> '' THEN 1 ELSE 0 END AS BIGINT) AS fm_lines,
-  '# ' || {title_flat('o.title_raw')} AS heading
+  '# ' || {title_flat('o.title_raw')} AS heading,
+  md5(array_to_string(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(o.fragment, '(?is)<head\\b.*?</head>', '', 'g'),
+    '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>|&#?\\w+;', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+'), ' ')) AS words_md5
 FROM full_ok o LEFT JOIN full_tax t ON o.id = t.id"""
 
 VIEWS["full_errors"] = """
 SELECT p.id AS src_id, CASE WHEN p.id % 23 = 0 THEN 'post_fetch_failed' ELSE 'post_parse_failed' END AS error
-FROM posts_v p JOIN fragments_v f ON f.page_id = p.id WHERE p.id % 23 = 0 OR p.id % 29 = 0"""
+FROM posts_v p JOIN fragments_v f ON f.page_id = p.id WHERE p.id % 23 = 0 OR p.id % 29 = 0 OR p.id % 37 = 0"""
 
 _ESC_TITLE = html_escape(title_flat("o.title_raw"))
 
@@ -644,17 +647,17 @@ QUERIES.update({
           '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g') AS fragment FROM fragments_v)""",
     "front_matter": "SELECT id, front_matter FROM front_matter_v",
     "markdown_documents": """
-        SELECT id, CAST(NULL AS VARCHAR) AS error, fm_lines, heading FROM front_matter_v
-        UNION ALL SELECT src_id, error, NULL, NULL FROM full_errors""",
+        SELECT id, CAST(NULL AS VARCHAR) AS error, fm_lines, heading, words_md5 FROM front_matter_v
+        UNION ALL SELECT src_id, error, NULL, NULL, NULL FROM full_errors""",
     "html_documents": f"""
         SELECT id, error, title_tag, title_tag AS h1, true AS closed, md5('<html><head><meta charset="UTF-8"><meta name="robots" content="noindex, nofollow"><title>'
             || title_tag || '</title></head><body><h1>' || title_tag || '</h1>' || slim || '</body></html>') AS md5 FROM (
-          SELECT o.id, CAST(NULL AS VARCHAR) AS error, {_ESC_TITLE} AS title_tag,
+          SELECT o.shown AS id, CAST(NULL AS VARCHAR) AS error, {_ESC_TITLE} AS title_tag,
             {slim("regexp_replace(regexp_replace(o.fragment, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g')", ("colspan", "rowspan", "href", "src", "alt"), ("script", "style"), ())} AS slim
           FROM full_ok o)
         UNION ALL SELECT src_id, error, NULL, NULL, NULL, NULL FROM full_errors""",
     "raw_documents": """
-        SELECT id, CAST(NULL AS VARCHAR) AS error,
+        SELECT shown AS id, CAST(NULL AS VARCHAR) AS error,
           md5(regexp_replace(regexp_replace(fragment, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g')) AS md5
         FROM full_ok
         UNION ALL SELECT src_id, error, NULL FROM full_errors""",
@@ -775,7 +778,7 @@ QUERIES.update({
     "captured_type_summary": "SELECT * FROM type_summary_c",
     "captured_errors": """
         SELECT site, type_key, error FROM report_c WHERE class = 'fatal'
-        UNION ALL SELECT 'https://three.example.com', NULL, 'types: HTTP 503'
+        UNION ALL SELECT 'https://three.example.com', NULL, 'types: Operation timed out'
         UNION ALL SELECT 'https://five.example.com', NULL, 'types: not a JSON object'""",
     "captured_index_lines": _index_lines(
         "index_rows_v_c", "type_summary_c", "authors_v_c",
@@ -799,13 +802,42 @@ UNION ALL SELECT site, 3, 0, type_pos + 1, 0, '- [' || type_key || '] ' || name
 
 _RAW_MD5 = ("md5(regexp_replace(regexp_replace(fragment, '\\r\\n?', chr(10), 'g'), '(?:[ \\t]*\\n){2,}', chr(10) || chr(10), 'g'))")
 QUERIES["incremental_documents"] = f"""
-    SELECT id, CAST(NULL AS VARCHAR) AS error, {_RAW_MD5} AS md5, CAST(2 AS BIGINT) AS run_id FROM full_ok WHERE id % 2 = 1
+    SELECT shown AS id, CAST(NULL AS VARCHAR) AS error, {_RAW_MD5} AS md5, CAST(2 AS BIGINT) AS run_id FROM full_ok WHERE shown % 2 = 1
     UNION ALL SELECT src_id, error, NULL, 2 FROM full_errors WHERE src_id % 2 = 1
-    UNION ALL SELECT id, NULL, {_RAW_MD5}, 3 FROM full_ok
+    UNION ALL SELECT shown, NULL, {_RAW_MD5}, 3 FROM full_ok
     UNION ALL SELECT src_id, error, NULL, 3 FROM full_errors"""
+
+# What each post was in each of the five runs that saw it: a as captured, f failed, c changed.
+VIEWS["run_states"] = """
+WITH p AS (
+  SELECT id, shown, true AS ok, CAST(NULL AS VARCHAR) AS error FROM full_ok UNION ALL SELECT src_id, src_id, false, error FROM full_errors
+), seen AS (
+  SELECT id, shown, ok, error, 1 AS run, 'a' AS state FROM p WHERE shown % 2 = 0
+  UNION ALL SELECT id, shown, ok, error, 2, CASE WHEN ok AND shown % 4 = 0 THEN 'f' ELSE 'a' END FROM p
+  UNION ALL SELECT id, shown, ok, error, 3, 'a' FROM p WHERE shown % 8 = 0
+  UNION ALL SELECT id, shown, ok, error, 4, 'c' FROM p WHERE shown % 3 = 0
+  UNION ALL SELECT id, shown, ok, error, 5, 'a' FROM p WHERE shown % 6 = 0
+)
+SELECT * FROM (SELECT *, lag(state) OVER (PARTITION BY id ORDER BY run) AS old FROM seen) WHERE old IS DISTINCT FROM state"""
+VIEWS["versions_v"] = """
+SELECT s.id, s.shown, s.ok, s.state, 'post|' || coalesce(p.rest_base, '') || '|' || CAST(s.id AS VARCHAR) AS request_key,
+  CASE WHEN s.state = 'f' THEN 'post_fetch_failed' ELSE s.error END AS error,
+  CAST(s.run AS BIGINT) AS valid_from, CAST(lead(s.run) OVER (PARTITION BY s.id ORDER BY s.run) AS BIGINT) AS valid_to
+FROM run_states s JOIN posts_v p ON p.id = s.id"""
+QUERIES["document_versions"] = "SELECT request_key, error, valid_from, valid_to FROM versions_v"
 QUERIES["latest_documents"] = f"""
-    SELECT id, CAST(NULL AS VARCHAR) AS error, {_RAW_MD5} AS md5,
-      CAST(CASE WHEN id % 4 = 0 THEN 3 WHEN id % 2 = 1 THEN 2 ELSE 1 END AS BIGINT) AS run_id FROM full_ok
-    UNION ALL SELECT src_id, error, NULL, CASE WHEN src_id % 4 = 0 THEN 3 WHEN src_id % 2 = 1 THEN 2 ELSE 1 END FROM full_errors"""
+    SELECT request_key, v.shown AS id, error, CASE WHEN v.ok AND v.state <> 'f' THEN
+      {_RAW_MD5.replace("(fragment,", "(f.fragment || CASE WHEN v.state = 'c' THEN chr(10) || 'changed' ELSE '' END,")} END AS md5, valid_from AS run_id
+    FROM versions_v v JOIN fragments_v f ON f.page_id = v.id WHERE valid_to IS NULL"""
 
 QUERIES["rejected_urls"] = f"SELECT batch_id, request_key, url FROM batches_v WHERE NOT {same_site('base', 'url')}"
+
+# Offsets add up in the order of the lines.
+QUERIES["site_index_text"] = f"""
+    SELECT site, CAST(coalesce(sum(n) OVER (PARTITION BY site ORDER BY kind, section, pos, detail ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
+      CAST(n AS BIGINT) AS n_bytes, md5(text) AS md5
+    FROM (SELECT *, strlen(text) + 1 AS n FROM ({QUERIES["captured_index_lines"]}))"""
+
+QUERIES["page_of_post"] = """
+    SELECT site, type_key, id, date, (n - 1) // 100 + 1 AS page, (n - 1) % 100 AS pos
+    FROM (SELECT site, type_key, id, date, row_number() OVER (PARTITION BY site, type_key ORDER BY date DESC, id DESC) AS n FROM posts_v)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafcast.functions import dates, text, yaml
@@ -87,34 +87,50 @@ def build_documents(posts: DataFrame, opts: Options, mode: str = "markdown", par
                       err.alias("error"), "src_hash")
 
 
+VERSION_KEYS = ("site", "request_key")
+
+
+def document_versions(spark, out_path: str) -> DataFrame:
+    """Versions of each key: site, request_key, src_hash, error, valid_from and valid_to (run ids; null: current).
+
+    A run appends a row only where the source differs from the key's current version, so each row is a version. Only
+    these narrow columns of the history are read.
+    """
+    rows = spark.read.parquet(out_path).select(*VERSION_KEYS, "src_hash", "error", F.col("run_id").cast("bigint").alias("valid_from"))
+    w = Window.partitionBy(*VERSION_KEYS).orderBy("valid_from", "src_hash")
+    return rows.withColumn("valid_to", F.lead("valid_from").over(w))
+
+
 def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options, mode: str = "markdown",
                           run_id: int | None = None) -> DataFrame:
-    """Documents not yet in ``out_path`` with the same key and source hash (a left anti join).
+    """Documents of the posts whose source hash is not that of their key's current version (a left anti join).
 
-    The caller appends the result to ``out_path``; a second run over unchanged input and options
-    converts nothing. ``latest_documents`` reads the newest version of each key. ``run_id`` must
-    grow from run to run (default: the time).
+    So a source that fails and recovers, or changes and goes back, is a new version each time. The caller appends the
+    result to ``out_path``; a run over unchanged input and options converts nothing. ``posts`` holds one row per
+    key (``sources.captures.latest_per_key``); ``run_id`` must grow from run to run (default: the time).
     """
     run_id = int(time.time() * 1000) if run_id is None else run_id
-    src = posts.withColumn("src_hash", source_hash(posts, mode, opts))
-    done = None
+    todo = posts.withColumn("src_hash", source_hash(posts, mode, opts))
     if path_exists(spark, out_path):
-        done = spark.read.parquet(out_path).select(*[F.col(k).alias("_d_" + k) for k in DOC_KEYS + ["src_hash"]])
-    if done is not None:
-        # Null-safe: keys of failed fetches and types without rest_base hold NULLs.
-        cond = None
-        for k in DOC_KEYS + ["src_hash"]:
-            c = F.col(k).eqNullSafe(F.col("_d_" + k))
-            cond = c if cond is None else cond & c
-        todo = src.join(done.distinct(), cond, "left_anti")
-    else:
-        todo = src
+        rows = spark.read.parquet(out_path).select(*VERSION_KEYS, "src_hash", "run_id")
+        current = rows.groupBy(*VERSION_KEYS).agg(F.max_by("src_hash", F.struct("run_id", "src_hash")).alias("_hash"))
+        current = current.select(*(F.col(k).alias("_d_" + k) for k in VERSION_KEYS), "_hash")
+        same = F.col("src_hash") == F.col("_hash")
+        for k in VERSION_KEYS:
+            same = same & F.col(k).eqNullSafe(F.col("_d_" + k))
+        todo = todo.join(current, same, "left_anti")
     return build_documents(todo.drop("src_hash"), opts, mode).withColumn("run_id", F.lit(run_id).cast("bigint"))
 
 
 def latest_documents(spark, out_path: str) -> DataFrame:
-    """Newest version of each request key of a site; failed fetches have keys of their own like any other."""
+    """Current version of each request key of a site; failed fetches have keys of their own like any other.
+
+    The superseded versions, known from narrow columns alone, are taken out by an anti join.
+    """
     docs = spark.read.parquet(out_path)
-    rest = [c for c in docs.columns if c not in ("site", "request_key")]
-    newest = docs.groupBy("site", "request_key").agg(F.max_by(F.struct(*rest), F.struct("run_id", "src_hash")).alias("_d"))
-    return newest.select("site", "request_key", "_d.*").select(*docs.columns)
+    old = document_versions(spark, out_path).where("valid_to IS NOT NULL")
+    old = old.select(*(F.col(k).alias("_o_" + k) for k in VERSION_KEYS), F.col("valid_from").alias("_o_run"))
+    gone = F.col("run_id") == F.col("_o_run")
+    for k in VERSION_KEYS:
+        gone = gone & F.col(k).eqNullSafe(F.col("_o_" + k))
+    return docs.join(old, gone, "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafcast.functions import dates, rules, text, urls
+from leafcast.operators.numbering import numbered
 from leafcast.options import Options
 
 
@@ -41,6 +42,17 @@ def newest_per_type(posts: DataFrame, opts: Options) -> DataFrame:
     )
 
 
+def page_of_post(posts: DataFrame, opts: Options) -> DataFrame:
+    """K5 for all posts: ``page`` (1-based) and ``pos`` (0-based) in the newest-first order of their type, whatever its size.
+
+    Places come from ranges of the order and counts per range; no task and no window holds a type.
+    """
+    order = [F.col("date").desc_nulls_last(), F.col("id").desc_nulls_last()]
+    placed = numbered(posts, ["site", "type_key"], order, "_place")
+    place = F.col("_place")
+    return placed.select(*posts.columns, (F.floor(place / opts.per_page) + 1).cast("bigint").alias("page"), (place % opts.per_page).alias("pos"))
+
+
 def with_flat_titles(posts: DataFrame) -> DataFrame:
     """C3 on every fetched post."""
     return posts.withColumn("title", text.title_flat(F.col("title_raw")))

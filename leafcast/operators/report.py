@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafcast.functions import urls
+from leafcast.operators.numbering import running_sum
 
 # Section headings of the text layout.
 AUTHORS_HEADING = "## Authors"
@@ -19,6 +20,19 @@ UNREADABLE_HEADING = "## Post types that could not be read"
 HEAD, AUTHORS, TYPES, UNREADABLE = range(4)
 
 
+#: Sort key of a site's lines.
+LINE_ORDER = ("kind", "section", "pos", "detail")
+
+
+def with_byte_offsets(lines: DataFrame) -> DataFrame:
+    """Lines with their place in the site's text: ``byte_offset``, and ``n_bytes`` with the line feed.
+
+    Offsets are sums over tasks first, so a site may have any number of lines. ``lines`` is to be a written result.
+    """
+    sized = lines.withColumn("n_bytes", (F.octet_length("text") + 1).cast("bigint"))
+    return running_sum(sized, ["site"], LINE_ORDER, "n_bytes", "byte_offset")
+
+
 def _line(df: DataFrame, kind: int, section, pos, text, detail: int = 0) -> DataFrame:
     """``section`` tells types apart, ``pos`` entries, ``detail`` the lines of an entry."""
     sec = F.lit(section) if isinstance(section, int) else section

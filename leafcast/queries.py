@@ -9,6 +9,7 @@ from leafcast.operators import index as idx
 from leafcast.options import ADAPTER_OPTIONS as OPTS
 from leafcast.plans import site_index
 from leafcast.registry import query
+from leafcast.session import materialize
 from leafcast.sources import adapters
 
 
@@ -341,7 +342,7 @@ def q_batch_admission(spark, base):
 @query("src_types")
 def q_src_types(spark, base):
     """Type map JSON -> rows with map order."""
-    return ty.parse_type_map(adapters.types_capture_v(spark, base)).select(
+    return ty.parse_type_map(cap.latest_per_key(adapters.types_capture_v(spark, base))).select(
         "site", "type_pos", "type_key", "slug", "name", "rest_base")
 
 
@@ -364,7 +365,7 @@ def q_src_users(spark, base):
 @query("src_post_full")
 def q_src_post_full(spark, base):
     """Full posts from single-post captures; failures as error rows."""
-    p = cap.full_post(adapters.full_posts_capture_v(spark, base))
+    p = _full_posts(spark, base)
     return p.select("request_key", "error", "id", "title_raw", "author_name", F.length("content").alias("content_len"),
                     fterms.term_count(F.col("terms")).alias("n_terms"))
 
@@ -376,7 +377,7 @@ def q_site_name(spark, base):
 
 
 def _collection_plan(spark, base):
-    types = ty.filter_types(ty.parse_type_map(adapters.types_capture_v(spark, base)), OPTS)
+    types = ty.filter_types(ty.parse_type_map(cap.latest_per_key(adapters.types_capture_v(spark, base))), OPTS)
     first = rq.first_pages(types, OPTS).select("site", "type_key", F.lit(1).alias("page"), "url")
     coll = cap.latest_per_key(adapters.collections_v(spark, base))
     fp = coll.where(F.col("page") == 1)
@@ -440,7 +441,7 @@ def q_terms_flat(spark, base):
 # ---- HTML corpus jobs and documents ----------------------------------------------------------
 
 from leafcast.operators import documents as docs  # noqa: E402
-from leafcast.operators import html_jobs  # noqa: E402
+from leafcast.operators import html_jobs, report  # noqa: E402
 
 
 def _count(c, pattern: str):
@@ -490,7 +491,7 @@ def q_markdown_pages(spark, base):
 
 
 def _full_posts(spark, base):
-    return cap.full_post(adapters.full_posts_capture_v(spark, base))
+    return cap.full_post(cap.latest_per_key(adapters.full_posts_capture_v(spark, base)))
 
 
 @query("front_matter")
@@ -508,9 +509,13 @@ def q_markdown_documents(spark, base):
     d = docs.build_documents(_full_posts(spark, base), OPTS, "markdown")
     lines = F.split(F.col("body"), "\n")
     fm_lines = F.array_position(F.slice(lines, 2, F.size(lines)), F.lit("---")) + 1
+    # The words of the body below its heading, as in markdown_pages.
+    below = F.array_join(F.slice(lines, (fm_lines + 3).cast("int"), F.size(lines)), "\n")
+    visible = F.regexp_extract_all(F.regexp_replace(below, MARKDOWN_MARKS, " "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return d.select(
         "id", "error", fm_lines.alias("fm_lines"),
         F.when(F.col("body").isNotNull(), F.try_element_at(lines, (fm_lines + 2).cast("int"))).alias("heading"),
+        F.when(F.col("body").isNotNull(), F.md5(F.array_join(visible, " "))).alias("words_md5"),
     )
 
 
@@ -553,26 +558,52 @@ def q_incremental_documents(spark, base):
     return second.unionByName(third).select("id", "error", F.md5("body").alias("md5"), "run_id")
 
 
+def _five_runs(spark, base) -> str:
+    """Documents of five runs: half of the posts; all, of which some fail; some of these recover; some change; some go back."""
+    out = _document_folder(spark)
+    posts = materialize(_full_posts(spark, base), "full-posts")
+    fails = (F.col("id") % 4 == 0) & (F.col("error") == "")
+    failed = posts.withColumns({"content": F.when(fails, F.lit("")).otherwise(F.col("content")), "error": F.when(fails, F.lit("post_fetch_failed")).otherwise(F.col("error"))})
+    changed = posts.withColumn("content", F.concat("content", F.lit("\nchanged")))
+    runs = (posts.where("id % 2 = 0"), failed, posts.where("id % 8 = 0"), changed.where("id % 3 = 0"), posts.where("id % 6 = 0"))
+    for run, part in enumerate(runs, 1):
+        docs.incremental_documents(spark, part, out, OPTS, "raw", run_id=run).write.mode("append").parquet(out)
+    return out
+
+
 @query("latest_documents")
 def q_latest_documents(spark, base):
-    """The newest version of each post after three runs, failed fetches among them."""
-    from dataclasses import replace
+    """The current version of each post after five runs with failures, recoveries, changes and reversals."""
+    return docs.latest_documents(spark, _five_runs(spark, base)).select("request_key", "id", "error", F.md5("body").alias("md5"), "run_id")
 
-    out, posts = _document_folder(spark), _full_posts(spark, base)
-    for run, part, opts in ((1, "id % 2 = 0", OPTS), (2, "true", OPTS), (3, "id % 4 = 0", replace(OPTS, timezone="UTC"))):
-        docs.incremental_documents(spark, posts.where(part), out, opts, "raw", run_id=run).write.mode("append").parquet(out)
-    return docs.latest_documents(spark, out).select("id", "error", F.md5("body").alias("md5"), "run_id")
+
+@query("document_versions")
+def q_document_versions(spark, base):
+    """Every version of each post after the same runs, with the runs from and to which it was current."""
+    return docs.document_versions(spark, _five_runs(spark, base)).select("request_key", "error", "valid_from", "valid_to")
 
 
 @query("site_index_lines")
 def q_site_index_lines(spark, base):
     """The site index as ordered text lines (site, section, pos, text)."""
-    from leafcast.operators import report
-
     si = site_index.from_tables(spark, base, OPTS)
     return report.index_lines(report.site_names(si.types), si.authors, si.summary, si.rows)
 
 
+@query("site_index_text")
+def q_site_index_text(spark, base):
+    """W4 as one text per site: each line with its bytes and their offset in the text."""
+    lines = materialize(q_captured_index_lines(spark, base), "index-lines")
+    return report.with_byte_offsets(lines).select("site", "byte_offset", "n_bytes", F.md5("text").alias("md5"))
+
+
+@query("page_of_post")
+def q_page_of_post(spark, base):
+    """K5: page and place of every post of every type, beyond the listing's cap too."""
+    posts = adapters.posts_v(spark, base).select("site", "type_key", "id", "date")
+    return idx.page_of_post(posts, OPTS)
+
+
 @query("api_path_parts")
 def q_api_path_parts(spark, base):
     """C12 on every <link> of every page: rest_base and id of API-shaped hrefs."""
@@ -619,8 +650,6 @@ def q_captured_errors(spark, base):
 @query("captured_index_lines")
 def q_captured_index_lines(spark, base):
     """W4 + W5 over captures: every captured site has its title, unreadable types in the order of the types response."""
-    from leafcast.operators import report
-
     ci = _captured(spark, base)
     names = report.site_names(adapters.types_capture_v(spark, base))
     i = ci.index

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafcast.functions.dates import ntz_iso
+from leafcast.session import materialize
 from leafcast.sources.tables import read_table
 
 SITE = "https://example.com"
@@ -249,21 +250,31 @@ FAILED_PAGE = ("3-MEDIUM", 2)  # 500 on the second site
 REPEATED_PAGE = ("5-LOW", 2)  # failed once on the fourth site, then fetched
 BROKEN_PAGE = ("3-MEDIUM", 2)  # this collection page's body is cut off (empty-list rule)
 MISSING_PAGE = ("5-LOW", 2)  # this collection page was never captured
+TIMED_OUT = "Operation timed out"
 FAILED_USER_CHUNK_MOD = (7, 3)  # user chunks with chunk % 7 = 3 failed (HTTP 500)
 
 
 def types_capture_v(spark: SparkSession, base: str) -> DataFrame:
-    """Each site's types response: one JSON object keyed by type, keys in type_key order; two sites have none."""
+    """Each site's types responses: one JSON object keyed by type, keys in type_key order.
+
+    The second site's is there twice as it is; the third's was fine once, then its fetch failed; the fourth's failed first; the
+    fifth's is no JSON object.
+    """
     t = types_v(spark, base)
     entry = F.struct(F.col("type_key").alias("k"), F.struct("slug", "name", "rest_base").alias("v"))
     per_site = t.groupBy("site").agg(F.sort_array(F.collect_list(entry)).alias("es"))
     body = F.to_json(F.map_from_entries(F.transform("es", lambda e: F.struct(e["k"], e["v"]))))
     site = F.col("site")
-    return per_site.select(_each_site(CAPTURED_SITES), body.alias("body")).select(
+    last = per_site.select(_each_site(CAPTURED_SITES), body.alias("body")).select(
         "site", F.lit("types").alias("request_key"), F.lit("types").alias("kind"),
-        F.when(site == THIRD_SITE, 503).otherwise(200).alias("status"),
-        F.when(site == FIFTH_SITE, F.lit("<html>")).otherwise(F.col("body")).alias("body"),
+        F.when(site == THIRD_SITE, 0).otherwise(200).alias("status"),
+        F.when(site == FIFTH_SITE, F.lit("<html>")).when(site == THIRD_SITE, F.lit("")).otherwise(F.col("body")).alias("body"),
+        F.when(site == THIRD_SITE, F.lit(TIMED_OUT)).otherwise(F.lit("")).alias("error"), F.lit(2).cast("long").alias("fetched_at"), F.col("body").alias("_good"),
     )
+    first = last.where(site.isin(THIRD_SITE, FOURTH_SITE)).withColumns({
+        "status": F.when(site == FOURTH_SITE, 503).otherwise(200), "body": F.col("_good"), "error": F.lit(""), "fetched_at": F.lit(1).cast("long"),
+    })
+    return last.unionByName(first).unionByName(last.where(site == SECOND_SITE)).drop("_good")
 
 
 def _each_site(sites):
@@ -279,7 +290,6 @@ def collections_v(spark: SparkSession, base: str, per_page: int = 100, max_pages
     """
     from leafcast.operators.index import newest_per_type
     from leafcast.options import Options
-    from leafcast.session import materialize
 
     opts = Options(posts_per_page=per_page, max_pages_per_type=max_pages)
     posts = posts_v(spark, base)
@@ -315,13 +325,17 @@ def collections_v(spark: SparkSession, base: str, per_page: int = 100, max_pages
     again = rows.where((F.col("site") == FOURTH_SITE) & is_page(REPEATED_PAGE)).withColumns({
         "status": F.lit(500), "body": F.lit("failed"), "fetched_at": F.lit(1).cast("long"),
     })
-    return rows.unionByName(again).select(
+    captured = rows.unionByName(again).select(
         "site", "request_key", "kind", "type_key", "page", "status", "headers_raw", "body", "error", "fetched_at"
     )
+    return materialize(captured, "collections")  # a table, as captures are
 
 
 def user_chunks_v(spark: SparkSession, base: str) -> DataFrame:
-    """Captured user lookups in chunks of 100 ids; some chunks failed; ids % 10 = 0 repeat in the next chunk."""
+    """Captured user lookups in chunks of 100 ids; some chunks failed; ids % 10 = 0 repeat in the next chunk.
+
+    Chunks % 5 = 1 were fetched before, with other names; all of them succeeded then.
+    """
     u = users_v(spark, base)
     chunk = (F.col("id") / 100).cast("long")
     first = u.select("site", chunk.alias("chunk"), "id", "name", "description")
@@ -333,18 +347,23 @@ def user_chunks_v(spark: SparkSession, base: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("id", "name", "description"))).alias("us")
     )
     failed = F.col("chunk") % FAILED_USER_CHUNK_MOD[0] == FAILED_USER_CHUNK_MOD[1]
-    return grouped.select(
+    last = grouped.select(
         _each_site((SITE, SECOND_SITE, FOURTH_SITE)), "chunk", F.concat(F.lit("users|"), F.col("chunk").cast("string")).alias("request_key"),
         F.when(failed, F.lit(500)).otherwise(F.lit(200)).alias("status"),
-        F.to_json("us").alias("body"), F.lit("").alias("error"),
+        F.to_json("us").alias("body"), F.lit("").alias("error"), F.lit(2).cast("long").alias("fetched_at"),
     )
+    before = last.where(F.col("chunk") % 5 == 1).withColumns({
+        "status": F.lit(200), "body": F.replace("body", F.lit('"name":"'), F.lit('"name":"Old ')), "fetched_at": F.lit(1).cast("long"),
+    })
+    return last.unionByName(before)
 
 
 def full_posts_capture_v(spark: SparkSession, base: str) -> DataFrame:
     """Captured single-post responses (``?_embed=author,wp:term``) for orders that have a page.
 
     The post's content is the page's fragment; its author is the customer. Some fetches
-    failed (page_id % 23 = 0: 404) and some bodies are the JSON ``null`` (page_id % 29 = 0).
+    failed (page_id % 23 = 0: 404), some bodies are the JSON ``null`` (page_id % 29 = 0) or an empty object (37), and some
+    have no id (31). Ids % 11 = 0 were fetched before, with other content; ids % 13 = 0 are there twice as they are.
     """
     posts = posts_v(spark, base)
     frags = fragments_v(spark, base).withColumnRenamed("page_id", "id")
@@ -366,26 +385,30 @@ def full_posts_capture_v(spark: SparkSession, base: str) -> DataFrame:
     )
     k = F.col("id")
     status = F.when(k % 23 == 0, F.lit(404)).otherwise(F.lit(200))
-    return j.select(
+    last = j.select(
         "site", "rest_base", "id",
         F.concat(F.lit("post|"), F.coalesce(F.col("rest_base"), F.lit("")), F.lit("|"), k.cast("string")).alias("request_key"),
         F.lit("post").alias("kind"), status.alias("status"),
-        F.when(k % 29 == 0, F.lit("null")).otherwise(F.to_json(post)).alias("body"),
-        F.lit("").alias("error"),
+        F.when(k % 29 == 0, F.lit("null")).when(k % 37 == 0, F.lit(" {} ")).when(k % 31 == 0, F.to_json(post.dropFields("id")))
+        .otherwise(F.to_json(post)).alias("body"),
+        F.lit("").alias("error"), F.lit(2).cast("long").alias("fetched_at"),
     )
+    before = last.where(k % 11 == 0).withColumns({"status": F.lit(200), "body": F.lit('{"id": 1, "content": {"rendered": "old"}}'), "fetched_at": F.lit(1).cast("long")})
+    return last.unionByName(before).unionByName(last.where(k % 13 == 0))
 
 
 def root_captures_v(spark: SparkSession, base: str) -> DataFrame:
-    """Captured site roots (``/wp-json/?_fields=name``), one per page origin."""
+    """Captured site roots (``/wp-json/?_fields=name``), two per page origin: the first had another name."""
     pages = read_table(spark, base, "pages", "url")
     origin = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
     o = pages.select(origin.alias("site")).distinct()
     n = F.length("site") % 3
-    return o.select(
+    last = o.select(
         "site", F.lit("root").alias("kind"),
         F.when(n == 0, F.lit(503)).otherwise(F.lit(200)).alias("status"),
         F.when(n == 1, F.lit('{"name": ""}'))
         .otherwise(F.concat(F.lit('{"name": "Site '), F.upper(F.regexp_extract("site", r"://([^.]*)", 1)), F.lit('"}')))
         .alias("body"),
-        F.lit("").alias("error"),
+        F.lit("").alias("error"), F.lit(2).cast("long").alias("fetched_at"),
     )
+    return last.unionByName(last.withColumns({"status": F.lit(200), "body": F.lit('{"name": "Old"}'), "fetched_at": F.lit(1).cast("long")}))

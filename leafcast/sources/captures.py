@@ -7,11 +7,12 @@ schemas (no schema inference over the corpus).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafcast import schemas
 from leafcast.functions import http, urls
+from leafcast.session import materialize
 
 TERM_T = schemas.TERMS
 POST_SCHEMA = schemas.POST_JSON
@@ -55,9 +56,9 @@ def collection_posts(collections: DataFrame) -> DataFrame:
 def users_from_chunks(user_captures: DataFrame) -> DataFrame:
     """S3 + J7: users from chunked lookups; failed chunks skipped; last record per id wins.
 
-    ``chunk`` orders the responses (request order); within a body, array order.
+    ``chunk`` orders the responses (request order); within a body, array order. Of a chunk fetched again the last capture counts.
     """
-    ok = with_outcome(user_captures).where(F.col("success"))
+    ok = with_outcome(latest_per_key(user_captures, ("site", "chunk"))).where(F.col("success"))
     items = ok.select(
         "site", "chunk",
         F.posexplode(F.coalesce(F.from_json("body", "array<" + USER_SCHEMA + ">"), F.array().cast("array<" + USER_SCHEMA + ">"))).alias("pos", "u"),
@@ -68,18 +69,23 @@ def users_from_chunks(user_captures: DataFrame) -> DataFrame:
 
 
 def full_post(post_captures: DataFrame) -> DataFrame:
-    """One full post per capture; a failed fetch or a falsy body is an error row under the capture's own id."""
+    """One full post per capture; a failed fetch or an empty body is an error row under the capture's own id.
+
+    A body that is no JSON object, or an empty one, is a failure; an object without an id is a post with id 0. Of captures of
+    one key take the last first (``latest_per_key``).
+    """
     c = with_outcome(post_captures)
     p = F.from_json("body", POST_SCHEMA)
     parsed = c.withColumn("p", p)
+    has_keys = F.coalesce(F.size(F.json_object_keys("body")), F.lit(0)) > 0  # of a JSON object; null for anything else
     err = (
         F.when(~F.col("success"), F.lit("post_fetch_failed"))
-        .when(F.col("p").isNull() | F.col("p.id").isNull(), F.lit("post_parse_failed"))
+        .when(~has_keys, F.lit("post_parse_failed"))
         .otherwise(F.lit(""))
     )
     return parsed.select(
         "site", "request_key", "rest_base",
-        F.coalesce(F.col("p.id"), F.col("id")).alias("id"),
+        F.when(err == "", F.coalesce(F.col("p.id"), F.lit(0))).otherwise(F.col("id")).alias("id"),
         F.col("p.title.rendered").alias("title_raw"),
         F.coalesce(F.col("p.content.rendered"), F.lit("")).alias("content"),
         F.col("p.link").alias("link"),
@@ -91,27 +97,53 @@ def full_post(post_captures: DataFrame) -> DataFrame:
 
 
 def site_name(root_captures: DataFrame) -> DataFrame:
-    """The site's own name, else the host of the site URL."""
-    c = with_outcome(root_captures)
+    """The site's own name as its last root capture has it, else the host of the site URL."""
+    c = with_outcome(latest_per_key(root_captures, ("site",)))
     name = F.when(F.col("success"), F.get_json_object("body", "$.name"))
     host = urls.url_host(F.col("site"))
     return c.select("site", F.coalesce(F.nullif(name, F.lit("")), host).alias("site_name"))
 
 
+def _order(captures: DataFrame, keys: tuple[str, ...]) -> Column:
+    """What ranks captures of one key: the time of the fetch, a success before a failure, the status, a hash of the row."""
+    known = captures.columns
+    at = F.coalesce(F.col("fetched_at"), F.lit(0)) if "fetched_at" in known else F.lit(0)
+    status = F.coalesce(F.col("status"), F.lit(0)) if "status" in known else F.lit(0)
+    others = [F.col(c) for c in known if c not in keys]
+    return F.struct(
+        at.cast("bigint").alias("at"), http.is_success(status).alias("ok"), status.cast("int").alias("status"), F.xxhash64(*others).alias("h")
+    )
+
+
 def latest_per_key(captures: DataFrame, keys: tuple[str, ...] = ("site", "request_key")) -> DataFrame:
-    """One capture per key: the latest by ``fetched_at`` where the table has it, the greatest status and body on ties.
+    """One capture per key: the one fetched last (``fetched_at``); at one time a success, then the greater status.
 
-    A key that was fetched again has several captures; only the last one counts.
+    Only keys and ranks are shuffled to find the keys that have several captures. These, usually few, are written, and the captures
+    are joined with them as they stand: a body is moved only where that table is large, or where a capture is there twice as it is.
     """
-    others = [c for c in captures.columns if c not in keys]
-    order = [c for c in ("fetched_at", "status", "body") if c in captures.columns]
-    newest = captures.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_c"))
-    return newest.select(*keys, *(F.col("_c")[c].alias(c) for c in others)).select(*captures.columns)
+    ranked = captures.withColumn("_order", _order(captures, keys))
+    each = ranked.groupBy(*keys, "_order").agg(F.count("*").alias("_n"))
+    tops = each.groupBy(*keys).agg(F.max(F.struct("_order", "_n")).alias("_t"), F.sum("_n").alias("_all")).where("_all > 1")
+    tops = materialize(tops.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_t._order").alias("_top"), F.col("_t._n").alias("_copies")), "refetched")
+    several = tops.agg(F.max("_copies")).first()[0]
+    if several is None:
+        return captures
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    kept = ranked.join(tops, same, "left").where(F.col("_top").isNull() | (F.col("_order") == F.col("_top")))
+    if several == 1:
+        return kept.select(*captures.columns)
+    once = kept.where(F.coalesce("_copies", F.lit(1)) == 1)
+    return once.select(*captures.columns).union(kept.where("_copies > 1").dropDuplicates([*keys]).select(*captures.columns))
 
 
 def keyed_results(plan: DataFrame, captures: DataFrame) -> DataFrame:
-    """One result per planned (site, request key), kept even when nothing was captured."""
-    c = with_outcome(latest_per_key(captures)).select(
+    """One result per planned (site, request key), kept even when nothing was captured.
+
+    ``captures`` holds one capture per key (``latest_per_key``).
+    """
+    c = with_outcome(captures).select(
         F.col("site").alias("_s"), F.col("request_key").alias("_k"), "status", "success", "error", "headers_raw", "body"
     )
     j = plan.join(c, (plan.site == c._s) & (plan.request_key == c._k), "left").drop("_s", "_k")

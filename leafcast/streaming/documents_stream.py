@@ -10,6 +10,8 @@ the session's ``spark.checkpoint.dir``, so a restarted query resumes where it st
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,7 +33,9 @@ def start_document_stream(spark: SparkSession, source_dir: str, out_dir: str, op
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     captures = reader.parquet(source_dir)
     docs = build_documents(full_post(captures), opts, mode)
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/leafcast-streams/{name}"
+    # Progress belongs to one source and one output, whatever the query's name.
+    place = sha256("\n".join((source_dir, out_dir, mode)).encode()).hexdigest()[:16]
+    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/leafcast-streams/{name}-{place}"
     writer = (docs.writeStream.format("parquet").outputMode("append")
               .option("path", out_dir).option("checkpointLocation", ckpt).queryName(name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -17,7 +17,7 @@ def test_site_index_and_documents_jobs(spark):
     adapters.types_capture_v(spark, SMALL).write.parquet(f"{cap_dir}/types")
     adapters.collections_v(spark, SMALL).write.parquet(f"{cap_dir}/collections")
     adapters.user_chunks_v(spark, SMALL).write.parquet(f"{cap_dir}/users")
-    spark.createDataFrame([(adapters.SITE, "root", 200, '{"name": "Example"}', "")], jobs.ROOTS_CAPTURE).write.parquet(f"{cap_dir}/roots")
+    spark.createDataFrame([(adapters.SITE, "root", 200, '{"name": "Example"}', "", 1)], jobs.ROOTS_CAPTURE).write.parquet(f"{cap_dir}/roots")
     adapters.full_posts_capture_v(spark, SMALL).write.parquet(f"{cap_dir}/posts")
 
     paths = jobs.site_index_job(spark, cap_dir, f"{out_dir}/index", ADAPTER_OPTIONS)
