@@ -841,3 +841,18 @@ QUERIES["site_index_text"] = f"""
 QUERIES["page_of_post"] = """
     SELECT site, type_key, id, date, (n - 1) // 100 + 1 AS page, (n - 1) % 100 AS pos
     FROM (SELECT site, type_key, id, date, row_number() OVER (PARTITION BY site, type_key ORDER BY date DESC, id DESC) AS n FROM posts_v)"""
+
+# What each shape of rule means, written out.
+QUERIES["rule_match"] = """
+    SELECT p_partkey, name || '|' || kind AS rule_id
+    FROM (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS v FROM part) t
+    JOIN (SELECT p_name AS name, p_type AS kind, regexp_extract(p_name, '[^ ]*$') AS second, (ascii(p_name) + 3 * length(p_name) + ascii(p_type)) % 7 AS shape,
+        CAST(length(p_name) % 5 + 1 AS VARCHAR) AS size FROM (SELECT DISTINCT p_name, p_type FROM part)) r
+    ON CASE shape
+      WHEN 0 THEN v = name || ' ' || kind || ' Brand#' || size
+      WHEN 1 THEN contains(v, name || ' ' || kind)
+      WHEN 2 THEN starts_with(lower(v), lower(name) || ' ')
+      WHEN 3 THEN regexp_matches(lower(v), lower(kind) || ' brand#1[0-9]$')
+      WHEN 4 THEN contains(v, second || ' ' || kind) OR contains(v, 'nothing ' || kind)
+      WHEN 5 THEN v[1] BETWEEN 'a' AND 'c' AND contains(v[2:], second[1])
+      ELSE v = '/unclosed(/' || kind END"""

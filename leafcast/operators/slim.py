@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafcast.functions import text
+from leafcast.functions import arrays, text
 
 # Pieces of HTML, attributes, and the white space that text collapses.
 BLOCK = r"(?is)<pre\b[^>]*>.*?</pre\s*>|<code\b[^>]*>.*?</code\s*>"
@@ -35,7 +35,7 @@ def drop_elements(html: Column, tags: tuple[str, ...]) -> Column:
     """H3: elements of the given names, contents included.
 
     ``script`` and ``style`` hold plain text up to their end tag. Others nest: the text between
-    their tags is kept where as many have been closed as opened, by one fold over these tags.
+    their tags is kept where as many have been closed as opened, by running sums over these tags.
     """
     out = html
     for tag in (t.lower() for t in tags if t.lower() in RAW_TEXT):
@@ -45,15 +45,18 @@ def drop_elements(html: Column, tags: tuple[str, ...]) -> Column:
         return out
     pattern = r"(?is)</?(?:" + "|".join(nested) + r")\b[^>]*>"
     parts = F.arrays_zip(F.split(out, pattern, -1).alias("gap"), F.regexp_extract_all(out, F.lit(pattern), F.lit(0)).alias("tag"))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def change(x: Column) -> Column:
         closes, empty = F.startswith(x["tag"], F.lit("</")), F.endswith(x["tag"], F.lit("/>"))
-        depth = F.when(x["tag"].isNull() | empty, acc["depth"]).when(closes, F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"] + 1)
-        kept = F.when(acc["depth"] == 0, F.array_append(acc["out"], x["gap"])).otherwise(acc["out"])
-        return F.struct(depth.alias("depth"), kept.alias("out"))
+        return F.when(x["tag"].isNull() | empty, 0).when(closes, -1).otherwise(1)
 
-    return F.aggregate(parts, start, step, lambda acc: F.array_join(acc["out"], ""))
+    def kept(ps: Column) -> Column:
+        # A depth that never falls below 0: the sum so far less the lowest sum so far.
+        sums = arrays.running_sums(F.transform(ps, change))
+        with_low = arrays.bound(sums, lambda s: F.zip_with(s, arrays.running(s, F.lit(0), F.least), lambda at, low: at - F.least(at, low)))
+        return F.array_join(F.zip_with(ps, with_low, lambda p, depth: F.when(depth == 0, p["gap"]).otherwise("")), "")
+
+    return arrays.bound(parts, kept)
 
 
 def slim_tag(tag: Column, keep: tuple[str, ...]) -> Column:

@@ -72,7 +72,7 @@ def q_filter_types(spark: SparkSession, base: str) -> DataFrame:
 
 from leafcast.functions import clients, dates, http, text, urls, yaml  # noqa: E402
 from leafcast.functions import terms as fterms  # noqa: E402
-from leafcast.operators import resolve, types as ty  # noqa: E402
+from leafcast.operators import resolve, rule_index, types as ty  # noqa: E402
 from leafcast.plans import requests as rq  # noqa: E402
 from leafcast.sources import captures as cap  # noqa: E402
 from leafcast.sources.tables import read_table  # noqa: E402
@@ -685,6 +685,33 @@ def q_rule_kind(spark, base):
     return p.select("p_partkey", F.concat_ws(",", *marks).alias("matched"), F.lit(",".join("r" if r.is_regex else "s" for r in compiled)).alias("kinds"))
 
 
+def _rules_of_parts(spark, base) -> DataFrame:
+    """A rule per name and type of part, in one of seven shapes."""
+    p = read_table(spark, base, "part", "p_name", "p_type").distinct()
+    name, kind = F.col("p_name"), F.col("p_type")
+    second = F.substring_index(name, " ", -1)
+    shape = (F.ascii(name) + 3 * F.length(name) + F.ascii(kind)) % 7
+    size = (F.length(name) % 5 + 1).cast("string")
+    rule = (
+        F.when(shape == 0, F.concat(name, F.lit(" "), kind, F.lit(" Brand#"), size))
+        .when(shape == 1, F.concat(F.lit("/"), name, F.lit(" "), kind, F.lit("/")))
+        .when(shape == 2, F.concat(F.lit("/^"), F.upper(name), F.lit("\\b/i")))
+        .when(shape == 3, F.concat(F.lit("~"), kind, F.lit(" brand#1\\d$~i")))
+        .when(shape == 4, F.concat(F.lit("{(?:"), second, F.lit("|nothing) "), kind, F.lit("}")))
+        .when(shape == 5, F.concat(F.lit("/^[a-c].*"), F.substring(second, 1, 1), F.lit("/")))
+        .otherwise(F.concat(F.lit("/unclosed(/"), kind))
+    )
+    return p.select(F.concat(name, F.lit("|"), kind).alias("rule_id"), rule.alias("rule"))
+
+
+@query("rule_match")
+def q_rule_match(spark, base):
+    """F7 with rules as a table: every part's title against a rule per name and type, by the index of literals."""
+    p = read_table(spark, base, "part", "p_partkey", "p_name", "p_type", "p_brand")
+    titles = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
+    return rule_index.rule_match(titles, _rules_of_parts(spark, base)).select("p_partkey", "rule_id")
+
+
 @query("captured_type_summary")
 def q_captured_type_summary(spark, base):
     """G2 + G3 from captured headers: totals, listed counts and notes of the listed types."""
