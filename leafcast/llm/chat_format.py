@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafcast.functions import arrays
+
 END = "</turn>\n"
 HEAD_OPEN, HEAD_CLOSE = '<turn role="', '">\n'
 #: Names of the roles in the layouts, and the canonical ones.
@@ -178,17 +180,15 @@ def format_chats(turns: DataFrame, loss_roles=("assistant",)) -> DataFrame:
     )
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
 
-    def span(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["head"])
-        end = start + F.length(t["text"])
-        one = F.struct(acc["at"].alias("at"), start.alias("start"), end.alias("end"), t["loss"].alias("loss"))
-        return F.struct((end + len(END)).alias("at"), F.array_append(acc["out"], one).alias("out"))
+    def span(t: Column, at: Column) -> Column:
+        start = at.cast("int") + F.length(t["head"])
+        return F.struct(at.cast("int").alias("at"), start.alias("start"), (start + F.length(t["text"])).alias("end"), t["loss"].alias("loss"))
 
-    empty = F.array().cast("array<struct<at:int,start:int,end:int,loss:boolean>>")
+    sizes = F.transform("ts", lambda t: F.length(t["head"]) + F.length(t["text"]) + len(END))
     return whole.select(
         "conv_id",
         F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["text"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("ts", F.struct(F.lit(0).alias("at"), empty.alias("out")), span, lambda acc: acc["out"]).alias("turns"),
+        F.zip_with("ts", arrays.running_sums(sizes), span).alias("turns"),
     )
 
 

@@ -44,16 +44,17 @@ PLAIN = re.compile(rb"(\n?)( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([
 
 
 class _Memo(dict):
-    """Ids of byte strings, as bytes, by a function; emptied when it holds ``limit`` of them."""
+    """Ids of byte strings, as bytes, by a function; when it holds ``limit`` of them they become the old ones, from which what is asked for again returns."""
 
     def __init__(self, ids_of: Callable[[bytes], bytes], limit: int):
         super().__init__()
-        self.ids_of, self.limit = ids_of, limit
+        self.ids_of, self.limit, self.old = ids_of, limit, {}
 
     def __missing__(self, data: bytes) -> bytes:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        ids = self.ids_of(data)
+        ids = self.old.get(data) or self.ids_of(data)
         if len(data) <= 64:
             self[data] = ids
         return ids

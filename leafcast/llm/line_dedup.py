@@ -10,8 +10,9 @@ offset), and the others are removed. A unit of fewer than ``min_words`` words re
 together with the units before it, back to the last one that is long enough: it goes only where
 this whole run is a repetition. Offsets of what was removed are kept, in code points of the original.
 
-Very frequent digests, which a sample of the documents shows, are found by an aggregate and looked up
-in every task; the others by a window over their digest. Both rules are the same and cover all units.
+Texts are cut once, into a written table of units. Very frequent digests, which a sample of it shows, are found by
+an aggregate and looked up in every task; the others by a window over their digest. Both rules are the same and cover
+all units.
 
 Cases: a null text stays null, an empty one empty; long texts are cut whole; of rows with one id and text
 all get what the first gets, as if they were one document; an empty table gives no rows; further columns
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafcast.functions import arrays
 from leafcast.session import bound_batches, materialize
 
 CUT = re.compile(r"[^\S\n]*\n\s*|(?<=[.!?])[^\S\n]+")
@@ -44,7 +46,7 @@ WORD = re.compile(r"\S+")
 UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 UNSPACED_WORD, LONG_RUN = 2, 20
 EDGE = " \t.,;:!?\"'()[]-*#$%&|"
-#: Share of the documents sampled for frequent digests, and the rows there that make one frequent.
+#: Share of the units sampled for frequent digests, and the rows there that make one frequent.
 SAMPLE, HOT_ROWS = 0.02, 100
 #: Frequent digests are looked up in a broadcast table up to this many.
 BROADCAST_ROWS = 500_000
@@ -166,11 +168,12 @@ def repeated_spans(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     """Rows (doc_id, h, start, end): the units that are not the earliest of their digest; h is the hash of the text."""
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    cut = lambda d: bound_batches(d).mapInArrow(_cutter(min_words), UNIT_SCHEMA)
-    frequent = cut(rows.sample(SAMPLE, seed=5)).groupBy("digest").count().where(F.col("count") >= HOT_ROWS).select("digest")
+    # The texts are read and cut once; what follows works on the written units, a few dozen bytes each.
+    every = materialize(bound_batches(rows).mapInArrow(_cutter(min_words), UNIT_SCHEMA), "units")
+    frequent = every.select("digest").sample(SAMPLE, seed=5).groupBy("digest").count().where(F.col("count") >= HOT_ROWS).select("digest")
     frequent = materialize(frequent, "frequent-digests")
     n_frequent = frequent.limit(BROADCAST_ROWS + 1).count()
-    found, every = None, cut(rows)
+    found = None
     if n_frequent:
         names = F.broadcast(frequent) if n_frequent <= BROADCAST_ROWS else frequent
         first = materialize(every.join(names, "digest").groupBy("digest").agg(F.min(_rank()).alias("first")), "frequent-firsts")
@@ -184,17 +187,6 @@ def repeated_spans(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id",
     return rare if found is None else rare.union(found)
 
 
-def _keep(text: Column, spans: Column) -> Column:
-    """Text without the spans (start, end), which are in order and do not overlap."""
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.array_append(acc["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-
-
 def deduplicate(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_chars, n_removed (units), removed_chars, removed (array of start, end), text (what stays)."""
     spans = materialize(repeated_spans(docs, min_words, id_col, text_col), "repeated-spans")
@@ -208,5 +200,5 @@ def deduplicate(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return out.select(
         "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.size("removed").cast("bigint").alias("n_removed"),
-        size.alias("removed_chars"), "removed", F.when(F.size("removed") > 0, _keep(F.col("text"), F.col("removed"))).otherwise(F.col("text")).alias("text"),
+        size.alias("removed_chars"), "removed", F.when(F.size("removed") > 0, arrays.without_spans(F.col("text"), F.col("removed"))).otherwise(F.col("text")).alias("text"),
     )

@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafcast.functions import arrays
 from leafcast.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -100,15 +101,18 @@ def _parts(text: Column, pattern: str, hint: Column) -> Column:
 
 def _hits(parts: Column) -> Column:
     """Array of (start, end, value, left): offsets in code points, and the text before each hit."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("left"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], found).alias("out")))
+    def one(x: Column, at: Column) -> Column:
+        start = at.cast("int") + F.length(x["gap"])
+        return F.struct(
+            start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("left")
+        )
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def found(ps: Column) -> Column:
+        sizes = F.transform(ps, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+        return F.filter(F.zip_with(ps, arrays.running_sums(sizes), one), lambda h: h["value"].isNotNull())
+
+    return arrays.bound(parts, found)
 
 
 def _base(text: Column) -> Column:
@@ -177,7 +181,7 @@ def _features(h: Column) -> Column:
     # Nor are the separators of what may be an IP address.
     row |= {k: F.when(is_ip, 0.0).otherwise(row[k]) for k in ("n_chars", "n_spaces", "n_hyphens", "n_dots", "n_slashes")}
     row |= {f"near_{k}": flag(F.lower(left).rlike(p)) for k, p in KEYWORDS.items()}
-    overlap = F.exists("pii_base", lambda b: (b["kind_no"] == kind) & (b["start"] < h["end"]) & (h["start"] < b["end"]))
+    overlap = _meets(F.get("pii_index", kind.cast("int")), h)
     plain = F.regexp_replace(F.regexp_replace(value, SPELT_AT, "@"), SPELT_DOT, ".")
     # No base span holds spelt marks, so an address is labelled on its plain form.
     label = (overlap | ((kind == KINDS.index("email")) & plain.rlike(f"^(?:{BASE_PATTERNS['email']})$"))).cast("double")
@@ -187,8 +191,23 @@ def _features(h: Column) -> Column:
     )
 
 
+def _index(base: Column) -> Column:
+    """Per kind the starts and the ends of its base spans, both in order as the spans of a kind do not overlap."""
+
+    def of(no: int) -> Column:
+        own = F.filter(base, lambda b: b["kind_no"] == no)
+        return arrays.bound(own, lambda spans: F.struct(F.transform(spans, lambda b: b["start"]).alias("starts"), F.transform(spans, lambda b: b["end"]).alias("ends")))
+
+    return F.array(*(of(no) for no in range(len(KINDS))))
+
+
+def _meets(own: Column, c: Column) -> Column:
+    """Whether a candidate overlaps a base span of one kind: more begin before its end than end by its start."""
+    return arrays.n_below(own["starts"], c["end"]) > arrays.n_below(own["ends"], c["start"] + 1)
+
+
 def find_candidates(rows: DataFrame) -> DataFrame:
-    """``rows`` (with a column pii_text) with ``pii_base`` and ``pii_candidates`` (the latter labelled by overlap with the former)."""
+    """``rows`` (with a column pii_text) with ``pii_base``, ``pii_index`` and ``pii_candidates`` (labelled by overlap with the first)."""
     text = F.coalesce("pii_text", F.lit(""))
     digits = F.rlike(text, F.lit(NUMBER_HINT))
     out = rows.withColumns({
@@ -197,7 +216,8 @@ def find_candidates(rows: DataFrame) -> DataFrame:
         "pii_local": _hits(_parts(text, LOCAL_PHONE, digits)),
         "pii_spelt": _hits(_parts(text, SPELT, F.rlike(text, F.lit(SPELT_HINT)))),
     })
-    found = out.withColumn("pii_candidates", _candidates(F.col("pii_number"), F.col("pii_local"), F.col("pii_spelt")))
+    found = out.withColumn("pii_index", _index(F.col("pii_base")))
+    found = found.withColumn("pii_candidates", _candidates(F.col("pii_number"), F.col("pii_local"), F.col("pii_spelt")))
     return found.withColumn("pii_candidates", F.transform("pii_candidates", _features)).drop("pii_number", "pii_local", "pii_spelt")
 
 
@@ -274,13 +294,15 @@ def _chosen(model) -> Column:
     """Candidates over their kind's threshold, clear of base spans, the best of those that overlap; as (start, kind_no, end)."""
     score, limits = model
     limit = F.lit(2.0)
-    scored = F.transform("pii_candidates", lambda c: F.struct(c["start"], c["end"], c["kind_no"].cast("int").alias("kind_no"), score(c).alias("score")))
+    scored = F.transform(
+        "pii_candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind_no"].cast("int").alias("kind_no"), score(c).alias("score"))
+    )
 
     def over(c: Column) -> Column:
         bound = limit
         for no, at in limits.items():
             bound = F.when(c["kind_no"] == no, at).otherwise(bound)
-        return (c["score"] >= bound) & ~F.exists("pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return (c["score"] >= bound) & ~F.exists("pii_index", lambda own: _meets(own, c))
 
     return F.filter(scored, over)
 
@@ -289,17 +311,41 @@ def _rank(c: Column) -> Column:
     return F.struct(c["score"], -c["start"], c["end"], -c["kind_no"])
 
 
+def _best(over: Column) -> Column:
+    """Candidates that no overlapping one outranks; in order of start, each is compared with its neighbours alone."""
+
+    def of(cs: Column) -> Column:
+        starts, ends = F.transform(cs, lambda c: c["start"]), F.transform(cs, lambda c: c["end"])
+        # The furthest end up to each place never falls, so both edges of the neighbours are found by halving.
+        reach = arrays.bound(ends, lambda e: F.zip_with(e, arrays.running(e, F.lit(0), F.greatest, "int"), lambda a, b: F.greatest(a, b)))
+        order = F.struct(cs.alias("cs"), starts.alias("starts"), reach.alias("reach"))
+
+        def best(o: Column) -> Column:
+            def stays(c: Column) -> Column:
+                first = arrays.n_below(o["reach"], c["start"] + 1)
+                near = F.slice(o["cs"], first + 1, F.greatest(arrays.n_below(o["starts"], c["end"]) - first, F.lit(0)))
+                return ~F.exists(near, lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & (_rank(d) > _rank(c)))
+
+            return F.filter(o["cs"], stays)
+
+        return arrays.bound(order, best)
+
+    return arrays.bound(F.array_sort(over), of)
+
+
+def _distinct(ordered: Column) -> Column:
+    """An array in order without repeats."""
+    return arrays.bound(ordered, lambda a: F.filter(a, lambda x, i: (i == 0) | ~F.get(a, i - 1).eqNullSafe(x)))
+
+
 def _spans(rows: DataFrame, carried: str, sample_rows: int, precision: float) -> DataFrame:
     """``carried``, ``base_spans`` and ``spans`` of rows with a column pii_text."""
-    found = materialize(find_candidates(rows).select(carried, "pii_base", "pii_candidates"), "pii-found")
+    found = materialize(find_candidates(rows).select(carried, "pii_base", "pii_index", "pii_candidates"), "pii-found")
     model = fit(found.select("pii_candidates"), sample_rows, precision)
     out = found.withColumn("pii_over", _chosen(model))
-    best = F.filter(
-        "pii_over",
-        lambda c: ~F.exists("pii_over", lambda d: (d["start"] < c["end"]) & (c["start"] < d["end"]) & (_rank(d) > _rank(c))),
-    )
+    best = _best(F.col("pii_over"))
     out = out.withColumn("pii_over", F.transform(best, lambda c: F.struct(c["start"], c["kind_no"], c["end"])))
-    spans = F.array_sort(F.array_distinct(F.concat("pii_base", "pii_over")))
+    spans = _distinct(F.array_sort(F.concat("pii_base", "pii_over")))
     return out.select(carried, F.col("pii_base").alias("base_spans"), spans.alias("spans"))
 
 
@@ -316,19 +362,17 @@ def redacted(text: Column, spans: Column) -> Column:
     """Text with every span (start, kind_no, end) replaced by its kind in angle brackets; an overlap keeps the earlier one's name."""
     kinds = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        clear = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(clear, F.concat(acc["out"], F.array(piece, F.get(kinds, s["kind_no"])))).otherwise(acc["out"]).alias("out"),
-        )
+    def of(x: Column) -> Column:
+        ends = F.transform(x["spans"], lambda s: s["end"])
+        past = arrays.running(ends, F.lit(0), F.greatest, "int")  # how far the spans before each one reach
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(
-        spans, start, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+        def piece(s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(arrays.cut_from(x["pieces"], at, s["start"]), F.get(kinds, s["kind_no"]))).otherwise("")
+
+        rest = arrays.cut_from(x["pieces"], F.coalesce(F.array_max(ends), F.lit(0)), F.length(text))
+        return F.concat(F.array_join(F.zip_with(x["spans"], past, piece), ""), rest)
+
+    return arrays.bound(F.struct(spans.alias("spans"), arrays.text_pieces(text).alias("pieces")), of)
 
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None, sample_rows: int = 20_000, precision: float = 0.9) -> DataFrame:

@@ -70,9 +70,13 @@ def op6_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_neighbours(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: Words of the shortest unit that counts by itself: shorter ones repeat by chance in clean documents.
+LEAST_UNIT = 8
+
+
 @_query
 def op7_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicate(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    out = deduplicate(read_table(spark, sf_dir, "documents", "doc_id", "text"), min_words=LEAST_UNIT)
     listed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.withColumn("removed", listed)
 

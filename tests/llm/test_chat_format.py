@@ -87,3 +87,20 @@ def test_query_reads_back_the_table(spark):
 def test_native_plan(spark):
     plan = QUERIES["op1_schema_fingerprint_chats"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
+
+
+def test_a_very_long_conversation(spark):
+    """40,000 turns of one conversation in seconds; spans still read back."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    turns = spark.range(40_000).select(
+        F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("order"), F.lit(0).alias("pos"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+    )
+    began = time.time()
+    chats = cf.format_chats(turns)
+    back = chats.select(cf.read_back(F.col("formatted"), F.col("turns")).alias("b")).first().b
+    assert [t.text for t in back] == [f"text {i}" for i in range(40_000)]
+    assert time.time() - began < 40

@@ -1,10 +1,11 @@
 import random
+import re
 
 import pytest
 
 from conftest import SMALL
 from leafcast.llm import line_dedup as ld
-from leafcast.llm.queries import QUERIES
+from leafcast.llm.queries import LEAST_UNIT, QUERIES
 
 
 def brute(rows, min_words=5):
@@ -109,7 +110,73 @@ def test_extra_columns_and_empty_table(spark):
 def test_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, r.removed, r.text) for r in QUERIES["op7_line_hash_dedup"](spark, SMALL).collect()), key=str)
-    assert got == sorted(((i, ",".join(f"{a}:{b}" for a, b in s), t) for i, s, t in brute(rows)), key=str)
+    assert got == sorted(((i, ",".join(f"{a}:{b}" for a, b in s), t) for i, s, t in brute(rows, LEAST_UNIT)), key=str)
+
+
+def plain_units(text, least):
+    """(start, end, key) by the rules as documented, for short ASCII sentences; keys are the words themselves."""
+    out, run, at = [], None, 0
+    for line in text.split("\n"):
+        sentences, pos = [], 0
+        for part in re.split(r"(?<=[.!?]) +", line.strip(" ")):
+            if part:
+                start = line.index(part, pos)
+                pos = start + len(part)
+                sentences.append((at + start, at + pos, part.lower().split()))
+        groups, held = [], []
+        for one in sentences:
+            if held and (sum(len(h[2]) for h in held) >= least or len(one[2]) >= least):
+                groups.append(held)
+                held = []
+            held.append(one)
+            if sum(len(h[2]) for h in held) >= least:
+                groups.append(held)
+                held = []
+        for group in groups + ([held] if held else []):
+            words = [w for _, _, ws in group for w in ws]
+            key = " ".join(words).strip(ld.EDGE)
+            if key and len(words) >= least:
+                run = (key,)
+            elif run is not None:
+                run = (*run, key)
+            out.append((group[0][0], group[-1][1], run))
+        at += len(line) + 1
+    return out
+
+
+@pytest.mark.parametrize("least", [5, 8])
+def test_equals_a_brute_force_of_its_own(spark, least):
+    """Cutting, normalising and keeping the first, checked against words instead of digests."""
+    rng = random.Random(least)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"])
+    pool = [" ".join(word() for _ in range(rng.randrange(1, 13))).capitalize() + rng.choice(".!?") for _ in range(25)]
+    rows = []
+    for i in range(120):
+        lines = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 4))]
+        rows.append((i, "\n".join(lines)))
+    seen, want = set(), []
+    for i, t in rows:
+        cut = []
+        for start, end, key in plain_units(t, least):
+            if key is not None:
+                if key in seen:
+                    cut.append((start, end))
+                seen.add(key)
+        rest, at = "", 0
+        for a, b in cut:
+            rest, at = rest + t[at:a], b
+        want.append((i, cut, rest + t[at:]))
+    assert results(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least) == sorted(want, key=str)
+
+
+def test_a_text_of_very_many_repeated_lines(spark):
+    """50,000 removed units of one text are cut out in seconds."""
+    import time
+
+    text = "\n".join(f"This line number {i % 1000} is one of many others." for i in range(50_000))
+    began = time.time()
+    got = results(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert len(got[0][1]) == 49_000 and got[0][2].strip("\n").count("\n") == 49_999 - 49_000 and time.time() - began < 60
 
 
 @pytest.mark.parametrize("embed", ["line", "middle"])

@@ -118,3 +118,40 @@ def test_redacted_overlaps_and_code_points(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(df).count() == 0
+
+
+def test_a_text_with_very_many_hits(spark):
+    """100,000 numbers in one text: offsets, overlaps and redaction take seconds, not the square of that."""
+    import time
+
+    text = " ".join(f"+49 30 {i:07d}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    found = pii.find_candidates(df.withColumnRenamed("text", "pii_text")).select("pii_base", "pii_candidates").first()
+    assert len(found.pii_base) == 100_000 and len(found.pii_candidates) >= 100_000
+    assert all(c.label == 1.0 for c in found.pii_candidates if c.kind_no == pii.KINDS.index("phone"))
+    spans = [(b.start, b.kind_no, b.end) for b in found.pii_base]
+    one = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,kind_no:int,end:int>>")
+    assert one.select(pii.redacted(one.t, one.s)).first()[0] == " ".join(["<PHONE>"] * 100_000)
+    assert time.time() - began < 90
+
+
+def test_best_of_overlapping_equals_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = []
+    for n in range(60):
+        cs = []
+        for _ in range(rng.randrange(0, 30)):
+            s = rng.randrange(80)
+            cs.append((s, s + rng.randrange(1, 25), rng.randrange(4), float(rng.randrange(4))))
+        rows.append((n, cs))
+    df = spark.createDataFrame(rows, "n int, c array<struct<start:int,end:int,kind_no:int,score:double>>")
+    rank = lambda c: (c[3], -c[0], c[1], -c[2])
+    for r in df.select("n", pii._best(F.col("c")).alias("best")).collect():
+        cs = rows[r.n][1]
+        want = [c for c in cs if not any(d[0] < c[1] and c[0] < d[1] and rank(d) > rank(c) for d in cs)]
+        assert sorted(tuple(b) for b in r.best) == sorted(want)
