@@ -161,7 +161,6 @@ def _packer(path: str, window: int, end_id: int, max_open: int):
         bins = SumOfSquares(window, first_id=task << 40)
         end = np.array([end_id], dtype="<u4")
         full: list[list] = []
-        held = 0
 
         def flush() -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(7)]

@@ -3,7 +3,7 @@
 Every row has 60 hash bits of its id and text. The directory maps prefixes of these bits to buckets; a bucket
 over the byte limit splits on its next bit, and only it, until every bucket fits. The same directory follows
 without splitting one by one: a row's bucket is its shortest prefix whose bytes fit. So bytes are summed once per
-cell (a prefix some bits longer than the shards need on average), the cells' ancestors are summed up from there, and
+cell (a prefix some bits longer than the shards need on average), from there upwards level by level, and
 only cells that are still too large are looked into again, some bits deeper.
 
 Rows equal in id and text share all bits; if their bucket is too large it is cut by their running number, with
@@ -37,6 +37,34 @@ def _prefix(bits: Column, depth: Column) -> Column:
     return F.call_function("shiftright", bits, (F.lit(BITS) - depth).cast("int"))
 
 
+def _fitting(cells: DataFrame, limit: int, low: int, depth: int) -> DataFrame:
+    """Rows (cell, depth, prefix, shard_bytes): per cell the shortest prefix of ``low`` bits or more whose bytes fit; none for a cell too large.
+
+    Bytes are added from the cells upwards, two children to a parent, one level a step: two rows per cell in all, and no key
+    has more than two. A prefix that fits under a parent that does not is a bucket; its cells are those of its range.
+    """
+    level = cells.select(F.col("cell").alias("prefix"), "n_bytes")
+    found = None
+    for d in range(depth, low - 1, -1):
+        level = materialize(level.withColumn("fits", F.col("n_bytes") <= limit), "level")
+        parent = F.call_function("shiftright", "prefix", F.lit(1))
+        if d > low:
+            up = level.groupBy(parent.alias("prefix")).agg(F.sum("n_bytes").alias("n_bytes"))
+            over = up.where(F.col("n_bytes") > limit).select(F.col("prefix").alias("over"))
+            tops = level.where("fits").join(over, parent == F.col("over"), "left_semi")
+        else:
+            tops = level.where("fits")
+        wide = F.sequence(F.lit(0).cast("bigint"), F.lit((1 << depth - d) - 1).cast("bigint"))
+        first = F.call_function("shiftleft", "prefix", F.lit(depth - d))
+        here = tops.select(
+            F.explode(F.transform(wide, lambda i: first + i)).alias("cell"), F.lit(d).alias("depth"), "prefix", F.col("n_bytes").alias("shard_bytes")
+        )
+        found = here if found is None else found.union(here)
+        if d > low:
+            level = up
+    return cells.select("cell").join(found, "cell")
+
+
 def directory(rows: DataFrame, limit: int) -> DataFrame:
     """Rows (cell, cell_depth, depth, prefix, shard_bytes) of rows (bits, n_bytes) of at most ``limit`` bytes each.
 
@@ -48,14 +76,11 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     while True:
         cells = left.groupBy(_prefix(F.col("bits"), F.lit(depth)).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
         cells = materialize(cells, "cells")
-        ancestors = cells.select(
-            "cell", "n_bytes", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("depth")
-        ).withColumn("prefix", F.call_function("shiftright", "cell", (F.lit(depth) - F.col("depth")).cast("int")))
-        sums = ancestors.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"))
-        fit = sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
-        # Files of small integers are far smaller than the rows in memory, so their size is no bound for a broadcast.
-        best = ancestors.join(fit.hint("merge"), ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("b"))
-        best = materialize(best.select("cell", F.lit(depth).alias("cell_depth"), "b.depth", "b.prefix", "b.shard_bytes"), "directory")
+        best = _fitting(cells, limit, low, depth).select("cell", F.lit(depth).alias("cell_depth"), "depth", "prefix", "shard_bytes")
+        if depth == BITS:
+            stuck = cells.where(F.col("n_bytes") > limit)
+            best = best.union(stuck.select("cell", F.lit(depth), F.lit(BITS), F.col("cell").alias("prefix"), F.col("n_bytes").alias("shard_bytes")))
+        best = materialize(best, "directory")
         found = best if found is None else found.union(best)
         large = materialize(cells.join(best, "cell", "left_anti").select("cell"), "large-cells")
         if not large.limit(1).count():

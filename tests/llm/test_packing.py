@@ -97,3 +97,22 @@ def test_query_digests(spark, tokenizer):
     assert all(seen[d] == len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in texts.items())
     filled = sum(r.length for r in got)
     assert filled >= 0.99 * 1024 * len({r.sequence_id for r in got})
+
+
+@pytest.mark.parametrize("max_open", [1, 2, 3, 50])
+def test_the_bound_on_open_windows_loses_no_id(max_open):
+    """At, below and beyond ``max_open`` windows: every id stays in one piece, windows are never over-full, one is partial at most."""
+    rng = random.Random(max_open)
+    texts = [" ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randrange(0, 30))) for _ in range(200)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    pieces = [r for out in pk._packer(PATH, 16, 0, max_open)(iter([batch])) for r in out.to_pylist()]
+    fill, ids = {}, {}
+    for p in pieces:
+        fill[p["sequence_id"]] = fill.get(p["sequence_id"], 0) + p["length"]
+        ids.setdefault(p["doc_id"], []).append((p["start"], p["ids"]))
+    assert max(fill.values()) <= 16 and sum(n < 16 for n in fill.values()) <= 1
+    encode = pk.encoder(PATH)
+    for i, t in enumerate(texts):
+        assert b"".join(x for _, x in sorted(ids[i])) == np.append(encode.ids(t), 0).astype("<u4").tobytes()

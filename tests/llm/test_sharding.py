@@ -51,3 +51,9 @@ def test_query_fits_and_empty_table(spark):
     got = QUERIES["op8_extendible_hash_shards"](spark, SMALL).collect()
     assert len(got) == 200 and all(r.shard_bytes <= SHARD_BYTES for r in got)
     assert sh.assign_shards(spark.createDataFrame([], "doc_id long, text string"), 10).count() == 0
+
+
+def test_extra_columns_and_a_very_long_text(spark):
+    rows = [(1, "x" * 3_000_000, 5, "c"), (2, "y", 6, "d"), (2, "y", 6, "d")]
+    got = sh.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, depth int, cell string"), 1000).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.shard_bytes) for r in got) == [(1, 3_000_000, 3_000_000), (2, 1, 2), (2, 1, 2)]
