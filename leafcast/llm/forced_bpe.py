@@ -185,13 +185,13 @@ def _cuts(data: bytes, table: np.ndarray) -> np.ndarray:
     return table[(raw[:-1] << 8) | raw[1:]]
 
 
-def coder(path: str, memo_size: int = 500_000) -> ForcedBpe:
+def coder(path: str, memo_size: int = 300_000) -> ForcedBpe:
     if path not in _CODERS:
         _CODERS[path] = ForcedBpe(path, memo_size)
     return _CODERS[path]
 
 
-def encode_texts(docs: DataFrame, path: str, memo_size: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, memo_size: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def encode_texts(docs: DataFrame, path: str, memo_size: int = 500_000, id_col: s
     return bound_batches(rows).mapInArrow(encode, ENCODED)
 
 
-def decode_ids(encoded: DataFrame, path: str, memo_size: int = 500_000) -> DataFrame:
+def decode_ids(encoded: DataFrame, path: str, memo_size: int = 300_000) -> DataFrame:
     """Rows of ``encode_texts`` with the text that their ids stand for."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
