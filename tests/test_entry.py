@@ -30,3 +30,17 @@ def test_output_schemas(spark):
     assert tuple(q["site_index_lines"](spark, SMALL).columns) == schemas.INDEX_LINES
     posts = cap.full_post(adapters.full_posts_capture_v(spark, SMALL))
     assert tuple(docs.build_documents(posts, Options(), "raw").columns) == schemas.DOCUMENTS
+
+
+def test_without_the_training_data_parts_the_other_queries_stay(monkeypatch):
+    """What cannot be imported takes only its own queries away: first the pipeline, then all operators (here: no tokenizer files)."""
+    import sys
+
+    others = {k for k in entry.queries() if k != "pipeline" and not k.startswith("op")}
+    assert len(others) >= 60
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "pipeline" not in entry.queries() and set(entry.queries()) >= others
+    for name in [m for m in sys.modules if m.startswith("leafcast.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert set(entry.queries()) == others and set(entry.oracle_sql()) <= others
