@@ -792,7 +792,8 @@ UNION ALL SELECT site, 3, 0, type_pos + 1, 0, '- [' || type_key || '] ' || name
         FROM listed l LEFT JOIN authors_v a ON l.site = a.site AND l.author_id = a.author_id""",
     "filter_posts": f"""
         SELECT site, id, title FROM (SELECT site, id, {title_flat('title_raw')} AS title FROM posts_v)
-        WHERE NOT (regexp_matches(title, '^Order \\d*7 P$') OR title = 'Order 42 F') AND id NOT IN (7, 44, 1234)""",
+        WHERE NOT (regexp_matches(title, '^Order \\d*7 P$') OR title = 'Order 42 F') AND id NOT IN (7, 44, 1234)
+          AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)""",
     "rule_kind": r"""
         SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(v, '(?i)^[a-f]') THEN '0' END, CASE WHEN regexp_matches(v, 'PROMO$') THEN '1' END,
           CASE WHEN regexp_matches(v, '\p{Lu}C') THEN '2' END, CASE WHEN v = '/unclosed(/' THEN '3' END,

@@ -3,8 +3,8 @@
 The slim job is column expressions only (``slim``). The Markdown job is native column passes
 around one Arrow batch pass (``mapInArrow``) holding the per-document rendering of ``htmltree``. The JVM -> Python
 boundary is crossed once per partition; rows that fail to convert keep their key and
-carry an ``error`` text instead of failing the job. Before the tree pass rows are spread by
-key hash (``spread``) so every task gets a bounded, even share of documents.
+carry an ``error`` text instead of failing the job. Before either pass rows are spread by
+their bytes (``spread``) so every task gets an even share.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from leafcast.functions import text, urls
+from leafcast.functions import arrays, text, urls
 from leafcast.operators import slim as slimming
+from leafcast.operators.numbering import ROW_BITS
 from leafcast.options import Options
 from leafcast.session import bound_batches
 
@@ -45,25 +46,39 @@ def prettify_link_targets(md: Column) -> Column:
     return F.when(md.isNotNull(), F.array_join(pretty, ""))
 
 
-def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Hash rows by key over an explicit number of partitions before CPU-heavy per-row work.
+def spread(df: DataFrame, size: Column, partitions: int | None = None) -> DataFrame:
+    """Rows dealt to an explicit number of partitions in ranges of about equal bytes, before work that costs by the byte.
 
-    The cost of the tree pass is per document, not per byte, so its parallelism is
-    decoupled from the file layout: one large row group, or a small upstream result
-    that adaptive execution would coalesce, must not become a single Python worker.
-    The count is explicit (``spark.sql.shuffle.partitions`` by default), so it is not
-    coalesced away; ``partitions=0`` keeps the input partitioning (no shuffle).
+    One large row group, or a small upstream result that adaptive execution would coalesce, must not become a single
+    task, nor some long documents one task's share. Sizes are added up over the rows as the input has them; what the driver
+    gets is the first row of each range. ``size`` is a row's bytes. ``partitions`` is ``spark.sql.shuffle.partitions`` by
+    default; 0 keeps the input as it is, right for inputs of many splits, and a stream is dealt by hash.
     """
     if partitions == 0:
         return df
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, F.xxhash64(*keys))
+    if df.isStreaming:
+        return df.repartition(n, F.xxhash64(*df.columns))
+    # The number of a row tells its task and place; a scan gives the same ones again.
+    sized = df.select(F.monotonically_increasing_id().alias("at"), (F.coalesce(size, F.lit(0)) + 1).cast("bigint").alias("n")).withColumn("task", F.shiftright("at", ROW_BITS))
+    inside = Window.partitionBy("task").orderBy("at")
+    tasks = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    totals = sized.groupBy("task").agg(F.sum("n").alias("all"))
+    starts = totals.select("task", F.coalesce(F.sum("all").over(tasks), F.lit(0)).alias("before"), F.sum("all").over(Window.partitionBy()).alias("whole"))
+    placed = sized.withColumn("to", F.sum("n").over(inside)).join(starts, "task")
+    part = F.floor((F.col("before") + F.col("to") - F.col("n")) * F.lit(n) / F.col("whole"))
+    firsts = sorted(r[0] for r in placed.groupBy(part.alias("part")).agg(F.min("at").alias("first")).select("first").collect())  # n rows at most
+    if len(firsts) < 2:
+        return df
+    edges = F.array(*(F.lit(f).cast("bigint") for f in firsts))
+    number = arrays.bound(F.monotonically_increasing_id(), lambda at: arrays.n_below(edges, at + 1) - 1)  # one number per row
+    return df.withColumn("_part", F.least(F.greatest(number, F.lit(0)), F.lit(n - 1)).cast("int")).repartitionById(n, F.col("_part")).drop("_part")
 
 
 def _arrow_job(df: DataFrame, keys: Sequence[str], source: str, fn: Callable[[str], str], partitions: int | None) -> DataFrame:
     key_fields = [df.schema[k] for k in keys]
     out_schema = StructType(key_fields + [StructField("out", StringType()), StructField("error", StringType())])
-    df = spread(df.select(*keys, F.col(source).alias("_src")), keys, partitions)
+    df = spread(df.select(*keys, F.col(source).alias("_src")), F.octet_length("_src"), partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,7 +103,7 @@ def slim_job(df: DataFrame, keys: Sequence[str], html_col: str, opts: Options, p
     Returns keys and ``slim``. Documents are spread first as for the Markdown job; with
     ``partitions=0``, right for inputs of many splits, there is no shuffle.
     """
-    spread_rows = spread(df.select(*keys, html_col), keys, partitions)
+    spread_rows = spread(df.select(*keys, html_col), F.octet_length(html_col), partitions)
     prepared = spread_rows.select(*keys, strip_wrappers(F.col(html_col)).alias("_html"), F.col(html_col).alias("_src"))
     slim = F.when(text.php_trim(F.col("_src")) == "", F.col("_src")).otherwise(
         slimming.slim(F.col("_html"), tuple(opts.keep_attrs), tuple(opts.drop_tags), tuple(opts.unwrap_tags))

@@ -77,14 +77,19 @@ def with_parent_titles(fetched: DataFrame) -> DataFrame:
     return joined.withColumn("parent_title", parent_title).drop("_pid", "_ptitle")
 
 
-def exclude_posts(posts: DataFrame, opts: Options) -> DataFrame:
-    """F5 + F6: drop posts whose flat title matches a (trimmed) rule or whose id is listed."""
+def exclude_posts(posts: DataFrame, opts: Options, excluded: DataFrame | None = None) -> DataFrame:
+    """F5 + F6: drop posts whose flat title matches a (trimmed) rule or whose id is listed.
+
+    ``excluded`` lists further ids in a table (column ``id``) of any size; its ids never pass through the driver.
+    """
     title_rules = rules.compile_rules(opts.exclude_titles, trim=True)
     out = posts.where(~rules.matches_any(F.col("title"), title_rules))
     ids = sorted({int(i) for i in opts.exclude_ids})
     if ids:
         table = posts.sparkSession.createDataFrame([(i,) for i in ids], "_xid bigint")
         out = out.join(table, F.col("id") == F.col("_xid"), "left_anti")
+    if excluded is not None:
+        out = out.join(excluded.select(F.col("id").alias("_xid")), F.col("id") == F.col("_xid"), "left_anti")
     return out
 
 

@@ -665,9 +665,10 @@ def q_index_rows_agent(spark, base):
 
 @query("filter_posts")
 def q_filter_posts(spark, base):
-    """F5 + F6 by themselves: every post with its flat title, kept or excluded."""
+    """F5 + F6 by themselves: every post with its flat title, without those a rule, an option or a table of ids excludes."""
     posts = idx.with_flat_titles(adapters.posts_v(spark, base)).select("site", "id", "title")
-    return idx.exclude_posts(posts, OPTS)
+    ids = read_table(spark, base, "lineitem", "l_orderkey", "l_linenumber").where("l_linenumber = 7").select(F.col("l_orderkey").alias("id"))
+    return idx.exclude_posts(posts, OPTS, excluded=ids)
 
 
 # Rules of every kind; the SQL twin has the same meanings written out.

@@ -124,3 +124,17 @@ def test_null_and_failing_documents_are_rows(spark):
 def test_link_targets(spark):
     df = spark.createDataFrame([("[a](https://h/%41) ] [b](/rel%20x) [c](http://h/y%20z)",)], "m string")
     assert df.select(html_jobs.prettify_link_targets(F.col("m")).alias("p")).first().p == "[a](https://h/A) ] [b](/rel%20x) [c](http://h/y z)"
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_documents_are_spread_by_bytes(spark, files):
+    """A few very long documents at the end of many short ones: the largest task has at most twice the median bytes."""
+    from leafcast.session import materialize
+
+    rows = [(i, "x" * (50 if i < 900 else 5000)) for i in range(1000)]
+    df = materialize(spark.createDataFrame(rows, "id int, html string").coalesce(1).repartitionByRange(files, "id"), "test-spread")
+    dealt = html_jobs.spread(df, F.octet_length("html"), 8)
+    assert sorted((r.id, len(r.html)) for r in dealt.collect()) == [(i, len(t)) for i, t in rows]
+    sizes = sorted(r.n for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("html")).alias("n")).collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+    assert html_jobs.spread(df.where("id < 0"), F.octet_length("html"), 8).count() == 0
