@@ -51,12 +51,13 @@ def source_hash(posts: DataFrame, mode: str, opts: Options) -> Column:
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
-def build_documents(posts: DataFrame, opts: Options, mode: str = "markdown", partitions: int | None = None) -> DataFrame:
+def build_documents(posts: DataFrame, opts: Options, mode: str = "markdown", partitions: int | None = 0) -> DataFrame:
     """Entry B for a corpus of full posts (``leafcast.sources.captures.full_post`` shape).
 
     Output: site, request_key, rest_base, id, mode, title, body, error, src_hash. One pass over the
     input: rows whose fetch or parse failed go through the same plan with no content
-    (the tree pass skips them) and keep their error; converter failures are errors too.
+    (the tree pass skips them) and keep their error; converter failures are errors too. Posts stay in
+    the partitions they are in: spread the captures by bytes before they are parsed (``html_jobs.spread``), or name ``partitions``.
     """
     upstream = F.nullif(F.coalesce(F.col("error"), F.lit("")), F.lit(""))
     src = posts.withColumn("src_hash", source_hash(posts, mode, opts)).withColumn("_up_err", upstream)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leafcast import schemas
 from leafcast.operators import documents as docs
-from leafcast.operators import report
+from leafcast.operators import html_jobs, report
 from leafcast.options import Options
 from leafcast.plans import site_index
 from leafcast.session import materialize, path_exists, release
@@ -91,13 +91,16 @@ def read_index(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
 
 
 def documents_job(spark: SparkSession, posts_dir: str, out_dir: str, opts: Options, mode: str = "markdown",
-                  run_id: int | None = None) -> int:
+                  run_id: int | None = None, partitions: int | None = None) -> int:
     """Entry B, incremental: converts posts whose source changed and appends them (W2 sink).
 
+    Captures are spread by their bytes over ``partitions`` (``html_jobs.spread``); 0 keeps the splits of the input.
+
     Returns the number of documents written by this run (0 when nothing changed).
     """
     run_id = int(time.time() * 1000) if run_id is None else run_id
-    posts = cap.full_post(cap.latest_per_key(_read(spark, posts_dir, schemas.POST_CAPTURE)))
+    captures = cap.latest_per_key(_read(spark, posts_dir, schemas.POST_CAPTURE))
+    posts = cap.full_post(html_jobs.spread(captures, F.octet_length("body"), partitions))
     todo = docs.incremental_documents(spark, posts, out_dir, opts, mode, run_id=run_id)
     todo.repartition("site", F.pmod(F.xxhash64("request_key"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))) \
         .write.mode("append").partitionBy("site", "run_id").parquet(out_dir)
