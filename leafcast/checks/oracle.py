@@ -361,7 +361,7 @@ VIEWS["fragments_v"] = r"""
 SELECT page_id, html || chr(10) ||
   CASE page_id % 5
     WHEN 0 THEN '<table class="t"><caption>Cap</caption><colgroup><col></colgroup><thead><tr><th colspan="2">H</th></tr></thead>' || chr(10) || '<tbody><tr><td rowspan="1">a</td><td>b<br>c</td></tr></tbody></table>'
-    WHEN 1 THEN '<pre class="language-python"><code>def f():' || chr(10) || '    return 1' || chr(10) || '</code></pre><pre class="mermaid">graph TD; A--&gt;B;</pre>'
+    WHEN 1 THEN '<pre class="language-python"><code>for tide in range(3):' || chr(10) || '    print(tide)' || chr(10) || '</code></pre><pre class="mermaid">flowchart LR; tide--&gt;moon;</pre>'
     WHEN 2 THEN '<form action="/x"><p>Name</p><input name="name"></form>'
     WHEN 3 THEN '<figure><img src="https://example.com/a.png" alt="A" width="9"><figcaption>Fig</figcaption></figure><details><summary>More</summary><p>Body</p></details>'
     ELSE '<p><i class="fa fa-star"></i> <a href="https://xn--wgv71a119e.example/a%20b" target="_blank">IDN link</a></p>'

@@ -24,11 +24,11 @@ def _fm(spark, rows, opts):
 def test_front_matter_goldens(spark):
     terms = [[("category", "News"), ("category", "Tech: AI"), ("", "skip"), ("case_tag", None)], [("case_tag", "PLC")]]
     rows = [
-        (1, "2026-05-31T03:00:00", "Hello World", terms, "Ann", "https://s.test/?p=1"),
+        (1, "2031-11-02T22:15:00", "Tide tables", terms, "Ann", "https://s.test/?p=1"),
         (2, "", "plain", None, "", "https://s.test/p2"),
     ]
     a, b = _fm(spark, rows, Options(timezone="Asia/Tokyo"))
-    assert a == ("---\npost_id: 1\ndate: \"2026-05-31 12:00:00 +09:00\"\ntitle: \"Hello World\"\n"
+    assert a == ("---\npost_id: 1\ndate: \"2031-11-03 07:15:00 +09:00\"\ntitle: \"Tide tables\"\n"
                  "category: [ News, \"Tech: AI\" ]\ncase_tag: [ PLC ]\nauthor: Ann\n"
                  "permalink: \"https://s.test/?p=1\"\n---\n\n")
     assert b == "---\npost_id: 2\ndate: \"\"\ntitle: plain\npermalink: \"https://s.test/p2\"\n---\n\n"
