@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, ShortType
 
+from leafcast.session import release
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, QueryFn] = {}
 
@@ -32,6 +34,8 @@ def query(name: str):
             raise ValueError(f"duplicate query key {name}")
 
         def wrapped(spark: SparkSession, base: str) -> DataFrame:
+            # What earlier queries kept for reuse is freed; their results, if still wanted, recompute it.
+            release(spark)
             return widen_ints(fn(spark, base))
 
         wrapped.__name__ = fn.__name__
