@@ -550,13 +550,55 @@ _ATTR = r"""'([^\s=/>"''<]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?'"""
 _NAME = r"lower(regexp_extract({p}, '^</?([A-Za-z][^\s/>]*)', 1))"
 
 
+# Elements without contents, blocks, and elements by how far an end tag reaches.
+_VOID = "area base br col embed hr img input link meta param source track wbr".split()
+_BLOCKS = ("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
+           "h5 h6 header hr main nav ol p pre section table ul").split()
+_LEVELS = (("div",), ("td", "th"), ("tr",), ("tbody", "tfoot", "thead"), ("table",))
+_RAW = r"<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+
+
+def listed(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]::VARCHAR[]"
+
+
+def repaired(html: str) -> str:
+    """Elements closed in order (H8): a list of open names, outermost first, carried over the pieces of the document."""
+    piece = _PIECE.replace("(?s)<!--.*?-->", "(?is)<!--.*?-->|" + _RAW)
+    name = (f"CASE WHEN regexp_matches(p, '^</?[A-Za-z]') AND NOT regexp_full_match(p, '(?is){_RAW}') "
+            rf"THEN lower(regexp_extract(p, '^</?([A-Za-z][^\s/>]*)', 1)) ELSE '' END")
+    into = ((_BLOCKS, ("p",), ("button", "caption", "table", "td", "th")), (("li",), ("li",), ("ol", "table", "ul")),
+            (("dd", "dt"), ("dd", "dt"), ("dl", "table")), (("option",), ("option",), ("datalist", "select")),
+            (("td", "th"), ("td", "th"), ("table", "tr")), (("tr",), ("tr",), ("table",)),
+            (_LEVELS[3], _LEVELS[3], ("table",)))
+    ends = "t.p[1:2] = '</'"
+    shuts = f"CASE WHEN {ends} THEN [t.n] " + " ".join(f"WHEN list_contains({listed(names)}, t.n) THEN {listed(shut)}" for names, shut, _ in into) + " ELSE []::VARCHAR[] END"
+    over = [f"WHEN {ends} AND list_contains({listed(level)}, t.n) THEN {listed([n for up in _LEVELS[i + 1:] for n in up])}" for i, level in enumerate(_LEVELS)]
+    over.append(f"WHEN {ends} THEN {listed([n for level in _LEVELS for n in level])}")
+    over += [f"WHEN list_contains({listed(names)}, t.n) THEN {listed(stop)}" for names, _, stop in into]
+    void = f"list_contains({listed(_VOID)}, t.n)"
+    items = (f"list_transform(list_transform(regexp_extract_all({html}, {piece}), lambda p: {{'p': p, 'n': {name}}}), lambda t: {{'s': []::VARCHAR[], 'o': '', 'p': t.p, 'n': t.n, "
+             f"'k': CASE WHEN t.n = '' THEN 'text' WHEN {ends} AND {void} THEN 'stray' WHEN {ends} THEN 'end' WHEN {void} THEN 'void' WHEN suffix(t.p, '/>') THEN 'empty' ELSE 'start' END, "
+             f"'x': {shuts}, 'w': CASE {' '.join(over)} ELSE []::VARCHAR[] END}})")
+    first = "{'s': []::VARCHAR[], 'o': '', 'p': '', 'n': '', 'k': '', 'x': []::VARCHAR[], 'w': []::VARCHAR[]}"
+    spot = "coalesce(list_max(list_filter(range(1, len(a.s) + 1), lambda j: list_contains(t.x, a.s[j]))), 0)"
+    ok = f"({spot} > 0 AND t.k <> 'stray' AND NOT list_has_any(a.s[{spot} + 1:], t.w))"
+    closed = f"CASE WHEN {ok} THEN array_to_string(list_transform(list_reverse(a.s[{spot}:]), lambda y: '</' || y || '>'), '') ELSE '' END"
+    left = f"CASE WHEN {ok} THEN a.s[1:{spot} - 1] ELSE a.s END"
+    own = "CASE t.k WHEN 'end' THEN '' WHEN 'stray' THEN '' WHEN 'empty' THEN t.p || '</' || t.n || '>' ELSE t.p END"
+    step = (f"{{'s': CASE WHEN t.k = 'start' THEN list_append({left}, t.n) ELSE {left} END, 'o': a.o || {closed} || {own}, "
+            "'p': '', 'n': '', 'k': '', 'x': []::VARCHAR[], 'w': []::VARCHAR[]}")
+    last = f"list_reduce({items}, lambda a, t: {step}, {first})"
+    return f"list_transform([{last}], lambda z: z.o || array_to_string(list_transform(list_reverse(z.s), lambda y: '</' || y || '>'), ''))[1]"
+
+
 def slim(html: str, keep: tuple, drop: tuple, unwrap: tuple) -> str:
     """The slim job in SQL; nested drop tags are cut where they are balanced and do not nest in the data."""
-    listed = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]::VARCHAR[]"
     src = f"regexp_replace({html}, '(?i)</?(?:html|body)\\b[^>]*>', '', 'g')"
     src = f"regexp_replace({src}, '(?is)<!doctype[^>]*>|<\\?[^>]*>|<head\\b.*?</head\\s*>', '', 'g')"
     for tag in drop:
         src = f"regexp_replace({src}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    whole, src = repaired(src), "doc"
     rest = r"regexp_replace(p, '^<[A-Za-z][^\s/>]*|/?>$', '', 'g')"
     pairs = (f"list_filter(list_zip(list_transform(regexp_extract_all({rest}, {_ATTR}, 1), lambda a: lower(a)), regexp_extract_all({rest}, {_ATTR}, 2)), "
              f"lambda z: list_contains({listed(keep)}, z[1]))")
@@ -575,10 +617,11 @@ def slim(html: str, keep: tuple, drop: tuple, unwrap: tuple) -> str:
                 f"WHEN p[1:2] = '</' THEN '</' || {name} || '>' ELSE {tag} END), '')")
 
     between = "regexp_replace(" + rewritten("s", True) + r", '[ \t\r\x00\x0B]*\n[ \t\n\r\x00\x0B]*', chr(10), 'g')"
-    return php_trim(
+    slimmed = php_trim(
         f"array_to_string(list_transform(list_zip(list_transform(regexp_split_to_array({src}, {_BLOCK}), lambda s: {between}), "
         f"list_transform(regexp_extract_all({src}, {_BLOCK}), lambda b: {rewritten('b', False)})), lambda z: z[1] || coalesce(z[2], '')), '')"
     )
+    return f"list_transform([{whole}], lambda doc: {slimmed})[1]"
 
 
 def count_of(e: str, pattern: str) -> str:

@@ -2,8 +2,8 @@
 
 A document is cut at its ``pre`` and ``code`` blocks and, between them, into tags and text. Tags are
 rewritten one by one: attributes filtered, ``rel`` completed, names lowered. Text outside the
-blocks has its white space collapsed. Markup is passed on, not repaired: an element that the
-source leaves open stays open, and text keeps its entities.
+blocks has its white space collapsed. Before that, elements are closed in order (``html_repair``);
+text keeps its entities.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafcast.functions import arrays, text
+from leafcast.operators.html_repair import balanced
 
 # Pieces of HTML, attributes, and the white space that text collapses.
 BLOCK = r"(?is)<pre\b[^>]*>.*?</pre\s*>|<code\b[^>]*>.*?</code\s*>"
@@ -111,11 +112,15 @@ def _rewritten(html: Column, keep: tuple[str, ...], unwrap: tuple[str, ...], col
 def slim(html: Column, keep: tuple[str, ...], drop: tuple[str, ...], unwrap: tuple[str, ...]) -> Column:
     """H3-H9 on HTML whose wrapper tags are gone already; blank input as it is."""
     source = drop_elements(F.regexp_replace(html, PROLOGUE, ""), drop)
+    return F.when(text.php_trim(html) == "", html).otherwise(arrays.bound(balanced(source), lambda s: _slimmed(s, keep, unwrap)))
+
+
+def _slimmed(source: Column, keep: tuple[str, ...], unwrap: tuple[str, ...]) -> Column:
+    """H4-H9 on balanced HTML."""
     between = F.transform(F.split(source, BLOCK, -1), lambda s: _lines(_rewritten(s, keep, unwrap, True)))
     blocks = F.transform(F.regexp_extract_all(source, F.lit(BLOCK), F.lit(0)), lambda b: _rewritten(b, keep, unwrap, False))
     joined = F.zip_with(between, blocks, lambda s, b: F.concat(s, F.coalesce(b, F.lit(""))))
-    out = text.php_trim(F.array_join(joined, ""))
-    return F.when(text.php_trim(html) == "", html).otherwise(out)
+    return text.php_trim(F.array_join(joined, ""))
 
 
 def _lines(html: Column) -> Column:
