@@ -504,9 +504,9 @@ QUERIES.update({
           CASE WHEN p.id % 31 = 0 AND p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN 0 ELSE p.id END AS id,
           CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN p.title_raw END AS title_raw,
           CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN coalesce(c.c_name, '') ELSE '' END AS author_name,
-          CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN length(f.fragment) ELSE 0 END AS BIGINT) AS content_len,
+          CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN length(p.fragment) ELSE 0 END AS BIGINT) AS content_len,
           CAST(CASE WHEN p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0 THEN coalesce(2 * len(t.g1), 0) ELSE 0 END AS BIGINT) AS n_terms
-        FROM posts_v p JOIN fragments_v f ON f.page_id = p.id
+        FROM contents_v p
         LEFT JOIN terms_v t ON t.id = p.id LEFT JOIN customer c ON c.c_custkey = p.author""",
     "site_name": f"""
         SELECT site, CASE WHEN length(site) % 3 = 2 THEN 'Site ' || upper(regexp_extract(site, '://([^.]*)', 1))
@@ -633,10 +633,14 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b
        '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g') AS body
 FROM pages"""
 
+VIEWS["contents_v"] = """
+SELECT p.id, p.rest_base, p.title_raw, p.link, p.date_gmt, p.author, coalesce(f.fragment, '<p>' || p.title_raw || '</p>') AS fragment
+FROM posts_v p LEFT JOIN fragments_v f ON f.page_id = p.id"""
+
 VIEWS["full_ok"] = f"""
 SELECT p.id, CASE WHEN p.id % 31 = 0 THEN 0 ELSE p.id END AS shown, p.rest_base, p.title_raw, p.link, p.date_gmt,
-  coalesce(c.c_name, '') AS author_name, f.fragment
-FROM posts_v p JOIN fragments_v f ON f.page_id = p.id LEFT JOIN customer c ON c.c_custkey = p.author
+  coalesce(c.c_name, '') AS author_name, p.fragment
+FROM contents_v p LEFT JOIN customer c ON c.c_custkey = p.author
 WHERE p.id % 23 <> 0 AND p.id % 29 <> 0 AND p.id % 37 <> 0"""
 
 VIEWS["full_terms"] = """
@@ -667,7 +671,7 @@ FROM full_ok o LEFT JOIN full_tax t ON o.id = t.id"""
 
 VIEWS["full_errors"] = """
 SELECT p.id AS src_id, CASE WHEN p.id % 23 = 0 THEN 'post_fetch_failed' ELSE 'post_parse_failed' END AS error
-FROM posts_v p JOIN fragments_v f ON f.page_id = p.id WHERE p.id % 23 = 0 OR p.id % 29 = 0 OR p.id % 37 = 0"""
+FROM posts_v p WHERE p.id % 23 = 0 OR p.id % 29 = 0 OR p.id % 37 = 0"""
 
 _ESC_TITLE = html_escape(title_flat("o.title_raw"))
 
@@ -872,7 +876,7 @@ QUERIES["document_versions"] = "SELECT request_key, error, valid_from, valid_to
 QUERIES["latest_documents"] = f"""
     SELECT request_key, v.shown AS id, error, CASE WHEN v.ok AND v.state <> 'f' THEN
       {_RAW_MD5.replace("(fragment,", "(f.fragment || CASE WHEN v.state = 'c' THEN chr(10) || 'changed' ELSE '' END,")} END AS md5, valid_from AS run_id
-    FROM versions_v v JOIN fragments_v f ON f.page_id = v.id WHERE valid_to IS NULL"""
+    FROM versions_v v JOIN contents_v f ON f.id = v.id WHERE valid_to IS NULL"""
 
 QUERIES["rejected_urls"] = f"SELECT batch_id, request_key, url FROM batches_v WHERE NOT {same_site('base', 'url')}"
 

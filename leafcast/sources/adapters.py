@@ -359,9 +359,9 @@ def user_chunks_v(spark: SparkSession, base: str) -> DataFrame:
 
 
 def full_posts_capture_v(spark: SparkSession, base: str) -> DataFrame:
-    """Captured single-post responses (``?_embed=author,wp:term``) for orders that have a page.
+    """Captured single-post responses (``?_embed=author,wp:term``) of all orders.
 
-    The post's content is the page's fragment; its author is the customer. Some fetches
+    The post's content is the page's fragment, or a paragraph of its title where the order has no page; its author is the customer. Some fetches
     failed (page_id % 23 = 0: 404), some bodies are the JSON ``null`` (page_id % 29 = 0) or an empty object (37), and some
     have no id (31). Ids % 11 = 0 were fetched before, with other content; ids % 13 = 0 are there twice as they are.
     """
@@ -370,10 +370,9 @@ def full_posts_capture_v(spark: SparkSession, base: str) -> DataFrame:
     cust = read_table(spark, base, "customer", "c_custkey", "c_name").select(
         F.col("c_custkey").alias("author"), F.col("c_name").alias("author_name")
     )
-    j = posts.join(frags, "id", "inner")
-    # Posts with content are a subset of the fragment ids: semi-join the line items on those.
-    terms = terms_v(spark, base, ids=frags.select("id"))
-    j = j.join(terms, "id", "left").join(cust, "author", "left")
+    said = F.concat(F.lit("<p>"), F.col("title_raw"), F.lit("</p>"))
+    j = posts.join(frags, "id", "left").withColumn("fragment", F.coalesce("fragment", said))
+    j = j.join(terms_v(spark, base), "id", "left").join(cust, "author", "left")
     post = F.struct(
         "id", F.struct(F.col("title_raw").alias("rendered")).alias("title"), "link", "date", "date_gmt", "parent", "author",
         F.struct(F.col("fragment").alias("rendered")).alias("content"),

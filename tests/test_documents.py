@@ -46,7 +46,7 @@ def test_documents_modes_and_errors(spark):
         d = docs.build_documents(_posts(spark), opts, mode).collect()
         ok = [r for r in d if r.error is None]
         bad = [r for r in d if r.error is not None]
-        assert len(d) == 50 and bad and all(r.body is None for r in bad)
+        assert len(d) == 1500 and bad and all(r.body is None for r in bad)
         if mode == "markdown":
             assert all(r.body.startswith("---\npost_id: ") and f"\n---\n\n# {r.title}\n\n" in r.body for r in ok)
         if mode == "html":
@@ -61,7 +61,7 @@ def test_incremental_second_run_converts_nothing(spark):
     first.write.mode("append").parquet(out)
     n1 = spark.read.parquet(out).count()
     second = docs.incremental_documents(spark, _posts(spark), out, opts, run_id=2)
-    assert n1 == 50 and second.count() == 0
+    assert n1 == 1500 and second.count() == 0
     changed = _posts(spark).withColumn("content", F.when(F.col("id") == 5, F.lit("<p>new</p>")).otherwise(F.col("content")))
     third = docs.incremental_documents(spark, changed, out, opts, run_id=3)
     third.write.mode("append").parquet(out)

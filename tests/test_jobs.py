@@ -36,5 +36,5 @@ def test_site_index_and_documents_jobs(spark):
     docs_dir = f"{out_dir}/documents"
     first = jobs.documents_job(spark, f"{cap_dir}/posts", docs_dir, ADAPTER_OPTIONS, run_id=1)
     second = jobs.documents_job(spark, f"{cap_dir}/posts", docs_dir, ADAPTER_OPTIONS, run_id=2)
-    assert first == 50 and second == 0
+    assert first == 1500 and second == 0
     assert spark.read.parquet(docs_dir).where(F.col("error").isNull() & F.col("body").startswith("---\n")).count() > 40
