@@ -96,29 +96,61 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(sums), row, starts, length
 
 
+#: Rows of one key that a join leaves together; a key with more is dealt over parts.
+PART_ROWS = 256
+#: A table of keys with more rows than this is joined without a broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """Rows (key, parts) of the keys that ``rows`` has more than ``PART_ROWS`` times; None if there are none."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS)
+    heavy = materialize(counted.select(key, F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), "heavy-keys")
+    n = heavy.limit(BROADCAST_KEYS + 1).count()
+    return None if n == 0 else F.broadcast(heavy) if n <= BROADCAST_KEYS else heavy
+
+
+def dealt(rows: DataFrame, heavy: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` with ``part``, the share of a heavy key that a row belongs to, by a hash of the row."""
+    if heavy is None:
+        return rows.withColumn("part", F.lit(0))
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1)).cast("bigint")).cast("int")
+    return rows.join(heavy, key, "left").withColumn("part", part).drop("parts")
+
+
+def copied(table: DataFrame, heavy: DataFrame | None, key: str) -> DataFrame:
+    """``table``, one row per key, with ``part``: a heavy key's row once for each of its parts."""
+    if heavy is None:
+        return table.withColumn("part", F.lit(0))
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    return table.join(heavy, key, "left").withColumn("part", F.explode(parts)).drop("parts")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): rows (node, root), root the smallest node reachable.
 
     Minimum labels over the neighbours with a pointer jump per round, so chains shorten
-    quickly; every round is a written table. Only partial aggregates and equi-joins are
-    used, so one node with very many links is no single task's work.
+    quickly; every round is a written table. A node with very many links, or a root of very many nodes, is
+    dealt over parts in both joins, and what follows them are partial aggregates, so neither is a single task's work.
     """
-    edges = materialize(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        "edges",
-    )
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = materialize(both, "edges")
+    hubs = heavy_keys(both, "b")
+    edges = both if hubs is None else materialize(dealt(both, hubs, "b"), "edges")
+    edges = edges.withColumn("part", F.lit(0)) if hubs is None else edges
     labels = materialize(
-        edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")),
+        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")),
         "labels",
     )
     while True:
         near = (
-            edges.join(labels.withColumnRenamed("node", "b"), "b")
+            edges.join(copied(labels.withColumnRenamed("node", "b"), hubs, "b"), ["b", "part"])
             .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         )
-        far = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        wide = heavy_keys(labels, "root")
+        far = copied(labels.select(F.col("node").alias("root"), F.col("root").alias("far")), wide, "root")
         moved = materialize(
-            labels.join(near, "node").join(far, "root", "left").select(
+            dealt(labels.join(near, "node"), wide, "root").join(far, ["root", "part"], "left").select(
                 "node",
                 F.least("root", "near", "far").alias("root"),
                 (F.least("root", "near", "far") < F.col("root")).alias("moved"),

@@ -211,9 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), ma
         *(docs[m].cast("double").alias(f"m{i}") for i, m in enumerate(metadata)),
     )
     joined = texts.join(F.broadcast(sample), "label_id").withColumn("h", F.xxhash64("label_id", "text"))
-    rows = joined.orderBy("h", "text", "label").limit(max_rows).select("label", "text", "h", *(f"m{i}" for i in range(len(metadata))))
+    # Texts become features where they are; only features are ordered and reach the task that fits.
+    rows = joined.select("label", "text", "h", *(f"m{i}" for i in range(len(metadata))))
     made = bound_batches(rows).mapInArrow(_featurise, "label double, h bigint, feats array<int>, values array<float>")
-    ordered = made.repartition(1).sortWithinPartitions("h", "label").select("label", "feats", "values")
+    ordered = made.orderBy("h", "label").limit(max_rows).repartition(1).sortWithinPartitions("h", "label").select("label", "feats", "values")
     found = ordered.mapInArrow(_fitter(len(metadata)), "w0 double, w binary, v binary").collect()
     if not found:
         return fit([], np.zeros(0), len(metadata))
