@@ -51,7 +51,8 @@ def spread(df: DataFrame, size: Column, partitions: int | None = None) -> DataFr
 
     One large row group, or a small upstream result that adaptive execution would coalesce, must not become a single
     task, nor some long documents one task's share. Sizes are added up over the rows as the input has them; what the driver
-    gets is the first row of each range. ``size`` is a row's bytes. ``partitions`` is ``spark.sql.shuffle.partitions`` by
+    gets is the first row of each range. Rows whose tasks are even already stay where they are: none has more than
+    one and a half times a core's share of the bytes. ``df`` is to be a table or a written result. ``size`` is a row's bytes. ``partitions`` is ``spark.sql.shuffle.partitions`` by
     default; 0 keeps the input as it is, right for inputs of many splits, and a stream is dealt by hash.
     """
     if partitions == 0:
@@ -64,6 +65,9 @@ def spread(df: DataFrame, size: Column, partitions: int | None = None) -> DataFr
     inside = Window.partitionBy("task").orderBy("at")
     tasks = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     totals = sized.groupBy("task").agg(F.sum("n").alias("all"))
+    largest, whole = totals.agg(F.max("all"), F.sum("all")).first()
+    if largest is None or largest * min(n, df.sparkSession.sparkContext.defaultParallelism) <= 1.5 * whole:
+        return df
     starts = totals.select("task", F.coalesce(F.sum("all").over(tasks), F.lit(0)).alias("before"), F.sum("all").over(Window.partitionBy()).alias("whole"))
     placed = sized.withColumn("to", F.sum("n").over(inside)).join(starts, "task")
     part = F.floor((F.col("before") + F.col("to") - F.col("n")) * F.lit(n) / F.col("whole"))

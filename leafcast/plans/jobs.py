@@ -99,8 +99,8 @@ def documents_job(spark: SparkSession, posts_dir: str, out_dir: str, opts: Optio
     Returns the number of documents written by this run (0 when nothing changed).
     """
     run_id = int(time.time() * 1000) if run_id is None else run_id
-    captures = cap.latest_per_key(_read(spark, posts_dir, schemas.POST_CAPTURE))
-    posts = cap.full_post(html_jobs.spread(captures, F.octet_length("body"), partitions))
+    captures = html_jobs.spread(_read(spark, posts_dir, schemas.POST_CAPTURE), F.octet_length("body"), partitions)
+    posts = cap.full_post(cap.latest_per_key(captures))
     todo = docs.incremental_documents(spark, posts, out_dir, opts, mode, run_id=run_id)
     todo.repartition("site", F.pmod(F.xxhash64("request_key"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))) \
         .write.mode("append").partitionBy("site", "run_id").parquet(out_dir)

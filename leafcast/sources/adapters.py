@@ -45,7 +45,15 @@ def types_v(spark: SparkSession, base: str) -> DataFrame:
 
 def posts_v(spark: SparkSession, base: str) -> DataFrame:
     """One post per order (uncapped; the newest-N cap is the job's first step)."""
-    o = read_table(spark, base, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    return _posts(_orders(spark, base))
+
+
+def _orders(spark: SparkSession, base: str) -> DataFrame:
+    return read_table(spark, base, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+
+
+def _posts(o: DataFrame, *others: str) -> DataFrame:
+    """Posts of orders, with other columns as they are."""
     k = F.col("o_orderkey")
     # Parents follow from the key alone, so a scan of posts needs no shuffle.
     parent = F.when(k % 9 == 0, k - k % 100).when(k % 3 == 0, k - k % 10 + 1).otherwise(F.lit(0).cast("long"))
@@ -62,6 +70,7 @@ def posts_v(spark: SparkSession, base: str) -> DataFrame:
         gmt.alias("date_gmt"),
         parent.alias("parent"),
         F.col("o_custkey").alias("author"),
+        *others,
     )
 
 
@@ -80,23 +89,18 @@ def terms_v(spark: SparkSession, base: str, ids: DataFrame | None = None) -> Dat
     part = read_table(spark, base, "part", "p_partkey", "p_brand", "p_type")
     ln = F.col("l_linenumber")
     joined = li.join(part, li.l_partkey == part.p_partkey, "inner")
-    rows = joined.select(
-        F.col("l_orderkey").alias("id"),
-        F.struct(
-            ln.alias("ln"), F.col("l_partkey").alias("pk"),
-            F.when(ln % 7 == 0, F.lit("")).otherwise(F.lit("brand")).alias("tax1"),
-            F.when(ln % 5 != 0, F.col("p_brand")).alias("name1"),
-            F.when(ln % 7 == 0, F.lit("")).otherwise(F.lit("type")).alias("tax2"),
-            F.when(ln % 5 != 0, F.col("p_type")).alias("name2"),
-        ).alias("t"),
-    )
-    grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    # Taxonomies and names follow from these columns, so they are made below the shuffle.
+    line = F.struct(ln.alias("ln"), F.col("l_partkey").alias("pk"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
+    grouped = joined.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("ts"))
+
+    def term(t, taxonomy: str, name: str):
+        return F.struct(
+            F.when(t["ln"] % 7 == 0, F.lit("")).otherwise(F.lit(taxonomy)).alias("taxonomy"), F.when(t["ln"] % 5 != 0, t[name]).alias("name"),
+        )
+
     return grouped.select(
         "id",
-        F.array(
-            F.transform("ts", lambda t: F.struct(t["tax1"].alias("taxonomy"), t["name1"].alias("name"))),
-            F.transform("ts", lambda t: F.struct(t["tax2"].alias("taxonomy"), t["name2"].alias("name"))),
-        ).cast(TERM_T).alias("terms"),
+        F.array(F.transform("ts", lambda t: term(t, "brand", "brand")), F.transform("ts", lambda t: term(t, "type", "type"))).cast(TERM_T).alias("terms"),
     )
 
 
@@ -365,14 +369,14 @@ def full_posts_capture_v(spark: SparkSession, base: str) -> DataFrame:
     failed (page_id % 23 = 0: 404), some bodies are the JSON ``null`` (page_id % 29 = 0) or an empty object (37), and some
     have no id (31). Ids % 11 = 0 were fetched before, with other content; ids % 13 = 0 are there twice as they are.
     """
-    posts = posts_v(spark, base)
-    frags = fragments_v(spark, base).withColumnRenamed("page_id", "id")
+    frags = fragments_v(spark, base).withColumnRenamed("page_id", "o_orderkey")
     cust = read_table(spark, base, "customer", "c_custkey", "c_name").select(
-        F.col("c_custkey").alias("author"), F.col("c_name").alias("author_name")
+        F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("author_name")
     )
+    # Customers are joined while the orders are narrow; terms and fragments meet them by the post's id, and nothing is moved again.
+    whole = _orders(spark, base).join(cust, "o_custkey", "left").join(terms_v(spark, base).withColumnRenamed("id", "o_orderkey"), "o_orderkey", "left")
     said = F.concat(F.lit("<p>"), F.col("title_raw"), F.lit("</p>"))
-    j = posts.join(frags, "id", "left").withColumn("fragment", F.coalesce("fragment", said))
-    j = j.join(terms_v(spark, base), "id", "left").join(cust, "author", "left")
+    j = _posts(whole.join(frags, "o_orderkey", "left"), "author_name", "terms", "fragment").withColumn("fragment", F.coalesce("fragment", said))
     post = F.struct(
         "id", F.struct(F.col("title_raw").alias("rendered")).alias("title"), "link", "date", "date_gmt", "parent", "author",
         F.struct(F.col("fragment").alias("rendered")).alias("content"),
@@ -383,17 +387,19 @@ def full_posts_capture_v(spark: SparkSession, base: str) -> DataFrame:
         ).alias("_embedded"),
     )
     k = F.col("id")
-    status = F.when(k % 23 == 0, F.lit(404)).otherwise(F.lit(200))
-    last = j.select(
+    # A post's captures in one pass over the joins: the last one, one from before, and the last one once more.
+    now, before, again = range(3)
+    captured = F.explode(F.array_compact(F.array(F.lit(now), F.when(k % 11 == 0, F.lit(before)), F.when(k % 13 == 0, F.lit(again)))))
+    old = F.col("_captured") == before
+    return j.withColumn("_captured", captured).select(
         "site", "rest_base", "id",
         F.concat(F.lit("post|"), F.coalesce(F.col("rest_base"), F.lit("")), F.lit("|"), k.cast("string")).alias("request_key"),
-        F.lit("post").alias("kind"), status.alias("status"),
-        F.when(k % 29 == 0, F.lit("null")).when(k % 37 == 0, F.lit(" {} ")).when(k % 31 == 0, F.to_json(post.dropFields("id")))
+        F.lit("post").alias("kind"), F.when(~old & (k % 23 == 0), F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.when(old, F.lit('{"id": 1, "content": {"rendered": "old"}}'))
+        .when(k % 29 == 0, F.lit("null")).when(k % 37 == 0, F.lit(" {} ")).when(k % 31 == 0, F.to_json(post.dropFields("id")))
         .otherwise(F.to_json(post)).alias("body"),
-        F.lit("").alias("error"), F.lit(2).cast("long").alias("fetched_at"),
+        F.lit("").alias("error"), F.when(old, F.lit(1)).otherwise(F.lit(2)).cast("long").alias("fetched_at"),
     )
-    before = last.where(k % 11 == 0).withColumns({"status": F.lit(200), "body": F.lit('{"id": 1, "content": {"rendered": "old"}}'), "fetched_at": F.lit(1).cast("long")})
-    return last.unionByName(before).unionByName(last.where(k % 13 == 0))
 
 
 def root_captures_v(spark: SparkSession, base: str) -> DataFrame:

@@ -7,7 +7,7 @@ schemas (no schema inference over the corpus).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafcast import schemas
@@ -115,23 +115,36 @@ def _order(captures: DataFrame, keys: tuple[str, ...]) -> Column:
     )
 
 
+#: Keys with several captures up to this many are joined with the captures as they stand.
+REFETCHED_KEYS = 100_000
+
+
 def latest_per_key(captures: DataFrame, keys: tuple[str, ...] = ("site", "request_key")) -> DataFrame:
     """One capture per key: the one fetched last (``fetched_at``); at one time a success, then the greater status.
 
-    Only keys and ranks are shuffled to find the keys that have several captures. These, usually few, are written, and the captures
-    are joined with them as they stand: a body is moved only where that table is large, or where a capture is there twice as it is.
+    Only keys are shuffled to find those that have several captures, and these are written. Up to ``REFETCHED_KEYS`` of them are
+    joined with the captures as they stand: a body is moved only where a capture is there twice as it is. With more of them
+    the captures are dealt by key, once, and each key's last one is taken where it is.
     """
-    ranked = captures.withColumn("_order", _order(captures, keys))
-    each = ranked.groupBy(*keys, "_order").agg(F.count("*").alias("_n"))
-    tops = each.groupBy(*keys).agg(F.max(F.struct("_order", "_n")).alias("_t"), F.sum("_n").alias("_all")).where("_all > 1")
-    tops = materialize(tops.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_t._order").alias("_top"), F.col("_t._n").alias("_copies")), "refetched")
-    several = tops.agg(F.max("_copies")).first()[0]
-    if several is None:
+    many = captures.groupBy(*keys).agg(F.count("*").alias("_all")).where("_all > 1")
+    many = materialize(many.select(*(F.col(k).alias(f"_k_{k}") for k in keys)), "refetched")
+    found = many.limit(REFETCHED_KEYS + 1).count()
+    if not found:
         return captures
+    if found > REFETCHED_KEYS:
+        newest = Window.partitionBy(*keys).orderBy(F.col("_order").desc())
+        dealt = captures.withColumn("_order", _order(captures, keys)).repartition(*keys)
+        return dealt.withColumn("_place", F.row_number().over(newest)).where("_place = 1").select(*captures.columns)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    kept = ranked.join(tops, same, "left").where(F.col("_top").isNull() | (F.col("_order") == F.col("_top")))
+    some = captures.join(F.broadcast(many), same, "left_semi")
+    each = some.withColumn("_order", _order(captures, keys)).groupBy(*keys, "_order").agg(F.count("*").alias("_n"))
+    tops = each.groupBy(*keys).agg(F.max(F.struct("_order", "_n")).alias("_t"))
+    tops = materialize(tops.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_t._order").alias("_top"), F.col("_t._n").alias("_copies")), "last-captures")
+    several = tops.agg(F.max("_copies")).first()[0]
+    ranked = captures.withColumn("_order", _order(captures, keys))
+    kept = ranked.join(F.broadcast(tops), same, "left").where(F.col("_top").isNull() | (F.col("_order") == F.col("_top")))
     if several == 1:
         return kept.select(*captures.columns)
     once = kept.where(F.coalesce("_copies", F.lit(1)) == 1)

@@ -132,3 +132,29 @@ def test_runs_over_other_sites_leave_the_rest(spark):
     # A run that never wrote its manifest changes nothing.
     jobs._write_run(spark.createDataFrame([(one, "x")], "site string, title string"), f"{out}/index_rows", 3)
     assert {(r.site, r.title) for r in jobs.read_index(spark, out, "index_rows").collect()} == rows
+
+
+def test_many_refetched_keys_are_dealt_once(spark, monkeypatch):
+    """With more refetched keys than are joined as they stand: the same captures, by one shuffle of the bodies and no join."""
+    path = tempfile.mkdtemp(prefix="leafcast-captures-", dir="/tmp") + "/t"
+    rows = [(s, f"k{i % 40}", 200 if i % 3 else 503, f"b{i % 60}", "", i % 7) for i in range(200) for s in ("a", None)] + [("a", None, 200, "n", "", None)] * 3
+    spark.createDataFrame(rows, CAPTURE).repartition(3).write.parquet(path)
+    captures = spark.read.schema(CAPTURE).parquet(path)
+    few = sorted((tuple(r) for r in cap.latest_per_key(captures).collect()), key=str)
+    monkeypatch.setattr(cap, "REFETCHED_KEYS", 10)
+    dealt = cap.latest_per_key(captures)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted((tuple(r) for r in dealt.collect()), key=str) == few and len(few) == 81
+
+
+def test_captured_posts_are_made_in_one_pass(spark):
+    """Repeated captures do not repeat the joins, and customers are joined before terms and fragments."""
+    from conftest import SMALL
+    from leafcast.sources import adapters
+
+    made = adapters.full_posts_capture_v(spark, SMALL)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3 and "Union" not in plan
+    by_time = {(r.fetched_at, r.n) for r in made.where("id = 143").groupBy("fetched_at").agg(F.count("*").alias("n")).collect()}
+    assert by_time == {(1, 1), (2, 2)}

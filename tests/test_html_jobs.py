@@ -138,3 +138,13 @@ def test_documents_are_spread_by_bytes(spark, files):
     sizes = sorted(r.n for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("html")).alias("n")).collect())
     assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
     assert html_jobs.spread(df.where("id < 0"), F.octet_length("html"), 8).count() == 0
+
+
+def test_even_rows_stay_where_they_are(spark):
+    """Rows whose tasks hold about the same bytes are not shuffled; uneven ones are."""
+    n = spark.sparkContext.defaultParallelism
+    even = spark.range(0, 4000, 1, n).select("id", F.lit("x" * 50).alias("html"))
+    uneven = spark.range(0, 4000, 1, n).select("id", F.when(F.col("id") < 40, F.lit("x" * 5000)).otherwise("x").alias("html"))
+    plan = lambda df: html_jobs.spread(df, F.octet_length("html"), n)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(even)
+    assert n < 3 or "Exchange" in plan(uneven)
