@@ -59,8 +59,13 @@ def build_documents(posts: DataFrame, opts: Options, mode: str = "markdown", par
     (the tree pass skips them) and keep their error; converter failures are errors too. Posts stay in
     the partitions they are in: spread the captures by bytes before they are parsed (``html_jobs.spread``), or name ``partitions``.
     """
+    return _documents(posts.withColumn("src_hash", source_hash(posts, mode, opts)), opts, mode, partitions)
+
+
+def _documents(hashed: DataFrame, opts: Options, mode: str, partitions: int | None = 0) -> DataFrame:
+    """The documents of posts that have their ``src_hash``."""
     upstream = F.nullif(F.coalesce(F.col("error"), F.lit("")), F.lit(""))
-    src = posts.withColumn("src_hash", source_hash(posts, mode, opts)).withColumn("_up_err", upstream)
+    src = hashed.withColumn("_up_err", upstream)
     content = F.when(F.col("_up_err").isNull(), text.lf_normalize(F.coalesce(F.col("content"), F.lit(""))))
     title = text.title_flat(F.col("title_raw"))
     if mode == "raw":
@@ -97,14 +102,17 @@ def document_versions(spark, out_path: str) -> DataFrame:
     A run appends a row only where the source differs from the key's current version, so each row is a version. Only
     these narrow columns of the history are read.
     """
-    rows = spark.read.parquet(out_path).select(*VERSION_KEYS, "src_hash", "error", F.col("run_id").cast("bigint").alias("valid_from"))
-    w = Window.partitionBy(*VERSION_KEYS).orderBy("valid_from", "src_hash")
-    return rows.withColumn("valid_to", F.lead("valid_from").over(w))
+    digest = F.unhex("src_hash").alias("_hash")  # moved and sorted as bytes: the order of its lower-case hex digits
+    rows = spark.read.parquet(out_path).select(*VERSION_KEYS, digest, "error", F.col("run_id").cast("bigint").alias("valid_from"))
+    w = Window.partitionBy(*VERSION_KEYS).orderBy("valid_from", "_hash")
+    return rows.withColumn("valid_to", F.lead("valid_from").over(w)).select(
+        *VERSION_KEYS, F.lower(F.hex("_hash")).alias("src_hash"), "error", "valid_from", "valid_to",
+    )
 
 
 def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options, mode: str = "markdown",
                           run_id: int | None = None) -> DataFrame:
-    """Documents of the posts whose source hash is not that of their key's current version (a left anti join).
+    """Documents of the posts whose source hash is not that of their key's current version (a join with what is current).
 
     So a source that fails and recovers, or changes and goes back, is a new version each time. The caller appends the
     result to ``out_path``; a run over unchanged input and options converts nothing. ``posts`` holds one row per
@@ -114,13 +122,16 @@ def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options,
     todo = posts.withColumn("src_hash", source_hash(posts, mode, opts))
     if path_exists(spark, out_path):
         rows = spark.read.parquet(out_path).select(*VERSION_KEYS, "src_hash", "run_id")
-        current = rows.groupBy(*VERSION_KEYS).agg(F.max_by("src_hash", F.struct("run_id", "src_hash")).alias("_hash"))
-        current = current.select(*(F.col(k).alias("_d_" + k) for k in VERSION_KEYS), "_hash")
-        same = F.col("src_hash") == F.col("_hash")
-        for k in VERSION_KEYS:
-            same = same & F.col(k).eqNullSafe(F.col("_d_" + k))
-        todo = todo.join(current, same, "left_anti")
-    return build_documents(todo.drop("src_hash"), opts, mode).withColumn("run_id", F.lit(run_id).cast("bigint"))
+        # Keys without nulls on both sides, so what is grouped by key is joined where it is; digests are moved as bytes.
+        keys = {f"_d_{k}": F.coalesce(k, F.lit("")) for k in VERSION_KEYS} | {f"_n_{k}": F.col(k).isNull() for k in VERSION_KEYS}
+        digest = F.unhex("src_hash").alias("_hash")
+        current = rows.groupBy(*(c.alias(k) for k, c in keys.items())).agg(F.max(F.struct("run_id", digest)).alias("_last"))
+        # The hash is made before the join, which then carries only what the mode's documents are made from.
+        asked = todo.select(*(c for c in todo.columns if c not in (*VERSION_KEYS, "src_hash")), *(c.alias(k) for k, c in keys.items()), digest)
+        changed = F.col("_last._hash").isNull() | (F.col("_hash") != F.col("_last._hash"))
+        restored = {k: F.when(~F.col(f"_n_{k}"), F.col(f"_d_{k}")) for k in VERSION_KEYS} | {"src_hash": F.lower(F.hex("_hash"))}
+        todo = asked.join(current, [*keys], "left").where(changed).select(*(restored[c].alias(c) if c in restored else c for c in todo.columns))
+    return _documents(todo, opts, mode).withColumn("run_id", F.lit(run_id).cast("bigint"))
 
 
 def latest_documents(spark, out_path: str) -> DataFrame:

@@ -86,3 +86,21 @@ def test_stream_equals_batch(spark):
     batch = docs.build_documents(cap.full_post(captures), opts).select("id", "body", "error")
     assert streamed.count() == captures.count()
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_runs_hash_once_and_move_what_the_mode_needs(spark):
+    """The source hash is made before the join with the current versions; raw documents take no terms through it."""
+    out = os.path.join(tempfile.mkdtemp(prefix="leafcast-inc-", dir="/tmp"), "docs")
+    rows = [("s", f"k{i}", "posts", i, "T", "<p>x</p>", "l", "", "A", [[("category", "News")]], "") for i in range(6)] + [(None, None, "posts", 9, "T", "c", "l", "", "A", None, "")]
+    posts = spark.createDataFrame(rows, f"site string, request_key string, rest_base string, id bigint, title_raw string, content string, link string, date_gmt string, author_name string, terms {TERMS}, error string")
+    opts = Options(timezone="UTC")
+    docs.incremental_documents(spark, posts.where("id <> 3"), out, opts, "raw", run_id=1).write.parquet(out)
+    second = docs.incremental_documents(spark, posts, out, opts, "raw", run_id=2)
+    plan = second._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+    assert [(r.id, r.request_key, r.run_id) for r in second.collect()] == [(3, "k3", 2)]
+    want = docs.build_documents(posts, opts, "raw").where("id = 3").first().src_hash
+    assert second.first().src_hash == want
+    second.write.mode("append").parquet(out)
+    assert docs.incremental_documents(spark, posts, out, opts, "raw", run_id=3).count() == 0
+    assert {r.src_hash for r in docs.document_versions(spark, out).collect()} == {r.src_hash for r in spark.read.parquet(out).collect()}
