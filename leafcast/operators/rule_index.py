@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafcast.functions import arrays
 from leafcast.functions import rules as fr
+from leafcast.operators.html_jobs import spread
 from leafcast.session import materialize
 
 #: Tables of rules up to this many rows are marked for broadcast; larger ones are joined by shuffle.
@@ -80,9 +82,12 @@ def folded(text: Column) -> Column:
 
 
 def _trigrams(text: Column) -> Column:
-    """Distinct trigrams of a text."""
-    n = F.length(text) - 2
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct trigrams of a text, which is evaluated once."""
+    def cut(t: Column) -> Column:
+        n = F.length(t) - 2
+        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+    return arrays.bound(text, cut)
 
 
 def required_trigrams(body: Column, flags: Column) -> Column:
@@ -115,6 +120,7 @@ def rule_match(titles: DataFrame, rules: DataFrame, title_col: str = "title", ru
     known = compiled(rules.select(F.col(rule_id).alias("rule_id"), F.col(rule_col).alias("_rule")), "_rule").where("_rule IS NOT NULL AND problem IS NULL")
     known = materialize(known.withColumn("grams", required_trigrams(F.col("body"), F.col("flags"))), "rules")
     columns = titles.columns
+    titles = spread(titles, F.octet_length(value))  # a small file may hold many titles, and each costs some hundred steps
     exact = known.where("pattern IS NULL").select("rule_id", "_rule")
     parts = [titles.join(_small(exact), value == F.col("_rule")).select(*columns, "rule_id")]
     listed = known.where("size(grams) > 0 AND pattern IS NOT NULL")

@@ -52,3 +52,15 @@ def test_no_cross_join_and_empty_tables(spark):
     assert ri.rule_match(titles, rules.where("rule_id < 0")).count() == 0 and ri.rule_match(titles.where("i < 0"), rules).count() == 0
 
 
+
+
+def test_titles_of_one_file_are_dealt_and_folded_once(spark):
+    """Titles cost some hundred steps each, so those of one small file become many tasks, and their folded form is made once."""
+    titles = materialize(spark.createDataFrame([(i, f"Hello {i} abcdefgh") for i in range(2000)], "i int, title string").coalesce(1), "titles")
+    rules = spark.createDataFrame([(0, "/Hello/"), (1, "/[0-9]5/")], "rule_id int, rule string")
+    got = ri.rule_match(titles, rules)
+    assert got.count() == 2000 + sum(f"{i}"[-2:].endswith("5") and i >= 10 or any(c.isdigit() and d == "5" for c, d in zip(str(i), str(i)[1:])) for i in range(2000))
+    if spark.sparkContext.defaultParallelism > 2:
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    plan = titles.select(ri._trigrams(ri.folded(F.col("title"))).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
