@@ -62,7 +62,7 @@ def _listed(name: Column, cases) -> Column:
 
 def _token(p: Column) -> Column:
     """A piece with its element's name, what it is, the open elements it closes and those it does not reach through."""
-    tag = F.rlike(p, F.lit(r"^</?[A-Za-z]")) & ~F.rlike(p, F.lit(RAW_ELEMENT))
+    tag = F.startswith(p, F.lit("<")) & F.rlike(p, F.lit(r"^</?[A-Za-z]")) & ~F.rlike(p, F.lit(RAW_ELEMENT))
     name = F.when(tag, F.lower(F.regexp_extract(p, r"^</?([A-Za-z][^\s/>]*)", 1))).otherwise("")
     higher = tuple((names, tuple(n for ns, r in RANKS if r > rank for n in ns)) for names, rank in RANKS if rank < len(RANKS))
     ranked = tuple(n for names, _ in RANKS for n in names)
@@ -111,6 +111,14 @@ def _step(acc: Column, t: Column) -> Column:
 
     passed = F.struct(stack.alias("stack"), F.array_append(acc["out"], F.when(t["kind"] == STRAY, "").otherwise(t["p"])).alias("out"))
     done = F.when(t["kind"].isin(TEXT, STRAY) & (F.size(t["closes"]) == 0), passed)
+    # The two common steps by themselves: a start tag that closes nothing, and the end tag of the innermost element.
+    entered = F.struct(F.concat(t["name"], F.lit("/"), stack).alias("stack"), F.array_append(acc["out"], t["p"]).alias("out"))
+    done = done.when((t["kind"] == START) & (F.size(t["closes"]) == 0), entered)
+    left = F.struct(
+        F.substring(stack, F.length(t["name"]) + 2, F.length(stack)).alias("stack"),
+        F.array_append(acc["out"], F.concat(F.lit("</"), t["name"], F.lit(">"))).alias("out"),
+    )
+    done = done.when(ends & F.startswith(stack, F.concat(t["name"], F.lit("/"))), left)
     return done.otherwise(arrays.bound(arrays.bound(nearest, closing), after))
 
 

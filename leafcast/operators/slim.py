@@ -19,12 +19,14 @@ BLOCK = r"(?is)<pre\b[^>]*>.*?</pre\s*>|<code\b[^>]*>.*?</code\s*>"
 PIECE = r"""(?s)<!--.*?-->|<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]+|<"""
 ATTRIBUTE = r"""([^\s=/>"'<]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 PROLOGUE = r"(?is)<!doctype[^>]*>|<\?[^>]*>|<head\b.*?</head\s*>"
-SPACE = r"[\t\n\x0B\f\r\x{85}\x{180E}\p{Z}]+"
+SPACES = r"[\t\n\x0B\f\r\x{85}\x{180E}\p{Z}]"
+#: Runs of white space other than one space, which stays as it is.
+SPACE = rf"(?: {SPACES}+|(?! ){SPACES}{SPACES}*+)"
 RAW_TEXT = ("script", "style")
 
 
 def is_tag(piece: Column) -> Column:
-    return F.rlike(piece, F.lit(r"^</?[A-Za-z]"))
+    return F.startswith(piece, F.lit("<")) & F.rlike(piece, F.lit(r"^</?[A-Za-z]"))  # text is told by its first character
 
 
 def tag_name(piece: Column) -> Column:
@@ -125,4 +127,4 @@ def _slimmed(source: Column, keep: tuple[str, ...], unwrap: tuple[str, ...]) ->
 
 def _lines(html: Column) -> Column:
     """H9: no white space around line ends, no blank lines; blocks are not touched."""
-    return F.regexp_replace(html, r"[ \t\r\x00\x0B]*\n[ \t\n\r\x00\x0B]*", "\n")
+    return arrays.bound(html, lambda h: F.when(F.contains(h, F.lit("\n")), F.regexp_replace(h, r"[ \t\r\x00\x0B]*\n[ \t\n\r\x00\x0B]*", "\n")).otherwise(h))

@@ -148,3 +148,16 @@ def test_even_rows_stay_where_they_are(spark):
     plan = lambda df: html_jobs.spread(df, F.octet_length("html"), n)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan(even)
     assert n < 3 or "Exchange" in plan(uneven)
+
+
+def test_runs_of_white_space(spark):
+    """Single spaces are left alone, every other run becomes one space, as by the plain class."""
+    from itertools import product
+
+    from leafcast.operators import slim as sl
+
+    texts = ["".join(p) for k in range(1, 6) for p in product(" \t\n a", repeat=k)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain, runs = F.regexp_replace("t", sl.SPACES + "+", " "), F.regexp_replace("t", sl.SPACE, " ")
+    assert df.where(plain != runs).count() == 0
+    assert df.where(F.regexp_count(F.lit(" a b "), F.lit(sl.SPACE)) > 0).count() == 0
