@@ -112,7 +112,7 @@ def document_versions(spark, out_path: str) -> DataFrame:
 
 def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options, mode: str = "markdown",
                           run_id: int | None = None) -> DataFrame:
-    """Documents of the posts whose source hash is not that of their key's current version (a join with what is current).
+    """Documents of the posts whose source hash is not that of their key's current version (a left anti join).
 
     So a source that fails and recovers, or changes and goes back, is a new version each time. The caller appends the
     result to ``out_path``; a run over unchanged input and options converts nothing. ``posts`` holds one row per
@@ -125,12 +125,15 @@ def incremental_documents(spark, posts: DataFrame, out_path: str, opts: Options,
         # Keys without nulls on both sides, so what is grouped by key is joined where it is; digests are moved as bytes.
         keys = {f"_d_{k}": F.coalesce(k, F.lit("")) for k in VERSION_KEYS} | {f"_n_{k}": F.col(k).isNull() for k in VERSION_KEYS}
         digest = F.unhex("src_hash").alias("_hash")
-        current = rows.groupBy(*(c.alias(k) for k, c in keys.items())).agg(F.max(F.struct("run_id", digest)).alias("_last"))
+        current = rows.groupBy(*(c.alias("_c" + k) for k, c in keys.items())).agg(F.max(F.struct("run_id", digest)).alias("_last"))
         # The hash is made before the join, which then carries only what the mode's documents are made from.
         asked = todo.select(*(c for c in todo.columns if c not in (*VERSION_KEYS, "src_hash")), *(c.alias(k) for k, c in keys.items()), digest)
-        changed = F.col("_last._hash").isNull() | (F.col("_hash") != F.col("_last._hash"))
+        # Equal digests, not written as an equality: as a key of the join it would have the current versions shuffled again.
+        same = (F.col("_hash") <= F.col("_last._hash")) & (F.col("_hash") >= F.col("_last._hash"))
+        for k in keys:
+            same = same & (F.col(k) == F.col("_c" + k))
         restored = {k: F.when(~F.col(f"_n_{k}"), F.col(f"_d_{k}")) for k in VERSION_KEYS} | {"src_hash": F.lower(F.hex("_hash"))}
-        todo = asked.join(current, [*keys], "left").where(changed).select(*(restored[c].alias(c) if c in restored else c for c in todo.columns))
+        todo = asked.join(current, same, "left_anti").select(*(restored[c].alias(c) if c in restored else c for c in todo.columns))
     return _documents(todo, opts, mode).withColumn("run_id", F.lit(run_id).cast("bigint"))
 
 
